@@ -24,8 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Words in a block, slots in an output shard.
 BLOCK, SHARD, SEED = 64, 4096, 7
-#: Rounds of a permutation.
-ROUNDS = 24
+#: Rounds of a permutation; slots that a task fills.
+ROUNDS, SLOTS_A_TASK = 24, 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -107,11 +107,15 @@ def mix(sizes: DataFrame, keys: list[str], block: int = BLOCK, weights: tuple[fl
     # what is missing is dealt out in rows of a shard's length, so that no row makes more slots than that
     short = short.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SHARD).cast("int"))))
     short = short.select("shard", "sid", F.least(F.lit(SHARD), F.col("n") - F.col("k") * SHARD).alias("n"), (F.col("first") + F.col("k") * SHARD).alias("first"))
-    slots = counts.select("shard", "sid", "n", "first").unionByName(short).join(whole, "sid")
+    # dealt to as many tasks as the slots call for: these rows are few, but each makes many
+    dealt = counts.select("shard", "sid", "n", "first").unionByName(short).repartition(max(1, math.ceil(words / block / SLOTS_A_TASK)), "shard", "sid", "first")
+    slots = dealt.join(whole, "sid")
     slots = slots.select("shard", "sid", "source_size", "goal", "blocks", "last", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
     slots = slots.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("at", F.pmod("j", "blocks"))
     chosen = [F.col("sid"), F.col("pass")]
-    slots = slots.withColumn("block", permuted(F.col("at"), F.col("blocks"), chosen)).withColumn("last_at", permuted(F.col("blocks") - 1, F.col("blocks"), chosen, inverse=True))
+    slots = slots.withColumn("block", permuted(F.col("at"), F.col("blocks"), chosen))
+    passes = whole.select("sid", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("need") / F.col("blocks")))).alias("pass"), "blocks")
+    slots = slots.join(passes.select("sid", "pass", permuted(F.col("blocks") - 1, F.col("blocks"), chosen, inverse=True).alias("last_at")), ["sid", "pass"])
     before = F.col("pass") * F.col("source_size") + F.col("at") * block - F.when(F.col("at") > F.col("last_at"), block - F.col("last")).otherwise(0)
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("last")).otherwise(block)
     taken = slots.select("shard", "sid", "pass", "block", F.least(length, F.col("goal") - before).alias("words")).where(F.col("words") > 0)
