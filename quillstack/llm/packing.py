@@ -30,7 +30,7 @@ MODEL, CAPACITY, END = "word_bpe_49k.json", 4096, 2
 #: The part of its share that an uncut piece may leave empty.
 SLACK = 0.03
 #: Words delimited by white space after which a worker forgets what it remembers, and characters of text that it encodes at once.
-REMEMBERED, AT_ONCE = 500_000, 1_000_000
+REMEMBERED, AT_ONCE = 1_500_000, 1_000_000
 
 
 class WordEncoder:
@@ -75,20 +75,20 @@ class WordEncoder:
             at = end
 
     def learn(self, words: set[str]) -> None:
-        known, stems, rest = self.words, {}, []
-        for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
-            if stem.isalpha() and "\u03a3" not in stem:  # capital sigma: str.lower looks at what follows, the tokenizer doesn't
-                stems[w] = (stem.lower(), mark)
-            else:
-                rest.append(w)
-        if new := list({s for s, _ in stems.values() if s not in known and s.isalpha()}):
+        """Words of letters, also before a full stop or comma, are learnt by their lower-cased letters; the library takes the others as they are."""
+        known = self.words
+        plain = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        marked = [w for w in others if w[-1:] in (".", ",") and w[:-1].isalpha()]
+        stems = [w.lower() for w in plain], [w[:-1].lower() for w in marked]
+        # some capitals have a lower case that isn't a letter or, as the sigma, hangs on what follows
+        sure = {s for s in set().union(*stems) if s.isalpha() and "\u03c3" not in s and "\u03c2" not in s}
+        if new := list(sure.difference(known)):
             self.letters(new)
-        for w, (stem, mark) in stems.items():
-            if stem in known:
-                known[w] = known[stem] + self.marks[mark]
-            else:
-                rest.append(w)
+        rest = [w for w in others if w[-1:] not in (".", ",") or not w[:-1].isalpha()]
+        rest += [w for ws, ss in zip((plain, marked), stems, strict=True) for w, s in zip(ws, ss, strict=True) if s not in sure]
+        known.update(zip(plain, map(known.get, stems[0]), strict=True))
+        known.update((w, known[s] + self.marks[w[-1]]) for w, s in zip(marked, stems[1], strict=True) if s in sure)
         known.update(zip(rest, self.whole(rest), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
