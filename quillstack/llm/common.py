@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+ROWS_A_FILE = 500_000
 _RUN = uuid.uuid4().hex[:12]
 _made: set[str] = set()
 
@@ -36,9 +37,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    rows: about how many narrow rows there are at most; they are dealt to files by that, not one a shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(max(8, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -83,21 +89,17 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return both.join(least, "a").where((F.col("b") > F.col("a")) & (F.col("m") < F.col("b"))).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) of every node with an edge, component the least node reachable.
+def components(edges: DataFrame, a: str, b: str, nodes: int) -> DataFrame:
+    """(node, component) of every node with an edge, component the least node reachable; nodes: about how many there are.
 
     Alternating large and small stars: each round is group-bys with map-side minima and joins that adaptive execution may
     split, and is written to the shared folder; only a count comes to the driver. Ends when the edges are stars.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     while True:
-        now = stored(_stars(_stars(now, small=False), small=True), "stars")
+        now = stored(_stars(_stars(now, small=False), small=True), "stars", nodes)
         seen = now.select(F.col("u").alias("n"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("above"), F.lit(1).alias("below")))
         wrong = seen.groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where((F.col("above") > 1) | ((F.col("above") > 0) & (F.col("below") > 0)))
         if wrong.isEmpty():
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def code_points(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))

@@ -256,7 +256,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if overlap >= 8 or sum(min(got.get(k, 0), v) for k, v in truth.items()) >= WANTED * total:
             break
         overlap *= 2
-    joined = components(stored(edges, "edges"), "a", "b")
+    joined = components(stored(edges, "edges", n), "a", "b", n)
     of = nodes.join(links, "rep", "left").join(joined, nodes["rep"] == joined["node"], "left")
     of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"), "least")
     of = of.join(of.groupBy("group").agg(F.min("least").alias("component")), "group")

@@ -93,7 +93,7 @@ def mix(sizes: DataFrame, keys: list[str], block: int = BLOCK, weights: tuple[fl
     n_sources, words = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     named = sources.select(F.col("source").alias("__s"), "sid")
     docs = sizes.join(named, F.col("source").eqNullSafe(F.col("__s"))).select(*keys, "size", "sid")
-    docs = stored(running_start(docs, ["sid"], [*keys, "size"], "size", "start"), "offsets")
+    docs = stored(running_start(docs, ["sid"], [*keys, "size"], "size", "start"), "offsets", sizes.count())
 
     whole = sources.where(F.col("source_size") > 0).select("sid", "source_size", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
     whole = whole.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("last", F.col("source_size") - (F.col("blocks") - 1) * block)
@@ -101,7 +101,7 @@ def mix(sizes: DataFrame, keys: list[str], block: int = BLOCK, weights: tuple[fl
     counts = running_start(_drawn(sources, math.ceil(words / block), n_sources), ["sid"], ["shard"], "n", "first") if words else None
     if counts is None:
         counts = sources.sparkSession.createDataFrame([], "shard long, sid int, n long, first long")
-    counts = stored(counts, "draws")
+    counts = stored(counts, "draws", math.ceil(words / block / SHARD) * n_sources)
     short = whole.select("sid", "need").join(counts.groupBy("sid").agg(F.sum("n").alias("first")), "sid", "left")
     short = short.select(F.lit(None).cast("long").alias("shard"), "sid", (F.col("need") - F.coalesce("first", F.lit(0))).alias("n"), F.coalesce("first", F.lit(0)).alias("first"))
     # what is missing is dealt out in rows of a shard's length, so that no row makes more slots than that

@@ -74,14 +74,14 @@ def _ball(value: Column, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
 
 
-def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def links(fps: DataFrame, nodes: int, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) between the different fingerprints of column fp whose closure is that of all pairs at RADIUS bits or less.
 
     The merge hints keep Spark from broadcasting sides whose size it guesses from before they are exploded.
     """
     tables = [fps.select(F.lit(k).alias("seg"), _half(F.col("fp"), k).alias("key"), _half(F.col("fp"), 1 - k).alias("other"), "fp") for k in (0, 1)]
     entries = tables[0].unionByName(tables[1])
-    full = stored(entries.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("seg", "key"), "crowded")
+    full = stored(entries.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("seg", "key"), "crowded", nodes // crowded if crowded else nodes)
     sparse = entries.join(full, ["seg", "key"], "left_anti")
     probes = entries.select("seg", F.explode(F.concat(F.array("key"), _flips(F.col("key")))).alias("key"), F.col("key").alias("own"), F.col("fp").alias("a"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS
@@ -93,7 +93,7 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
         members = centres.unionByName(rest)
         return members.join(least.hint("merge"), ["seg", "key", "point"]).where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
 
-    dense = stored(entries.join(full, ["seg", "key"], "left_semi"), "dense")
+    dense = stored(entries.join(full, ["seg", "key"], "left_semi"), "dense", 2 * nodes)
     spread = lambda df, r: df.select("seg", "key", F.explode(_ball(F.col("other"), r)).alias("point"), "fp")
     inside = by_keys(spread(dense, 1), spread(dense, 2))
     visitors = probes.where(F.col("own") != F.col("key")).join(full, ["seg", "key"], "left_semi").select("seg", "key", "a")
@@ -108,9 +108,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component (component null). Only the id and text columns are read, so other columns may have any name.
     """
     fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stored(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    n = fps.count()
+    nodes = stored(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("least")), "nodes", n)
     # components() names a component by its least fingerprint; its least document is found over the nodes
-    joined = components(stored(links(nodes.select("fp")), "links"), "a", "b").withColumnsRenamed({"node": "fp"})
+    joined = components(stored(links(nodes.select("fp"), n), "links", n), "a", "b", n).withColumnsRenamed({"node": "fp"})
     of = nodes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("first"))
     of = of.join(least, "component").select("fp", "first")
