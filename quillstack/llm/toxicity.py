@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: Labelled rows of each class that a fit uses at most, features that it chooses at most, least G of a feature, texts that need to have it.
-SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 15.0, 3
+SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 10.83, 3
 THRESHOLD, RIDGE, PENALTY = 0.3, 0.0002, 1.0
 #: Groups whose mention is swapped; single words, each kind's terms in one row.
 IDENTITIES = [
@@ -105,26 +106,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = lambda y: usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     chosen = stored(first(1).unionByName(first(0)), "labelled")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ys, texts = (c.to_pylist() for c in batch.columns)
-            sets, lost, gained = [], [], []
-            for t in texts:
-                swaps = counterfactuals(t)
-                sets.append(sorted(features(t)))
-                lost.append([sorted(a) for a, _ in swaps])
-                gained.append([sorted(b) for _, b in swaps])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(sets, pa.list_(pa.string())), pa.array(lost, pa.list_(pa.list_(pa.string()))), pa.array(gained, pa.list_(pa.list_(pa.string())))], ["id", "y", "has", "lost", "gained"])
-
-    # the sample has a fixed bound, so it may be sent to every executor; the texts don't move
+    # the sample has a fixed bound, so its keys may be sent to every executor; the texts don't move
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = texts.join(F.broadcast(chosen.withColumn("id", F.col("id").cast("long"))), "id").select("id", "y", "t")
-    seen = stored(sample.mapInArrow(run, "id long, y int, has array<string>, lost array<array<string>>, gained array<array<string>>"), "features")
-    n1, n = seen.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    sample = stored(texts.join(F.broadcast(chosen.withColumn("id", F.col("id").cast("long"))), "id").select("id", "y", "t"), "sample")
+    n1, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     n0 = n - n1
     if not n1 or not n0:
         return Model({}, -4.0 if not n1 else 4.0)
-    counts = seen.select("y", F.explode("has").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("k"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each feature's toxic texts and texts, summed over a task's part of the sample."""
+        toxic, every = Counter(), Counter()
+        for batch in batches:
+            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                has = features(t)
+                every.update(has)
+                if y:
+                    toxic.update(has)
+        names = list(every)
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[f] for f in part], pa.int64()), pa.array([every[f] for f in part], pa.int64())], ["f", "a", "k"])
+
+    counts = sample.mapInArrow(count, "f string, a long, k long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
     a, b = F.col("a") + 0.5, F.col("k") - F.col("a") + 0.5
     rate = F.lit(n1 / n)
     g = 2 * (a * F.log(a / ((a + b) * rate)) + b * F.log(b / ((a + b) * (1 - rate))))
@@ -132,10 +136,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = counts.withColumn("g", g).where(((F.col("k") >= LEAST_TEXTS) & (F.col("g") >= LEAST_G)) | group).orderBy(F.col("g").desc(), "f").limit(FEATURES)
     names = [r["f"] for r in best.select("f").collect()]
     number = {f: j for j, f in enumerate(names)}
-    known = F.array(*[F.lit(f) for f in names]) if names else F.array().cast("array<string>")
-    few = seen.orderBy("id", "y", F.xxhash64("has")).select("y", F.array_intersect("has", known).alias("has"), "lost", "gained").collect()
-    swaps = [([number[x] for x in p if x in number], [number[x] for x in q if x in number]) for r in few for p, q in zip(r["lost"], r["gained"], strict=True)]
-    return fit([[number[x] for x in r["has"]] for r in few], np.array([r["y"] for r in few]), names, [s for s in swaps if s[0] or s[1]])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The numbers of the chosen features that a text has, and of those it loses and gains by each swap."""
+        known = lambda words: sorted(number[w] for w in words & number.keys())
+        ints, lists = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+        for batch in batches:
+            said = batch.column(2).to_pylist()
+            swaps = [counterfactuals(t) for t in said]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([known(features(t)) for t in said], ints),
+                pa.array([[known(old) for old, _ in s] for s in swaps], lists), pa.array([[known(new) for _, new in s] for s in swaps], lists),
+            ], ["id", "y", "has", "lost", "gained"])
+
+    rows = sample.mapInArrow(numbered, "id long, y int, has array<int>, lost array<array<int>>, gained array<array<int>>").collect()
+    rows.sort(key=lambda r: (r["id"], r["y"], r["has"]))
+    swaps = [s for r in rows for s in zip(r["lost"], r["gained"], strict=True) if s[0] or s[1]]
+    return fit([r["has"] for r in rows], np.array([r["y"] for r in rows]), names, swaps)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
