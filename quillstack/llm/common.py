@@ -37,14 +37,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
-    rows: about how many narrow rows there are at most; they are dealt to files by that, not one a shuffle partition.
+    rows: about how many narrow rows there are at most; they are dealt to files by that, not one a partition.
+    narrow: rows are small against what they were made of, but their number isn't known; they are dealt to two files a core.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.repartition(max(8, -(-rows // ROWS_A_FILE)))
+    elif narrow:
+        df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -133,7 +133,7 @@ def overlaps(docs: DataFrame, taken: DataFrame, keys: list[str], block: int = BL
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken) of every row of docs; null texts have size 0."""
-    sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+    sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes", narrow=True)
     dealt, sources, taken = mix(sizes, ["id"])
     some = overlaps(dealt, taken, ["id"]).groupBy("id", "size", "sid", "start").agg(F.sum(F.when(F.col("pass").isNotNull(), F.col("hi") - F.col("lo")).otherwise(0)).alias("taken"))
     none = dealt.where("size = 0").select("id", "size", "sid", "start", F.lit(0).cast("long").alias("taken"))
@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row that is taken whole keeps its text as it is; n_chars, where there is one, is set anew. Documents of no words are part of no mix.
     """
     row = F.xxhash64(*docs.columns)
-    sizes = stored(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes")
+    sizes = stored(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes", narrow=True)
     dealt, _, taken = mix(sizes, ["id", "row"])
     parts = overlaps(dealt, taken, ["id", "row"]).where(F.col("pass").isNotNull())
     parts = parts.groupBy("id", "row", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("got"))

@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Exact copies share a fingerprint and are one node. An empty table gives an empty one. Rows with a null id take part in no
     component (component null). Only the id and text columns are read, so other columns may have any name.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints", narrow=True)
     n = fps.count()
     nodes = stored(fps.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("least")), "nodes", n)
     # components() names a component by its least fingerprint; its least document is found over the nodes

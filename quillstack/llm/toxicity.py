@@ -104,11 +104,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         usable = usable.where(~held_out)
     usable = usable.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     first = lambda y: usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    chosen = stored(first(1).unionByName(first(0)), "labelled")
+    chosen = stored(first(1).unionByName(first(0)), "labelled", 2 * SAMPLE)
 
     # the sample has a fixed bound, so its keys may be sent to every executor; the texts don't move
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = stored(texts.join(F.broadcast(chosen.withColumn("id", F.col("id").cast("long"))), "id").select("id", "y", "t"), "sample")
+    sample = stored(texts.join(F.broadcast(chosen.withColumn("id", F.col("id").cast("long"))), "id").select("id", "y", "t"), "sample", 2 * SAMPLE)
     n1, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     n0 = n - n1
     if not n1 or not n0:
