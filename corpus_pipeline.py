@@ -29,8 +29,8 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences. Workers that other stages share remember fewer words than packing alone would."""
+    return packing.pack(docs, remembered=300_000)
 
 
 STAGES = [("toxicity", _toxicity), ("simhash_near_dedup", _near_dedup), ("pii", _pii), ("mixing", _mixing), ("packing", _packing)]

@@ -58,6 +58,7 @@ class WordEncoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marks = dict(zip(("", ".", ","), self.whole(["", ".", ","]), strict=True))
         self.words: dict[str, bytes] = {}
+        self.most = REMEMBERED
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,7 +99,7 @@ class WordEncoder:
         odd = {i for i, text in enumerate(texts) if any(t in text for t in self.added)}
         # str.split takes four more characters for white space than the tokenizer does
         words = [[] if i in odd else text.replace("\n", " ").split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for i, text in enumerate(texts)]
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.most:
             self.words.clear()
         if new := set().union(*words).difference(self.words):
             self.learn(new)
@@ -169,11 +170,12 @@ class Packer:
                     held = []
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row per piece of a document.
 
     Null texts count as empty; with an end id they are one token, without one they have no piece. Rows with equal or null ids
-    are packed one by one. sequence_id is the partition's number times 2**40 plus a count.
+    are packed one by one. sequence_id is the partition's number times 2**40 plus a count. remembered: words that a worker
+    remembers, about 250 bytes each; fewer take more time and give the same rows.
     """
     tail = b"" if end is None else end.to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -183,6 +185,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         import public_tokenizers
 
         encoder = word_encoder(tokenizer_path or public_tokenizers.path(MODEL))
+        encoder.most = remembered
         packer = Packer(TaskContext.get().partitionId() << 40, capacity)
 
         def taken() -> pa.RecordBatch:
