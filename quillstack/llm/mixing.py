@@ -151,11 +151,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = overlaps(dealt, taken, ["id", "row"]).where(F.col("pass").isNotNull())
     parts = parts.groupBy("id", "row", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
     keyed = docs.withColumn("__row", row).dropDuplicates([id_col, "__row"])
-    parts = parts.select(F.col("id").alias("__id"), F.col("row").alias("__r"), "ranges", (F.col("got") == F.col("size")).alias("whole"))
+    parts = parts.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.col("ranges").alias("__ranges"), (F.col("got") == F.col("size")).alias("__whole"))
     joined = keyed.join(parts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("__words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
-    joined = joined.withColumn("__words", F.when(~F.col("whole"), words)).withColumn(text_col, F.when(F.col("whole"), F.col(text_col)).otherwise(cut))
+    cut = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("__words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
+    joined = joined.withColumn("__words", F.when(~F.col("__whole"), words)).withColumn(text_col, F.when(F.col("__whole"), F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)

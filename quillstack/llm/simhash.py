@@ -121,9 +121,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest id (of several, that of the least text hash). Rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col).where(F.col("id") == F.col("component"))
-    kept = found.groupBy("id").agg(F.min("row").alias("row"))
+    kept = found.groupBy(F.col("id").alias("__kept")).agg(F.min("row").alias("__first"))
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__row", F.xxhash64(text_col))
-    first = keyed.where(F.col(id_col).isNotNull()).join(kept, (F.col("__id") == F.col("id")) & (F.col("__row") == F.col("row")), "left_semi").dropDuplicates(["__id", "__row"])
+    first = keyed.where(F.col(id_col).isNotNull()).join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__row") == F.col("__first")), "left_semi").dropDuplicates(["__id", "__row"])
     return first.unionByName(keyed.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
