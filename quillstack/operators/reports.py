@@ -144,13 +144,13 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 def quota_sample(rows: DataFrame, group: str, key: str, total: int, seed: int = 42) -> DataFrame:
     """M2: equal quotas, the remainder to the first groups; places that small groups leave go to others by hash."""
     g = rows.select(group).distinct()
-    groups = g.withColumn("g", F.row_number().over(Window.orderBy(group))).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
-    groups = groups.withColumn("quota", F.floor(F.lit(total) / F.col("m")) + (F.col("g") <= total % F.col("m")).cast("int"))
+    groups = g.withColumn("__g", F.row_number().over(Window.orderBy(group))).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy()))
+    groups = groups.withColumn("__quota", F.floor(F.lit(total) / F.col("__m")) + (F.col("__g") <= total % F.col("__m")).cast("int"))
     h = F.xxhash64(F.col(key), F.lit(seed))
-    ranked = rows.join(F.broadcast(groups), group).withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(h, key)))
+    ranked = rows.join(groups, group).withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(h, key)))
     # only `total` rows of each group can be wanted at all, so the last ordering sees few
-    few = ranked.where(F.col("k") <= total).withColumn("extra", F.col("k") > F.col("quota"))
-    return few.orderBy("extra", h, key).limit(total).drop("g", "m", "quota", "k", "extra")
+    few = ranked.where(F.col("__k") <= total).withColumn("__extra", F.col("__k") > F.col("__quota"))
+    return few.orderBy("__extra", h, key).limit(total).drop("__g", "__m", "__quota", "__k", "__extra")
 
 
 def first_per_group(rows: DataFrame, group: str, order: str, k: int, total: int) -> DataFrame:
