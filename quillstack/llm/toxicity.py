@@ -55,10 +55,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list[tuple[list[int], list[int]]], ridge: float = RIDGE, penalty: float = PENALTY, steps: int = 300) -> Model:
-    """Minimises mean log loss + ridge*|w|^2/2 + penalty*mean over swaps of (w.(x-x'))^2/2 by gradient descent with momentum.
+def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list[tuple[list[int], list[int]]], ridge: float = RIDGE, penalty: float = PENALTY, steps: int = 500) -> Model:
+    """Minimises mean log loss + ridge*|w|^2/2 + penalty*mean over swaps of (w.(x-x'))^2/2 by accelerated gradient descent.
 
-    rows: feature numbers of each text. swaps: feature numbers that a text loses and gains by a swap.
+    rows: feature numbers of each text. swaps: feature numbers that a text loses and gains by a swap. The step is one over the loss's
+    largest curvature, found by power iteration, so no labels, mentions or penalty make the descent run away.
     """
     n, m = len(rows), len(names)
     at = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -67,19 +68,32 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
     ccol = np.array([j for a, b in swaps for j in (*a, *b)], dtype=np.int64)
     sign = np.array([s for a, b in swaps for s in (*[1.0] * len(a), *[-1.0] * len(b))])
     y = labels.astype(float)
-    pos = max(1.0, float(y.sum()))
-    w, b = np.zeros(m), math.log(max(pos, 1) / max(n - pos, 1)) if n else -4.0
-    v, vb = np.zeros(m), 0.0
-    for _ in range(steps):
-        z = np.bincount(at, w[col], minlength=n) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.bincount(col, g[at], minlength=m) + ridge * w
+    pos = float(y.sum())
+
+    def slope(errors: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The gradient in w and the bias (last), from the errors of the texts' scores."""
+        out = np.append(np.bincount(col, errors[at], minlength=m) + ridge * w, errors.sum())
         if swaps:
             d = np.bincount(cat, sign * w[ccol], minlength=len(swaps))
-            grad += penalty / len(swaps) * np.bincount(ccol, sign * d[cat], minlength=m)
-        v, vb = 0.9 * v - 2.0 * grad, 0.9 * vb - 0.3 * g.sum()
-        w, b = w + v, b + vb
-    return Model({names[j]: float(w[j]) for j in range(m) if abs(w[j]) > 1e-6}, float(b))
+            out[:m] += penalty / len(swaps) * np.bincount(ccol, sign * d[cat], minlength=m)
+        return out
+
+    logits = lambda wb: np.bincount(at, wb[:m][col], minlength=n) + wb[m]
+    curved, probe = 0.0, np.random.default_rng(1).random(m + 1)
+    for _ in range(40):
+        probe /= np.linalg.norm(probe)
+        probe = slope(logits(probe) / (4 * n), probe[:m])
+        curved = max(curved, float(np.linalg.norm(probe)))
+    now = ahead = np.append(np.zeros(m), math.log(max(pos, 1) / max(n - pos, 1)))
+    age = 1.0
+    for _ in range(steps):
+        g = slope((1 / (1 + np.exp(-np.clip(logits(ahead), -40, 40))) - y) / n, ahead[:m])
+        new = ahead - g / (1.1 * curved)
+        if g @ (new - now) > 0:  # the momentum points uphill: start it anew
+            age = 1.0
+        older, age = age, (1 + math.sqrt(1 + 4 * age * age)) / 2
+        ahead, now = new + (older - 1) / age * (new - now), new
+    return Model({names[j]: float(now[j]) for j in range(m) if abs(now[j]) > 1e-6}, float(now[m]))
 
 
 def counterfactuals(text: str, limit: int = 4) -> list[tuple[set[str], set[str]]]:

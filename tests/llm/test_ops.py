@@ -209,7 +209,22 @@ def test_counterfactual_term_quiets_mentions():
     rows = [[number[f] for f in toxicity.features(t)] for t in texts]
     swaps = [([number[f] for f in a if f in number], [number[f] for f in b if f in number]) for t in texts for a, b in toxicity.counterfactuals(t, 20)]
     gap = lambda m: m.score("muslim people") - m.score("christian people")
-    assert gap(toxicity.fit(rows, y, names, swaps, penalty=5.0)) < 0.5 * gap(toxicity.fit(rows, y, names, [], penalty=0.0))
+    free, held = toxicity.fit(rows, y, names, [], penalty=0.0), toxicity.fit(rows, y, names, swaps, penalty=5.0)
+    assert 0.2 < gap(free) and abs(gap(held)) < 0.5 * gap(free)
+    assert held.score("people are idiot") > 0.5 > held.score("people are kind")
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0, 100.0])
+@pytest.mark.parametrize("common", [0, 400])
+def test_fit_never_runs_away(penalty, common):
+    texts = [f"the women are {x} " + " ".join("q" * k for k in range(2, common)) for x in ("awful garbage", "kind people")] * 50
+    y = np.array([1, 0] * 50)
+    names = sorted(set().union(*map(toxicity.features, texts), toxicity.features("the men")))
+    number = {f: j for j, f in enumerate(names)}
+    rows = [[number[f] for f in toxicity.features(t)] for t in texts]
+    swaps = [([number[f] for f in a if f in number], [number[f] for f in b if f in number]) for t in texts for a, b in toxicity.counterfactuals(t)]
+    model = toxicity.fit(rows, y, names, swaps, penalty=penalty)
+    assert model.score(texts[0]) > 0.9 and model.score(texts[1]) < 0.1 and np.isfinite([model.bias, *model.weights.values()]).all()
 
 
 def test_pii_base_by_patterns():
