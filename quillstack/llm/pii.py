@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,9 @@ def candidates(text: str, kept: dict[str, list[Span]], dropped: dict[str, list[S
     if "(at)" in text or "[at]" in text or (" at " in text and (" dot " in text or "[dot]" in text or "(dot)" in text)):
         out |= {("email", *m.span()) for m in _SPELLED.finditer(text)}
     taken = sorted(s for spans in kept.values() for s in spans)
-    return sorted(c for c in out if not any(s < c[2] and c[1] < e for s, e in taken))
+    starts, ends = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
+    # of the base spans that start before a candidate's end, does any end after its start?
+    return sorted(c for c in out if ends[bisect_left(starts, c[2])] <= c[1])
 
 
 _CUES = {
@@ -171,6 +175,24 @@ class Trees:
             total += split[2]
         return 1 / (1 + float(np.exp(-self.rate * total)))
 
+    def scores(self, rows: list[list[float]]) -> list[float]:
+        """The score of each row; many rows go down each tree together."""
+        if len(rows) < 64:
+            return [self.score(r) for r in rows]
+        x, total = np.array(rows), np.zeros(len(rows))
+        for tree in self.trees:
+            size = max(tree) + 1
+            split, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
+            for node, (j, t, v) in tree.items():
+                split[node], cut[node], value[node] = j, t, v
+            at = np.ones(len(x), np.int64)
+            for _ in range(self.depth):
+                down = np.flatnonzero(split[at] >= 0)
+                here = at[down]
+                at[down] = 2 * here + (x[down, split[here]] > cut[here])
+            total += value[at]
+        return (1 / (1 + np.exp(-self.rate * total))).tolist()
+
 
 def _synthetic(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, int, int], bool]]]:
     """Texts and the true spans in them."""
@@ -264,11 +286,16 @@ def spans(text: str, trees: Trees, thresholds: dict[str, float]) -> tuple[dict[s
     found = candidates(text, kept, dropped)
     if not found:
         return kept, kept
-    ranked = sorted((-s, c) for c in found if (s := trees.score(features(text, *c))) >= thresholds[c[0]])
     every, taken = {k: list(v) for k, v in kept.items()}, []
-    for _, (kind, a, b) in ranked:
-        if not any(s < b and a < e for s, e in taken):
-            taken.append((a, b))
+    scored: list[tuple[float, tuple[str, int, int]]] = []
+    for i in range(0, len(found), 20_000):
+        part = found[i : i + 20_000]
+        scored += [(-s, c) for s, c in zip(trees.scores([features(text, *c) for c in part]), part, strict=True) if s >= thresholds[c[0]]]
+    for _, (kind, a, b) in sorted(scored):
+        # spans taken so far don't overlap each other, so only the last that starts before b can reach over a
+        near = bisect_left(taken, (b,))
+        if not near or taken[near - 1][1] <= a:
+            insort(taken, (a, b))
             every[kind].append((a, b))
     return kept, {k: sorted(v) for k, v in every.items()}
 

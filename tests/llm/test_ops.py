@@ -227,6 +227,19 @@ def test_fit_never_runs_away(penalty, common):
     assert model.score(texts[0]) > 0.9 and model.score(texts[1]) < 0.1 and np.isfinite([model.bias, *model.weights.values()]).all()
 
 
+def test_pii_of_crowded_texts():
+    trees, thresholds = pii.trained()
+    unit = "bob [at] mail [dot] com, 212-555-1234 and x@y.org or 1234 5678 9012 3456 7; "
+    _, once = pii.spans(unit, trees, thresholds)
+    base, every = pii.spans(unit * 20_000, trees, thresholds)
+    assert {k: len(v) for k, v in every.items()} == {k: 20_000 * len(v) for k, v in once.items()} and sum(map(len, every.values())) > sum(map(len, base.values()))
+    flat = sorted(s for spans in every.values() for s in spans)
+    assert all(a[1] <= b[0] for a, b in zip(flat, flat[1:], strict=False))
+    found = pii.candidates(unit * 30, *pii.base(unit * 30))
+    rows = [pii.features(unit * 30, *c) for c in found]
+    assert np.allclose(trees.scores(rows), [trees.score(r) for r in rows], rtol=0, atol=1e-12)
+
+
 def test_pii_base_by_patterns():
     rng = random.Random(3)
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
