@@ -13,7 +13,7 @@ such a key, and the rows grow with the members, not with their pairs. No bucket
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     w = text.lower().split()
     if not w:
         return 0
-    shingles = [b" ".join(w)] if len(w) <= words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8", count=len(shingles))
+    shingles = iter([b" ".join(w)]) if len(w) <= words else map(b" ".join, zip(*(islice(w, i, None) for i in range(words)), strict=False))
+    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype="<u8", count=max(1, len(w) - words + 1))
     ones = np.zeros((8, 256), dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
