@@ -1,6 +1,6 @@
 """URL filters: a blocked Bloom filter of listed keys passes possible hits to an exact hash join.
 
-A rule is a host and a path prefix; a listed URL is a rule that must match whole. Of each page URL the keys that some rule could have
+A rule is a host and a path prefix; its canonical form, the key, is the lower-cased host followed by the path, without scheme, query and fragment. Of each page URL the keys that some rule could have
 are made: its host's suffixes with as many labels as rules have, times its path's prefixes as long as rules have.
 Each key's hash names a block of 256 bits and 8 bits in it; the blocks are rows, met by an equi-join on the block number.
 Keys whose bits are all set join the rules exactly, so no false positive of the filter is left. DataFrame functions only.
@@ -30,12 +30,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.when(at > 0, F.regexp_extract(after, r"\A[^?#]*", 0)).otherwise("")
 
 
-def canonical(url: Column) -> Column:
-    """Host and path as one key, without scheme, query, fragment and a closing slash."""
-    host, path = host_and_path(url)
-    return F.concat(host, F.regexp_replace(path, r"/+\z", ""))
-
-
 def _bits(key: Column, word: int) -> Column:
     """The bits of 64-bit word `word` of four that a key sets in its block: two a word."""
     h = F.xxhash64(F.lit(word), key)
