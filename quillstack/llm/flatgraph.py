@@ -4,7 +4,8 @@ Equal vectors are one node. Nodes go to the cells of their nearest centroids, se
 the nearest members of every node, pruned robustly (a neighbour goes if a kept one is closer to it by the factor ALPHA than the node is), plus
 reverse edges. A node's lists from all its cells are united. Then every node is searched in its cells: a greedy beam search
 starts at the cell's medoid and at the node itself, and from every hit in range the search expands until no new hit is met. Hits are
-verified by cosine in double precision. A bounded, seeded set of nodes is held against all others; if the recall there is below WANTED, the whole is done again with more overlap.
+verified by cosine in double precision. A seeded set of nodes, grown until enough of them have links, is held against all others; if the recall
+there is below WANTED, the whole is done again with more overlap, and after the widest overlap exactly or not at all: then it is an error.
 
 Cells of more than FULL nodes (a third of all rows may be near copies) are split into parts, and each two parts are a cell of their own, so
 a task's memory is bounded; a pair is counted in one task only, the first cell it shares. No pair leaves a task: counts and a spanning forest do.
@@ -13,6 +14,7 @@ a task's memory is bounded; a pair is counted in one task only, the first cell i
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,12 @@ from .common import components, stored, table
 THRESHOLD = 0.95
 #: Nodes aimed at in a cell, nodes of a cell above which it is split, rows of the sample that centroids are fitted on, centroids of a level at most.
 CELL, FULL, SAMPLE, CENTROIDS = 1000, 3000, 8192, 1024
-#: Candidates and kept neighbours of a node, pruning factor, beam width; nodes of the audit and the recall it asks for.
-POOL, DEGREE, ALPHA, BEAM, AUDITED, WANTED = 40, 20, 1.2, 12, 64, 0.97
+#: Candidates and kept neighbours of a node, pruning factor, beam width.
+POOL, DEGREE, ALPHA, BEAM = 40, 20, 1.2, 12
+#: Nodes that the audit starts with and has at most, groups that it should have met by then (_effective), the recall it asks for.
+AUDITED, AUDITED_MOST, LINKED, WANTED = 256, 8192, 64, 0.97
+#: Cells a node at first and at most; nodes that are held all against all where that doesn't reach the recall.
+OVERLAP, OVERLAP_MOST, EXACT = 4, 32, 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -119,6 +125,13 @@ def in_range(x: np.ndarray, graph: np.ndarray, threshold: float = THRESHOLD) ->
     return hit | hit.T
 
 
+def all_in_range(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """[n, n] bool: what in_range() looks for, by every pair."""
+    hit = np.concatenate([x[k : k + 256] @ x.T >= threshold for k in range(0, len(x), 256)])
+    np.fill_diagonal(hit, False)
+    return hit | hit.T
+
+
 def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -144,10 +157,10 @@ def cells(x: np.ndarray, levels: list[np.ndarray], overlap: int) -> np.ndarray:
     return np.concatenate(out, 1)
 
 
-def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) and forest edges (a, b) over nodes (rep, v, n)."""
+def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rep, links) and forest edges (a, b) over nodes (rep, v, n). exact: one cell, and each two parts of it are held against each other in full."""
     sample = unit(np.stack(nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"]))
-    want = math.ceil(n / CELL)
+    want = 1 if exact else math.ceil(n / CELL)
     levels = [centroids(sample, min(want, CENTROIDS))]
     if want > CENTROIDS:
         rest = sample - levels[0][np.argmax(sample @ levels[0].T - (levels[0] ** 2).sum(1) / 2, axis=1)]
@@ -171,7 +184,7 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
     def graph(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("rep")
         ids = t["rep"].to_numpy()
-        g = build(np.stack(t["x"].to_numpy()))
+        g = np.arange(len(ids))[:, None] if exact else build(np.stack(t["x"].to_numpy()))
         return pd.DataFrame({"rep": ids, "near": [np.unique(ids[row[row != k]]) for k, row in enumerate(g)]})
 
     lists = filled.select("rep", "cell", "i", "j", "x").groupBy("cell", "i", "j").applyInPandas(graph, "rep long, near array<long>")
@@ -188,7 +201,7 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
         nth = np.arange(len(src)) - np.searchsorted(src, src)
         g = np.tile(np.arange(len(ids))[:, None], (1, int(nth.max()) + 1 if len(nth) else 1))
         g[src, nth] = at
-        hit = in_range(x, g, threshold)
+        hit = all_in_range(x, threshold) if exact else in_range(x, g, threshold)
         part, weight, own = t["part"].to_numpy(), t["n"].to_numpy(), t["cells"].to_list()
         earlier = [frozenset(c for c in v if c < cell) for v in own]
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -214,21 +227,77 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
     return searched.groupBy("rep").agg(F.sum("links").alias("links")), searched.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
 
-def _true_links(nodes: DataFrame, dimension: int, threshold: float) -> DataFrame:
-    """(rep, links) of the audit's nodes, held against all. The set has at most AUDITED rows and goes along with the tasks."""
-    few = nodes.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(AUDITED).select("rep", "v").toPandas()
+def _true_links(nodes: DataFrame, few: pd.DataFrame, dimension: int, threshold: float) -> dict[int, tuple[int, int]]:
+    """{rep: (links, linked nodes)} of the few (rep, v), held against all nodes. They are AUDITED_MOST at most and go along with the tasks."""
     ids, q = few["rep"].to_numpy(), unit(np.stack(few["v"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                x = unit(np.asarray(batch.column(1).flatten()).reshape(-1, dimension))
-                near = (q @ x.T >= threshold) & (ids[:, None] != batch.column(0).to_numpy()[None, :])
-                total += near @ batch.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "links"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                x = unit(np.asarray(part.column(1).flatten()).reshape(-1, dimension))
+                hit = (q @ x.T >= threshold) & (ids[:, None] != part.column(0).to_numpy()[None, :])
+                links += hit @ part.column(2).to_numpy()
+                near += hit.sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(near)], ["rep", "links", "near"])
+
+    held = nodes.select("rep", "v", "n").mapInArrow(run, "rep long, links long, near long").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+    return {r["rep"]: (r["links"], r["near"]) for r in held.collect()}
+
+
+def _effective(truth: dict[int, tuple[int, int]]) -> float:
+    """About how many groups of links the audit has met: its linked nodes, each weighted by one over its group, as an effective number."""
+    w = np.array([1 / (1 + near) for _, near in truth.values() if near])
+    return float(w.sum() ** 2 / (w * w).sum()) if len(w) else 0.0
+
+
+def _recall(truth: dict[int, tuple[int, int]], got: dict[int, int]) -> float | None:
+    """The mean share of a linked node's links that was found, over nodes or over groups, whichever is less; None if no node has links."""
+    linked = [(min(got.get(k, 0), links) / links, 1 / (1 + near)) for k, (links, near) in truth.items() if links]
+    if not linked:
+        return None
+    share, w = np.array(linked).T
+    return float(min(share.mean(), (share * w).sum() / w.sum()))
+
+
+def _audit(nodes: DataFrame, n: int, dimension: int, threshold: float) -> dict[int, tuple[int, int]]:
+    """True links of a seeded sample, grown until LINKED groups are met, all n nodes or AUDITED_MOST are in it."""
+    truth: dict[int, tuple[int, int]] = {}
+    m = AUDITED
+    while True:
+        few = nodes.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(m).select("rep", "v").toPandas()
+        truth |= _true_links(nodes, few.iloc[len(truth) :], dimension, threshold)
+        if m >= min(n, AUDITED_MOST) or _effective(truth) >= LINKED:
+            return truth
+        m = min(4 * m, AUDITED_MOST)
 
-    return nodes.select("rep", "v", "n").mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+def _linked(nodes: DataFrame, n: int, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The first _attempt() whose recall is WANTED or more."""
+    sample, overlap = _audit(nodes, n, dimension, threshold), OVERLAP
+    while True:
+        links, edges = _attempt(nodes, n, dimension, overlap, threshold)
+        truth = dict(sample)
+        if len(sample) < n and _effective(sample) < LINKED:
+            # the sample met few links; what was found tells of more nodes to audit
+            more = nodes.join(links.where("links > 0").select("rep"), "rep").orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(LINKED).select("rep", "v").toPandas()
+            if len(more):
+                truth |= _true_links(nodes, more, dimension, threshold)
+        has = [k for k, (true, _) in truth.items() if true]
+        got = {r["rep"]: r["links"] for r in links.where(F.col("rep").isin(has)).collect()} if has else {}
+        recall = _recall(truth, got)
+        if recall is None and len(sample) >= n or recall is not None and recall >= WANTED:
+            return links, edges
+        if overlap >= min(OVERLAP_MOST, math.ceil(n / CELL)):
+            break
+        overlap *= 2
+    if n <= EXACT:
+        return _attempt(nodes, n, dimension, 1, threshold, exact=True)
+    if recall is None:
+        warnings.warn(f"near_duplicates: no link was found, and none of {len(sample)} audited nodes of {n} has one; the recall isn't known", stacklevel=2)
+        return links, edges
+    raise RuntimeError(f"near_duplicates: recall {recall:.3f} on {len(has)} audited nodes with links, {WANTED} wanted, at {overlap} cells a node")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -247,15 +316,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # a node's key is its vector's hash, as ids may repeat
     nodes = stored(rows.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.xxhash64("v")), "nodes")
     n = nodes.count()
-    truth = {r["rep"]: r["links"] for r in _true_links(nodes, dimension, threshold).collect()}
-    overlap = 2
-    while True:
-        links, edges = _attempt(nodes, n, dimension, overlap, threshold)
-        got = {r["rep"]: r["links"] for r in links.where(F.col("rep").isin(list(truth))).collect()}
-        total = sum(truth.values())
-        if overlap >= 8 or sum(min(got.get(k, 0), v) for k, v in truth.items()) >= WANTED * total:
-            break
-        overlap *= 2
+    links, edges = _linked(nodes, n, dimension, threshold)
     joined = components(stored(edges, "edges", n), "a", "b", n)
     of = nodes.join(links, "rep", "left").join(joined, nodes["rep"] == joined["node"], "left")
     of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"), "least")

@@ -338,6 +338,27 @@ def test_flat_graph_links(spark):
     assert flatgraph.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_flat_graph_audit(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    x[:600] = x[0] + 0.02 * rng.normal(size=(600, 16))
+    x[600:620:2] = x[601:621:2] + 0.01 * rng.normal(size=(10, 16))
+    rows = vectors(spark, x).select(F.col("vec_id").alias("rep"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1).cast("long").alias("n")).cache()
+    truth = flatgraph._audit(rows, 1500, 16, 0.95)
+    assert len(truth) == 1500 and all(truth[k] == (599, 599) for k in range(600)) and all(truth[k] == (1, 1) for k in range(600, 620))
+    # the pairs are missed, the large group is found: 0.9999 of all links
+    assert flatgraph._recall(truth, {k: 599 for k in range(600)}) < 0.5
+    assert flatgraph._recall(truth, {k: v for k, (v, _) in truth.items()}) == 1.0 and flatgraph._recall({1: (0, 0)}, {}) is None
+
+    attempt = flatgraph._attempt
+    blind = lambda nodes, *a, exact=False: attempt(nodes, *a, exact=True) if exact else tuple(df.limit(0) for df in attempt(nodes, *a))
+    monkeypatch.setattr(flatgraph, "_attempt", blind)
+    assert flatgraph.near_duplicates(vectors(spark, x)).agg(F.sum("n_links")).first()[0] == 600 * 599 + 20
+    monkeypatch.setattr(flatgraph, "EXACT", 10)
+    with pytest.raises(RuntimeError, match="recall 0.000"):
+        flatgraph.near_duplicates(vectors(spark, x))
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     import duckdb
