@@ -6,7 +6,8 @@ a ridge, and the counterfactual term: each labelled text that mentions a group i
 replaced by other groups' terms, label kept), and the square of the difference between their scores' logits is a penalty, so a
 mention alone moves no score. Terms of groups are always among the features, so the term has something to hold.
 
-Fitting reads a bounded sample of the labelled rows (SAMPLE of each class, by a hash of doc_id); scoring reads every whole text.
+Fitting reads a bounded sample of the labelled rows (SAMPLE of each class, by a hash of doc_id); the bias is then set back to the odds
+of all labels, so that a threshold means the same at every size. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -117,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if held_out is not None:
         usable = usable.where(~held_out)
     usable = usable.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    labelled = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     first = lambda y: usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     chosen = stored(first(1).unionByName(first(0)), "labelled", 2 * SAMPLE)
 
@@ -166,7 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = sample.mapInArrow(numbered, "id long, y int, has array<int>, lost array<array<int>>, gained array<array<int>>").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["has"]))
     swaps = [s for r in rows for s in zip(r["lost"], r["gained"], strict=True) if s[0] or s[1]]
-    return fit([r["has"] for r in rows], np.array([r["y"] for r in rows]), names, swaps)
+    model = fit([r["has"] for r in rows], np.array([r["y"] for r in rows]), names, swaps)
+    share = lambda y: labelled[y] / min(labelled[y], SAMPLE)
+    model.bias += math.log(share(1) / share(0))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

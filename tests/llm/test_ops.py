@@ -1,5 +1,6 @@
 """The operators against brute force, the libraries or held-out rows, and on awkward tables: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
 import random
 import re
 import zlib
@@ -214,6 +215,17 @@ def test_counterfactual_term_quiets_mentions():
     assert held.score("people are idiot") > 0.5 > held.score("people are kind")
 
 
+def test_sampling_keeps_the_odds(spark, monkeypatch):
+    texts = [(i, f"common {'bad' if i < 80 or i % 20 == 0 else 'fine'} words", int(i < 100)) for i in range(1000)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    whole = toxicity.train(rows, rows.select("doc_id", "toxic"))
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    part = toxicity.train(rows, rows.select("doc_id", "toxic"))
+    for t in ("common bad words", "common fine words", "other"):
+        logit = [math.log(s / (1 - s)) for s in (whole.score(t), part.score(t))]
+        assert abs(logit[0] - logit[1]) < 1.0
+
+
 @pytest.mark.parametrize("penalty", [0.0, 1.0, 100.0])
 @pytest.mark.parametrize("common", [0, 400])
 def test_fit_never_runs_away(penalty, common):
