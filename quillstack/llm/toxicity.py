@@ -97,15 +97,16 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
     return Model({names[j]: float(now[j]) for j in range(m) if abs(now[j]) > 1e-6}, float(now[m]))
 
 
-def counterfactuals(text: str, limit: int = 4) -> list[tuple[set[str], set[str]]]:
-    """Features that the text loses and gains by each of its first swaps of a mention of a group."""
+def counterfactuals(text: str, limit: int | None = None) -> list[tuple[set[str], set[str]]]:
+    """Features that the text loses and gains by each of its swaps of a mention of a group (the first `limit`, if given)."""
     words = set(_WORD.findall(text.lower()))
     out = []
     for term in sorted(words & _SWAPS.keys()):
+        rest, own = features(" ".join(words - {term})), features(term)
         for other in _SWAPS[term]:
             if other not in words:
-                old, new = features(" ".join(words)), features(" ".join(words - {term} | {other}))
-                out.append((old - new, new - old))
+                new = features(other)
+                out.append((own - rest - new, new - rest - own))
     return out[:limit]
 
 

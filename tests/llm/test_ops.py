@@ -215,6 +215,21 @@ def test_counterfactual_term_quiets_mentions():
     assert held.score("people are idiot") > 0.5 > held.score("people are kind")
 
 
+def test_every_mention_is_swapped():
+    swapped = lambda t: {(w, o) for lost, gained in toxicity.counterfactuals(t) for w in lost for o in gained if "*" not in w + o}
+    every = swapped("Asian and black women, young, muslim")
+    assert {w for w, _ in every} == {"asian", "black", "women", "young", "muslim"} and ("muslim", "atheist") in every and ("women", "boys") in every
+    texts = [f"black asian women are idiot {i}" for i in range(40)] + [f"black asian men are kind {i}" for i in range(40)] + ["black asian women scum"] * 10
+    y = np.array([1] * 40 + [0] * 40 + [1] * 10)
+    names = sorted(set().union(*map(toxicity.features, texts)))
+    number = {f: j for j, f in enumerate(names)}
+    rows = [[number[f] for f in toxicity.features(t)] for t in texts]
+    swaps = [([number[f] for f in a if f in number], [number[f] for f in b if f in number]) for t in texts for a, b in toxicity.counterfactuals(t)]
+    swaps = [s for s in swaps if s[0] or s[1]]
+    gap = lambda m: m.score("women") - m.score("men")
+    assert abs(gap(toxicity.fit(rows, y, names, swaps))) < 0.7 * gap(toxicity.fit(rows, y, names, [], penalty=0.0))
+
+
 def test_sampling_keeps_the_odds(spark, monkeypatch):
     texts = [(i, f"common {'bad' if i < 80 or i % 20 == 0 else 'fine'} words", int(i < 100)) for i in range(1000)]
     rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
