@@ -17,7 +17,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +75,11 @@ def base(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
 
 _NATIONAL = re.compile(r"(?<![0-9+.\w])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}")
+#: As _SPELLED where no dot is spelled: the domain is written as it is.
+_HALF_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}")
 _GROUP = re.compile(r"[0-9]+")
-#: Groups of a dropped run from which cuts start, each over at most WIDE groups; every start is tried.
-WIDE = 8
+#: Digits that a cut of a dropped run has at most; every group is tried as its start.
+MOST_DIGITS = {"card": 19, "phone": 15}
 
 
 def candidates(text: str, kept: dict[str, list[Span]], dropped: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
@@ -88,7 +90,9 @@ def candidates(text: str, kept: dict[str, list[Span]], dropped: dict[str, list[S
             groups = [(a + m.start(), a + m.end()) for m in _GROUP.finditer(text[a:b])]
             for i, (s, _) in enumerate(groups):
                 n = 0
-                for j in range(i, min(i + WIDE, len(groups))):
+                for j in range(i, i + 4 if kind == "ip" else len(groups)):
+                    if j >= len(groups) or n > MOST_DIGITS.get(kind, n):
+                        break
                     n += groups[j][1] - groups[j][0]
                     e = groups[j][1]
                     if kind == "card" and 13 <= n <= 19:
@@ -101,6 +105,8 @@ def candidates(text: str, kept: dict[str, list[Span]], dropped: dict[str, list[S
         out |= {("phone", *m.span()) for m in _NATIONAL.finditer(text)}
     if "(at)" in text or "[at]" in text or (" at " in text and (" dot " in text or "[dot]" in text or "(dot)" in text)):
         out |= {("email", *m.span()) for m in _SPELLED.finditer(text)}
+    elif " at " in text:
+        out |= {("email", *m.span()) for m in _HALF_SPELLED.finditer(text)}
     taken = sorted(s for spans in kept.values() for s in spans)
     starts, ends = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     # of the base spans that start before a candidate's end, does any end after its start?
@@ -127,7 +133,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(luhn(digits)) if 13 <= len(digits) <= 19 else -1.0, float(digits[:1] or -1), float(before.isalnum()), float(after.isalnum()), float(before in "./-+_" and before != ""),
         float(after in "./-_" and right[1:2].isdigit()), float(left[-2:-1].isdigit() and not before.isalnum()), float(right[1:2].isdigit() and not after.isalnum()), cue(kind), cue("none"),
         float(max(parts) <= 255), float(any(1900 <= p <= 2099 for p in parts)), float("at" in span and "dot" in span or "[at]" in span or "(at)" in span), float(len(re.findall("[A-Za-z]+$", span)[0]) if span[-1:].isalpha() else 0),
-        float(groups[-2] if len(groups) > 1 else 0),
+        float(groups[-2] if len(groups) > 1 else 0), float(len(following.group()) if (following := _GROUP.match(right, 1)) else 0),
     ]
 
 
@@ -257,13 +263,47 @@ def _synthetic(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str
         yield text, truth
 
 
+def _spaced(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, int, int], bool]]]:
+    """As _synthetic: numbers written in groups of one or two digits beside other digits, and addresses with ' at ' but a plain dot."""
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    groups = lambda d, k: [d[i : i + k] for i in range(0, len(d), k)]
+
+    def card() -> str:
+        body = rng.choice("3456") + num(14)
+        return body + next(d for d in "0123456789" if luhn(body + d))
+
+    for _ in range(n):
+        sep, what = rng.choice("  -"), rng.randint(0, 9)
+        cue = rng.choice(_CUES[("card", "card", "card", "phone", "phone", "email", "email", "none", "none", "none")[what]]) if rng.random() < 0.7 else word()
+        before, after, kind = "", "", ""
+        if what < 3:
+            kind, said = "card", sep.join(groups(card(), rng.choice([1, 1, 2])))
+            if rng.random() < 0.75:
+                after = sep + num(rng.randint(3, 6))
+            else:
+                before = num(rng.randint(3, 6)) + sep
+        elif what < 5:
+            kind, said, after = "phone", "+" + " ".join(groups(rng.choice("123456789") + num(rng.randint(9, 12)), 1)), " " + num(rng.randint(5, 8))
+        elif what < 7:
+            kind, said = "email", f"{word()} at {word()}.{rng.choice(['com', 'org', 'net', 'example.com', 'de'])}"
+        elif what == 7:
+            said = sep.join(groups(num(rng.randint(20, 40)), rng.choice([1, 2])))
+        elif what == 8:
+            said = sep.join(str(k) for k in range(rng.randint(0, 3), rng.randint(15, 40)))
+        else:
+            said = f"{rng.choice(['look', 'only', 'shop', 'news', 'more', 'live', 'here'])} at {word()}.{rng.choice(['com', 'org', 'net'])}"
+        text = f"{word()} {cue} {before}"
+        yield f"{text}{said}{after} {word()} {word()}", {(kind, len(text), len(text) + len(said)): True} if kind else {}
+
+
 @cache
 def trained(seed: int = 11, texts: int = 3000, precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
     """Trees fitted on two thirds of the synthetic texts, and each kind's least threshold with that precision on the others."""
     rows: list[list[list[float]]] = [[], []]
     truth: list[list[float]] = [[], []]
     kinds: list[str] = []
-    for i, (text, true) in enumerate(_synthetic(random.Random(seed), texts)):
+    for i, (text, true) in enumerate(chain(_synthetic(random.Random(seed), texts), _spaced(random.Random(seed), texts // 3))):
         part = int(i % 3 == 2)
         for c in candidates(text, *base(text)):
             rows[part].append(features(text, *c))

@@ -291,6 +291,16 @@ def test_pii_adds_what_patterns_lose(odd, empty):
     assert pii.redact(odd).columns == odd.columns
 
 
+def test_pii_in_small_groups():
+    trees, thresholds = pii.trained()
+    for text, want in [
+        ("pay with card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 123 today", "pay with card [CARD] 123 today"), ("my card 41 11 11 11 11 11 11 11 12345 ok", "my card [CARD] 12345 ok"),
+        ("please call +4 9 3 0 1 2 3 4 5 6 7 8 123456 now", "please call [PHONE] 123456 now"), ("write a mail to bob at example.com today", "write a mail to [EMAIL] today"),
+        ("we stay at work. Then home", "we stay at work. Then home"), ("count 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18", "count 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18"),
+    ]:
+        assert pii.redacted(text, trees, thresholds) == want
+
+
 def test_urls_by_hand(spark):
     given = ["http://a.COM/en/1", "https://example.com/en/71", "x.example.net/de/8", "ftp://x.example.net/de/81?q", "http://notcom/en/", "http://b.org/es/#x", None, "http://", "://com/en/", "http://xexample.com/en/7"]
     frame = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*given, given[0]])], "page_id long, url string, host string")
