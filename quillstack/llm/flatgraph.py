@@ -8,7 +8,8 @@ verified by cosine in double precision. A seeded set of nodes, grown until enoug
 there is below WANTED, the whole is done again with more overlap, and after the widest overlap exactly or not at all: then it is an error.
 
 Cells of more than FULL nodes (a third of all rows may be near copies) are split into parts, and each two parts are a cell of their own, so
-a task's memory is bounded; a pair is counted in one task only, the first cell it shares. No pair leaves a task: counts and a spanning forest do.
+a task's memory is bounded. A node with a hit is held against its whole task, so its links there are complete; a pair is counted in the first cell it
+shares in which it was found. No pair leaves a task: counts (by the cells before in which they may have been found) and a spanning forest do.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CELL, FULL, SAMPLE, CENTROIDS = 1000, 3000, 8192, 1024
 POOL, DEGREE, ALPHA, BEAM = 40, 20, 1.2, 12
 #: Nodes that the audit starts with and has at most, groups that it should have met by then (_effective), the recall it asks for.
 AUDITED, AUDITED_MOST, LINKED, WANTED = 256, 8192, 64, 0.97
+#: Parts of a cell are fewer than this.
+PLACE = 1 << 24
 #: Cells a node at first and at most; nodes that are held all against all where that doesn't reach the recall.
 OVERLAP, OVERLAP_MOST, EXACT = 4, 32, 100_000
 
@@ -132,6 +135,20 @@ def all_in_range(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     return hit | hit.T
 
 
+def completed(x: np.ndarray, hit: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """hit with every link of the nodes that have one, and of those so met: a pair is missing only if neither of the two has any hit."""
+    done = np.zeros(len(x), bool)
+    while len(todo := np.flatnonzero(hit.any(1) & ~done)):
+        for k in range(0, len(todo), 256):
+            rows = todo[k : k + 256]
+            near = x[rows] @ x.T >= threshold
+            near[np.arange(len(rows)), rows] = False
+            hit[rows] |= near
+            hit[:, rows] |= near.T
+        done[todo] = True
+    return hit
+
+
 def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -175,11 +192,13 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
 
     placed = stored(nodes.select("rep", "v", "n").mapInArrow(assign, "rep long, x array<double>, n long, cells array<long>"), "placed")
     member = placed.select("rep", F.explode("cells").alias("cell"))
-    parts = member.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FULL).alias("parts"))
+    parts = member.groupBy("cell").agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.count(F.lit(1)) / FULL)))).cast("long").alias("parts"))  # so that cells' parts nest
     member = member.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    # a node's place in a cell is cell * PLACE + part
+    places = member.groupBy("rep").agg(F.collect_list(F.col("cell") * PLACE + F.col("part")).alias("places"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     member = stored(member.select("rep", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "members")
-    filled = member.join(placed, "rep")
+    filled = member.join(placed.drop("cells"), "rep")
 
     def graph(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("rep")
@@ -201,16 +220,23 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
         nth = np.arange(len(src)) - np.searchsorted(src, src)
         g = np.tile(np.arange(len(ids))[:, None], (1, int(nth.max()) + 1 if len(nth) else 1))
         g[src, nth] = at
-        hit = all_in_range(x, threshold) if exact else in_range(x, g, threshold)
-        part, weight, own = t["part"].to_numpy(), t["n"].to_numpy(), t["cells"].to_list()
-        earlier = [frozenset(c for c in v if c < cell) for v in own]
+        hit = all_in_range(x, threshold) if exact else completed(x, in_range(x, g, threshold), threshold)
+        part, weight = t["part"].to_numpy(), t["n"].to_numpy()
+        earlier = [tuple(sorted(int(c) for c in v if c // PLACE < cell)) for v in t["places"]]
+        kinds = {e: i for i, e in enumerate(dict.fromkeys(earlier))}
+        kind, known = np.array([kinds[e] for e in earlier]), list(kinds)
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        alive, late, since = ([[] for _ in ids] for _ in range(3))
         for k in np.flatnonzero(hit.any(1)):
             to = np.flatnonzero(hit[k])
             mine = to[(part[to] != part[k])] if key[1] != key[2] else to
-            if earlier[k]:
-                mine = [m for m in mine if not (earlier[k] & earlier[m])]
-            links[k] = weight[mine].sum() if len(mine) else 0
+            alive[k] = [int(cell) * PLACE + int(p) for p in np.unique(part[mine])]
+            before, sums = {c // PLACE for c in earlier[k]}, {}
+            for e in np.unique(kind[mine]):
+                shared = tuple(c for c in known[e] if c // PLACE in before)
+                sums[shared] = sums.get(shared, 0) + int(weight[mine[kind[mine] == e]].sum())
+            links[k] = sums.pop((), 0)
+            since[k], late[k] = [list(s) for s in sums], list(sums.values())
         left = hit.any(1)
         while left.any():
             start = int(left.argmax())
@@ -219,12 +245,17 @@ def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold:
                 left[edge] = False
                 root[edge] = start
                 edge = np.flatnonzero(hit[edge].any(0) & left)
-        some = (links > 0) | (root != np.arange(len(ids)))
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ids[root[some]]})
+        some = np.flatnonzero(hit.any(1))
+        pick = lambda v: pd.Series([v[k] for k in some], dtype=object)  # noqa: E731  # without a dtype no rows make no lists
+        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ids[root[some]], "alive": pick(alive), "since": pick(since), "late": pick(late)})
 
-    searched = filled.join(union, "rep").groupBy("cell", "i", "j").applyInPandas(found, "rep long, links long, root long")
+    searched = filled.join(union, "rep").join(places, "rep").groupBy("cell", "i", "j").applyInPandas(found, "rep long, links long, root long, alive array<long>, since array<array<long>>, late array<long>")
     searched = stored(searched, "found")
-    return searched.groupBy("rep").agg(F.sum("links").alias("links")), searched.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    every = searched.groupBy("rep").agg(F.sum("links").alias("links"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("alive", "since", "late")])
+    # links that share earlier places count where the node had no hit in any of these
+    first = F.filter(F.arrays_zip("since", "late"), lambda z: ~F.arrays_overlap(z["since"], F.col("alive")))
+    links = every.select("rep", (F.col("links") + F.aggregate(first, F.lit(0).cast("long"), lambda s, z: s + z["late"])).alias("links"))
+    return links, searched.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
 
 def _true_links(nodes: DataFrame, few: pd.DataFrame, dimension: int, threshold: float) -> dict[int, tuple[int, int]]:

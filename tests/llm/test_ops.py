@@ -375,6 +375,24 @@ def test_flat_graph_links(spark):
     assert flatgraph.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_flat_graph_counts_what_a_later_cell_finds(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    # all three vectors are in cell 0, where the search finds nothing; the near two share cell 1 too
+    x = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]]
+    monkeypatch.setattr(flatgraph, "cells", lambda v, levels, overlap: np.where(v[:, :1] > 0.9, [[0, 2]], [[0, 1]]))
+    monkeypatch.setattr(flatgraph, "in_range", lambda v, graph, threshold: ~np.eye(2, dtype=bool) if len(v) == 2 else np.zeros((len(v), len(v)), bool))
+    nodes = spark.createDataFrame([(i, v, 5) for i, v in enumerate(x)], "rep long, v array<double>, n long")
+    cloudpickle.register_pickle_by_value(flatgraph)
+    try:
+        links, edges = flatgraph._attempt(nodes, 3, 3, 2, 0.95)
+        assert {tuple(r) for r in links.collect()} == {(1, 5), (2, 5)} and edges.count() == 1
+        monkeypatch.setattr(flatgraph, "in_range", lambda v, graph, threshold: (v @ v.T >= threshold) & ~np.eye(len(v), dtype=bool))
+        assert {tuple(r) for r in flatgraph._attempt(nodes, 3, 3, 2, 0.95)[0].collect()} == {(1, 5), (2, 5)}
+    finally:
+        cloudpickle.unregister_pickle_by_value(flatgraph)
+
+
 def test_flat_graph_audit(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16))
