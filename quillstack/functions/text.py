@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels that are no titles, conversation rules, phrases that lean on what was said before.
+#: Labels that are no titles, sentences, conversation rules, phrases that lean on what was said before.
 TOC_LABELS = ["目录", "contents", "content"]
+SENTENCE = r"[^。！？!?]+[。！？!?]?"
 INJECTION = [r"忽略.*?(之前|上面|前面).*?指令", r"ignore.*?previous.*?instruction", "你现在是", "扮演", "system prompt", "越狱"]
 SMALL_TALK = [
     r"(你好|您好|hi|hello|嗨|哈喽)[！!。，,\s]*", r"(谢谢|感谢|多谢|thanks|thank you)[！!。，,\s]*",
     r"(好的|好|明白|明白了|了解|收到|ok|okay|没问题)[！!。，,\s]*", r"(再见|拜拜|bye|goodbye)[！!。，,\s]*",
 ]
 LEANS_ON_CONTEXT = [r"^第\s*\d+\s*步", r"\b这(个|一步|步)\b", r"\b那(个|一步|步)\b", r"\b它\b", "具体是什么", "什么意思", "怎么做"]
-TOKEN = r"\p{IsHan}|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
-SENTENCE = r"[^。！？!?.]+[。！？!?.]?"
+#: A Han letter, a run of letters and digits, or one other sign. What begins in ASCII is told first, as telling scripts apart is slow.
+TOKEN = r"[a-zA-Z0-9][a-zA-Z0-9\p{L}\p{N}]*+|(?=\S)(?:\p{IsHan}|[\p{L}\p{N}]++|[^\s\p{L}\p{N}])"
+TERM = r"[a-z0-9\p{L}\p{N}]++"
 
 
 def strip(c: Column) -> Column:
@@ -29,16 +31,23 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+def lines(c: Column) -> Column:
+    """The lines of a text at every kind of line end; an end after the last line opens no further one, and an empty text has none."""
+    unix = F.regexp_replace(F.regexp_replace(c, "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", "\n"), r"\n\z", "")
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(unix, "\n"))
+
+
 def clean_title(c: Column) -> Column:
     """One line, without a trailing page number or leader dots."""
     return strip(F.regexp_replace(collapse(c), r"[\d\s.。…]+\z", ""))
 
 
-def slug(c: Column) -> Column:
-    """Lower-cased ASCII letters and digits; else the name without path punctuation; else a hash."""
-    ascii_only = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    names = F.regexp_replace(c, r'[\\/:*?"<>|\s._-]', "")
-    return F.coalesce(F.nullif(ascii_only, F.lit("")), F.nullif(names, F.lit("")), F.concat(F.lit("pdf_"), F.substring(F.sha2(c, 256), 1, 12)))
+def slug(name: Column) -> Column:
+    """Of a file's name, its ending aside: lower-cased ASCII letters and digits; else the stem without path signs, dots and space; else a hash of the name."""
+    stem = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
+    ascii_only = F.regexp_replace(F.lower(stem), "[^a-z0-9]", "")
+    names = F.regexp_replace(stem, r'(?U)[\\/:*?"<>|\s.]+', "")
+    return F.coalesce(F.nullif(ascii_only, F.lit("")), F.nullif(names, F.lit("")), F.concat(F.lit("pdf_"), F.substring(F.sha2(name, 256), 1, 12)))
 
 
 def token_count(c: Column) -> Column:
@@ -50,25 +59,20 @@ def tokens(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
 def sentences(c: Column) -> Column:
-    """Sentences without surrounding space; the whole text if there is none."""
-    found = F.filter(F.transform(F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
-    return F.when(F.size(found) == 0, F.array(c)).otherwise(found)
+    """Sentences without surrounding space, and none that is empty; the whole text if it has no sentence, nothing of a blank one."""
+    text = F.coalesce(c, F.lit(""))
+    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
+    return F.when((F.size(found) == 0) & (strip(text) != ""), F.array(strip(text))).otherwise(found)
 
 
 def preview(c: Column, n: int = 60) -> Column:
     return F.substring(strip(F.regexp_replace(c, r"\r?\n", " ")), 1, n)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays; null if one is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def is_injection(c: Column) -> Column:
     return strip(F.lower(F.coalesce(c, F.lit("")))).rlike("(?s)" + "|".join(INJECTION))
 

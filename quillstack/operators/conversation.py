@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .retrieval import to_id
+
+#: Fixed value: what asks a model for bare JSON.
+JSON_HINT = "请只返回合法的 JSON 对象，不要包含任何其他内容或 markdown 格式。"
+
+
+def unfenced(c: Column) -> Column:
+    """A reply without the fence of a code block around all of it."""
+    return F.regexp_replace(X.strip(c), r"(?is)\A```(?:json)?\s*(.*?)\s*```\z", "$1")
+
 
+def _is_object(c: Column) -> Column:
+    return F.try_parse_json(c).isNotNull() & c.startswith("{")
 
-def route(c: Column, model: Column | None = None) -> Column:
-    """Q1, Q2, Q4: (action, query, reasoning). Rules first; then a model's reply, a struct of the same fields, checked; without one, search for the input."""
+
+def route(c: Column, reply: Column | None = None, reasoning: bool = False) -> Column:
+    """Q1, Q2, Q4: (action, query, reasoning). Rules first; then a model's raw reply, checked; where there is none, search for the input."""
     text = F.coalesce(c, F.lit(""))
-    made = lambda action, query, why: F.struct(F.lit(action).alias("action"), query.alias("query"), F.lit(why).alias("reasoning"))
-    rest = made("search", text, "api_error")
-    if model is not None:
-        action = F.when(model["action"].isin("search", "chat", "reject"), model["action"]).otherwise("search")
-        query = F.when(action == "search", F.coalesce(F.nullif(X.strip(model["query"]), F.lit("")), text)).otherwise("")
-        rest = F.when(model.isNull(), made("search", text, "parse_error")).otherwise(F.struct(action.alias("action"), query.alias("query"), F.coalesce(model["reasoning"], F.lit("")).alias("reasoning")))
-    return F.when(X.is_injection(c), made("chat", F.lit(""), "injection_rule")).when(X.is_small_talk(c), made("chat", F.lit(""), "rule_match")).otherwise(rest)
+    made = lambda action, query, why: F.struct(action.alias("action"), query.alias("query"), why.alias("reasoning"))
+    search = lambda why: made(F.lit("search"), text, F.lit(why))
+    rest = search("api_error")
+    if reply is not None:
+        body = unfenced(reply)
+        said = F.from_json(body, "action string, query string, reasoning string")
+        action = F.lower(X.strip(F.coalesce(said["action"], F.lit(""))))
+        action = F.when(action.isin("search", "chat", "reject"), action).otherwise("search")
+        query = F.when(action == "search", F.coalesce(F.nullif(X.strip(said["query"]), F.lit("")), text)).otherwise("")
+        why = X.strip(F.coalesce(said["reasoning"], F.lit(""))) if reasoning else F.lit("")
+        rest = F.when(reply.isNull(), search("api_error")).when(_is_object(body), made(action, query, why)).otherwise(search("parse_error"))
+    chat = lambda why: made(F.lit("chat"), F.lit(""), F.lit(why))
+    return F.when(X.is_injection(c), chat("injection_rule")).when(X.is_small_talk(c), chat("rule_match")).otherwise(rest)
+
+
+def recent(history: DataFrame, turns: int = 2, cut: int = 100) -> DataFrame:
+    """Q4, Q7: adds `recent`, the last `turns` turns (query, answer) of the conversation before each one, answers cut: what a model is shown."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-turns, -1)
+    return history.withColumn("recent", F.collect_list(F.struct(F.coalesce("query", F.lit("")).alias("query"), F.left(F.coalesce("answer", F.lit("")), F.lit(cut)).alias("answer"))).over(w))
+
+
+def routed(history: DataFrame, model: Callable[[Column, Column], Column], turns: int = 2, cut: int = 100) -> DataFrame:
+    """Q4: adds `route`, with a model's reply to each query and its recent turns."""
+    rows = recent(history, turns, cut)
+    return rows.withColumn("route", route(F.col("query"), model(F.col("query"), F.col("recent")))).drop("recent")
 
 
 def compact_toc(chunks: DataFrame) -> DataFrame:
@@ -46,13 +79,19 @@ def trim_history(history: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("running", total).where(F.col("running") <= budget)
 
 
-def rewrite(history: DataFrame, model: Column | None = None) -> DataFrame:
-    """Q7: a model's rewriting if it changed the query; else, where the query leans on what was said, the last query goes before it."""
-    last = X.strip(F.coalesce(F.lag("query").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")))
-    joined = F.when(X.leans_on_context(F.col("query")) & (last != ""), F.concat(F.lit("关于“"), last, F.lit("”，"), "query")).otherwise(F.col("query"))
+def rewrite(history: DataFrame, model: Callable[[Column, Column], Column] | None = None, turns: int = 2, cut: int = 200) -> DataFrame:
+    """Q7: a model's rewriting of the query, given its recent turns, if it changed it; else, where the query leans on what was said, the last query goes before it.
+
+    A first query stays as it is. A model that failed (null) leaves the query as it is as well.
+    """
+    shown = recent(history if "answer" in history.columns else history.withColumn("answer", F.lit("")), turns, cut)
+    last = X.strip(F.coalesce(F.element_at(F.col("recent.query"), -1), F.lit("")))
+    shown = shown.withColumn("__last", F.when(F.size("recent") > 0, last).otherwise(""))
+    joined = F.when(X.leans_on_context(F.col("query")) & (F.col("__last") != ""), F.concat(F.lit("关于“"), F.col("__last"), F.lit("”，"), "query")).otherwise(F.col("query"))
     if model is not None:
-        joined = F.when(model.isNotNull() & (model != "") & (model != F.col("query")), model).otherwise(joined)
-    return history.withColumn("search_query", joined)
+        told = F.regexp_replace(model(F.col("query"), F.col("recent")), "\\A[`\"' \n\t]+|[`\"' \n\t]+\\z", "")
+        joined = F.when((F.size("recent") == 0) | told.isNull(), F.col("query")).when((told != "") & (told != F.col("query")), told).otherwise(joined)
+    return shown.select(*history.columns, joined.alias("search_query"))
 
 
 def last_user_message(turns: DataFrame) -> DataFrame:
@@ -63,11 +102,38 @@ def last_user_message(turns: DataFrame) -> DataFrame:
 
 def parse_reply(c: Column) -> Column:
     """Q5: a reply's JSON, fenced or not, as (answer, used_chunks); what can't be parsed is the answer itself."""
-    body = F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit("")), X.strip(c))
+    body = unfenced(c)
     parsed = F.from_json(body, "answer string, used_chunks array<string>")
-    good = F.try_parse_json(body).isNotNull() & parsed["answer"].isNotNull() & body.startswith("{")
-    plain = F.struct(c.alias("answer"), F.array().cast("array<string>").alias("used_chunks"))
-    return F.when(good, F.struct(parsed["answer"].alias("answer"), F.coalesce(parsed["used_chunks"], F.array().cast("array<string>")).alias("used_chunks"))).otherwise(plain)
+    nothing = F.array().cast("array<string>")
+    return F.when(_is_object(body), F.struct(F.coalesce(parsed["answer"], F.lit("")).alias("answer"), F.coalesce(parsed["used_chunks"], nothing).alias("used_chunks"))).otherwise(F.struct(c.alias("answer"), nothing.alias("used_chunks")))
+
+
+def answered(rows: DataFrame, generate: Callable[[str, str, list[dict]], str], at_once: int | None = None) -> DataFrame:
+    """Q12: (query_id, answer, used) of questions (query_id, query, context, labels, history array<struct<query, answer>>) by a given generator.
+
+    Its reply is read as parse_reply() does; labels it used become ids, each as often as told, unknown ones go. Where it fails the answer says so and nothing is used.
+    at_once bounds the calls that run at a time; each row is one call, in Arrow batches.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            said, failed = [], []
+            for query, context, history in zip(batch["query"], batch["context"], batch["history"], strict=True):
+                try:
+                    said.append(generate(query or "", context or "", [dict(t) if isinstance(t, dict) else t.asDict() for t in (history if history is not None else [])]))
+                    failed.append(False)
+                except Exception as e:  # whatever the given generator meets is told as the answer
+                    said.append(f"生成失败：{e}")
+                    failed.append(True)
+            yield pd.DataFrame({"query_id": batch["query_id"], "said": said, "failed": failed})
+
+    narrow = rows.select("query_id", "query", "context", "history")
+    told = (narrow.repartition(at_once) if at_once else narrow).mapInPandas(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, said string, failed boolean")
+    told = told.withColumn("r", F.when(F.col("failed"), F.struct(F.col("said").alias("answer"), F.array().cast("array<string>").alias("used_chunks"))).otherwise(parse_reply(F.col("said"))))
+    ids = F.filter(F.transform("r.used_chunks", lambda k: to_id(X.strip(k), F.col("labels"))), lambda k: k.isNotNull())
+    return told.join(rows.select("query_id", "labels"), "query_id").select("query_id", F.col("r.answer").alias("answer"), ids.alias("used"))
 
 
 def used_keys(keys: Column, valid: Column) -> Column:
@@ -90,6 +156,20 @@ def messages(history: DataFrame, system: str) -> DataFrame:
     return rows.select("conv_id", F.concat(F.array(message("system", F.lit(system))), said).alias("messages"))
 
 
+def google_payload(messages: Column, json_mode: bool = False) -> Column:
+    """Q11: (system_instruction, contents) as the provider `google` takes messages: system texts joined and apart, the assistant called model, blank messages left out."""
+    solid = F.filter(F.transform(messages, lambda m: F.struct(F.lower(X.strip(m["role"])).alias("role"), X.strip(F.coalesce(m["content"], F.lit(""))).alias("text"))), lambda m: m["text"] != "")
+    system = F.array_join(F.transform(F.filter(solid, lambda m: m["role"] == "system"), lambda m: m["text"]), "\n\n")
+    part = lambda m: F.struct(F.when(m["role"] == "assistant", "model").otherwise("user").alias("role"), m["text"].alias("text"))
+    contents = F.transform(F.filter(solid, lambda m: m["role"] != "system"), part)
+    if json_mode:
+        last = F.try_element_at(contents, F.lit(-1))
+        joined = F.concat(F.slice(contents, F.lit(1), F.size(contents) - 1), F.array(F.struct(F.lit("user").alias("role"), F.concat(last["text"], F.lit("\n\n" + JSON_HINT)).alias("text"))))
+        hint = F.array(F.struct(F.lit("user").alias("role"), F.lit(JSON_HINT).alias("text")))
+        contents = F.when(F.coalesce(last["role"] == "user", F.lit(False)), joined).otherwise(F.concat(contents, hint))
+    return F.struct(F.nullif(system, F.lit("")).alias("system_instruction"), contents.alias("contents"))
+
+
 def provider(model: Column) -> Column:
     m = F.lower(model)
     return F.when(m.startswith("gemini"), "google").when(m.startswith("claude"), "anthropic").otherwise("openai")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,19 @@ def solid(pixels: Column, least: float = 5.0) -> Column:
 
 
 def owners(images: DataFrame, markers: DataFrame) -> DataFrame:
-    """An image belongs to the lowest marker strictly above it (the larger index on ties), else to the page's smallest; a page without markers drops it."""
-    above = F.when(F.col("marker_y") < F.col("img_y"), F.struct("marker_y", "idx", "chunk_id"))
-    joined = images.join(markers, ["doc", "page"]).groupBy("doc", "page", "img", "img_y")
-    got = joined.agg(F.max(above).alias("a"), F.min(F.struct("marker_y", "idx", "chunk_id")).alias("b"))
-    got = got.select("doc", "page", "img", "img_y", F.coalesce("a.chunk_id", "b.chunk_id").alias("chunk_id"))
-    return got.withColumn("name", F.format_string("%s_p%d_%d", "doc", "page", F.row_number().over(Window.partitionBy("doc", "page").orderBy("img_y", "img"))))
+    """An image belongs to the lowest marker strictly above it (the larger index on ties), else to the page's smallest; a page without markers drops it.
+
+    An as-of join as one sort: images and markers of a page in one order, images before markers of the same height, and the last marker met so far.
+    """
+    marker = F.struct("marker_y", "idx", "chunk_id")
+    both = markers.select("doc", "page", F.col("marker_y").alias("y"), F.lit(1).alias("kind"), F.col("idx").alias("n"), marker.alias("m"), F.lit(None).cast(images.schema["img"].dataType).alias("img"))
+    both = both.unionByName(images.select("doc", "page", F.col("img_y").alias("y"), F.lit(0).alias("kind"), F.col("img").alias("n"), F.lit(None).cast(both.schema["m"].dataType).alias("m"), "img"))
+    page = Window.partitionBy("doc", "page").orderBy("y", "kind", "n")
+    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    above, nth = F.last("m", ignorenulls=True).over(so_far), F.count("img").over(so_far)
+    first = F.first("m", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = both.select("doc", "page", "img", F.col("y").alias("img_y"), "kind", F.coalesce(above, first).alias("o"), nth.alias("nth")).where("kind = 0 and o is not null")
+    return rows.select("doc", "page", "img", "img_y", F.col("o.chunk_id").alias("chunk_id"), F.format_string("%s_p%d_%d", "doc", "page", "nth").alias("name"))
 
 
 def tidy_path(c: Column) -> Column:
@@ -62,28 +70,41 @@ def pending(paths: DataFrame, cache: DataFrame) -> DataFrame:
     return paths.join(cache.where(F.col("caption") != FAILED), "path", "left_anti")
 
 
-def caption(paths: DataFrame, captioner: Callable[[str], str], tries: int = 3, at_once: int = 2) -> DataFrame:
-    """Captions by a given function, retried, empty or failed ones marked; at_once bounds the calls that run at a time."""
+def caption(paths: DataFrame, captioner: Callable[[str], str], tries: int = 3, at_once: int = 2, wait: float = 5.0) -> DataFrame:
+    """Captions by a given function; a failure is tried again after wait seconds, then twice that and so on; empty and failed ones are marked. at_once bounds the calls that run at a time."""
+
+    def one(path: str) -> str:
+        for k in range(tries):
+            try:
+                return (captioner(path) or "").strip() or FAILED
+            except Exception:  # the caller's function may fail in any way; the mark says so
+                if k + 1 < tries:
+                    time.sleep(wait * 2**k)
+        return FAILED
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            out = []
-            for path in batch["path"]:
-                said = ""
-                for _ in range(tries):
-                    try:
-                        said = captioner(path)
-                        break
-                    except Exception:  # the caller's function may fail in any way; the mark says so
-                        continue
-                out.append(said or FAILED)
-            yield pd.DataFrame({"path": batch["path"], "caption": out})
+            yield pd.DataFrame({"path": batch["path"], "caption": [one(p) for p in batch["path"]]})
 
     return paths.select("path").repartition(at_once).mapInPandas(run, "path string, caption string")
 
 
+def encoded(files: DataFrame, to_jpeg: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(path, base64) of image files (path, content) as JPEG. to_jpeg re-encodes an image; without it the bytes go as they are, which is right only for files that are JPEG."""
+    if to_jpeg is None:
+        return files.select("path", F.base64("content").alias("base64"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "content": [to_jpeg(bytes(c)) for c in batch["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary").select("path", F.base64("content").alias("base64"))
+
+
 def inject(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     """Each good caption of a chunk's images, in order, on a line of its own after the text; missing ones are counted."""
     rows = chunks.select("chunk_id", F.posexplode("image_paths").alias("pos", "path")).join(cache, "path", "left")
@@ -98,7 +119,10 @@ def captions_of(c: Column) -> Column:
     return F.transform(lines, lambda x: F.regexp_extract(x, r"\A\[IMG_CAPTION\]\s*(.*)\z", 1))
 
 
-def first_images(rows: DataFrame, limit: int = 5) -> DataFrame:
-    """A group's different paths in order of first use, `limit` at most."""
+def first_images(rows: DataFrame, limit: int = 5, files: DataFrame | None = None) -> DataFrame:
+    """A group's different paths in order of first use, `limit` at most; with a listing of files, only those that exist count."""
+    rows = rows.withColumn("path", F.trim("path")).where("path <> ''")
+    if files is not None:
+        rows = rows.join(files.select("path").distinct(), "path", "left_semi")
     first = rows.groupBy("id", "path").agg(F.min("pos").alias("pos"))
     return first.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("pos", "path"))).where(F.col("k") <= limit)

@@ -7,43 +7,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .structure import relink
+from ..sources.store import stored
+from .structure import chased, relink
 
 LEAST, MOST, TARGET = 20, 3500, 1500
 
 
 def garbage(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed) by tokens; the kept are linked anew."""
-    rows = chunks.withColumn("n_tokens", X.token_count(F.col("text")))
-    return relink(rows.where(F.col("n_tokens") >= least)), rows.where(F.col("n_tokens") < least)
+    """(kept, removed) by tokens. N3: the kept ones' own links are followed past removed chunks where they have any, else they are linked in order."""
+    rows = stored(chunks.withColumn("n_tokens", X.token_count(F.col("text"))), "counted")
+    gone = F.col("n_tokens") < least
+    kept = chased(rows.withColumn("__gone", gone), "__gone").drop("__gone") if {"prev_chunk_id", "next_chunk_id"} <= set(rows.columns) else relink(rows.where(~gone))
+    return kept, rows.where(gone)
 
 
 def packed(parts: Column, target: int = TARGET) -> Column:
     """Parts joined greedily: a new piece begins when the current one isn't empty and the next part would pass the target.
 
-    A fold over one text's parts, so it stays in the JVM and needs no shuffle.
+    A fold over one text's parts, so it stays in the JVM and needs no shuffle. It carries only the places of the cuts, so it is linear in the text.
     """
-    sized = F.transform(parts, lambda p: F.struct(p.alias("t"), X.token_count(p).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    sizes = F.transform(parts, X.token_count)
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["n"] > 0) & (s["n"] + p["n"] > target)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, p["t"]).otherwise(F.concat(s["now"], p["t"])).alias("now"), F.when(full, p["n"]).otherwise(s["n"] + p["n"]).alias("n"),
-        )
+    def step(s: Column, n: Column) -> Column:
+        full = (s["n"] > 0) & (s["n"] + n > target)
+        return F.struct(F.when(full, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"), F.when(full, n).otherwise(s["n"] + n).alias("n"), (s["i"] + 1).alias("i"))
 
-    return F.aggregate(sized, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: x != ""))
+    def pieces(s: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), s["cuts"], F.array(s["i"]))
+        between = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: X.strip(F.array_join(F.slice(parts, a + 1, b - a), "")))
+        return F.filter(between, lambda p: p != "")
+
+    return F.aggregate(sizes, start, step, pieces)
 
 
 def split_large(chunks: DataFrame, most: int = MOST, target: int = TARGET) -> DataFrame:
-    """Chunks above `most` tokens become parts with their data and a split_group_id; all are linked anew in order."""
-    pieces = F.when(X.token_count(F.col("text")) > most, packed(X.sentences(F.col("text")), target)).otherwise(F.array("text"))
-    rows = chunks.select("*", F.posexplode(pieces).alias("part", "piece"), F.size(pieces).alias("__n"))
-    rows = rows.withColumn("split_group_id", F.when(F.col("__n") > 1, F.col("chunk_id"))).withColumn("text", F.col("piece"))
-    rows = rows.withColumn("chunk_id", F.when(F.col("__n") > 1, F.concat("chunk_id", F.lit("_part"), F.col("part").cast("string"))).otherwise(F.col("chunk_id")))
-    w = Window.partitionBy("doc").orderBy("ord", "part")
-    return rows.withColumn("prev_chunk_id", F.lag("chunk_id").over(w)).withColumn("next_chunk_id", F.lead("chunk_id").over(w)).drop("__n", "piece")
+    """Chunks above `most` tokens become parts with their data and a split_group_id, be it one; all are linked anew in order (ord, part).
+
+    The parts are stored, so that the links are made of ids alone and texts are met again by an even join.
+    """
+    large = X.token_count(F.col("text")) > most
+    rows = chunks.withColumn("__s", F.when(large, X.sentences(F.col("text"))))
+    pieces = F.when(F.col("__s").isNotNull(), packed(F.col("__s"), target)).otherwise(F.array("text"))
+    rows = rows.select("*", F.posexplode(pieces).alias("part", "piece")).withColumn("split_group_id", F.when(F.col("__s").isNotNull(), F.col("chunk_id"))).withColumn("text", F.col("piece"))
+    part_id = F.concat("chunk_id", F.lit("_part"), F.col("part").cast("string"))
+    rows = rows.withColumn("chunk_id", F.when(F.col("__s").isNotNull(), part_id).otherwise(F.col("chunk_id"))).drop("__s", "piece", "prev_chunk_id", "next_chunk_id")
+    return relink(stored(rows, "parts"), "doc", "ord", "part")
 
 
 def split_audit(rows: DataFrame) -> DataFrame:
@@ -52,30 +61,32 @@ def split_audit(rows: DataFrame) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("pieces"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", X.token_count(F.col("text")).alias("n")))), lambda s: s["n"].cast("string")), ",").alias("tokens"))
 
 
-#: What begins a step, a title or list line, and where a sentence ends.
+#: What begins a step, a title and a list line, and where a sentence ends.
 STEP = r"^\s*(?:\d+[\.、]|步骤\s*\d+)"
-BLOCK = r"^\s*(?:第[一二三四五六七八九十0-9]+[章节部分]|[0-9]+(?:\.[0-9]+){1,3})|^\s*(?:[-•●]|[（(]?[0-9一二三四五六七八九十]+[)）])"
+TITLE = r"^\s*(?:第[一二三四五六七八九十0-9]+[章节部分]|[0-9]+(?:\.[0-9]+){1,3})"
+LIST = r"^\s*(?:[-•●]|[（(]?[0-9一二三四五六七八九十]+[)）])"
+SENTENCE_END = r"(?<=[。！？!?；;])\s+"
 
 
-def blocks(text: Column, start: str) -> Column:
-    """Lines grouped so that each line that matches opens a block."""
-    lines = F.split(text, "\n")
-    fold = F.aggregate(lines, F.array().cast("array<string>"), lambda s, l: F.when((F.size(s) == 0) | l.rlike(start), F.concat(s, F.array(l))).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.concat(F.element_at(s, -1), F.lit("\n"), l)))))
-    return F.filter(fold, lambda b: X.strip(b) != "")
+def blocks(text: Column, *starts: str) -> Column:
+    """Lines grouped so that each line that begins as one of `starts` opens a block: one scan that cuts at the line ends before such lines."""
+    ahead = "|".join(s.removeprefix("^").replace(r"\s", r"[^\S\n]") for s in starts)
+    return F.split(F.array_join(X.lines(text), "\n"), rf"(?U)\n(?={ahead})")
 
 
 def splitters(text: Column) -> dict[str, Column]:
-    """Five ways to split a text."""
-    solid = lambda parts: F.filter(parts, lambda p: X.strip(p) != "")
+    """Five ways to split a text; parts are stripped, blank ones dropped."""
+    solid = lambda parts: F.filter(F.transform(parts, X.strip), lambda p: p != "")
+    text = F.coalesce(text, F.lit(""))
     return {
-        "paragraph": solid(F.split(text, r"\n\n")), "line": solid(F.split(text, r"\n")), "step": blocks(text, STEP), "title_list": blocks(text, BLOCK),
-        "sentence": solid(F.split(text, r"(?<=[。！？!?；;.])\s+")),
+        "paragraph": solid(F.split(text, r"\n\n")), "line": solid(F.split(text, r"\n")), "step": solid(blocks(text, STEP)), "title_list": solid(blocks(text, TITLE, LIST)),
+        "sentence": solid(F.split(F.translate(text, "\n", " "), "(?U)" + SENTENCE_END)),
     }
 
 
 def affected_links(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """The different (kept before, kept after) around removed chunks."""
-    r = rows.withColumn("gone", X.token_count(F.col("text")) < least)
+    r = rows.select("doc", "ord", "chunk_id", (X.token_count(F.col("text")) < least).alias("gone"))
     w = Window.partitionBy("doc").orderBy("ord")
     before = F.last(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))

@@ -1,20 +1,27 @@
-"""Indexing and search: postings, dense and sparse top-k, fusion, neighbours, rerank, budgeted context.
+"""Indexing and search: encoding, postings, dense and sparse top-k, fusion, neighbours, rerank, budgeted context.
 
-Ranks are taken on narrow rows of ids and scores; text is joined to winners only. Queries are a batch; the side that is
-sent to executors is the query side, and only up to a checked size.
+Ranks are taken on narrow rows of ids and scores; text is joined to winners only. Queries are a batch and the stated set: blocks of them, of
+bounded size, go to the tasks that read the index, and the index isn't moved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 
-PREFETCH, TOP_K, RRF_K, RERANK_N = 50, 50, 1, 3
-#: Queries that one pass over the vectors compares with them; more are dealt to passes by blocks.
-QUERIES_AT_ONCE = 4096
+PREFETCH, TOP_K, RRF_K, RERANK_N, BUDGET = 50, 50, 1, 3, 6000
+#: Queries that one pass over the vectors compares with them; more are taken in passes, block by block. Vectors held against a block at once.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 1024
+DIMENSIONS, BATCH = 64, 32
 
 
 def top(rows: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -26,11 +33,62 @@ def new_only(rows: DataFrame, done: DataFrame, key: str = "chunk_id") -> DataFra
     return rows.join(done.select(key), key, "left_anti")
 
 
+class HashedTerms:
+    """A documented offline stand-in for an embedding model: signed feature hashing of a text's terms (md5), a count per dimension or term number."""
+
+    _TERM = re.compile(r"[^\W_]+")
+
+    def __init__(self, dimensions: int = DIMENSIONS):
+        self.dimensions, self.known = dimensions, {}
+
+    def place(self, term: str) -> tuple[int, int, int]:
+        """(dimension, sign, number) of a term."""
+        if term not in self.known:
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            h = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
+            self.known[term] = int(h[:2], 16) % self.dimensions, 1 - 2 * (int(h[2], 16) % 2), int(h[:7], 16)
+        return self.known[term]
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[float], dict[int, float]]]:
+        out = []
+        for text in texts:
+            dense, sparse = [0.0] * self.dimensions, {}
+            for term in self._TERM.findall(text.lower()):
+                at, sign, number = self.place(term)
+                dense[at] += sign
+                sparse[number] = sparse.get(number, 0.0) + 1.0
+            out.append((dense, sparse))
+        return out
+
+
+Encoder = Callable[[list[str]], list[tuple[list[float], dict[int, float]]]]
+
+
+def encode(rows: DataFrame, make: Callable[[], Encoder] = HashedTerms, key: str = "chunk_id", text: str = "text", batch: int = BATCH) -> DataFrame:
+    """(key, dense array<float>, sparse map<int, float>) by a given encoder, which a task makes once and hands `batch` texts at a time. Null texts are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make()
+        for part in batches:
+            said = part.column(1).to_pylist()
+            found = [pair for k in range(0, len(said), batch) for pair in encoder(said[k : k + batch])]
+            dense, sparse = pa.array([d for d, _ in found], pa.list_(pa.float32())), pa.array([list(s.items()) for _, s in found], pa.map_(pa.int32(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), dense, sparse], [key, "dense", "sparse"])
+
+    return rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, dense array<float>, sparse map<int, float>")
+
+
 def postings(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(key, term, weight), weight the term's count."""
     return rows.select(key, F.explode(X.terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def by_term(index: DataFrame) -> DataFrame:
+    """Postings in term order, so that files and row groups of a written index hold ranges of terms and a search reads only its own."""
+    return index.repartitionByRange("term").sortWithinPartitions("term")
+
+
 def sparse_map(indices: Column, values: Column) -> Column:
     """The other form, a map; null unless both lists have one length."""
     return F.when(F.size(indices) == F.size(values), F.map_from_arrays(indices, values))
@@ -41,6 +99,16 @@ def upload_rows(vectors: DataFrame, chunks: DataFrame, done: DataFrame, key: str
     return vectors.join(chunks, key).join(done.select(key), key, "left_anti")
 
 
+def upload_counts(vectors: DataFrame, chunks: DataFrame, done: DataFrame, key: str = "chunk_id", dense: str = "dense") -> DataFrame:
+    """Vectors without a key or a vector, of no known chunk, uploaded before, and to be uploaded; each row counts in one of them."""
+    mark = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    rows = vectors.select(key, (F.col(key).isNotNull() & (F.coalesce(F.size(dense), F.lit(0)) > 0)).alias("valid"))
+    rows = rows.join(mark(chunks, "known"), key, "left").join(mark(done, "uploaded"), key, "left")
+    known, uploaded = F.col("known").isNotNull(), F.col("uploaded").isNotNull()
+    counted = {"invalid": ~F.col("valid"), "missing": F.col("valid") & ~known, "uploaded": F.col("valid") & known & uploaded, "pending": F.col("valid") & known & ~uploaded}
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
+
+
 def payload(chunks: DataFrame) -> DataFrame:
     """E5: the fields that go with a point; lists are never null."""
     names = ["chunk_id", "pdf_name", "title_h1", "title_h2", "title_h3", "page_start", "page_end", "text", "image_paths", "prev_chunk_id", "next_chunk_id", "split_group_id"]
@@ -56,22 +124,70 @@ def point_id(key: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH, n_queries: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank) by cosine over vectors whose group the query asks for (a null filter: all). The filter acts before the top k.
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _scan(asked: list[Row], vectors: DataFrame, k: int) -> DataFrame:
+    """Each task's best k of a block of queries: vectors stay where they are read, and a pair goes on only if it may be among the best."""
+    ids, wanted = np.array([r["query_id"] for r in asked]), [r["wanted"] for r in asked]
+    kinds = {w: i for i, w in enumerate(dict.fromkeys(w for w in wanted if w is not None))}
+    q, kind = _unit(np.array([r["qv"] for r in asked], dtype=float)), np.array([-1 if w is None else kinds[w] for w in wanted])
+    key, out = vectors.schema["id"].dataType.simpleString(), vectors.select("id").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        floor = np.full(len(q), -2_000_000)
+        at, score, who = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
 
-    Queries are the stated set and are compared in blocks of bounded size: each block meets every vector by an equi-join on the block's number, which
-    replicates the block's numbers (not vectors) over the scan; the scan side isn't shuffled while a block fits a broadcast.
+        def best() -> None:
+            nonlocal at, score, who
+            order = np.lexsort((who, -score, at))
+            rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+            order = order[rank < k]
+            at, score, who = at[order], score[order], who[order]
+            full = np.flatnonzero(np.bincount(at, minlength=len(q)) >= k)
+            floor[full] = score[np.searchsorted(at, full, side="right") - 1]
+
+        for batch in batches:
+            names, groups = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            of = np.array([kinds.get(g, -2) for g in groups])
+            x = np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, -1)
+            for i in range(0, len(x), VECTORS_AT_ONCE):
+                part = slice(i, i + VECTORS_AT_ONCE)
+                near = np.rint(q @ _unit(x[part]).T * 1e6).astype(np.int64)
+                a, b = np.nonzero((near >= floor[:, None]) & ((kind[:, None] < 0) | (kind[:, None] == of[part][None, :])))
+                at, score, who = np.concatenate([at, a]), np.concatenate([score, near[a, b]]), np.concatenate([who, np.array(names[part], object)[b]])
+                best()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(who), to_arrow_type(out["id"].dataType)), pa.array(score / 1e6)], ["query_id", "id", "score"])
+
+    return vectors.select("id", "v", "grp").mapInArrow(run, f"query_id long, id {key}, score double")
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH) -> DataFrame:
+    """(query_id, id, score, rank) by cosine (six digits; ties to the smaller id) over vectors whose group the query asks for (a null `wanted`: all).
+
+    The filter acts before the top k. queries: query_id (a whole number), qv, wanted; vectors: id, vector, grp. Null and zero vectors and those of another dimension than the first query's take no part.
+    Queries are the stated set; they are taken in blocks of about QUERIES_AT_ONCE, a pass over the vectors each, and only a task's best k of a query are shuffled.
     """
-    n = queries.count() if n_queries is None else n_queries
-    blocks = max(1, -(-n // QUERIES_AT_ONCE))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
-    unit = lambda df, c: df.withColumn(c, F.col(c).cast("array<double>")).withColumn("__n", norm(F.col(c))).where("__n > 0").withColumn(c, F.transform(c, lambda v: v / F.col("__n"))).drop("__n")
-    q = unit(queries, "qv").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    v = unit(vectors, "vector").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    q = F.broadcast(q) if blocks == 1 else q
-    score = F.aggregate(F.zip_with("qv", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(q, "block").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("grp"))).select("query_id", "id", F.round(score, 6).alias("score"))
-    return top(scored, ["query_id"], k, F.col("score").desc(), F.col("id"))
+    solid = lambda c: F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    q = queries.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>"), "wanted").where(solid("qv"))
+    block = q.limit(QUERIES_AT_ONCE + 1).collect()
+    if not block:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    width = len(block[0]["qv"])
+    v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), "grp").where((F.size("v") == width) & solid("v"))
+    if len(block) <= QUERIES_AT_ONCE:
+        found = _scan([r for r in block if len(r["qv"]) == width], v, k)
+    else:
+        blocks = -(-q.count() // QUERIES_AT_ONCE)
+        parts = [q.where((F.size("qv") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect() for b in range(blocks)]
+        passes = [_scan(p, v, k) for p in parts if p]
+        found = passes[0]
+        for p in passes[1:]:
+            found = found.unionByName(p)
+    return top(found, ["query_id"], k, F.col("score").desc(), F.col("id"))
 
 
 def sparse_top_k(queries: DataFrame, index: DataFrame, k: int = PREFETCH) -> DataFrame:
@@ -90,42 +206,99 @@ def fuse(legs: list[DataFrame], k: int = TOP_K, k0: int = RRF_K) -> DataFrame:
     return top(got, ["query_id"], k, F.col("score").desc(), F.col("id"))
 
 
-def expand_neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits and the chunks before and after them under the same first title (null is like null), score 0; a hit is never its own neighbour's row."""
+def hybrid(queries: DataFrame, vectors: DataFrame, index: DataFrame, make: Callable[[], Encoder] = HashedTerms, k: int = TOP_K, prefetch: int = PREFETCH) -> DataFrame:
+    """Questions (query_id, text) encoded, searched in the dense vectors and in the postings, and both legs fused."""
+    asked = encode(queries, make, "query_id").select("query_id", F.col("dense").alias("qv"), F.lit(None).cast("string").alias("wanted"))
+    dense = dense_top_k(asked, vectors.withColumn("grp", F.lit(None).cast("string")), prefetch)
+    return fuse([dense, sparse_top_k(postings(queries, "query_id"), index, prefetch)], k)
+
+
+def expand_neighbours(hits: DataFrame, chunks: DataFrame, enabled: bool = True) -> DataFrame:
+    """Hits and the chunks before and after them under the same first title (null is like null), score 0; a hit is never its own neighbour's row. Not enabled: hits alone."""
+    found = hits.select("query_id", "id", "score", F.lit("search").alias("source"))
+    if not enabled:
+        return found
     own = hits.join(chunks.select(F.col("chunk_id").alias("id"), "prev_chunk_id", "next_chunk_id", F.col("title_h1").alias("h1")), "id")
     around = own.select("query_id", F.explode(F.array("prev_chunk_id", "next_chunk_id")).alias("id"), "h1").where("id is not null")
     around = around.join(chunks.select(F.col("chunk_id").alias("id"), "title_h1"), "id").where(F.col("h1").eqNullSafe(F.col("title_h1"))).select("query_id", "id").distinct()
     around = around.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return hits.select("query_id", "id", "score", F.lit("search").alias("source")).unionByName(around.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("neighbor").alias("source")))
+    return found.unionByName(around.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("neighbor").alias("source")))
+
+
+def shared_terms(query: Column, text: Column) -> Column:
+    """A stand-in for a cross-encoder: the share of the query's different terms that the text has."""
+    asked = F.array_distinct(X.terms(query))
+    return F.round(F.size(F.array_intersect(asked, X.terms(text))) / F.greatest(F.size(asked), F.lit(1)), 6)
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int = RERANK_N, scorer: Callable[[Column, Column], Column] = shared_terms) -> DataFrame:
+    """The n best candidates (query_id, id, pos) by a given score of query and text; ties keep their place. Only candidates' texts are scored."""
+    rows = candidates.join(chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("__text")), "id").join(queries.select("query_id", F.col("text").alias("__asked")), "query_id")
+    rows = rows.select("query_id", "id", "pos", scorer(F.col("__asked"), F.col("__text")).alias("rerank_score"))
+    return top(rows, ["query_id"], n, F.col("rerank_score").desc(), F.col("pos"))
+
+
+def ranked_once(ranked: DataFrame) -> DataFrame:
+    """Of rows of one query and id the first by rank; blank ids are dropped."""
+    return top(ranked.where(F.trim(F.col("id").cast("string")) != ""), ["query_id", "id"], 1, F.col("rank"), rank="__k").drop("__k")
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int = RERANK_N) -> DataFrame:
-    """Candidates (query_id, id, pos) by the share of the query's terms that the text has; ties keep their place. A stand-in for a model."""
-    q = queries.select("query_id", F.array_distinct(X.terms(F.col("text"))).alias("qt"))
-    rows = candidates.join(q, "query_id").join(chunks.select(F.col("chunk_id").alias("id"), X.terms(F.col("text")).alias("ct")), "id")
-    score = F.round(F.size(F.array_intersect("qt", "ct")) / F.greatest(F.size("qt"), F.lit(1)), 6)
-    return top(rows.select("query_id", "id", "pos", score.alias("rerank_score")), ["query_id"], n, F.col("rerank_score").desc(), F.col("pos"))
+def title_path(*titles: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.array(*titles), lambda t: X.strip(F.coalesce(t, F.lit("")))), lambda t: t != ""), " › ")
 
 
-def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """In rank order until the first that would pass the budget."""
+def page_of(c: Column) -> Column:
+    return F.coalesce(c.try_cast("int"), F.lit(0))
+
+
+def block(label: Column) -> Column:
+    """A chunk's text under a line with its label, page and titles (columns page_start, title_h1 to title_h3, text)."""
+    path = title_path(F.col("title_h1"), F.col("title_h2"), F.col("title_h3"))
+    place = F.concat(F.lit("（第"), page_of(F.col("page_start")).cast("string"), F.lit("页"), F.when(path != "", F.concat(F.lit(" · "), path)).otherwise(""), F.lit("）"))
+    return F.concat(F.lit("---"), label, place, F.lit("---\n"), F.coalesce("text", F.lit("")))
+
+
+def within_budget(ranked: DataFrame, budget: int = BUDGET, counted: Callable[[Column], Column] = X.token_count) -> DataFrame:
+    """In rank order until the first whose labelled block would pass the budget."""
+    rows = ranked.withColumn("n_tokens", counted(block(F.lit("chunk_0"))))
     total = F.sum("n_tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("running", total).where(F.col("running") <= budget)
+    return rows.withColumn("running", total).where(F.col("running") <= budget)
+
+
+def reading_order(chosen: DataFrame) -> DataFrame:
+    """(query_id, id, k): by page; on a page along the links, from chunks that no other of the page precedes (by id), what is left by id. A query has a few chunks at most.
+
+    A page's chunks are an array, and the walk a fold that takes one of them a step: the next of the last one, else the first head left, else the first chunk left.
+    """
+    rows = chosen.select("query_id", F.col("id").cast("string").alias("id"), page_of(F.col("page_start")).alias("page"), F.col("prev_chunk_id").cast("string").alias("p"), F.col("next_chunk_id").cast("string").alias("n"))
+    g = rows.groupBy("query_id", "page").agg(F.array_sort(F.collect_list(F.struct("id", "p", "n"))).alias("s")).withColumn("ids", F.col("s.id"))
+    among = lambda ids, c: F.coalesce(F.array_contains(ids, c), F.lit(False))
+    g = g.withColumn("heads", F.transform(F.filter("s", lambda x: ~among(F.col("ids"), x["p"])), lambda x: x["id"]))
+    g = g.withColumn("heads", F.when(F.size("heads") == 0, F.col("ids")).otherwise(F.col("heads"))).withColumn("after", F.map_from_arrays("ids", F.col("s.n")))
+
+    def step(state: Column, _: Column) -> Column:
+        left = lambda c: F.get(F.filter(c, lambda x: ~among(state["done"], x)), F.lit(0))
+        following = F.try_element_at(F.col("after"), state["now"])
+        walked = F.coalesce(F.when(among(F.col("ids"), following) & ~among(state["done"], following), following), left(F.col("heads")))
+        return F.struct(F.concat(state["done"], F.array(F.coalesce(walked, left(F.col("ids"))))).alias("done"), walked.alias("now"))
+
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+    order = F.aggregate(F.sequence(F.lit(1), F.size("ids")), none, step, lambda s: s["done"])
+    placed = g.select("query_id", "page", F.posexplode(order).alias("pos", "id"))
+    return placed.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "pos")).alias("k"))
 
 
 def context(chosen: DataFrame) -> DataFrame:
-    """Chunks of each query in reading order, labelled and joined, with the labels' ids. A query has a few chunks at most."""
-    w = Window.partitionBy("query_id").orderBy("page_start", "id")
-    path = F.array_join(F.filter(F.array("title_h1", "title_h2", "title_h3"), lambda x: x.isNotNull() & (x != "")), " › ")
-    rows = chosen.withColumn("k", F.row_number().over(w))
+    """Chunks of each query in reading order, labelled and joined, with the labels' ids."""
+    rows = chosen.withColumn("id", F.col("id").cast("string")).join(reading_order(chosen), ["query_id", "id"])
     label = F.concat(F.lit("chunk_"), F.col("k").cast("string"))
-    rows = rows.select("query_id", "k", "id", label.alias("label"), F.concat(F.lit("---"), label, F.lit("（第"), F.col("page_start").cast("string"), F.lit("页 · "), path, F.lit("）---\n"), F.col("text")).alias("part"))
     parts = F.array_sort(F.collect_list(F.struct("k", "label", "id", "part")))
-    return rows.groupBy("query_id").agg(parts.alias("p")).select("query_id", F.array_join(F.transform("p", lambda s: s["part"]), "\n\n").alias("context"), F.map_from_entries(F.transform("p", lambda s: F.struct(s["label"], s["id"]))).alias("labels"))
+    g = rows.select("query_id", "k", "id", label.alias("label"), block(label).alias("part")).groupBy("query_id").agg(parts.alias("p"))
+    return g.select("query_id", F.array_join(F.transform("p", lambda s: s["part"]), "\n\n").alias("context"), F.map_from_entries(F.transform("p", lambda s: F.struct(s["label"], s["id"]))).alias("labels"))
 
 
 def sources(used: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Used ids in order, each once, unknown and blank ones dropped, with their place in the ranking."""
+    """Used ids in order, each once, unknown and blank ones dropped, with their place in the ranking."""
     rows = used.select("query_id", F.posexplode("used").alias("pos", "id")).where(F.trim("id") != "")
     first = rows.groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
     return first.join(ranked.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), ["query_id", "id"])
@@ -136,6 +309,40 @@ def to_id(label: Column, labels: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, label), F.when(F.array_contains(F.map_values(labels), label), label))
 
 
+def source_list(rows: DataFrame) -> DataFrame:
+    """A query's sources (query_id, pos, id, page, title_path), each id once, blank ones dropped, by page (0 where it is no number), then as they came; `k` is their order."""
+    once = top(rows.where(X.strip(F.coalesce("id", F.lit(""))) != ""), ["query_id", "id"], 1, F.col("pos"), rank="k")
+    return once.withColumn("page", page_of(F.col("page"))).withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "pos")))
+
+
+def told_sources(told: DataFrame, ranked: DataFrame, chunks: DataFrame, pdf_name: str = "") -> DataFrame:
+    """(query_id, pos, chunk_id, rank, page, title_path, pdf_name) of a reply's keys, `said` separated by commas of either width, that are labels of known chunks.
+
+    told: query_id, said, labels. A key that is told twice comes twice. The path has two titles; a blank file name gives way to pdf_name; ids that weren't ranked have rank 0.
+    """
+    keys = F.filter(F.transform(F.split(F.translate("said", "，", ","), ","), X.strip), lambda k: k != "")
+    rows = told.select("query_id", "labels", F.posexplode(keys).alias("pos", "key")).select("query_id", "pos", F.try_element_at("labels", F.col("key")).alias("chunk_id")).where("chunk_id is not null")
+    known = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), page_of(F.col("page_start")).alias("page"), title_path(F.col("title_h1"), F.col("title_h2")).alias("title_path"), F.coalesce(F.nullif(X.strip(F.col("pdf_name")), F.lit("")), F.lit(pdf_name)).alias("pdf_name"))
+    places = ranked.groupBy("query_id", F.col("id").cast("string").alias("chunk_id")).agg(F.min("rank").alias("rank"))
+    return rows.join(known, "chunk_id").join(places, ["query_id", "chunk_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+
+
 def crop(text: Column, n: int) -> Column:
     """The first n tokens, joined by spaces."""
     return F.array_join(F.slice(X.tokens(text), 1, n), " ")
+
+
+def containing(questions: DataFrame, rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, id) of texts that hold a question (query_id, text) word for word. rows: id, text; index: their postings.
+
+    Terms inside a question stand whole in such a text, so the rarest of them leads to candidates by an equi-join; these are verified.
+    Questions of two terms or fewer have no term inside and are looked for in every text.
+    """
+    said = questions.select("query_id", F.col("text").alias("asked"), X.terms(F.col("text")).alias("t"))
+    inner = said.where(F.size("t") > 2).select("query_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
+    frequency = index.join(inner.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = inner.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
+    held = F.col("text").contains(F.col("asked"))
+    likely = rarest.join(index.select("id", "term"), "term").join(said.select("query_id", "asked"), "query_id").select("query_id", "id", "asked")
+    short = said.where(F.size("t") <= 2).select("query_id", "asked")
+    return rows.join(likely, "id").where(held).select("query_id", "id").unionByName(rows.join(short, held).select("query_id", "id"))

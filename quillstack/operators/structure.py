@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import text as X
+from ..sources.store import stored
 
 
 def by(key: str = "doc", *order: str) -> WindowSpec:
@@ -69,16 +70,49 @@ def page_ranges(rows: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def chain(rows: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:
-    """Ids `{doc}_{number}` in order, with those before and after."""
+    """Ids `{doc}_{number}` in order, with those before and after. (doc, order) is a row's place, so no two rows share it."""
     w = by(doc, order)
-    rows = rows.withColumn("chunk_id", F.format_string("%s_%04d", F.col(doc), F.row_number().over(w)))
-    return relink(rows, doc, order)
+    ids = rows.select(doc, order, F.format_string("%s_%04d", F.col(doc), F.row_number().over(w)).alias("chunk_id"))
+    ids = ids.select("*", F.lag("chunk_id").over(w).alias("prev_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
+    return _with(rows, ids, [doc, order])
 
 
-def relink(rows: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:
-    """The chain over the rows that are left. On a chain in order it is what following pointers past removed rows gives."""
-    w = by(doc, order)
-    return rows.withColumn("prev_chunk_id", F.lag("chunk_id").over(w)).withColumn("next_chunk_id", F.lead("chunk_id").over(w))
+def _with(rows: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """rows and the narrow columns of the same rows: windows sort ids alone, and wide columns meet them by a join that no hot manual makes uneven."""
+    rest = [c for c in rows.columns if c in keys or c not in narrow.columns]
+    return rows.select(*rest).join(narrow, keys) if set(rest) - set(keys) else narrow
+
+
+def relink(rows: DataFrame, doc: str = "doc", *order: str) -> DataFrame:
+    """The chain over the rows there are. rows are read twice, so what is dear to make should be stored before."""
+    order = order or ("ord",)
+    w = by(doc, *order)
+    links = rows.select(doc, *order, "chunk_id", F.lag("chunk_id").over(w).alias("prev_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
+    return _with(rows, links, [doc, *order])
+
+
+def chased(rows: DataFrame, gone: str, doc: str = "doc") -> DataFrame:
+    """The rows that aren't gone, their links followed through rows that are. A link to an id that isn't there stays; one that never leaves a cycle is null.
+
+    Pointers of gone rows are doubled: each round a pointer that lands on a gone row takes over that row's, so runs of n rows take log n joins.
+    """
+    out = rows.where(F.col(gone))
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.col(f"{k}_chunk_id").alias("to")) for k in ("prev", "next")]))
+    jumps = stored(out.select(F.col(doc).alias("d"), F.col("chunk_id").alias("from"), ways.alias("w")).select("d", "from", "w.*"), "jumps")
+    n = jumps.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        landed = jumps.select(F.col("d").alias("d2"), F.col("way").alias("way2"), F.col("from").alias("at"), F.col("to").alias("on"))
+        met = jumps.join(landed, (F.col("d") == F.col("d2")) & (F.col("way") == F.col("way2")) & (F.col("to") == F.col("at")), "left")
+        if met.where("at is not null").isEmpty():
+            break
+        jumps = stored(met.select("d", "from", "way", F.when(F.col("at").isNull(), F.col("to")).otherwise(F.col("on")).alias("to")), "jumps")
+    ids = out.select(F.col(doc).alias("d"), F.col("chunk_id").alias("to"), F.lit(True).alias("cyclic"))
+    jumps = jumps.join(ids, ["d", "to"], "left").select("d", "from", "way", F.when(F.col("cyclic").isNull(), F.col("to")).alias("to"))
+    narrow = rows.where(~F.col(gone)).select(doc, "chunk_id", "prev_chunk_id", "next_chunk_id")
+    for way in ("prev", "next"):
+        link, of = f"{way}_chunk_id", jumps.where(F.col("way") == way).select(F.col("d").alias(doc), F.col("from").alias(f"{way}_chunk_id"), "to", F.lit(True).alias("passed"))
+        narrow = narrow.join(of, [doc, link], "left").withColumn(link, F.when(F.col("passed"), F.col("to")).otherwise(F.col(link))).drop("to", "passed")
+    return _with(rows.where(~F.col(gone)), narrow, [doc, "chunk_id"])
 
 
 def with_margins(manuals: DataFrame, margins: DataFrame, default: float = 55.0) -> DataFrame:
@@ -99,14 +133,29 @@ def locate_titles(titles: DataFrame, lines: DataFrame) -> DataFrame:
     return titles.join(best, ["doc", "page", "title"], "left").select("doc", "page", "title", F.coalesce("found", "margin_top").cast("double").alias("y"))
 
 
+def title_place(text: Column, title: Column) -> Column:
+    """Where a title first begins in a text, white space in either aside; 0 if it doesn't occur."""
+    letters = F.regexp_replace(X.squeeze(title), r"(?s)(.)", r"\\Q$1\\E\\s*")
+    return F.regexp_instr(text, F.concat(F.lit("(?U)"), letters))
+
+
 def fill_text(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines of a chunk's pages, from its title's place on the first and up to the next title's on the last, joined in order.
+    """The lines of a chunk's pages inside the body, page by page: the first page's from its title's place, the last one's up to the next title's.
 
-    The pages of a chunk are exploded, so chunks and lines meet by an equi-join on (doc, page).
+    chunks: doc, chunk_id, title, page_start, page_end, y_start, y_end (null: to the body's end), margin_top, body_bottom. A first page's text is cut from the title's
+    first occurrence; a title that isn't in it leaves nothing of the page. Pages of a chunk are exploded, so chunks and lines meet by an equi-join on (doc, page).
     """
     pages = chunks.withColumn("page", F.explode(F.sequence("page_start", "page_end")))
-    inside = pages.join(lines, ["doc", "page"]).where(((F.col("page") > F.col("page_start")) | (F.col("y0") >= F.col("y_start"))) & ((F.col("page") < F.col("page_end")) | F.col("y_end").isNull() | (F.col("y1") <= F.col("y_end") - 0.5)))
-    out = inside.groupBy("doc", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    top = F.greatest("margin_top", F.when(F.col("page") == F.col("page_start"), F.col("y_start")).otherwise(F.col("margin_top")))
+    cut = (F.col("page") == F.col("page_end")) & F.col("y_end").isNotNull()
+    bottom = F.when(cut, F.greatest(top, F.least("y_end", "body_bottom") - 0.5)).otherwise(F.col("body_bottom"))
+    inside = pages.join(lines, ["doc", "page"]).where((F.col("y0") >= top) & (F.col("y1") <= bottom))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda s: s["text"]), "\n")
+    texts = inside.groupBy("doc", "chunk_id", "page", "page_start", "title").agg(said.alias("t")).withColumn("t", X.strip(F.col("t")))
+    titled = (F.col("page") == F.col("page_start")) & (X.squeeze(F.col("title")) != "")
+    at = title_place(F.col("t"), F.col("title"))
+    texts = texts.withColumn("t", F.when(~titled, F.col("t")).when(at > 0, X.strip(F.substr("t", at))).otherwise("")).where("t <> ''")
+    out = texts.groupBy("doc", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda s: s["t"]), "\n").alias("text"))
     return chunks.select("doc", "chunk_id").join(out, ["doc", "chunk_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import conversation as C
+from ..operators import images as I
 from ..operators import normalise as N
 from ..operators import reports as S
 from ..operators import retrieval as R
 from ..sources.files import table
+from ..sources.store import stored
 from ..streaming import feedback
-from .retrieval import DENSE, SPARSE, TOK, dense, sparse
-from .structure import CHUNKS, FILLED, LINES, PATHS, TOC, cache, chunks, filled, illustrated, lines, toc
+from .retrieval import BY_DOC, PIECES, SPARSE, TOK, index, questions, sparse
+from .structure import ANCHORS, CHUNKS, FILLED, INJECT, LINES, PATHS, TOC, cache, chunks, filled, illustrated, lines, toc
 
 QUERIES: dict = {}
 
@@ -41,6 +43,18 @@ def q1(spark, d):
     return said(spark, d).withColumn("r", C.route(F.col("text"))).select("conv_id", "turn", "r.*")
 
 
+@query("q4_route_by_reply", f"""WITH {SAID}, u AS (SELECT conv_id, turn, 'ask ' || text AS text FROM said) SELECT conv_id, turn,
+CASE turn % 7 WHEN 2 THEN 'chat' WHEN 6 THEN 'reject' ELSE 'search' END AS action, CASE turn % 7 WHEN 2 THEN '' WHEN 6 THEN '' WHEN 3 THEN 'q' ELSE text END AS query, CASE turn % 7 WHEN 0 THEN 'api_error' WHEN 1 THEN 'parse_error' WHEN 5 THEN 'parse_error' WHEN 3 THEN 'why' ELSE '' END AS reasoning FROM u WHERE turn % 5 <> 1""")
+def q4(spark, d):
+    k = F.col("turn") % 7
+    replies = ["not json", '{"action": " CHAT ", "query": "x"}', '```json\n{"action": "search", "query": " q ", "reasoning": "why"}\n```', '{"action": "dance", "query": ""}', "[1]"]
+    reply = F.when(k == 0, F.lit(None).cast("string"))
+    for i, r in enumerate(replies, 1):
+        reply = reply.when(k == i, r)
+    rows = said(spark, d).where("turn % 5 <> 1").withColumn("text", F.concat(F.lit("ask "), "text"))
+    return rows.withColumn("r", C.route(F.col("text"), reply.otherwise('{"action": "reject", "query": "y"}'), reasoning=True)).select("conv_id", "turn", "r.*")
+
+
 @query("q3_compact_toc", f"""WITH {FILLED}, g AS (SELECT doc, title_h1, title_h2, min(ord) AS ord FROM full_chunks WHERE title_h1 <> '' GROUP BY ALL), f AS (SELECT *, min(ord) OVER (PARTITION BY doc, title_h1) AS first FROM g),
 l AS (SELECT DISTINCT doc, first, -1 AS ord, title_h1 AS line FROM f UNION ALL SELECT doc, first, ord, '  ' || title_h2 FROM f WHERE title_h2 <> '') SELECT doc, string_agg(line, chr(10) ORDER BY first, ord) AS toc FROM l GROUP BY doc""")
 def q3(spark, d):
@@ -75,27 +89,78 @@ def q7(spark, d):
     return C.rewrite(pairs(spark, d).select("conv_id", "turn", F.when(k == 0, "第 2 步怎么做").when(k == 1, F.col("query")).otherwise("什么意思").alias("query")))
 
 
+RECENT = """nth AS (SELECT *, lag(query) OVER w AS q1, lag(answer) OVER w AS a1, lag(query, 2) OVER w AS q2, lag(answer, 2) OVER w AS a2, CAST(least(row_number() OVER w - 1, 2) AS INTEGER) AS shown FROM pairs WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+@query("q7_rewrite_by_model", f"""WITH {PAIRS}, {RECENT} SELECT conv_id, turn, CASE WHEN shown = 0 THEN query WHEN turn % 4 = 0 THEN query ELSE rtrim(CAST(shown AS VARCHAR) || coalesce(q2, '') || '>' || q1 || '>' || left(a1, 200), '`"'' ' || chr(10) || chr(9)) END AS search_query FROM nth""")
+def q7m(spark, d):
+    def model(query, recent):
+        first = F.when(F.size(recent) > 1, recent[0]["query"]).otherwise("")
+        last = F.element_at(recent, -1)
+        told = F.concat(F.lit("`"), F.size(recent).cast("string"), first, F.lit(">"), last["query"], F.lit(">"), last["answer"], F.lit("` \n"))
+        return F.when(F.size(recent) > 0, F.when(F.col("turn") % 4 != 0, told))
+
+    return C.rewrite(pairs(spark, d), model).select("conv_id", "turn", "search_query")
+
+
+@query("q4_route_with_history", f"""WITH {PAIRS}, {RECENT} SELECT conv_id, turn, 'search' AS action, 'seen ' || CAST(shown AS VARCHAR) || ' ' || CAST(coalesce(length(left(a1, 100)), 0) AS VARCHAR) AS query FROM nth""")
+def q4h(spark, d):
+    last = lambda recent: F.coalesce(F.length(F.try_element_at(recent, F.lit(-1))["answer"]), F.lit(0))
+    model = lambda query, recent: F.to_json(F.struct(F.lit("search").alias("action"), F.format_string("seen %d %d", F.size(recent), last(recent)).alias("query")))
+    return C.routed(pairs(spark, d), model).select("conv_id", "turn", "route.action", "route.query")
+
+
 @query("q8_last_user_message", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user FROM conversations")
 def q8(spark, d):
     return C.last_user_message(table(spark, d, "conversations")).select("conv_id", "turn", "last_user")
 
 
-@query("q9_used_keys", "SELECT doc_id, 'chunk_2,chunk_1' AS used FROM documents")
+@query("q9_used_keys", """WITH k AS (SELECT doc_id, ['chunk_' || CAST(doc_id % 5 AS VARCHAR), 'chunk_9', 'chunk_' || CAST(doc_id % 3 AS VARCHAR), 'chunk_' || CAST(doc_id % 5 AS VARCHAR)] AS keys, ['chunk_1', 'chunk_2', 'chunk_' || CAST(doc_id % 7 AS VARCHAR)] AS valid FROM documents),
+u AS (SELECT doc_id, unnest(keys) AS key, generate_subscripts(keys, 1) AS pos, valid FROM k), f AS (SELECT doc_id, key, min(pos) AS pos FROM u WHERE list_contains(valid, key) GROUP BY ALL),
+j AS (SELECT doc_id, string_agg(key, ',' ORDER BY pos) AS used FROM f GROUP BY 1) SELECT d.doc_id, coalesce(used, '') AS used FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""")
 def q9(spark, d):
-    keys = F.array(*map(F.lit, ("chunk_2", "chunk_9", "chunk_1", "chunk_2")))
-    return table(spark, d, "documents").select("doc_id", C.used_keys(keys, F.array(F.lit("chunk_1"), F.lit("chunk_2"))).alias("used"))
+    key = lambda n: F.concat(F.lit("chunk_"), (F.col("doc_id") % n).cast("string"))
+    return table(spark, d, "documents").select("doc_id", C.used_keys(F.array(key(5), F.lit("chunk_9"), key(3), key(5)), F.array(F.lit("chunk_1"), F.lit("chunk_2"), key(7))).alias("used"))
 
 
-@query("q10_source_block", "SELECT doc_id, lang || chr(10) || source AS block FROM documents")
+@query("q10_source_block", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'x<<START>>' || chr(10) END || left(text, CAST(40 + doc_id % 90 AS INTEGER)) || chr(10) || ' TEMPLATE ' || chr(10) || chr(10) || source || chr(10) || '<<END>> y <<END>>' AS t FROM documents),
+b AS (SELECT doc_id, CASE WHEN strpos(t, '<<START>>') > 0 THEN split_part(split_part(t, '<<START>>', 2), '<<END>>', 1) ELSE '' END AS b FROM t)
+SELECT doc_id, array_to_string(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '' AND trim(x) <> 'TEMPLATE'), chr(10)) AS block FROM b""")
 def q10(spark, d):
-    t = F.concat(F.lit("x<<START>>\n"), "lang", F.lit("\n TEMPLATE \n\n"), "source", F.lit("\n<<END>> y <<END>>"))
+    start = F.when(F.col("doc_id") % 4 == 3, "").otherwise("x<<START>>\n")
+    t = F.concat(start, F.left("text", (40 + F.col("doc_id") % 90).cast("int")), F.lit("\n TEMPLATE \n\n"), "source", F.lit("\n<<END>> y <<END>>"))
     return table(spark, d, "documents").select("doc_id", C.block_between(t, "<<START>>", "<<END>>", "TEMPLATE").alias("block"))
 
 
-@query("q11_messages", f"WITH {PAIRS} SELECT conv_id, CAST(1 + 2 * count(*) AS INTEGER) AS n, arg_min(query, turn) AS first_query, arg_max(answer, turn) AS last_answer FROM pairs GROUP BY 1")
+def echo(query: str, context: str, history: list[dict]) -> str:
+    """Stands in for a generator: fails, answers plainly or in a fence, by the query's length."""
+    kind = len(query) % 4
+    if kind == 0:
+        raise ValueError("no model")
+    if kind == 1:
+        return "plain " + query
+    return '```json\n{"answer": "%d %d", "used_chunks": ["chunk_2", " chunk_9", "%s"]}\n```' % (len(context), len(history), context)
+
+
+@query("q12_answers", f"""WITH {PAIRS} SELECT conv_id * 1000 + turn AS query_id, CASE length(query) % 4 WHEN 0 THEN '生成失败：no model' WHEN 1 THEN 'plain ' || query ELSE CAST(length('id' || CAST(turn AS VARCHAR)) AS VARCHAR) || ' 1' END AS answer, CASE WHEN length(query) % 4 < 2 THEN '' ELSE 'second,id' || CAST(turn AS VARCHAR) END AS used FROM pairs""")
+def q12(spark, d):
+    own = F.concat(F.lit("id"), F.col("turn").cast("string"))
+    rows = pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", own.alias("context"), F.create_map(F.lit("chunk_1"), own, F.lit("chunk_2"), F.lit("second")).alias("labels"), F.array(F.struct("query", "answer")).alias("history"))
+    return C.answered(rows, echo).withColumn("used", F.array_join("used", ","))
+
+
+@query("q11_messages", f"""WITH {PAIRS} SELECT conv_id, CAST(1 + 2 * count(*) AS INTEGER) AS n, arg_min(query, turn) AS first_query, arg_max(answer, turn) AS last_answer, 'be brief' AS instruction, arg_min(query, turn) AS first_part, 'model' AS last_role FROM pairs WHERE trim(query) <> '' AND trim(answer) <> '' GROUP BY 1""")
 def q11(spark, d):
-    m = C.messages(pairs(spark, d), "be brief")
-    return m.select("conv_id", F.size("messages").alias("n"), F.col("messages")[1]["content"].alias("first_query"), F.element_at("messages", -1)["content"].alias("last_answer"))
+    m = C.messages(pairs(spark, d).where("trim(query) <> '' and trim(answer) <> ''"), "be brief").withColumn("g", C.google_payload(F.col("messages")))
+    ends = [F.col("messages")[1]["content"].alias("first_query"), F.element_at("messages", -1)["content"].alias("last_answer")]
+    return m.select("conv_id", F.size("messages").alias("n"), *ends, F.col("g.system_instruction").alias("instruction"), F.col("g.contents")[0]["text"].alias("first_part"), F.element_at("g.contents", -1)["role"].alias("last_role"))
+
+
+@query("q11_providers", "SELECT DISTINCT event_type, CASE event_type WHEN 'view' THEN 'google' WHEN 'click' THEN 'anthropic' ELSE 'openai' END AS provider FROM events")
+def q11p(spark, d):
+    k = F.col("event_type")
+    name = F.when(k == "view", "Gemini-2.5-flash").when(k == "click", "claude-x").otherwise(F.concat(F.lit("gpt-"), k))
+    return table(spark, d, "events").select("event_type", C.provider(name).alias("provider")).distinct()
 
 
 @query("a1_token_stats", f"WITH t AS (SELECT source, {TOK.format('text')} AS n FROM documents) SELECT source, count(*) AS n, min(n) AS least, max(n) AS most, round(quantile_cont(n, 0.5), 4) AS median, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.75), 4) AS p75 FROM t GROUP BY GROUPING SETS ((source), ())")
@@ -114,71 +179,119 @@ def a3(spark, d):
     return S.outliers(table(spark, d, "documents").withColumn("tok", X.token_count(F.col("text"))), "tok").select("doc_id", "side", "preview")
 
 
-@query("a4_large_structure", f"""WITH t AS (SELECT doc_id, text, {TOK.format('text')} AS n_tokens FROM documents), p AS (SELECT doc_id, n_tokens, text, list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda p: NOT regexp_full_match(p, '\\s*')), lambda p: {TOK.format('p')}) AS s FROM t WHERE n_tokens > 800)
-SELECT doc_id, n_tokens, CAST(len(s) AS INTEGER) AS paragraphs, list_max(s) AS longest, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, list_max(s) < 800 AS splittable FROM p""")
+BIG = rf"""{PIECES}, t AS (SELECT doc_id, source, text, {TOK.format('text')} AS n_tokens FROM documents), big AS (SELECT * FROM t WHERE n_tokens > 800), pc AS (SELECT doc_id, method, {TOK.format('p')} AS n FROM pieces WHERE doc_id IN (SELECT doc_id FROM big))"""
+STRUCTURE = rf"""{BIG}, sl AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM li WHERE regexp_matches(line, '^\s*(?:\d+[\.、]|步骤\s*\d+)')),
+sx AS (SELECT doc_id, string_agg(line, '|' ORDER BY k) AS steps FROM sl WHERE k <= 5 GROUP BY 1), nlines AS (SELECT doc_id, count(*) AS lines FROM li GROUP BY 1), pp AS (SELECT doc_id, count(*) AS paragraphs, max(n) AS longest FROM pc WHERE method = 'paragraph' GROUP BY 1),
+ls AS (SELECT b.doc_id, source, n_tokens, CAST(coalesce(paragraphs, 0) AS INTEGER) AS paragraphs, longest, CAST(lines AS INTEGER) AS lines, coalesce(steps, '') AS steps, coalesce(longest < 800, false) AS splittable FROM big b LEFT JOIN pp ON pp.doc_id = b.doc_id LEFT JOIN nlines l ON l.doc_id = b.doc_id LEFT JOIN sx ON sx.doc_id = b.doc_id)"""
+
+
+@query("a4_large_structure", f"WITH {STRUCTURE} SELECT doc_id, n_tokens, paragraphs, longest, lines, steps, splittable FROM ls")
 def a4(spark, d):
-    return S.large_structure(table(spark, d, "documents")).select("doc_id", "n_tokens", "paragraphs", "longest", "lines", "splittable")
+    return S.large_structure(table(spark, d, "documents")).select("doc_id", "n_tokens", "paragraphs", "longest", "lines", F.array_join("steps", "|").alias("steps"), "splittable")
+
 
+@query("a4_splittable_share", f"WITH {STRUCTURE} SELECT source, count(*) AS large, count(*) FILTER (splittable) AS splittable, round(100.0 * count(*) FILTER (splittable) / count(*), 2) AS percent FROM ls GROUP BY 1")
+def a4s(spark, d):
+    return S.splittable_share(S.large_structure(table(spark, d, "documents")), "source")
 
-@query("a5_splitter_report", None)
+
+@query("a5_splitter_report", f"""WITH {BIG}, ms AS (SELECT unnest(['paragraph', 'line', 'step', 'title_list', 'sentence']) AS method), g AS (SELECT b.doc_id, ms.method, count(n) AS pieces, coalesce(max(n), 0) AS longest FROM big b CROSS JOIN ms LEFT JOIN pc ON pc.doc_id = b.doc_id AND pc.method = ms.method GROUP BY ALL),
+r AS (SELECT method, CAST(sum(pieces) AS BIGINT) AS pieces, max(longest) AS longest, round(avg(longest), 4) AS mean_longest, round(100.0 * count(*) FILTER (pieces > 0 AND longest < 800) / count(*), 4) AS effective FROM g GROUP BY 1)
+SELECT *, CAST(row_number() OVER (ORDER BY effective DESC, mean_longest, method) AS INTEGER) AS rank FROM r""")
 def a5(spark, d):
     return S.splitter_report(table(spark, d, "documents"), N.splitters(F.col("text")))
 
 
-@query("a6_file_stats", "SELECT count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) FILTER (strlen(html) / 1024.0 < 5) AS small, count(*) FILTER (strlen(html) / 1024.0 BETWEEN 5 AND 50) AS middle, count(*) FILTER (strlen(html) / 1024.0 > 50) AS large, count(DISTINCT sha256(html)) AS hashes, count(DISTINCT url) AS paths FROM pages")
+@query("a6_file_stats", """WITH s AS (SELECT count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) FILTER (strlen(html) / 1024.0 < 5) AS small, count(*) FILTER (strlen(html) / 1024.0 BETWEEN 5 AND 50) AS middle, count(*) FILTER (strlen(html) / 1024.0 > 50) AS large,
+count(*) FILTER (page_id % 97 < 50 OR page_id % 301 < 50) AS tiny, count(DISTINCT sha256(html)) AS hashes, count(DISTINCT lower(url)) AS paths FROM pages) SELECT *, hashes * 300 AS image_tokens, round(hashes * 300 / 1e6 * 0.15, 6) AS dollars FROM s""")
 def a6(spark, d):
-    return S.file_stats(table(spark, d, "pages").select(F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("hash"), F.col("url").alias("path")))
+    k = F.col("page_id")
+    return S.file_stats(table(spark, d, "pages").select(F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("hash"), F.concat(F.lit(" ./"), F.upper("url")).alias("path"), (k % 97).alias("width"), (k % 301).alias("height")))
 
 
-FONTS = f"""{LINES}, fs AS (SELECT doc, round_even(size / 3, 2) AS size, box AS ord, text FROM lines), fr AS (SELECT *, row_number() OVER (PARTITION BY doc, size ORDER BY ord) AS k FROM fs),
-fonts AS (SELECT doc, size, count(*) AS n, min(ord) AS first_seen, string_agg(text, '|' ORDER BY k) FILTER (k <= 5) AS samples FROM fr GROUP BY doc, size)"""
+FONTS = f"""{LINES}, fs AS (SELECT doc, round_even(size / 3, 2) AS size, box AS ord, text, box % 32 AS flags FROM lines), fr AS (SELECT *, row_number() OVER (PARTITION BY doc, size ORDER BY ord) AS k FROM fs), fm AS (SELECT doc, quantile_cont(size, 0.5) AS median FROM fs GROUP BY 1),
+fonts AS (SELECT r.doc, r.size, count(*) AS n, min(ord) AS first_seen, median, CASE WHEN r.size > median THEN string_agg(CASE WHEN flags >= 16 THEN '*' ELSE '' END || text, '|' ORDER BY k) FILTER (k <= 5) END AS samples FROM fr r JOIN fm ON r.doc = fm.doc GROUP BY r.doc, r.size, median)"""
 
 
 def fonts(spark, d):
-    return S.font_sizes(lines(spark, d).select("doc", (F.col("size") / 3).alias("size"), F.col("box").alias("ord"), "text"))
+    return S.font_sizes(lines(spark, d).select("doc", (F.col("size") / 3).alias("size"), F.col("box").alias("ord"), "text", (F.col("box") % 32).alias("flags")))
 
 
-@query("a7_font_sizes", f"WITH {FONTS} SELECT doc, size, n, first_seen FROM fonts")
+@query("a7_font_sizes", f"WITH {FONTS} SELECT doc, size, n, first_seen, round(median, 4) AS median, samples FROM fonts")
 def a7(spark, d):
-    return fonts(spark, d).select("doc", "size", "n", "first_seen")
+    told = F.array_join(F.transform("samples", lambda s: F.concat(F.when(s["bold"], "*").otherwise(""), s["text"])), "|")
+    return fonts(spark, d).select("doc", "size", "n", "first_seen", F.round("median", 4).alias("median"), told.alias("samples"))
+
+
+HEADINGS = """s AS (SELECT * FROM fonts WHERE n >= 10), b AS (SELECT doc, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first_seen) AS k FROM s) WHERE k = 1),
+hs AS (SELECT doc, body, CAST(level AS INTEGER) AS level, size FROM (SELECT s.doc, body, size, dense_rank() OVER (PARTITION BY s.doc ORDER BY size DESC) AS level FROM s JOIN b ON s.doc = b.doc WHERE size > body) WHERE level <= 3)"""
 
 
-@query("a8_heading_sizes", f"""WITH {FONTS}, s AS (SELECT * FROM fonts WHERE n >= 10), b AS (SELECT doc, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first_seen) AS k FROM s) WHERE k = 1)
-SELECT doc, body, CAST(level AS INTEGER) AS level, size FROM (SELECT s.doc, body, size, dense_rank() OVER (PARTITION BY s.doc ORDER BY size DESC) AS level FROM s JOIN b ON s.doc = b.doc WHERE size > body) WHERE level <= 3""")
+@query("a8_heading_sizes", f"WITH {FONTS}, {HEADINGS} SELECT * FROM hs")
 def a8(spark, d):
     return S.heading_sizes(fonts(spark, d))
 
 
-@query("a9_link_kinds", f"WITH {FILLED} SELECT level, count(*) AS n, max(page_end - page_start) AS widest FROM full_chunks GROUP BY level")
+@query("a8_heading_settings", f"""WITH {FONTS}, {HEADINGS}, o AS (SELECT b.doc, round(b.body, 2) AS body, max(round(size - 1, 2)) FILTER (level = 1) AS h1_min, max(round(size - 1, 2)) FILTER (level = 2) AS h2_min, max(round(size - 1, 2)) FILTER (level = 3) AS h3_min FROM b LEFT JOIN hs ON b.doc = hs.doc GROUP BY b.doc, b.body)
+SELECT * FROM o UNION ALL SELECT 'default', round(quantile_cont(body, 0.5), 2), round(quantile_cont(h1_min, 0.5), 2), round(quantile_cont(h2_min, 0.5), 2), round(quantile_cont(h3_min, 0.5), 2) FROM o HAVING count(*) > 0""")
+def a8s(spark, d):
+    return S.heading_settings(fonts(spark, d))
+
+
+@query("a9_link_kinds", f"""WITH {ANCHORS}, l AS (SELECT doc % 10 AS doc, doc // 10 % 20 AS page, doc % 3 <> 0 AS has_keyword, CASE k % 4 WHEN 0 THEN 'uri' WHEN 3 THEN 'launch' ELSE 'goto' END AS kind, CASE WHEN k % 4 = 1 THEN k END AS target_page FROM a)
+SELECT doc, page, count(*) AS links, count(*) FILTER (kind = 'goto' AND target_page IS NOT NULL) AS goto_with_page, count(*) FILTER (kind = 'goto' AND target_page IS NULL) AS goto_without_page, count(*) FILTER (kind = 'uri') AS uri, count(*) FILTER (kind = 'launch') AS other
+FROM l WHERE has_keyword AND page <= 15 GROUP BY GROUPING SETS ((doc, page), (doc))""")
 def a9(spark, d):
-    return filled(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("page_end") - F.col("page_start")).alias("widest"))
+    found = F.regexp_extract_all("html", F.lit(r'<a href="/[^"]*">([^<]*)</a>'), F.lit(1))
+    p = table(spark, d, "pages").select("page_id", F.posexplode(found).alias("k", "label")).withColumn("k", F.col("k") + 1)
+    kind = F.when(F.col("k") % 4 == 0, "uri").when(F.col("k") % 4 == 3, "launch").otherwise("goto")
+    rows = p.select((F.col("page_id") % 10).alias("doc"), (F.floor(F.col("page_id") / 10) % 20).alias("page"), (F.col("page_id") % 3 != 0).alias("has_keyword"), kind.alias("kind"), F.when(F.col("k") % 4 == 1, F.col("k")).alias("target_page"))
+    return S.link_kinds(rows)
+
 
+@query("a9_span_widths", f"""WITH {FILLED}, w AS (SELECT *, page_end - page_start AS width, row_number() OVER (PARTITION BY doc ORDER BY page_end - page_start DESC, ord) AS k FROM full_chunks)
+SELECT w.doc, count(*) AS chunks, max(width) AS widest, max(ord) FILTER (k = 1) AS widest_at, arg_max(width, ord) AS last_width, count(DISTINCT page_start) AS different_starts, any_value(total) + 5 - max(page_start) AS pages_after FROM w JOIN t ON w.doc = t.doc GROUP BY w.doc""")
+def a9w(spark, d):
+    return S.span_widths(filled(spark, d), toc(spark, d).groupBy("doc").agg((F.max("page") + 5).alias("total")))
 
-@query("a10_toc_summary", f"WITH {TOC} SELECT doc, count(*) AS entries, max(level) AS deepest, string_agg(title, '|' ORDER BY ord) FILTER (k <= 10) AS first FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k FROM toc) GROUP BY doc")
+
+@query("a10_toc_summary", f"""WITH {TOC}, s AS (SELECT *, CASE WHEN right(doc, 1) = '3' THEN 'links' ELSE 'bookmark' END AS source, repeat(title, CAST(1 + ord % 8 AS INTEGER)) AS long FROM toc),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k, '[H' || level || '] ' || CASE WHEN length(long) <= 60 THEN long ELSE left(long, 57) || '...' END || ' -> p.' || page AS line FROM s)
+SELECT doc, source, count(*) AS entries, max(level) AS deepest, string_agg(line, chr(10) ORDER BY ord) FILTER (k <= 10) AS first FROM l GROUP BY doc, source""")
 def a10(spark, d):
-    rows = R.top(toc(spark, d), ["doc"], 10, F.col("ord")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda s: s["title"]), "|").alias("first"))
-    return toc(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("entries"), F.max("level").alias("deepest")).join(rows, "doc")
+    rows = toc(spark, d).withColumn("source", F.when(F.right("doc", F.lit(1)) == "3", "links").otherwise("bookmark"))
+    return S.toc_summary(rows.withColumn("title", F.repeat("title", (1 + F.col("ord") % 8).cast("int"))))
 
 
-@query("a11_nearest_rectangles", f"""WITH {LINES}, r AS (SELECT doc, page, box AS id, x0, y0, x0 + 30 AS x1, y1 FROM lines), m AS (SELECT a.doc, a.page, a.id, b.id AS other, round(greatest(abs(a.x0 - b.x0), abs(a.y0 - b.y0), abs(a.x1 - b.x1), abs(a.y1 - b.y1)), 6) AS far FROM r a JOIN r b ON a.doc = b.doc AND a.page = b.page AND a.id <> b.id)
-SELECT doc, page, id, far, other FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, id ORDER BY far, other) AS k FROM m WHERE far <= 2) WHERE k = 1""")
+@query("a11_match_rectangles", f"""WITH RECURSIVE {LINES}, r AS (SELECT doc, page, box AS id, x0, y0 / 10 AS y0, x0 + 30 AS x1, y1 / 10 AS y1 FROM lines), pl AS (SELECT doc, page, id + 1 AS other, x0 + 1 AS x0, y0 + 0.5 AS y0, x1 + 1 AS x1, y1 + 0.5 AS y1 FROM r),
+m AS (SELECT a.doc, a.page, a.id, a.y0, b.other, round(greatest(abs(a.x0 - b.x0), abs(a.y0 - b.y0), abs(a.x1 - b.x1), abs(a.y1 - b.y1)), 6) AS far FROM r a JOIN pl b ON a.doc = b.doc AND a.page = b.page),
+bl AS (SELECT doc, page, id, y0, list({{'far': far, 'other': other}} ORDER BY far, other) AS near FROM m WHERE far <= 2 GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y0, id) AS k FROM bl),
+g AS (SELECT doc, page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(far DOUBLE, other BIGINT)) AS got, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT doc, page FROM nb)
+  UNION ALL SELECT doc, page, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.other) END, pick, id FROM (SELECT g.doc, g.page, nb.k, used, nb.id, list_filter(near, lambda p: NOT list_contains(used, p.other))[1] AS pick FROM g JOIN nb ON g.doc = nb.doc AND g.page = nb.page AND nb.k = g.k + 1) q)
+SELECT doc, page, id, got.far AS far, got.other AS other FROM g WHERE got IS NOT NULL""")
 def a11(spark, d):
-    r = lines(spark, d).select("doc", "page", F.col("box").alias("id"), "x0", "y0", (F.col("x0") + 30).alias("x1"), "y1")
-    return S.nearest_rectangles(r, r)
+    y0, y1 = F.col("y0") / 10, F.col("y1") / 10
+    r = lines(spark, d).select("doc", "page", F.col("box").alias("id"), "x0", y0.alias("y0"), (F.col("x0") + 30).alias("x1"), y1.alias("y1"))
+    placed = r.select("doc", "page", (F.col("id") + 1).alias("id"), (F.col("x0") + 1).alias("x0"), (F.col("y0") + 0.5).alias("y0"), (F.col("x1") + 1).alias("x1"), (F.col("y1") + 0.5).alias("y1"))
+    return S.match_rectangles(r, placed)
 
 
-@query("a12_block_counts", f"WITH {LINES} SELECT doc, page, split_part(text, ' ', 1) AS kind, count(*) AS n, min(y0) AS top FROM lines GROUP BY ALL")
+@query("a12_page_dump", f"""WITH {LINES}, b AS (SELECT doc, page, box AS id, floor(y0) AS y0, floor(y0) + 10 AS y1, CASE WHEN box % 5 = 0 THEN 'image' ELSE 'text' END AS kind, text FROM lines),
+i AS (SELECT doc, page, count(*) AS listed FROM b WHERE id % 10 < 6 AND kind = 'image' GROUP BY ALL)
+SELECT b.doc, b.page, string_agg('[' || upper(kind) || '] y0=' || CAST(y0 AS BIGINT) || '.0 y1=' || CAST(y1 AS BIGINT) || '.0' || CASE WHEN kind = 'text' THEN ' | ' || text ELSE '' END, chr(10) ORDER BY y0, id) AS dump, count(*) FILTER (kind = 'image') AS image_blocks, coalesce(any_value(listed), 0) AS listed,
+count(*) FILTER (kind = 'image') = coalesce(any_value(listed), 0) AS agree FROM b LEFT JOIN i ON b.doc = i.doc AND b.page = i.page GROUP BY b.doc, b.page""")
 def a12(spark, d):
-    return lines(spark, d).groupBy("doc", "page", F.split_part("text", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("y0").alias("top"))
+    y = F.floor("y0").cast("double")
+    b = lines(spark, d).select("doc", "page", F.col("box").alias("id"), y.alias("y0"), (y + 10).alias("y1"), F.when(F.col("box") % 5 == 0, "image").otherwise("text").alias("kind"), "text")
+    return S.page_dump(b, b.where("id % 10 < 6 and kind = 'image'"))
 
 
 TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def truth(spark, d):
-    """Documents that hold a question word for word. The benchmark is the stated query set and bounded, so it goes to the documents' tasks."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("qt"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.col("text").contains(F.col("qt"))).select("query_id", F.col("doc_id").alias("id"))
+    """Documents that hold a question word for word."""
+    return R.containing(questions(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), index(spark, d))
 
 
 @query("v1_hit_ranks", f"WITH {SPARSE}, {TRUTH} SELECT t.query_id, min(rank) AS hit_rank FROM truth t LEFT JOIN sparse s ON t.query_id = s.query_id AND t.id = s.id GROUP BY 1")
@@ -187,17 +300,22 @@ def v1(spark, d):
 
 
 @query("v2_hit_rate", f"""WITH {SPARSE}, {TRUTH}, h AS (SELECT t.query_id, min(rank) AS hit_rank FROM truth t LEFT JOIN sparse s ON t.query_id = s.query_id AND t.id = s.id GROUP BY 1),
-x AS (SELECT b.item_id, b.item_id IN (SELECT query_id FROM truth) AS i, coalesce(hit_rank <= 5, false) AS hit, s.score IS NULL OR s.score < 400 AS rej FROM benchmark b LEFT JOIN h ON b.item_id = h.query_id LEFT JOIN sparse s ON s.query_id = b.item_id AND s.rank = 1)
-SELECT count(*) FILTER (i) AS in_scope, count(*) FILTER (i AND hit) AS hits, count(*) FILTER (NOT i) AS out_of_scope, count(*) FILTER (NOT i AND rej) AS rejected, round(count(*) FILTER (i AND hit) / nullif(count(*) FILTER (i), 0), 6) AS hit_rate FROM x""")
+x AS (SELECT b.item_id, (b.item_id % 7) / 4 AS sec, b.item_id IN (SELECT query_id FROM truth) AS i, coalesce(hit_rank <= 5, false) AS hit, s.score IS NULL OR s.score < 400 AS rej FROM benchmark b LEFT JOIN h ON b.item_id = h.query_id LEFT JOIN sparse s ON s.query_id = b.item_id AND s.rank = 1), y AS (SELECT *, CASE WHEN i THEN hit ELSE rej END AS ok FROM x)
+SELECT count(*) AS questions, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (i) AS in_scope, count(*) FILTER (i AND hit) AS hits, count(*) FILTER (i AND NOT hit) AS misses, count(*) FILTER (NOT i) AS out_of_scope, count(*) FILTER (NOT i AND rej) AS rejected, count(*) FILTER (NOT i AND NOT rej) AS accepted,
+round(count(*) FILTER (i AND hit) / nullif(count(*) FILTER (i), 0), 6) AS hit_rate, round(count(*) FILTER (NOT i AND rej) / nullif(count(*) FILTER (NOT i), 0), 6) AS reject_rate, round(sum(sec), 3) AS seconds, round(avg(sec), 4) AS mean_seconds, (SELECT max(item_id) FROM y WHERE sec = (SELECT max(sec) FROM y)) AS slowest, max(sec) AS slowest_seconds FROM y""")
 def v2(spark, d):
-    right = truth(spark, d)
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(right.select("query_id").distinct().withColumn("in_scope", F.lit(True)), "query_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
-    return S.hit_rate(q, sparse(spark, d), S.hit_ranks(sparse(spark, d), right), 5, 400)
+    right, found = truth(spark, d), stored(sparse(spark, d), "found")
+    q = questions(spark, d).select("query_id", ((F.col("query_id") % 7) / 4).alias("sec"))
+    q = q.join(right.select("query_id").distinct().withColumn("in_scope", F.lit(True)), "query_id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+    return S.hit_rate(S.judged(q, found, S.hit_ranks(found, right), 5, 400), "sec")
 
 
-@query("v3_chain_report", f"WITH {CHUNKS} SELECT doc, CAST(1 AS BIGINT) AS heads, CAST(1 AS BIGINT) AS tails, CAST(0 AS BIGINT) AS broken FROM chunks GROUP BY doc")
+@query("v3_chain_report", f"""WITH {CHUNKS}, l AS (SELECT *, lag(chunk_id) {BY_DOC} AS p, lead(chunk_id) {BY_DOC} AS n FROM chunks), k AS (SELECT doc, chunk_id, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE p END AS p, CASE WHEN n_chars % 13 = 0 THEN chunk_id ELSE n END AS n FROM l WHERE n_chars % 7 <> 3)
+SELECT doc, count(*) FILTER (p IS NULL) AS heads, count(*) FILTER (n IS NULL) AS tails, CAST(sum(CASE WHEN n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k o WHERE o.doc = k.doc AND o.chunk_id = k.n AND o.p = k.chunk_id) THEN 1 ELSE 0 END + CASE WHEN p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k o WHERE o.doc = k.doc AND o.chunk_id = k.p AND o.n = k.chunk_id) THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM k GROUP BY doc""")
 def v3(spark, d):
-    return S.chain_report(chunks(spark, d))
+    c = chunks(spark, d)
+    c = c.withColumn("prev_chunk_id", F.when(F.col("n_chars") % 11 != 0, F.col("prev_chunk_id"))).withColumn("next_chunk_id", F.when(F.col("n_chars") % 13 == 0, F.col("chunk_id")).otherwise(F.col("next_chunk_id")))
+    return S.chain_report(c.where("n_chars % 7 <> 3").select("doc", "chunk_id", "prev_chunk_id", "next_chunk_id"))
 
 
 @query("v4_missing_fields", "SELECT count(*) FILTER (text IS NULL OR trim(text) = '') AS text, count(*) FILTER (lang IS NULL OR trim(lang) = '') AS lang, count(*) FILTER (source IS NULL OR trim(source) = '') AS source FROM documents")
@@ -210,10 +328,14 @@ def v5(spark, d):
     return S.coverage(cache(spark), illustrated(spark, d).select(F.explode("image_paths").alias("path")))
 
 
-@query("v6_caption_coverage", f"WITH {CHUNKS}, {PATHS}, p AS (SELECT DISTINCT path FROM px) SELECT count(*) AS images, count(*) FILTER (caption IS NOT NULL AND caption <> 'CAPTION_FAILED') AS captioned, count(*) FILTER (caption = 'CAPTION_FAILED') AS failed FROM p LEFT JOIN cache c ON p.path = c.path")
+@query("v6_caption_coverage", INJECT + r""", bf AS (SELECT doc, count(*) AS b FROM chunks WHERE n_chars % 50 <> 0 GROUP BY 1), af AS (SELECT doc, count(*) AS a FROM chunks GROUP BY 1),
+s AS (SELECT (SELECT count(*) FROM ip WHERE n > 0) AS with_images, (SELECT count(*) FROM done WHERE regexp_matches(text, '(?m)^\[IMG_CAPTION\]')) AS with_captions, (SELECT count(DISTINCT path) FROM px) AS images, (SELECT count(*) FROM cache) AS cached, (SELECT count(*) FROM cache WHERE caption = 'CAPTION_FAILED') AS failed,
+(SELECT CAST(sum(a) AS BIGINT) FROM af) AS rows, (SELECT CAST(sum(b) AS BIGINT) FROM bf) AS rows_before, (SELECT count(*) FROM af FULL JOIN bf ON af.doc = bf.doc WHERE a IS DISTINCT FROM b) AS manuals_differ)
+SELECT *, with_captions / with_images > 0.9 AS covered_enough, failed < images * 0.1 AS few_failed, manuals_differ = 0 AS same_rows FROM s""")
 def v6(spark, d):
-    p = illustrated(spark, d).select(F.explode("image_paths").alias("path")).distinct().join(cache(spark), "path", "left")
-    return p.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("caption").isNotNull() & (F.col("caption") != "CAPTION_FAILED")).alias("captioned"), F.count_if(F.col("caption") == "CAPTION_FAILED").alias("failed"))
+    told = I.inject(illustrated(spark, d), cache(spark)).select("chunk_id", "text", "image_paths")
+    c = chunks(spark, d).select("chunk_id", "doc", "n_chars")
+    return S.caption_coverage(told.join(c.select("chunk_id", "doc"), "chunk_id"), cache(spark), c.where("n_chars % 50 <> 0"))
 
 
 @query("v7_v8_run_summary", "SELECT coalesce(nullif(trim(CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_returnflag END), ''), 'unknown') AS type, count(*) AS n, round(avg(l_quantity), 4) AS mean_seconds, round(avg(l_extendedprice / 1e6 * 0.15 + l_quantity / 1e6 * 0.60), 6) AS mean_cost, CAST(sum(l_linenumber) AS BIGINT) AS tokens FROM lineitem GROUP BY 1")
@@ -222,10 +344,10 @@ def v7(spark, d):
     return S.run_summary(runs)
 
 
-@query("v9_budget_stats", f"WITH t AS (SELECT greatest({TOK.format('text')} - 500, 0) AS r FROM documents) SELECT count(*) FILTER (r > 0) AS touched, CAST(sum(r) AS BIGINT) AS removed FROM t")
+@query("v9_budget_stats", rf"""WITH t AS (SELECT text, {TOK.format('text')} AS n FROM documents) SELECT count(*) AS texts, count(*) FILTER (n > 500) AS touched, CAST(sum(greatest(n - 500, 0)) AS BIGINT) AS removed,
+CAST(sum(CASE WHEN n > 500 THEN length(text) - length(array_to_string(regexp_extract_all(text, '\p{{Han}}|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')[1:500], ' ')) ELSE 0 END) AS BIGINT) AS removed_chars FROM t""")
 def v9(spark, d):
-    r = F.greatest(X.token_count(F.col("text")) - 500, F.lit(0))
-    return table(spark, d, "documents").select(r.alias("r")).agg(F.count_if(F.col("r") > 0).alias("touched"), F.sum("r").alias("removed"))
+    return S.budget_stats(table(spark, d, "documents"), 500)
 
 
 @query("v10_title_lookup", f"WITH {FILLED} SELECT doc, chunk_id FROM full_chunks WHERE contains(title_h1, 'tion 2')")
@@ -233,19 +355,28 @@ def v10(spark, d):
     return filled(spark, d).where(F.col("title_h1").contains("tion 2")).select("doc", "chunk_id")
 
 
-@query("m1_seeded_sample", None)
+@query("m1_seeded_sample", "SELECT doc_id, source FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 10")
 def m1(spark, d):
     return S.seeded_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 10)
 
 
-@query("m2_quota_sample", None)
+@query("m1_sample_with_images", f"WITH {CHUNKS}, {PATHS} SELECT chunk_id FROM ip WHERE len(image_paths) > 0 ORDER BY md5('42:' || chunk_id), chunk_id LIMIT 5")
+def m1i(spark, d):
+    return S.seeded_sample(illustrated(spark, d).where(F.size("image_paths") > 0).select("chunk_id"), "chunk_id", 5)
+
+
+@query("m2_quota_sample", """WITH g AS (SELECT source, row_number() OVER (ORDER BY source) AS g, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM documents)), q AS (SELECT source, 50 // m + CASE WHEN g <= 50 % m THEN 1 ELSE 0 END AS quota FROM g),
+r AS (SELECT d.doc_id, d.source, md5('42:' || CAST(doc_id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY d.source ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) > quota AS extra FROM documents d JOIN q ON d.source = q.source)
+SELECT doc_id, source FROM r ORDER BY extra, h, doc_id LIMIT 50""")
 def m2(spark, d):
     return S.quota_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 50)
 
 
-@query("m3_stratified_sample", None)
+@query("m3_stratified_sample", """WITH t AS (SELECT doc_id AS id, 'h' || CAST(doc_id % 400 AS VARCHAR) AS title_h1, lang AS title_h2, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE length(text) >= 150),
+a AS (SELECT *, count(*) OVER (PARTITION BY title_h1) AS size, row_number() OVER (PARTITION BY title_h1, title_h2 ORDER BY h, id) AS seen FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY title_h1 ORDER BY seen > 1, h, id) AS k FROM a)
+SELECT id, title_h1, title_h2 FROM b WHERE k <= 2 ORDER BY size < 3, k, h, id LIMIT 13""")
 def m3(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("title_h1"), F.col("lang").alias("title_h2"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("h"), (F.col("doc_id") % 400).cast("string")).alias("title_h1"), F.col("lang").alias("title_h2"))
     return S.stratified_sample(rows).select("id", "title_h1", "title_h2")
 
 

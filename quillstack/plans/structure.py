@@ -126,11 +126,12 @@ def p10(spark, d):
     return chunks(spark, d).select("doc", "ord", "chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
-@query("p11_slugs", r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN '雷电 手册-' || CAST(p_partkey % 7 AS VARCHAR) ELSE '_ . ' END AS name FROM part)
-SELECT p_partkey, coalesce(nullif(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), ''), nullif(regexp_replace(name, '[\\/:*?"<>|\s._-]', '', 'g'), ''), 'pdf_' || substr(sha256(name), 1, 12)) AS slug FROM n""")
+@query("p11_slugs", r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '.v2.pdf' WHEN 1 THEN '雷电 手册-_' || chr(97 * CAST(p_partkey % 2 AS INTEGER) + 38647 * CAST(1 - p_partkey % 2 AS INTEGER)) || '.pdf' ELSE ' . .pdf' END AS name FROM part),
+m AS (SELECT p_partkey, name, left(name, length(name) - 4) AS stem FROM n)
+SELECT p_partkey, coalesce(nullif(regexp_replace(lower(stem), '[^a-z0-9]', '', 'g'), ''), nullif(regexp_replace(stem, '[\\/:*?"<>|\s.]+', '', 'g'), ''), 'pdf_' || substr(sha256(name), 1, 12)) AS slug FROM m""")
 def p11(spark, d):
     k = F.col("p_partkey")
-    name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat(F.lit("雷电 手册-"), (k % 7).cast("string"))).otherwise("_ . ")
+    name = F.when(k % 3 == 0, F.concat("p_name", F.lit(".v2.pdf"))).when(k % 3 == 1, F.concat(F.lit("雷电 手册-_"), F.when(k % 2 == 1, "a").otherwise("雷"), F.lit(".pdf"))).otherwise(" . .pdf")
     return table(spark, d, "part").select("p_partkey", X.slug(name).alias("slug"))
 
 
@@ -162,15 +163,21 @@ def p13(spark, d):
     return S.locate_titles(titles(spark, d), lines(spark, d))
 
 
-SPANS = """c AS (SELECT doc, doc || '_' || CAST(floor(page / 2) AS BIGINT) AS chunk_id, min(page) AS page_start, max(page) AS page_end, 100.0 AS y_start, 600.0 AS y_end FROM lines GROUP BY ALL)"""
+SPANS = """c AS (SELECT doc, doc || '_' || CAST(floor(page / 2) AS BIGINT) AS chunk_id, CAST(floor(page / 2) AS BIGINT) % 2 AS odd, min(page) AS page_start, max(page) AS page_end, 60.0 AS y_start, CASE WHEN floor(page / 2) = 1 THEN 600.0 END AS y_end FROM lines GROUP BY ALL)"""
 
 
 def spans(spark, d):
-    return lines(spark, d).groupBy("doc", F.concat_ws("_", "doc", F.floor(F.col("page") / 2)).alias("chunk_id")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end")).withColumn("y_start", F.lit(100.0)).withColumn("y_end", F.lit(600.0))
+    k = F.floor(F.col("page") / 2)
+    rows = lines(spark, d).groupBy("doc", F.concat_ws("_", "doc", k).alias("chunk_id"), k.alias("k")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    title = F.when(F.col("k") % 2 == 0, "A F").otherwise("N  O 4 R")
+    return rows.withColumn("title", title).withColumn("y_start", F.lit(60.0)).withColumn("y_end", F.when(F.col("k") == 1, 600.0)).withColumn("margin_top", F.lit(55.0)).withColumn("body_bottom", F.lit(745.0))
 
 
-FILL = f"""WITH {LINES}, {SPANS}, x AS (SELECT c.doc, c.chunk_id, string_agg(text, chr(10) ORDER BY page, y0, text) AS text FROM c JOIN lines l ON l.doc = c.doc AND l.page BETWEEN page_start AND page_end
-WHERE (page > page_start OR y0 >= y_start) AND (page < page_end OR y1 <= y_end - 0.5) GROUP BY ALL) """
+FILL = rf"""WITH {LINES}, {SPANS}, i AS (SELECT c.*, page, y0, text FROM c JOIN lines l ON l.doc = c.doc AND l.page BETWEEN page_start AND page_end
+WHERE y0 >= CASE WHEN page = page_start THEN 60 ELSE 55 END AND y1 <= CASE WHEN page = page_end AND y_end IS NOT NULL THEN 599.5 ELSE 745 END),
+g AS (SELECT doc, chunk_id, page, page_start, odd, string_agg(text, chr(10) ORDER BY y0, text) AS t FROM i GROUP BY ALL),
+p AS (SELECT *, CASE WHEN page > page_start THEN t WHEN odd = 0 THEN regexp_extract(t, '(?s)A\s*F.*') ELSE regexp_extract(t, '(?s)N\s*O\s*4\s*R.*') END AS u FROM g),
+x AS (SELECT doc, chunk_id, string_agg(u, chr(10) ORDER BY page) AS text FROM p WHERE u <> '' GROUP BY ALL) """
 
 
 @query("p14_p15_fill_text", FILL + "SELECT c.doc, c.chunk_id, coalesce(x.text, '') AS text FROM c LEFT JOIN x ON x.doc = c.doc AND x.chunk_id = c.chunk_id")
@@ -281,8 +288,8 @@ def i12(spark, d):
     return i11(spark, d).select("chunk_id", F.explode(I.captions_of(F.col("text"))).alias("caption"))
 
 
-@query("i13_first_images", f"""WITH {CHUNKS}, {PATHS}, g AS (SELECT split_part(chunk_id, '_', 1) AS id, path, min(CAST(right(chunk_id, 4) AS BIGINT) * 10 + pos - 1) AS pos FROM px GROUP BY ALL)
+@query("i13_first_images", f"""WITH {CHUNKS}, {PATHS}, g AS (SELECT split_part(chunk_id, '_', 1) AS id, path, min(CAST(right(chunk_id, 4) AS BIGINT) * 10 + pos - 1) AS pos FROM px WHERE path IN (SELECT path FROM cache) GROUP BY ALL)
 SELECT id, path, pos, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, path) AS k FROM g) WHERE k <= 5""")
 def i13(spark, d):
     rows = illustrated(spark, d).select(F.split_part("chunk_id", F.lit("_"), F.lit(1)).alias("id"), F.right("chunk_id", F.lit(4)).cast("long").alias("n"), F.posexplode("image_paths").alias("p", "path"))
-    return I.first_images(rows.select("id", "path", (F.col("n") * 10 + F.col("p")).alias("pos"))).withColumn("k", F.col("k").cast("long"))
+    return I.first_images(rows.select("id", "path", (F.col("n") * 10 + F.col("p")).alias("pos")), files=cache(spark)).withColumn("k", F.col("k").cast("long"))

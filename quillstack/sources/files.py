@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .store import exists
+
 STR, INT = T.StringType(), T.IntegerType()
 CHUNK = T.StructType([
     *[T.StructField(n, STR) for n in ("chunk_id", "pdf_name", "title_h1", "title_h2", "title_h3")], T.StructField("page_start", INT), T.StructField("page_end", INT), T.StructField("text", STR),
@@ -36,36 +41,95 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def valid_embeddings(rows: DataFrame, key: str, dense: str) -> DataFrame:
-    """Rows with a key and a vector without nulls."""
-    return rows.where(F.col(key).isNotNull() & F.col(dense).isNotNull() & (F.size(dense) > 0) & ~F.exists(dense, lambda x: x.isNull()))
+def valid_embeddings(rows: DataFrame, key: str, dense: str, sparse: str | None = None) -> DataFrame:
+    """Rows with a key, a vector without nulls and, where the column is named, a sparse map."""
+    fine = F.col(key).isNotNull() & F.col(dense).isNotNull() & (F.size(dense) > 0) & ~F.exists(dense, lambda x: x.isNull())
+    return rows.where(fine if sparse is None else fine & F.col(sparse).isNotNull())
 
 
-def uploaded_ids(spark: SparkSession, path: str) -> DataFrame:
+def uploaded_ids(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
     """Only the key column is read."""
-    return spark.read.parquet(path).select("chunk_id")
+    return spark.read.parquet(path).select(key)
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files with size and hash, sorted by lower-cased name where listed."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    """Files with size and hash. Only what is asked for is read: without content and hash, a listing."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def _per_file(files: DataFrame, read: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    """path, the fields of each row that read() makes of a file's bytes, and error: a file that fails is one row with its error and no fields."""
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out += [{"path": path, "error": None, **row} for row in read(bytes(content))]
+                except Exception as e:  # a damaged file mustn't end the scan; its row says what was wrong
+                    out.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=["path", "error", *names]).astype(object)
+
+    return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
+
+
+def pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], schema: str, pattern: str = "*.pdf") -> DataFrame:
+    """A row per page of each file, by a given parser of its bytes, with the fields of schema; files that can't be parsed are a row with their error."""
+    return _per_file(binary_files(spark, path, pattern), parser, schema)
+
+
+def image_size(content: bytes) -> tuple[int, int]:
+    """Width and height as the header of a PNG, GIF or JPEG states them."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    if content[:6] in (b"GIF87a", b"GIF89a") and len(content) >= 10:
+        return int.from_bytes(content[6:8], "little"), int.from_bytes(content[8:10], "little")
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 <= len(content):
+        if content[at] != 0xFF:
+            break
+        kind = content[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header, not a table's
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 if kind == 0x01 or 0xD0 <= kind <= 0xD7 else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    raise ValueError("no size in the header")
+
+
+def image_files(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg,gif}") -> DataFrame:
+    """Images with size, hash, width and height; an image that can't be read has its error."""
+    files = binary_files(spark, path, pattern)
+    sizes = _per_file(files, lambda c: [dict(zip(("width", "height"), image_size(c), strict=True))], "width int, height int")
+    return files.drop("content").join(sizes, "path")
+
+
 def write_chunks(rows: DataFrame, path: str) -> None:
-    """K1, K4: by manual, sorted by page inside files, so that filters on both prune."""
-    rows.repartition("pdf_name").sortWithinPartitions("page_start").write.mode("overwrite").partitionBy("pdf_name").parquet(path)
+    """K1, K4: by manual, sorted by page inside files, with Bloom filters on the titles, so that filters on any of the four prune files or row groups."""
+    writer = rows.repartition("pdf_name").sortWithinPartitions("page_start").write.mode("overwrite").partitionBy("pdf_name")
+    for c in ("title_h1", "title_h2"):
+        if c in rows.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
 
 
 def upsert(new: DataFrame, path: str, key: str = "chunk_id") -> None:
     """K2, K3: rows whose key isn't there are appended, so a repeated run changes nothing."""
     spark = new.sparkSession
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
+    if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """K5, K6"""
+    """K5"""
     rows.write.mode("append").json(path)
+
+
+def write_report(rows: DataFrame, folder: str, name: str, when: datetime | None = None) -> str:
+    """K6: a report under a name with the time, as one JSON file's folder; its path."""
+    path = f"{folder.rstrip('/')}/{name}_{(when or datetime.now()).strftime('%Y%m%d_%H%M%S')}"
+    rows.coalesce(1).write.mode("overwrite").json(path)
+    return path

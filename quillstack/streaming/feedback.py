@@ -20,6 +20,35 @@ def once_per_message(stream: DataFrame, key: str = "message_id", time: str = "ts
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+SESSION = "conv_id string, n_messages long, n_turns long, last_query string, submitted array<long>"
+
+
+def sessions(stream: DataFrame, turns: int = 50) -> DataFrame:
+    """T4: a conversation's state after each batch: messages and turns counted, its last question, messages judged (each once).
+
+    stream: conv_id, kind (message or feedback), message_id, query, answer, action. A refused question (action `reject`) is a message but no turn of the history; a repeated judgement of
+    a message changes nothing. What is kept of a conversation is bounded: counts, the last question, the ids judged among its last `turns` messages.
+    """
+
+    def update(key, batches, state):
+        import pandas as pd
+
+        messages, kept, last, judged = state.get if state.exists else (0, 0, "", [])
+        judged = list(judged)
+        for rows in batches:
+            for r in rows.sort_values("message_id", kind="stable").itertuples():
+                if r.kind == "feedback":
+                    judged = judged if r.message_id in judged else [*judged, int(r.message_id)][-turns:]
+                    continue
+                messages += 2
+                if r.action != "reject":
+                    kept, last = kept + 1, r.query or ""
+        state.update((messages, kept, last, judged))
+        yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [messages], "n_turns": [kept], "last_query": [last], "submitted": [judged]})
+
+    return stream.groupBy("conv_id").applyInPandasWithState(update, SESSION, "n_messages long, n_turns long, last_query string, submitted array<long>", "update", "NoTimeout")
+
+
 def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
     """Each batch's new keys are appended; a batch that is run again adds nothing."""
     return stream.writeStream.foreachBatch(lambda batch, _: upsert(batch, target, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,8 @@ from quillstack.operators import normalise as N
 from quillstack.operators import reports as Q
 from quillstack.operators import retrieval as R
 from quillstack.operators import structure as S
-from quillstack.sources import files
+from quillstack.sources import files, store
+from quillstack.sources import settings as config
 from quillstack.streaming import feedback
 
 
@@ -47,13 +48,16 @@ def test_stubs(spark, text, h3, stays):
 
 
 def test_greedy_packing(spark):
-    assert one(spark, "a b c.d e f g.h i.", lambda c: N.packed(X.sentences(c), 8)) == ["a b c.", "d e f g.h i."]
-    assert one(spark, "a b c d e f.g.", lambda c: N.packed(X.sentences(c), 3)) == ["a b c d e f.", "g."]
+    assert one(spark, "a b c!d e f g!h i!", lambda c: N.packed(X.sentences(c), 8)) == ["a b c!", "d e f g!h i!"]
+    assert one(spark, "a b c d e f! g!", lambda c: N.packed(X.sentences(c), 3)) == ["a b c d e f!", "g!"]
+    assert one(spark, "a b。 c d！\ne", lambda c: N.packed(X.sentences(c), 100)) == ["a b。c d！e"]
 
 
 def test_sentences(spark):
     assert one(spark, "甲。。乙！！丙", X.sentences) == ["甲。", "乙！", "丙"]
-    assert one(spark, "。。", X.sentences) == ["。。"]
+    assert one(spark, "。。", X.sentences) == ["。。"] and one(spark, " 。。", X.sentences) == ["。"]
+    assert one(spark, "See v1.5 of 3.2 gpm. Next!  Last", X.sentences) == ["See v1.5 of 3.2 gpm. Next!", "Last"]
+    assert one(spark, " \n", X.sentences) == [] and one(spark, None, X.sentences) == []
 
 
 def test_clusters(spark):
@@ -76,7 +80,7 @@ def test_solid_images(spark):
 def test_captioner_retries_and_marks(spark):
     paths = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
     said = lambda p: {"a": "fine", "b": ""}[p]
-    assert {r.path: r.caption for r in I.caption(paths, said).collect()} == {"a": "fine", "b": I.FAILED, "c": I.FAILED}
+    assert {r.path: r.caption for r in I.caption(paths, said, wait=0.0).collect()} == {"a": "fine", "b": I.FAILED, "c": I.FAILED}
 
 
 def test_fusion_of_legs(spark):
@@ -92,8 +96,10 @@ def test_neighbours(spark):
 
 
 def test_budget_stops_at_overflow(spark):
-    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 1), (2, 1, 11)], "query_id long, rank int, n_tokens int")
-    assert [(r.query_id, r["rank"]) for r in R.within_budget(rows, 10).collect()] == [(1, 1)]
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 1), (2, 1, 11)], "query_id long, rank int, n int")
+    rows = rows.select("query_id", "rank", F.repeat(F.lit("w "), F.col("n")).alias("text"), *[F.lit("").alias(c) for c in ("page_start", "title_h1", "title_h2", "title_h3")])
+    words = lambda b: F.regexp_count(b, F.lit("w"))
+    assert [(r.query_id, r["rank"]) for r in R.within_budget(rows, 10, words).collect()] == [(1, 1)]
 
 
 def test_history_skips_and_stops(spark):
@@ -164,3 +170,287 @@ def test_sinks(spark, tmp_path):
     assert files.uploaded_ids(spark, f"{tmp_path}/chunks").count() == 2
     files.write_json(rows, f"{tmp_path}/log")
     assert files.binary_files(spark, f"{tmp_path}/log", "*.json").count() >= 1
+
+
+NAME = [("F-16C (v1.5).pdf", "f16cv15"), ("雷电_手册-甲.pdf", "雷电_手册-甲"), ("雷 电/甲:乙.v2.pdf", "v2"), ("雷电 手册.pdf", "雷电手册")]
+
+
+@pytest.mark.parametrize("name,slug", NAME)
+def test_slugs(spark, name, slug):
+    assert one(spark, name, X.slug) == slug
+
+
+def test_slug_without_letters_is_a_hash_of_the_name(spark):
+    import hashlib
+
+    assert one(spark, " . .pdf", X.slug) == "pdf_" + hashlib.sha256(b" . .pdf").hexdigest()[:12]
+
+
+def test_tokens_are_han_letters_runs_and_signs(spark):
+    import random
+
+    import regex
+
+    slow = regex.compile(r"\p{Han}|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1 é汉字\n\t-.ñß٣あ。x") for _ in range(40)) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.tokens(F.col("t")).alias("r"), X.token_count(F.col("t")).alias("n")).collect()
+    assert [r.r for r in got] == [slow.findall(t) for t in texts] and all(len(r.r) == r.n for r in got)
+
+
+def test_lines(spark):
+    for text in ("a\r\nb\rc\n", "", "\n", "a\n\nb", "x y\x0bz"):
+        assert one(spark, text, X.lines) == text.splitlines()
+
+
+def test_blocks_are_lines_from_one_start_to_the_next(spark):
+    text = "intro\n1. one\nmore\n\n  步骤 2 two\r\n第三章 title\n  \n- item\n（四） item"
+    assert one(spark, text, lambda c: N.splitters(c)["step"]) == ["intro", "1. one\nmore", "步骤 2 two\n第三章 title\n  \n- item\n（四） item"]
+    assert one(spark, text, lambda c: N.splitters(c)["title_list"]) == ["intro\n1. one\nmore\n\n  步骤 2 two", "第三章 title", "- item", "（四） item"]
+    assert one(spark, "a。 b\nc; d.e f", lambda c: N.splitters(c)["sentence"]) == ["a。", "b c;", "d.e f"]
+    assert one(spark, " \n ", lambda c: F.concat(*N.splitters(c).values())) == []
+
+
+def test_one_large_sentence_is_one_part(spark):
+    rows = spark.createDataFrame([("m", 1, "m_0001", "w " * 30), ("m", 2, "m_0002", "short"), ("m", 3, "m_0003", None)], "doc string, ord long, chunk_id string, text string")
+    got = N.split_large(rows, most=20, target=10).orderBy("ord").collect()
+    assert [(r.chunk_id, r.split_group_id, r.prev_chunk_id, r.next_chunk_id) for r in got] == [("m_0001_part0", "m_0001", None, "m_0002"), ("m_0002", None, "m_0001_part0", "m_0003"), ("m_0003", None, "m_0002", None)]
+    assert got[0].text == ("w " * 30).strip() and got[2].text is None
+
+
+def test_links_are_chased_past_removed_chunks(spark):
+    # b to e are removed, f and g point at each other's removed neighbour in a cycle, h at nothing that exists
+    rows = [("a", None, "b"), ("b", "a", "c"), ("c", "b", "d"), ("d", "c", "e"), ("e", "d", "k"), ("k", "e", None), ("f", "x", "x"), ("x", "y", "y"), ("y", "x", "x"), ("h", "zz", None)]
+    gone = {"b", "c", "d", "e", "x", "y"}
+    frame = spark.createDataFrame([("m", i, *r, r[0] in gone, "t") for i, r in enumerate(rows)], "doc string, ord long, chunk_id string, prev_chunk_id string, next_chunk_id string, gone boolean, text string")
+    got = {r.chunk_id: (r.prev_chunk_id, r.next_chunk_id) for r in S.chased(frame, "gone").collect()}
+    assert got == {"a": (None, "k"), "k": ("a", None), "f": (None, None), "h": ("zz", None)}
+
+
+def test_garbage_of_whole_chains(spark):
+    rows = lambda texts: spark.createDataFrame([("m", i, f"m{i}", f"m{i - 1}" if i else None, f"m{i + 1}" if i + 1 < len(texts) else None, t) for i, t in enumerate(texts)], "doc string, ord long, chunk_id string, prev_chunk_id string, next_chunk_id string, text string")
+    big = "w " * 25
+    kept, removed = N.garbage(rows(["x", big, "x", big, "x"]))
+    assert [(r.chunk_id, r.prev_chunk_id, r.next_chunk_id) for r in kept.orderBy("ord").collect()] == [("m1", None, "m3"), ("m3", "m1", None)] and removed.count() == 3
+    assert N.garbage(rows(["x", "y"]))[0].count() == 0
+
+
+def test_text_is_cut_from_its_title(spark):
+    chunk = "doc string, chunk_id string, title string, page_start long, page_end long, y_start double, y_end double, margin_top double, body_bottom double"
+    line = "doc string, page long, y0 double, y1 double, text string"
+    rows = [("d", 1, 60.0, 70.0, "before F-15"), ("d", 1, 80.0, 90.0, "F-15 在 战场 (1) on"), ("d", 2, 60.0, 70.0, "next page"), ("d", 2, 50.0, 58.0, "header"), ("d", 2, 744.0, 750.0, "footer"), ("d", 2, 500.0, 510.0, "below")]
+    got = lambda title, end, y_end=None: S.fill_text(spark.createDataFrame([("d", "c", title, 1, end, 60.0, y_end, 55.0, 745.0)], chunk), spark.createDataFrame(rows, line)).first()["text"]
+    assert got("F-15在战场(1)", 1) == "F-15 在 战场 (1) on"
+    assert got("F-15 在战场", 2, 500.0) == "F-15 在 战场 (1) on\nnext page"
+    assert got("absent", 2) == "next page\nbelow" and got("absent", 1) == ""
+    assert got("", 1) == "before F-15\nF-15 在 战场 (1) on"
+
+
+def test_reading_order_follows_links(spark):
+    rows = [
+        (1, "b", 2, "a", None), (1, "a", 2, None, "b"), (1, "z", 1, None, None), (1, "k2", 2, "q", "k1"), (1, "k1", 2, "k2", "b"),
+        (2, "x", 5, "y", "y"), (2, "y", 5, "x", "x"), (3, "m", "bad", "", "n"), (3, "n", None, "m", " "),
+        (4, "h", 1, None, "u"), (4, "u", 1, "v", "v"), (4, "v", 1, "u", "u"), (4, "s", 1, "t", "t"), (4, "t", 1, "s", "s"),
+    ]
+    frame = spark.createDataFrame([(q, i, None if p is None else str(p), a, b) for q, i, p, a, b in rows], "query_id long, id string, page_start string, prev_chunk_id string, next_chunk_id string")
+    got = {}
+    for r in R.reading_order(frame).orderBy("query_id", "k").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    # on page 2 chains begin at a (then b) and at k2; a cycle alone is walked by id; a cycle beside a chain is left and goes by id
+    assert got == {1: ["z", "a", "b", "k2", "k1"], 2: ["x", "y"], 3: ["m", "n"], 4: ["h", "u", "v", "s", "t"]}
+
+
+def test_context_of_untitled_chunks(spark):
+    frame = spark.createDataFrame([(1, "a", 3, " ", None, "", None, None, "body"), (1, "b", 1, "A", "", "C", None, None, None)], "query_id long, id string, page_start int, title_h1 string, title_h2 string, title_h3 string, prev_chunk_id string, next_chunk_id string, text string")
+    got = R.context(frame).first()
+    assert got["context"] == "---chunk_1（第1页 · A › C）---\n\n\n---chunk_2（第3页）---\nbody" and got["labels"] == {"chunk_1": "b", "chunk_2": "a"}
+
+
+def test_budget_counts_the_labelled_block(spark):
+    rows = spark.createDataFrame([(1, 1, "w " * 5), (1, 2, "w")], "query_id long, rank int, text string").select("*", *[F.lit(v).alias(n) for n, v in (("page_start", 1), ("title_h1", "T"), ("title_h2", ""), ("title_h3", ""))])
+    sizes = [r.n_tokens for r in R.within_budget(rows, 1000).orderBy("rank").collect()]
+    assert sizes[0] - sizes[1] == 4 and sizes[1] > 10
+    assert [r["rank"] for r in R.within_budget(rows, sizes[0]).collect()] == [1] and R.within_budget(rows, sizes[0] - 1).count() == 0
+
+
+def test_dense_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[100:160] = x[7]
+    vectors = spark.createDataFrame([(f"v{i:03}", [float(c) for c in v], i % 3) for i, v in enumerate(x)] + [("null", None, 0), ("zero", [0.0] * 8, 0), ("short", [1.0], 0), ("nan", [float("nan")] * 8, 0)], "id string, vector array<double>, grp int")
+    asked = spark.createDataFrame([(i, [float(c) for c in x[i]], None if i % 2 else i % 3) for i in range(30)] + [(99, [0.0] * 8, None)], "query_id long, qv array<double>, wanted int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: sorted(((-round(float(u[i] @ u[j]), 6), f"v{j:03}") for j in range(400) if i % 2 or j % 3 == i % 3))[:5] for i in range(30)}
+    for at_once in (4096, 7):
+        monkeypatch.setattr(R, "QUERIES_AT_ONCE", at_once)
+        got = {}
+        for r in R.dense_top_k(asked, vectors, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.id))
+        assert got.keys() == want.keys()
+        for i in want:
+            assert [b for _, b in got[i]] == [b for _, b in want[i]] and np.allclose([a for a, _ in got[i]], [a for a, _ in want[i]], atol=1e-9)
+    assert R.dense_top_k(asked.limit(0), vectors, 5).count() == 0
+
+
+def test_encoder_is_made_once_a_task(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make():
+        made.add(1)
+        return lambda texts: [([float(len(t)), float(len(texts))], {1: 1.0}) for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(70)], "chunk_id long, text string").coalesce(1)
+    got = R.encode(rows, make, batch=32).orderBy("chunk_id").collect()
+    assert made.value == 1 and [r.dense[0] for r in got] == list(range(70)) and {r.dense[1] for r in got} == {32.0, 6.0}
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "One two three four five."), (2, "xone two three fourth"), (3, "one Two three four"), (4, None), (5, "ab")], "id long, text string")
+    index = R.postings(docs, "id")
+    asked = spark.createDataFrame([(1, "one two three four"), (2, "three four"), (3, "b"), (4, "One two"), (5, "no such words here")], "query_id long, text string")
+    assert sorted((r.query_id, r.id) for r in R.containing(asked, docs, index).collect()) == [(1, 2), (2, 1), (2, 2), (2, 3), (3, 5), (4, 1)]
+
+
+def test_failed_generation_is_told(spark):
+    def generate(query, context, history):
+        if query == "bad":
+            raise RuntimeError("down")
+        return '{"answer": "%s %d", "used_chunks": ["chunk_1", "id2", "x"]}' % (context, len(history))
+
+    rows = spark.createDataFrame([(1, "q", "c", {"chunk_1": "id1", "chunk_2": "id2"}, [{"query": "a", "answer": "b"}]), (2, "bad", "c", {}, None)], "query_id long, query string, context string, labels map<string, string>, history array<struct<query: string, answer: string>>")
+    got = {r.query_id: (r.answer, r.used) for r in C.answered(rows, generate).collect()}
+    assert got == {1: ("c 1", ["id1", "id2"]), 2: ("生成失败：down", [])}
+
+
+def test_payload_with_json_hint(spark):
+    rows = spark.createDataFrame([([("system", " be "), ("user", "hi"), ("assistant", ""), ("user", "there")],), ([("assistant", "a")],)], "m array<struct<role: string, content: string>>")
+    got = [r.g for r in rows.select(C.google_payload(F.col("m"), True).alias("g")).collect()]
+    assert got[0].system_instruction == "be" and [(p.role, p.text) for p in got[0].contents] == [("user", "hi"), ("user", "there\n\n" + C.JSON_HINT)]
+    assert got[1].system_instruction is None and [(p.role, p.text) for p in got[1].contents] == [("model", "a"), ("user", C.JSON_HINT)]
+
+
+@pytest.mark.parametrize("reply,want", [('```JSON\n{"action": "Reject", "query": "x"}\n```', ("reject", "", "")), (None, ("search", "hm", "api_error")), ("{}", ("search", "hm", "")), ("oops", ("search", "hm", "parse_error"))])
+def test_route_by_reply(spark, reply, want):
+    frame = spark.createDataFrame([("hm", reply)], "t string, r string")
+    assert tuple(frame.select(C.route(F.col("t"), F.col("r")).alias("x")).first()["x"]) == want
+
+
+def test_rectangles_are_taken_once(spark):
+    box = "doc string, page long, id long, x0 double, y0 double, x1 double, y1 double"
+    blocks = spark.createDataFrame([("d", 1, 1, 0.0, 0.0, 9.0, 9.0), ("d", 1, 2, 0.0, 0.5, 9.0, 9.0), ("d", 1, 3, 50.0, 0.0, 60.0, 9.0)], box)
+    placements = spark.createDataFrame([("d", 1, 7, 0.2, 0.2, 9.0, 9.0), ("d", 1, 8, 1.9, 0.0, 9.0, 9.0), ("d", 2, 9, 50.0, 0.0, 60.0, 9.0)], box)
+    assert {r.id: (r.other, r.far) for r in Q.match_rectangles(blocks, placements).collect()} == {1: (7, 0.2), 2: (8, 1.9)}
+
+
+def test_captioner_waits_longer_each_time(monkeypatch, spark):
+    import time
+
+    said = []
+    monkeypatch.setattr(time, "sleep", said.append)
+    captions = I.caption(spark.createDataFrame([("a",)], "path string"), lambda p: 1 / 0, wait=0.01)
+    assert captions.first()["caption"] == I.FAILED
+
+
+def png(width, height):
+    return b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big") + b"\x08\x02"
+
+
+def test_image_files(spark, tmp_path):
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x21\x00\x37\x01\x01\x11\x00"
+    for name, content in (("a.png", png(640, 48)), ("b.gif", b"GIF89a\x07\x00\x05\x00"), ("c.jpg", jpeg), ("broken.png", b"no image")):
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.image_files(spark, str(tmp_path)).collect()}
+    assert {n: (r.width, r.height) for n, r in got.items()} == {"a.png": (640, 48), "b.gif": (7, 5), "c.jpg": (55, 33), "broken.png": (None, None)}
+    assert "ValueError" in got["broken.png"].error and got["a.png"].error is None and got["a.png"].bytes == len(png(640, 48))
+    raw = I.encoded(files.binary_files(spark, str(tmp_path), "c.jpg")).first()
+    import base64
+
+    assert base64.b64decode(raw["base64"]) == jpeg
+    again = I.encoded(files.binary_files(spark, str(tmp_path), "c.jpg"), lambda c: c[:2]).first()
+    assert base64.b64decode(again["base64"]) == b"\xff\xd8"
+
+
+def test_pages_by_a_given_parser(spark, tmp_path):
+    (tmp_path / "m.pdf").write_bytes(b"one\x0ctwo")
+    (tmp_path / "bad.pdf").write_bytes(b"x")
+
+    def parser(content):
+        if content == b"x":
+            raise ValueError("no pages")
+        return [{"page": i, "text": t.decode()} for i, t in enumerate(content.split(b"\x0c"), 1)]
+
+    got = sorted((r.path.rsplit("/", 1)[1], r.page or 0, r.text, r.error) for r in files.pages(spark, str(tmp_path), parser, "page int, text string").collect())
+    assert got == [("bad.pdf", 0, None, "ValueError: no pages"), ("m.pdf", 1, "one", None), ("m.pdf", 2, "two", None)]
+
+
+def test_settings_and_names(tmp_path):
+    text = '# c\nmanuals:\n  "A:B “x”":\n    margin_top: 55\n  default:\n    margin_top: 50 # note\nurl: "http://h:1"\nflag: false\nempty:\nlist:\n  - a\n  - \'b c\'\nrouter:\n  kinds: [x, "y"]\n'
+    found = config.settings(text)
+    assert found["manuals"] == {"A:B “x”": {"margin_top": "55"}, "default": {"margin_top": "50"}} and found["list"] == ["a", "b c"]
+    assert config.setting(found, "url") == "http://h:1" and config.setting(found, "router.kinds") == ["x", "y"] and config.setting(found, "empty") is None and config.setting(found, "no.such") is None
+    for name in ("b.pdf", "A.pdf", "ab [1].pdf", "c.txt"):
+        (tmp_path / name).write_text("")
+    assert config.manuals(str(tmp_path)) == ["A.pdf", "ab [1].pdf", "b.pdf"] and config.manuals("/no/such") == []
+    assert config.manuals(str(tmp_path), [" z ", "y", "z", ""]) == ["z", "y"]
+    assert config.resolve(str(tmp_path), "b").name == "b.pdf" and config.resolve(str(tmp_path), "ab*").name == "ab [1].pdf"
+    with pytest.raises(FileNotFoundError, match="no file"):
+        config.resolve(str(tmp_path), "nothing")
+    with pytest.raises(FileNotFoundError, match="may be any of"):
+        config.resolve(str(tmp_path), "*")
+
+
+def test_report_and_scratch(spark, tmp_path):
+    from datetime import datetime
+
+    path = files.write_report(spark.range(2), str(tmp_path), "report", datetime(2026, 1, 2, 3, 4, 5))
+    assert path.endswith("report_20260102_030405") and spark.read.json(path).count() == 2
+    with store.freed(spark):
+        first = store.stored(spark.range(3), "a")
+        second = store.stored(first, "b")
+    assert second.count() == 3 and not store.exists(spark, first.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, other: other)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = dict
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.shared_dir(Elsewhere)
+
+
+def test_index_follows_its_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    made = []
+    build = lambda: (made.append(1), spark.read.parquet(path))[1]
+    assert store.once(spark, "x", path, build).count() == 3 and store.once(spark, "x", path, build).count() == 3 and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    assert store.once(spark, "x", path, build).count() == 5
+
+
+def test_sessions(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [("c", "message", 1, "q1", "a1", "search"), ("c", "message", 2, "q2", "a2", "reject"), ("c", "feedback", 1, None, None, None), ("c", "feedback", 1, None, None, None), ("d", "message", 1, "x", "y", "chat")]
+    names = ("conv_id", "kind", "message_id", "query", "answer", "action")
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+    stream = feedback.feedback_stream(spark, f"{tmp_path}/in", "conv_id string, kind string, message_id long, query string, answer string, action string")
+    out = feedback.sessions(stream).writeStream.outputMode("update").format("memory").queryName("sessions").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = {r.conv_id: r for r in spark.table("sessions").collect()}
+    assert (got["c"].n_messages, got["c"].n_turns, got["c"].last_query, got["c"].submitted) == (4, 1, "q1", [1]) and got["d"].n_turns == 1
+
+
+def test_messages_count_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps({"message_id": m, "ts": f"2026-01-01T00:0{i}:00"}) for i, m in enumerate("aab")))
+    stream = feedback.once_per_message(feedback.feedback_stream(spark, f"{tmp_path}/in", "message_id string, ts timestamp"))
+    stream.writeStream.format("memory").queryName("messages").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.message_id for r in spark.table("messages").collect()) == ["a", "b"]
