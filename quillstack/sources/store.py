@@ -88,4 +88,5 @@ def once(spark: SparkSession, name: str, path: str, build: Callable[[], DataFram
     key = (spark.sparkContext.applicationId, name, path, version(spark, path))
     if key not in _kept:
         _kept[key] = stored(build(), name)
+        _tables.pop()  # outlives any freed() around it
     return _kept[key]
