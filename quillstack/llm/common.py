@@ -1,56 +1,19 @@
-"""Plumbing that the operators share: the shared folder, prefix sums, connected components."""
+"""Plumbing that the operators share: prefix sums, connected components, names that are free. Tables go to the shared folder by the library's store."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_A_FILE = 500_000
-_RUN = uuid.uuid4().hex[:12]
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-    path = f"{base.rstrip('/')}/quillstack-{_RUN}"
-    if path not in _made:
-        _made.add(path)
-        atexit.register(_remove, spark, path)
-    return path
+from ..sources.store import freed, stored
 
+__all__ = ["components", "freed", "numbered_columns", "running_start", "stored", "table"]
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone by then; the folder is only scratch space
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-
-def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
-
-    rows: about how many narrow rows there are at most; they are dealt to files by that, not one a partition.
-    narrow: rows are small against what they were made of, but their number isn't known; they are dealt to two files a core.
-    """
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.repartition(max(8, -(-rows // ROWS_A_FILE)))
-    elif narrow:
-        df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df under plain column names, in order: functions over Arrow batches look columns up by names, and would take a dot in one for a field."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
