@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is encoded as the sum of one full-dimensional codeword from each of LEVELS codebooks, fitted on residuals over a bounded sample and
-chosen by beam search; its codes, the norm of its reconstruction and the norm of its residual are stored. A block of queries scores a tile
-of codes by table lookups (for inner products; Euclidean distance adds the stored norms), keeps those that may be among
-the best, judged by the lookup score plus MARGIN deviations of what the residual can add, and reranks these on
-the original vectors in double precision. Equal vectors of a tile are one entry until the rerank, so ties are never cut at random.
+chosen by beam search; its codes and norms are stored, in files sorted by its first codeword, its cell: its own norm, the gain by which a score of its
+reconstruction is short of its own (a reconstruction keeps a part of a vector's length), and the norm of what the reconstruction has besides the vector's direction.
+Queries score codes by table lookups and the stored norms; rows that may be among the best, judged by that score plus MARGIN deviations of what the
+reconstruction's sideways part can add or take, are reranked on the original vectors in double precision. What a row must reach is, at first, the query's
+k-th best score in the sample, then its k-th best so far.
 
-Every block of queries meets every tile once, both of bounded size; a tile's best k of each query go on.
+Queries are taken in blocks of bounded size, in the order of their cells, a pass over the index each: the index isn't moved or copied. A pass reads the cells of which some query of the block
+may want a row, and a task looks at a cell for the queries that may; a task's best k of each query go on. Where vectors have no clusters at all, every
+query may want every cell, and work is queries times rows.
 """
 
 from __future__ import annotations
@@ -15,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,9 @@ from pyspark.sql.window import Window
 from .common import stored, table
 
 #: Codebooks, words in each, rows of the sample that fits them, passes of the fit, encodings kept by the beam.
-LEVELS, WORDS, SAMPLE, PASSES, BEAM = 16, 256, 8192, 5, 4
-#: Queries in a block, rows in a tile, least number of rows reranked for a query and tile, deviations of the residual's part that a row may make up for.
-QUERIES, TILE, LEAST, MARGIN = 1024, 16384, 120, 2.5
+LEVELS, WORDS, SAMPLE, PASSES, BEAM = 8, 256, 8192, 5, 4
+#: Queries in a block, queries that a task scores at once, pairs reranked at once, deviations of the residual's part that a row may make up for.
+QUERIES, AT_ONCE, PAIRS, MARGIN = 4096, 256, 65536, 2.5
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -56,10 +58,10 @@ def fit(x: np.ndarray, levels: int = LEVELS, words: int = WORDS, seed: int = 5)
     return np.stack(books)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes [n, levels] (uint8), reconstruction norms and residual norms, by beam search over the levels."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Codes [n, levels] (uint8) and reconstructions, by beam search over the levels."""
     n, words = len(x), books.shape[1]
-    codes, norms, left = np.zeros((n, len(books)), np.uint8), np.zeros(n), np.zeros(n)
+    codes, made = np.zeros((n, len(books)), np.uint8), np.zeros(x.shape, np.float32)
     for at in range(0, n, 1024):
         part = x[at : at + 1024].astype(np.float32)
         m = len(part)
@@ -73,100 +75,208 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
             rows = np.arange(m)[:, None]
             rest = rest[rows, parent] - book[word]
             kept = np.concatenate([kept[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
-        cost = (rest * rest).sum(2)
-        best = cost.argmin(1)
+        best = (rest * rest).sum(2).argmin(1)
         codes[at : at + m] = kept[np.arange(m), best]
-        left[at : at + m] = np.sqrt(cost.min(1))
-        norms[at : at + m] = np.linalg.norm(part - rest[np.arange(m), best], axis=1)
-    return codes, norms, left
+        made[at : at + m] = part - rest[np.arange(m), best]
+    return codes, made
 
 
 def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(id, v, codes, norm, left) of every vector (id, v) whose dimension is that of the codebooks."""
+    """(id, v, codes, norm, gain, aside, cell, along, off) of every vector (id, v) whose dimension is that of the codebooks.
+
+    gain times the reconstruction's score is the vector's, but for what lies aside of the vector; a reconstruction that keeps next to nothing of it has gain 1 and
+    an endless aside. cell is the first code; along and off are the vector's parts in the direction of its word and across.
+    """
     d = books.shape[2]
+    first = books[0].astype(float)
+    first /= np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten()).reshape(-1, d)
-                codes, norms, left = encode(x, books)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(left)], ["id", "v", "codes", "norm", "left"])
-
-    return vectors.where(F.size("v") == d).mapInArrow(run, "id long, v array<double>, codes binary, norm double, left double")
-
-
-def _scan(q: pd.DataFrame, t: pd.DataFrame, books: np.ndarray, k: int, euclid: bool) -> pd.DataFrame:
-    """The best k of a tile for each query of a block, by lookups and an exact rerank. Both frames are of bounded size."""
-    t = t.sort_values("id", kind="stable")
-    ids = t["id"].to_numpy()
-    x = np.stack(t["v"].to_numpy())
-    _, first, same = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
-    members = np.argsort(same, kind="stable")
-    starts = np.searchsorted(same[members], np.arange(len(first) + 1))
-    x, left, norm = x[first], t["left"].to_numpy()[first], t["norm"].to_numpy()[first]
-    codes = np.frombuffer(b"".join(t["codes"].to_numpy()[first]), np.uint8).reshape(len(first), -1).T.astype(np.intp)
-    qid, qv = q["id"].to_numpy(), np.stack(q["v"].to_numpy())
-    n, out = len(first), []
-    least = min(n, max(LEAST, 2 * k))
-    for at in range(0, len(qid), 64):
-        part = qv[at : at + 64]
-        scores = np.zeros((len(part), n), np.float32)
-        tables = np.einsum("qd,lwd->lqw", part.astype(np.float32), books)
-        for level, code in zip(tables, codes, strict=True):
-            scores += level[:, code]
-        if euclid:
-            scores = 2 * scores - (norm * norm).astype(np.float32)
-        reach = np.linalg.norm(part, axis=1)[:, None] * (left * (MARGIN * (2 if euclid else 1) / math.sqrt(qv.shape[1])))[None, :]
-        hopeful = scores + reach
-        floor = np.partition(scores, n - min(n, k + 1), axis=1)[:, n - min(n, k + 1)]
-        sure = np.partition(hopeful, n - least, axis=1)[:, n - least]
-        for i, vector in enumerate(part):
-            rows = np.flatnonzero(hopeful[i] >= min(floor[i], sure[i]))
-            exact = -((x[rows] - vector) ** 2).sum(1) if euclid else (x[rows] * vector).sum(1)
-            best = np.argsort(-exact, kind="stable")[: k + 1]
-            # of equal scores the smaller ids count: everything tied with the last goes along, a vector's first k + 1 ids each
-            tied = np.flatnonzero(exact >= exact[best[-1]])
-            found = [(-exact[r], ids[j]) for r in tied for j in members[starts[rows[r]] : starts[rows[r] + 1]][: k + 1]]
-            found = [f for f in sorted(found) if f[1] != qid[at + i]][:k]
-            out += [(qid[at + i], f[1], -f[0]) for f in found]
-    return pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-
-def codebooks(rows: DataFrame) -> np.ndarray | None:
-    """Fitted on the SAMPLE rows with the least hashes of those that have the dimension of the first of them; null of an empty table."""
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+                codes, made = encode(x, books)
+                norm, dot = np.linalg.norm(x, axis=1), (x * made).sum(1)
+                told = dot > 0.05 * norm * norm
+                gain = np.where(told, norm * norm / np.where(told, dot, 1), 1.0)
+                aside = np.where(told, gain * np.sqrt(np.maximum((made.astype(float) ** 2).sum(1) - (dot / norm) ** 2, 0)), np.inf)
+                along = (x * first[codes[:, 0]]).sum(1)
+                off = np.sqrt(np.maximum(norm * norm - along * along, 0))
+                columns = [pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (norm, gain, aside)), pa.array(codes[:, 0].astype(np.int32)), pa.array(along), pa.array(off)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "v", "codes", "norm", "gain", "aside", "cell", "along", "off"])
+
+    return vectors.where(F.size("v") == d).mapInArrow(run, "id long, v array<double>, codes binary, norm double, gain double, aside double, cell int, along double, off double")
+
+
+class Block:
+    """A block of queries, ready to be held against rows of the index. floor: what a row must reach, at first by the sample's k-th best."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, books: np.ndarray, sample: tuple[np.ndarray, np.ndarray], cells: np.ndarray, k: int, euclid: bool):
+        self.ids, self.q, self.books, self.k, self.euclid = ids, q, books, k, euclid
+        self.norms = np.linalg.norm(q, axis=1)
+        self.floor = np.full(len(q), -np.inf)
+        # the sample's best k are always reranked, so that no query gets fewer than k
+        sure_of, sure_id, sure_cell = [], [], []
+        sample_cells = encode(sample[1], books)[0][:, 0].astype(int)
+        for at in range(0, len(q), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            near = q[part] @ sample[1].T
+            if euclid:
+                near = 2 * near - (sample[1] ** 2).sum(1) - (q[part] ** 2).sum(1)[:, None]
+            near[ids[part][:, None] == sample[0][None, :]] = -np.inf
+            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :] if near.shape[1] >= k else np.tile(np.arange(near.shape[1]), (len(near), 1))
+            if near.shape[1] >= k:
+                self.floor[part] = np.take_along_axis(near, top, 1).min(1)
+            sure_of.append(np.repeat(np.arange(at, at + len(near)), top.shape[1]))
+            sure_id.append(sample[0][top].ravel())
+            sure_cell.append(sample_cells[top].ravel())
+        sure_of, sure_id, sure_cell = map(np.concatenate, (sure_of, sure_id, sure_cell))
+        order = np.argsort(sure_id, kind="stable")
+        self.sure_of, self.sure_id, self.sure_cells = sure_of[order], sure_id[order], np.unique(sure_cell)
+        # rounding must not shut out the very rows that the floor was made of
+        self.floor -= 1e-9 * (1 + np.abs(np.where(np.isfinite(self.floor), self.floor, 0)))
+        self.cells = cells
+
+    def wants(self) -> np.ndarray:
+        """[queries, cells] whether a row of the cell may reach the floor. cells: rows, largest along and off of each.
+
+        Of n rows the best lies about sqrt(2 ln n) deviations out, by what they have across the word's direction.
+        """
+        n, along, off = self.cells.T
+        if self.euclid:
+            return np.ones((len(self.q), len(n)), bool) & (n > 0)
+        first = self.books[0].astype(float)
+        toward = self.q @ (first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-300)).T
+        across = np.sqrt(np.maximum(self.norms[:, None] ** 2 - toward**2, 0))
+        out = MARGIN + np.sqrt(2 * np.log(np.maximum(n, 2)))
+        return (np.maximum(toward * along, 0) + across * (off * out / math.sqrt(self.q.shape[1])) >= self.floor[:, None]) & (n > 0)
+
+    def scan(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best k of a task's rows (id, v, codes, norm, gain, aside, cell) for each query, by lookups and an exact rerank."""
+        wants, floor = self.wants(), self.floor.copy()
+        levels, words, d = self.books.shape
+        tables = np.ascontiguousarray((self.q.astype(np.float32) @ self.books.reshape(-1, d).T).reshape(-1, levels, words).transpose(1, 0, 2))
+        spread = (MARGIN * (2 if self.euclid else 1) / math.sqrt(d) * self.norms).astype(np.float32)
+        lifted = floor + (self.norms**2 if self.euclid else 0)
+        kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+        def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            at, score, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((ids, -score, at))
+            order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < self.k]
+            at, score, ids = at[order], score[order], ids[order]
+            full = np.flatnonzero(np.bincount(at, minlength=len(floor)) >= self.k)
+            floor[full] = np.maximum(floor[full], score[np.searchsorted(at, full, side="right") - 1])
+            lifted[full] = floor[full] + (self.norms[full] ** 2 if self.euclid else 0)
+            return at, score, ids
+
+        def reranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+            """(query, score, id) of the pairs of a query and a row that reach the floor."""
+            other = self.ids[a] != ids[b]
+            a, b, exact = a[other], b[other], []
+            for k in range(0, len(a), PAIRS):
+                u, w = self.q[a[k : k + PAIRS]], x[b[k : k + PAIRS]]
+                exact.append(-((w - u) ** 2).sum(1) if self.euclid else (w * u).sum(1))
+            score = np.concatenate(exact) if exact else np.zeros(0)
+            good = score >= floor[a]
+            return a[good], score[good], ids[b[good]]
+
+        def hold(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Queries against rows by lookups; what may reach the floor is reranked, but for the sure pairs."""
+            near, got = np.zeros((len(queries), len(rows)), np.float32), np.empty((len(queries), len(rows)), np.float32)
+            for table_, code in zip(tables, codes, strict=True):
+                near += np.take(table_[queries], code[rows], axis=1, out=got, mode="clip")
+            near *= gain[rows]
+            if self.euclid:
+                near = 2 * near - norm[rows] ** 2
+            near += np.multiply(spread[queries][:, None], aside[rows][None, :], out=got)
+            a, b = np.nonzero(near >= lifted[queries][:, None])
+            a, b = queries[a], rows[b]
+            new = ~np.isin(a * np.int64(n) + b, sure_pairs)
+            return reranked(a[new], b[new])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids, cell = batch.column(0).to_numpy(), batch.column(6).to_numpy()
+            norm, gain, aside = (batch.column(c).to_numpy().astype(np.float32) for c in (3, 4, 5))
+            x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1).T.astype(np.intp)
+            low, high = np.searchsorted(self.sure_id, ids), np.searchsorted(self.sure_id, ids, side="right")
+            sure_rows = np.repeat(np.arange(n), high - low)
+            sure_of = self.sure_of[np.arange(len(sure_rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+            sure_pairs = np.unique(sure_of * np.int64(n) + sure_rows)  # an id that occurs twice is sure twice
+            found = reranked(sure_pairs // n, sure_pairs % n)
+            if len(found[0]):
+                kept = best([kept, found])
+            runs = np.split(np.arange(n), np.flatnonzero(np.diff(cell)) + 1)
+            if wants[:, np.unique(cell)].mean() > 0.5:  # cells tell little here
+                runs = [np.arange(n)]
+            for rows in runs:
+                queries = np.flatnonzero(wants[:, cell[rows[0]]]) if len(runs) > 1 else np.flatnonzero(wants[:, np.unique(cell)].any(1))
+                for at in range(0, len(queries), AT_ONCE):
+                    found = hold(queries[at : at + AT_ONCE], rows)
+                    if len(found[0]):
+                        kept = best([kept, found])
+        at, score, who = kept
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[at], pa.int64()), pa.array(who, pa.int64()), pa.array(score, pa.float64())], ["query_id", "id", "score"])
+
+
+def sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, vectors) of the SAMPLE rows with the least hashes of ids that have the dimension most frequent there; None of an empty table."""
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
     if not len(few):
         return None
-    d = few.map(len).mode()[0]
-    return fit(np.stack([v for v in few if len(v) == d]))
+    few = few[few["v"].map(len) == few["v"].map(len).mode()[0]]
+    return few["id"].to_numpy(), np.stack(few["v"])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "ip") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query, all other vectors being candidates.
 
     metric: "ip" (largest inner product) or "l2" (score is minus the squared distance). Scores are exact, in double precision; equal scores go by the smaller
-    id. Vectors that usable() drops take no part, nor do those of another dimension than the sample's most frequent. A vector id that
-    occurs twice is a candidate twice and a query once, and no candidate of its own queries.
+    id. Vectors that usable() drops take no part, null ids neither, nor do those of another dimension than the sample's most frequent. A vector id that
+    occurs twice is a candidate twice and a query once (its first vector by value), and no candidate of its own queries. An empty table, or one without queries, gives an empty one.
+    Only the two named columns are read, so others may have any name.
     """
     rows = usable(vectors, id_col, vector_col)
-    books = codebooks(rows)
     spark = vectors.sparkSession
-    if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    coded = stored(index(rows, books), "codes")
-    n, n_queries = coded.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    tiles, blocks = max(1, math.ceil(n / TILE)), max(1, math.ceil(n_queries / QUERIES))
-    asked = coded.where(is_query).groupBy("id").agg(F.first("v").alias("v"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(blocks))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    tiled = coded.withColumn("tile", F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    euclid = metric == "l2"
-
-    def scan(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(t):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _scan(q, t, books, k, euclid)
-
-    found = asked.groupBy("block", "tile").cogroup(tiled.groupBy("block", "tile")).applyInPandas(scan, "query_id long, id long, score double")
+    sample = sampled(rows)
+    none = spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    if sample is None:
+        return none
+    books, euclid = fit(sample[1]), metric == "l2"
+    coded = stored(index(rows, books).sortWithinPartitions("cell"), "codes")
+    cells = np.zeros((books.shape[1], 3))
+    for r in coded.groupBy("cell").agg(F.count(F.lit(1)).cast("double").alias("n"), F.max("along").alias("a"), F.max("off").alias("o")).collect():
+        cells[r["cell"]] = r["n"], r["a"], r["o"]
+
+    # blocks of queries of neighbouring cells; a block's place is told by its cell and, where a cell has many, by a hash
+    asked = coded.where(is_query).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
+    blocks, taken = [[]], 0
+    for r in asked.groupBy("cell").count().orderBy("cell").collect():
+        parts = math.ceil(r["count"] / QUERIES)
+        if parts == 1 and taken + r["count"] <= QUERIES:
+            blocks[-1].append(F.col("cell") == r["cell"])
+            taken += r["count"]
+        else:
+            blocks += [[(F.col("cell") == r["cell"]) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == i)] for i in range(parts)]
+            taken = r["count"] if parts == 1 else QUERIES
+    if blocks == [[]]:
+        return none
+    found = None
+    for conditions in filter(None, blocks):
+        mine = conditions[0]
+        for c in conditions[1:]:
+            mine = mine | c
+        own = asked.where(mine).toPandas().sort_values("id") if len(blocks) > 1 else asked.toPandas().sort_values("id")
+        block = Block(own["id"].to_numpy(), np.stack(own["v"]), books, sample, cells, k, euclid)
+        wanted = np.union1d(np.flatnonzero(block.wants().any(0)), block.sure_cells).tolist()
+        sent = spark.sparkContext.broadcast(block)
+        seen = coded if len(wanted) >= np.count_nonzero(cells[:, 0]) else coded.where(F.col("cell").isin(wanted))
+        part = seen.select("id", "v", "codes", "norm", "gain", "aside", "cell").mapInArrow(lambda batches, sent=sent: sent.value.scan(batches), "query_id long, id long, score double")
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
