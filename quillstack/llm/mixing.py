@@ -132,7 +132,11 @@ def overlaps(docs: DataFrame, taken: DataFrame, keys: list[str], block: int = BL
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken) of every row of docs; null texts have size 0."""
+    """(id, size, source_size, target, taken) of every row of docs; null texts have size 0.
+
+    A null source is a source; equal rows, and rows with a null id, count one by one; an empty table gives an empty one. Only the three named columns are
+    read, so others may have any name. Texts of any length are counted whole; a document's words may lie in many blocks.
+    """
     sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes", narrow=True)
     dealt, sources, taken = mix(sizes, ["id"])
     some = overlaps(dealt, taken, ["id"]).groupBy("id", "size", "sid", "start").agg(F.sum(F.when(F.col("pass").isNotNull(), F.col("hi") - F.col("lo")).otherwise(0)).alias("taken"))
@@ -143,22 +147,23 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of docs' columns: a row per document and pass that takes of it, its text the words taken (white space kept).
 
-    A row that is taken whole keeps its text as it is; n_chars, where there is one, is set anew. Documents of no words are part of no mix.
+    A row that is taken whole keeps its text as it is; n_chars, where there is one, is set anew. Documents of no words are part of no mix, so an empty table gives an empty one.
+    Equal rows are dealt one by one. docs' columns travel as one struct, so they may have any name.
     """
-    row = F.xxhash64(*docs.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     sizes = stored(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sizes", narrow=True)
     dealt, _, taken = mix(sizes, ["id", "row"])
     parts = overlaps(dealt, taken, ["id", "row"]).where(F.col("pass").isNotNull())
     parts = parts.groupBy("id", "row", "size", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
-    keyed = docs.withColumn("__row", row).dropDuplicates([id_col, "__row"])
-    parts = parts.select(F.col("id").alias("__id"), F.col("row").alias("__r"), F.col("ranges").alias("__ranges"), (F.col("got") == F.col("size")).alias("__whole"))
-    joined = keyed.join(parts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__ranges", lambda r: F.slice(F.col("__words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
-    joined = joined.withColumn("__words", F.when(~F.col("__whole"), words)).withColumn(text_col, F.when(F.col("__whole"), F.col(text_col)).otherwise(cut))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    parts = parts.select("id", "row", "ranges", (F.col("got") == F.col("size")).alias("whole"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("own"), row.alias("own_row")).dropDuplicates(["own", "own_row"])
+    joined = keyed.join(parts, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_row") == F.col("row"))).select("doc", "ranges", "whole")
+    text = F.col(f"doc.`{text_col}`")
+    joined = joined.withColumn("words", F.when(~F.col("whole"), F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))))
+    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
+    joined = joined.withColumn("taken", F.when(F.col("whole"), text).otherwise(cut))
+    made = {text_col: F.col("taken")} | ({"n_chars": F.length("taken").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*[made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
