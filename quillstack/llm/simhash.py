@@ -119,12 +119,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id (of several, that of the least text hash). Rows with a null id stay."""
+    """The rows of docs without near-duplicates: of each component the row with the smallest id (of several, that of the least text hash). Rows with a null id stay.
+
+    An empty table gives an empty one; texts of any length are read whole. docs' columns travel as one struct, so they may have any name.
+    """
     found = near_duplicates(docs, id_col, text_col).where(F.col("id") == F.col("component"))
-    kept = found.groupBy(F.col("id").alias("__kept")).agg(F.min("row").alias("__first"))
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__row", F.xxhash64(text_col))
-    first = keyed.where(F.col(id_col).isNotNull()).join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__row") == F.col("__first")), "left_semi").dropDuplicates(["__id", "__row"])
-    return first.unionByName(keyed.where(F.col(id_col).isNull())).select(*docs.columns)
+    kept = found.groupBy(F.col("id").alias("kept")).agg(F.min("row").alias("first"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("own_row"))
+    first = keyed.where(F.col("own").isNotNull()).join(kept, (F.col("own") == F.col("kept")) & (F.col("own_row") == F.col("first")), "left_semi").dropDuplicates(["own", "own_row"])
+    return first.unionByName(keyed.where(F.col("own").isNull())).select("doc.*")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
