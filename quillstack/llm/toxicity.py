@@ -2,18 +2,21 @@
 
 A text's features are the words it has (A-Z etc. lower-cased, letters only) and the beginnings of 4 to 6 letters of longer words. Features that set
 labelled toxic texts apart are chosen by their G statistic; a logistic model over them is fitted with three terms: log loss,
-a ridge, and the counterfactual term: each labelled text that mentions a group is paired with its swaps (the mention
-replaced by other groups' terms, label kept), and the square of the difference between their scores' logits is a penalty, so a
-mention alone moves no score. Terms of groups are always among the features, so the term has something to hold.
+a ridge, and the counterfactual term: each labelled text is paired with its swaps, and the square of the difference between their scores' logits
+is a penalty, so that a mention alone moves no score. A text's swaps are those of every mention of a group in it (the term gives way to each other
+term of its kind) and those of a mention that is put into it: a neutral mention of a group drawn by the text's hash, first against the text
+without it, then against its kind's other terms. So the term holds where texts speak of no group by name as well. Groups are
+people by name, and speakers of a language by its commonest words. Their terms are always among the features.
 
 Fitting reads a bounded sample of the labelled rows (SAMPLE of each class, by a hash of doc_id); the bias is then set back to the odds
-of all labels, so that a threshold means the same at every size. Scoring reads every whole text.
+of all labels, so that a threshold means the same at every size. Swaps of one sort in many texts are one row with their weight. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,18 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import numbered_columns, stored, table
 
 #: Labelled rows of each class that a fit uses at most, features that it chooses at most, least G of a feature, texts that need to have it.
 SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 10.83, 3
-THRESHOLD, RIDGE, PENALTY = 0.3, 0.0002, 1.0
+THRESHOLD, RIDGE, PENALTY = 0.3, 0.0002, 10.0
 #: Groups whose mention is swapped; single words, each kind's terms in one row.
 IDENTITIES = [
     ("women", "men", "girls", "boys"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "arab"), ("gay", "straight", "lesbian", "bisexual", "transgender"), ("immigrants", "refugees", "foreigners", "natives"),
     ("femmes", "hommes"), ("frauen", "männer"), ("mujeres", "hombres"), ("old", "young"), ("disabled", "blind", "deaf"),
 ]
-_SWAPS = {t: [x for x in kind if x != t] for kind in IDENTITIES for t in kind}
+#: By these a text shows its speakers' language: words of the same use in English, French, German and Spanish, each kind in one row.
+LANGUAGES = [("the", "le", "der", "el"), ("and", "et", "und", "y"), ("of", "du", "von", "del"), ("with", "avec", "mit", "con"), ("for", "pour", "für", "para"), ("is", "est", "ist", "es"), ("by", "par", "durch", "por")]
+_SWAPS = {t: [x for x in kind if x != t] for kind in IDENTITIES + LANGUAGES for t in kind}
+_NAMED = frozenset(t for kind in IDENTITIES for t in kind)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +51,7 @@ def features(text: str) -> set[str]:
 
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.swaps = weights, bias, 0
 
     def score(self, text: str) -> float:
         w = self.weights
@@ -56,8 +62,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list[tuple[list[int], list[int]]], ridge: float = RIDGE, penalty: float = PENALTY, steps: int = 500) -> Model:
-    """Minimises mean log loss + ridge*|w|^2/2 + penalty*mean over swaps of (w.(x-x'))^2/2 by accelerated gradient descent.
+Swap = tuple[list[int], list[int]]
+
+
+def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list[Swap], weights: np.ndarray | None = None, ridge: float = RIDGE, penalty: float = PENALTY, steps: int = 500) -> Model:
+    """Minimises mean log loss + ridge*|w|^2/2 + penalty*(weighted) mean over swaps of (w.(x-x'))^2/2 by accelerated gradient descent.
 
     rows: feature numbers of each text. swaps: feature numbers that a text loses and gains by a swap. The step is one over the loss's
     largest curvature, found by power iteration, so no labels, mentions or penalty make the descent run away.
@@ -68,6 +77,8 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
     cat = np.repeat(np.arange(len(swaps)), [len(a) + len(b) for a, b in swaps]) if swaps else np.zeros(0, np.int64)
     ccol = np.array([j for a, b in swaps for j in (*a, *b)], dtype=np.int64)
     sign = np.array([s for a, b in swaps for s in (*[1.0] * len(a), *[-1.0] * len(b))])
+    share = np.ones(len(swaps)) if weights is None else np.asarray(weights, dtype=float)
+    share = share / max(share.sum(), 1e-300)
     y = labels.astype(float)
     pos = float(y.sum())
 
@@ -75,8 +86,8 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
         """The gradient in w and the bias (last), from the errors of the texts' scores."""
         out = np.append(np.bincount(col, errors[at], minlength=m) + ridge * w, errors.sum())
         if swaps:
-            d = np.bincount(cat, sign * w[ccol], minlength=len(swaps))
-            out[:m] += penalty / len(swaps) * np.bincount(ccol, sign * d[cat], minlength=m)
+            d = share * np.bincount(cat, sign * w[ccol], minlength=len(swaps))
+            out[:m] += penalty * np.bincount(ccol, sign * d[cat], minlength=m)
         return out
 
     logits = lambda wb: np.bincount(at, wb[:m][col], minlength=n) + wb[m]
@@ -97,8 +108,8 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
     return Model({names[j]: float(now[j]) for j in range(m) if abs(now[j]) > 1e-6}, float(now[m]))
 
 
-def counterfactuals(text: str, limit: int | None = None) -> list[tuple[set[str], set[str]]]:
-    """Features that the text loses and gains by each of its swaps of a mention of a group (the first `limit`, if given)."""
+def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
+    """Features that the text loses and gains by each swap of a mention in it, and by each of those of the neutral mention put into it."""
     words = set(_WORD.findall(text.lower()))
     out = []
     for term in sorted(words & _SWAPS.keys()):
@@ -107,13 +118,22 @@ def counterfactuals(text: str, limit: int | None = None) -> list[tuple[set[str],
             if other not in words:
                 new = features(other)
                 out.append((own - rest - new, new - rest - own))
-    return out[:limit]
+    if not words & _NAMED:
+        kind = IDENTITIES[(h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) % len(IDENTITIES)]
+        term = kind[h // len(IDENTITIES) % len(kind)]
+        rest, own = features(" ".join(words)), features(term)
+        out.append((set(), own - rest))
+        for other in _SWAPS[term]:
+            new = features(other)
+            out.append((own - rest - new, new - rest - own))
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None) -> Model:
-    """Fits on at most SAMPLE labelled texts of each class. held_out: a condition on id_col; its rows are left out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, ridge: float = RIDGE, penalty: float = PENALTY) -> Model:
+    """Fits on at most SAMPLE labelled texts of each class. held_out: a condition on id_col; its rows are left out. The model tells in `swaps` how many swaps held it.
 
-    Rows with a null label or id take no part; of several labels of an id the largest counts. Without two classes the model has no weights.
+    Rows with a null label or id take no part; of several labels of an id the largest counts; repeated documents count as often as they are there, and a null text is
+    empty. Ties in the choice of rows go by the id. Without two classes, as in an empty table, nothing can be told apart: the model has no weights and finds no text toxic. Only the named columns are read, so others may have any name.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out is not None:
@@ -129,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n1, n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     n0 = n - n1
     if not n1 or not n0:
-        return Model({}, -4.0 if not n1 else 4.0)
+        return Model({}, -4.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each feature's toxic texts and texts, summed over a task's part of the sample."""
@@ -154,29 +174,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = [r["f"] for r in best.select("f").collect()]
     number = {f: j for j, f in enumerate(names)}
 
+    known = lambda words: sorted(number[w] for w in words & number.keys())
+
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The numbers of the chosen features that a text has, and of those it loses and gains by each swap."""
-        known = lambda words: sorted(number[w] for w in words & number.keys())
-        ints, lists = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+        """The numbers of the chosen features that a text has."""
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known(features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], ["id", "y", "has"])
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorts of swaps by the numbers that they lose and gain; a text's swaps share a weight of 1."""
+        weight, count = Counter(), Counter()
         for batch in batches:
-            said = batch.column(2).to_pylist()
-            swaps = [counterfactuals(t) for t in said]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([known(features(t)) for t in said], ints),
-                pa.array([[known(old) for old, _ in s] for s in swaps], lists), pa.array([[known(new) for _, new in s] for s in swaps], lists),
-            ], ["id", "y", "has", "lost", "gained"])
-
-    rows = sample.mapInArrow(numbered, "id long, y int, has array<int>, lost array<array<int>>, gained array<array<int>>").collect()
+            for text in batch.column(2).to_pylist():
+                own = counterfactuals(text)
+                for old, new in own:
+                    if (sort := (tuple(known(old)), tuple(known(new)))) != ((), ()):
+                        weight[sort] += 1 / len(own)
+                        count[sort] += 1
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([list(a) for a, _ in weight], ints), pa.array([list(b) for _, b in weight], ints), pa.array(list(weight.values()), pa.float64()), pa.array(list(count.values()), pa.int64())], ["lost", "gained", "w", "k"])
+
+    rows = sample.mapInArrow(numbered, "id long, y int, has array<int>").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], r["has"]))
-    swaps = [s for r in rows for s in zip(r["lost"], r["gained"], strict=True) if s[0] or s[1]]
-    model = fit([r["has"] for r in rows], np.array([r["y"] for r in rows]), names, swaps)
+    # sorts are as many as swaps of the bounded sample at most, and far fewer
+    sorts = sample.mapInArrow(swapped, "lost array<int>, gained array<int>, w double, k long").groupBy("lost", "gained").agg(F.sum("w").alias("w"), F.sum("k").alias("k")).collect()
+    sorts.sort(key=lambda r: (r["lost"], r["gained"]))
+    model = fit([r["has"] for r in rows], np.array([r["y"] for r in rows]), names, [(r["lost"], r["gained"]) for r in sorts], np.array([round(r["w"], 9) for r in sorts]), ridge, penalty)
+    model.swaps = sum(r["k"] for r in sorts)
     share = lambda y: labelled[y] / min(labelled[y], SAMPLE)
     model.bias += math.log(share(1) / share(0))
     return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' id and text hash with their score: (id, score), a row per row; null texts are empty. No shuffle; the model goes along with the tasks."""
+    """(id, score) of docs, a row per row; null texts are empty. No shuffle; the model goes along with the tasks.
+
+    A text of any length is scored whole, and equal texts alike; an empty table gives an empty one. Only the two named columns are read, so others may have any name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,16 +220,20 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, in docs' columns; only the text is looked at."""
-    schema = docs.schema
-    place = docs.columns.index(text_col)
+    """The rows of docs whose score is below the threshold, in docs' columns; only the text is looked at.
+
+    Null texts are empty; texts of any length are scored whole; repeated rows stay or go together; an empty table gives an empty one. Columns pass through
+    whatever their names, none is added on the way.
+    """
+    schema, names = docs.schema, docs.columns
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = [model.score(t or "") < threshold for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array(clean, pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered_columns(docs).mapInArrow(run, schema)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
