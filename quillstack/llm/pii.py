@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 Fixed patterns find the base spans. Beside them high-recall generators propose overlapping candidates of the same kinds (runs that the patterns
-matched and dropped, cut at their groups; national, spaced and spelled-out forms); boosted trees score each by format and
+matched and dropped, cut at their groups; any four of more dotted numbers; national, spaced and spelled-out forms); boosted trees score each by format and
 context; candidates at or above their kind's calibrated threshold are taken by falling score where they overlap no other span.
 Base spans always stay.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered_columns, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -60,7 +60,7 @@ def base(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     kept: dict[str, list[Span]] = {"email": _emails(text) if "@" in text else [], "ip": [], "card": [], "phone": []}
     dropped: dict[str, list[Span]] = {k: [] for k in KINDS}
     for m in _IP.finditer(text):
-        good = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+        good = all(map(_byte, m.group().split(".")))
         (kept if good else dropped)["ip"].append(m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -74,33 +74,45 @@ def base(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
 
 
 _NATIONAL = re.compile(r"(?<![0-9+.\w])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}")
+#: An address is tried from the start of its local part only, so a text is read once, whatever its length.
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]+)+")
 #: As _SPELLED where no dot is spelled: the domain is written as it is.
-_HALF_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}")
+_HALF_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Numbers joined by dots beyond four, of which any four may be an address; addresses whose dots are written otherwise.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
+_DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?| dot | \. )[0-9]{1,3}(?:(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?| dot | \. )[0-9]{1,3}){2}(?![0-9])")
 _GROUP = re.compile(r"[0-9]+")
 #: Digits that a cut of a dropped run has at most; every group is tried as its start.
 MOST_DIGITS = {"card": 19, "phone": 15}
 
 
+def _byte(digits: str) -> bool:
+    """Whether digits are a part of an ip address, however long a number they are."""
+    return len(digits.lstrip("0")) <= 3 and int(digits.lstrip("0") or 0) <= 255
+
+
 def candidates(text: str, kept: dict[str, list[Span]], dropped: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
     """Spans proposed beside the base ones: (kind, start, end), which may overlap each other."""
     out = set()
-    for kind in ("card", "phone", "ip"):
+    for kind in ("card", "phone"):
         for a, b in dropped[kind]:
             groups = [(a + m.start(), a + m.end()) for m in _GROUP.finditer(text[a:b])]
             for i, (s, _) in enumerate(groups):
                 n = 0
-                for j in range(i, i + 4 if kind == "ip" else len(groups)):
-                    if j >= len(groups) or n > MOST_DIGITS.get(kind, n):
-                        break
+                for j in range(i, len(groups)):
                     n += groups[j][1] - groups[j][0]
-                    e = groups[j][1]
-                    if kind == "card" and 13 <= n <= 19:
-                        out.add((kind, s, e))
-                    elif kind == "phone" and i == 0 and 9 <= n <= 15:
-                        out.add((kind, a, e))
-                    elif kind == "ip" and j == i + 3 and text[s:e].count(".") == 3:
-                        out.add((kind, s, e))
+                    if n > MOST_DIGITS[kind]:
+                        break
+                    if n >= (13 if kind == "card" else 9):
+                        out.add((kind, a if kind == "phone" and i == 0 else s, groups[j][1]))
+    if text.count(".") > 2 and any(c in text for c in "0123456789"):
+        for m in _DOTTED.finditer(text):
+            parts = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m.group())]
+            fits = [_byte(text[a:b]) for a, b in parts]
+            out |= {("ip", parts[k][0], parts[k + 3][1]) for k in range(len(parts) - 3) if all(fits[k : k + 4])}
+        # a plain dotted four is a base span, and dropped ones with a part above 255 hold no address
+    if any(mark in text for mark in ("[.]", "(.)", "[dot]", "(dot)", " dot ", " . ")):
+        out |= {("ip", *m.span()) for m in _DEFANGED.finditer(text) if all(_byte(g) for g in _GROUP.findall(m.group()))}
     if any(c in text for c in "0123456789"):
         out |= {("phone", *m.span()) for m in _NATIONAL.finditer(text)}
     if "(at)" in text or "[at]" in text or (" at " in text and (" dot " in text or "[dot]" in text or "(dot)" in text)):
@@ -133,7 +145,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(luhn(digits)) if 13 <= len(digits) <= 19 else -1.0, float(digits[:1] or -1), float(before.isalnum()), float(after.isalnum()), float(before in "./-+_" and before != ""),
         float(after in "./-_" and right[1:2].isdigit()), float(left[-2:-1].isdigit() and not before.isalnum()), float(right[1:2].isdigit() and not after.isalnum()), cue(kind), cue("none"),
         float(max(parts) <= 255), float(any(1900 <= p <= 2099 for p in parts)), float("at" in span and "dot" in span or "[at]" in span or "(at)" in span), float(len(re.findall("[A-Za-z]+$", span)[0]) if span[-1:].isalpha() else 0),
-        float(groups[-2] if len(groups) > 1 else 0), float(len(following.group()) if (following := _GROUP.match(right, 1)) else 0),
+        float("[" in span or "(." in span), float(groups[-2] if len(groups) > 1 else 0), float(len(following.group()) if (following := _GROUP.match(right, 1)) else 0),
     ]
 
 
@@ -297,13 +309,43 @@ def _spaced(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, i
         yield f"{text}{said}{after} {word()} {word()}", {(kind, len(text), len(text) + len(said)): True} if kind else {}
 
 
+def _dotted(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, int, int], bool]]]:
+    """As _synthetic: addresses of hosts with their dots written otherwise or a number before or after them, and versions, sections, dates and object numbers of as many parts; numbers after others."""
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    byte = lambda: str(rng.choice([rng.randint(0, 255), 10, 192, 168, 172, 127]))
+    small = lambda: str(rng.randint(0, 12))
+    for _ in range(n):
+        what, kind, before, after = rng.randint(0, 9), "ip", "", ""
+        cue = rng.choice(_CUES["ip" if what < 6 else "none"]) if rng.random() < 0.8 else word()
+        parts = [byte() for _ in range(4)]
+        if what < 3:
+            mark = rng.choice(["[.]", "[.]", "(.)", "[dot]", "(dot)", " [.] ", " dot ", " . "])
+            said = mark.join(parts) if rng.random() < 0.7 else ".".join(parts[:3]) + "[.]" + parts[3] if mark == "[.]" else mark.join(parts)
+        elif what < 5:
+            said, before = ".".join(parts), f"{rng.randint(256, 9999)}."
+        elif what == 5:
+            said, after = ".".join(parts), f".{num(rng.randint(4, 6))}"
+        elif what == 6:
+            kind, said = "", ".".join(small() for _ in range(rng.randint(5, 9)))
+        elif what == 7:
+            kind, said = "", f"1.3.6.1.{small()}.{small()}.{num(rng.randint(1, 5))}.{small()}"
+        elif what == 8:
+            kind, said = "", f"{rng.randint(1990, 2030)}.{rng.randint(1, 12)}.{rng.randint(1, 28)}.{rng.randint(0, 23)}.{rng.randint(0, 59)}"
+        else:
+            kind, said = "phone", "+" + rng.choice("123456789") + num(rng.randint(9, 12))
+            before = "+" + " ".join(num(3) for _ in range(6)) + " " if rng.random() < 0.5 else ""
+        text = f"{word()} {cue} {before}"
+        yield f"{text}{said}{after} {word()} {word()}", {(kind, len(text), len(text) + len(said)): True} if kind else {}
+
+
 @cache
 def trained(seed: int = 11, texts: int = 3000, precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
     """Trees fitted on two thirds of the synthetic texts, and each kind's least threshold with that precision on the others."""
     rows: list[list[list[float]]] = [[], []]
     truth: list[list[float]] = [[], []]
     kinds: list[str] = []
-    for i, (text, true) in enumerate(chain(_synthetic(random.Random(seed), texts), _spaced(random.Random(seed), texts // 3))):
+    for i, (text, true) in enumerate(chain(_synthetic(random.Random(seed), texts), _spaced(random.Random(seed), texts // 3), _dotted(random.Random(seed), texts // 3))):
         part = int(i % 3 == 2)
         for c in candidates(text, *base(text)):
             rows[part].append(features(text, *c))
@@ -316,7 +358,9 @@ def trained(seed: int = 11, texts: int = 3000, precision: float = 0.99) -> tuple
     for kind in KINDS:
         of = np.array([k == kind for k in kinds])
         good = [t for t in np.linspace(0.5, 0.99, 50) if y[of & (scores >= t)].sum() >= precision * max(1, (of & (scores >= t)).sum())]
-        thresholds[kind] = float(good[0]) if good else 1.1
+        if not good or not y[of & (scores >= good[0])].sum():
+            raise ValueError(f"no threshold gives {kind} that precision")
+        thresholds[kind] = float(good[0])
     return trees, thresholds
 
 
@@ -345,7 +389,10 @@ def joined(found: dict[str, list[Span]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row per row; the counts are of base spans. Null texts are empty. No shuffle."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row per row; the counts are of base spans. Null texts are empty. No shuffle.
+
+    Repeated rows stay, null ids too; texts of any length are searched whole; an empty table gives an empty one. Only the two named columns are read, so others may have any name.
+    """
     trees, thresholds = trained()
     names = ["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
 
@@ -376,20 +423,23 @@ def redacted(text: str, trees: Trees, thresholds: dict[str, float]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, is set anew. Null texts stay null; rows and columns stay."""
+    """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, is set anew. Null texts stay null; rows and columns stay, whatever the columns' names.
+
+    Repeated rows are redacted alike; texts of any length whole; an empty table gives an empty one.
+    """
     trees, thresholds = trained()
-    place, schema = docs.columns.index(text_col), docs.schema
+    names, schema = docs.columns, docs.schema
+    place, sized = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if t is None else redacted(t, trees, thresholds) for t in batch.column(place).to_pylist()]
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-            if "n_chars" in batch.schema.names:
-                at = batch.schema.names.index("n_chars")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array([t if t is None else len(t) for t in texts], batch.schema.field(at).type))
-            yield batch
+            if sized is not None:
+                batch = batch.set_column(sized, batch.schema.field(sized), pa.array([t if t is None else len(t) for t in texts], batch.schema.field(sized).type))
+            yield batch.rename_columns(names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered_columns(docs).mapInArrow(run, schema)
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
