@@ -1,9 +1,11 @@
-"""URL filters: a blocked Bloom filter of listed keys passes possible hits to an exact hash join.
+"""URL filters: blocked Bloom filters of listed keys pass possible hits to exact hash joins.
+
+Two lists are held against each URL. One is of canonical URLs: host (A-Z lower-cased, without user and default port) and path without slashes at its end, scheme,
+query and fragment left off. The other is of rules, a host and a path prefix that hold for subdomains and longer paths as well; of each URL the keys that some
+rule could have are made: its host's suffixes that are rules' hosts, times its path's prefixes as long as rules of that host have. A rule goes before the list.
 
-A rule is a host and a path prefix; its canonical form, the key, is the lower-cased host followed by the path, without scheme, query and fragment. Of each page URL the keys that some rule could have
-are made: its host's suffixes with as many labels as rules have, times its path's prefixes as long as rules have.
 Each key's hash names a block of 256 bits and 8 bits in it; the blocks are rows, met by an equi-join on the block number.
-Keys whose bits are all set join the rules exactly, so no false positive of the filter is left. DataFrame functions only.
+Keys whose bits are all set join the list exactly, so no false positive of a filter is left. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,21 +17,32 @@ from .common import table
 
 #: Fixed values of the query: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: The query's list of canonical URLs, made by a rule: of these hosts and sections, the pages numbered from 0.
+LISTED_HOSTS, LISTED_SECTIONS, LISTED_PAGES = ["spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org"], ["en", "fr", "de", "es"], 1000
 PROBES, KEYS_PER_BLOCK = 8, 16
-#: Rules up to which the filter and the rules are sent to every executor; beyond, Spark chooses the joins.
+#: Rules or listed URLs up to which a filter and its list are sent to every executor; beyond, Spark chooses the joins.
 SENT = 20_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lowered(host: Column) -> Column:
+    return F.translate(host, _UPPER, _LOWER)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null and where there is no `://`."""
     at = F.coalesce(F.instr(url, "://"), F.lit(0))
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise("")
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    host = F.translate(F.regexp_extract(rest, r"\A[^/?#]*", 0), upper, lower)
+    host = lowered(F.regexp_extract(rest, r"\A[^/?#]*", 0))
     after = F.substr(rest, F.length(host) + 1)
     return host, F.when(at > 0, F.regexp_extract(after, r"\A[^?#]*", 0)).otherwise("")
 
 
+def canonical(host: Column, path: Column) -> Column:
+    """The key of a URL in a list of canonical ones."""
+    return F.concat(F.regexp_replace(host, r"\A.*@|:(?:80|443)?\z", ""), F.regexp_replace(path, r"/+\z", ""))
+
+
 def _bits(key: Column, word: int) -> Column:
     """The bits of 64-bit word `word` of four that a key sets in its block: two a word."""
     h = F.xxhash64(F.lit(word), key)
@@ -44,60 +57,92 @@ def bloom_blocks(keys: DataFrame, n_blocks: int, key: str = "key") -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(PROBES // 2)])
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
-    """(id, host, path, rule, verdict) of every row of pages, by rules (verdict, host, path).
+def _possible(made: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of made whose `key` passes a blocked filter of the n keys."""
+    n_blocks = max(1, -(-n // KEYS_PER_BLOCK))
+    blocks = bloom_blocks(keys, n_blocks)
+    rows = made.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("key")), F.lit(n_blocks)))
+    passes = F.lit(True)
+    for i in range(PROBES // 2):
+        mask = _bits(F.col("key"), i)
+        passes = passes & (F.col(f"w{i}").bitwiseAND(mask) == mask)
+    return rows.join(F.broadcast(blocks) if n <= SENT else blocks, "block").where(passes).select(*made.columns)
+
+
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
+    """(id, host, path, rule, verdict) of every row of pages, by rules (verdict, host, path), then by a list of URLs (url) to block.
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's path. The longest (host plus path) wins, of equally long ones
-    the longer host; of equal rules with different verdicts block. Null URLs and those without `://` have empty host and path. Rows no
-    rule fits get `otherwise`. Repeated rows are judged one by one; an empty list allows everything.
+    the longer host; of equal rules with different verdicts block. Where no rule fits, a URL whose canonical form is that of a listed one is blocked, any other gets `otherwise`.
+    Null URLs and those without `://` have empty host and path; rules with a null host or path, and listed URLs that are null or have no host, say nothing. Hosts are compared
+    with A-Z lower-cased, on either side. Repeated rows are judged one by one; long URLs whole; an empty table gives an empty one; two empty lists allow everything. Only the named columns are
+    read, so others may have any name.
     """
-    listed = rules.select("verdict", F.lower("host").alias("host"), "path").where("host is not null and path is not null")
-    listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", F.concat("host", "path"))
-    shape = listed.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    if not shape["n"]:
-        return rows.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    n_blocks = max(1, -(-shape["n"] // KEYS_PER_BLOCK))
-    blocks, exact = bloom_blocks(listed, n_blocks), listed.select("key", "verdict", F.col("host").alias("of"))
-    if shape["n"] <= SENT:
-        blocks, exact = F.broadcast(blocks), F.broadcast(exact)
     # one row a different (host, path): a URL that fills a third of all rows is judged once
-    distinct = rows.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    hosts = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sorted(shape["labels"])]
-    paths = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shape["lengths"])]
-    keys = F.array_compact(F.array(*[F.struct(F.concat(h, p).alias("key"), h.alias("of")) for h in hosts for p in paths]))
-    made = distinct.select("host", "path", F.explode(keys).alias("k")).select("host", "path", F.col("k.key").alias("key"), F.col("k.of").alias("of")).where("key is not null")
-    made = made.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("key")), F.lit(n_blocks)))
-    passes = F.lit(True)
-    for i in range(PROBES // 2):
-        mask = _bits(F.col("key"), i)
-        passes = passes & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    possible = made.join(blocks, "block").where(passes).select("host", "path", "key", "of")
-    hits = possible.join(exact, ["key", "of"]).select("host", "path", F.col("key").alias("rule"), "verdict", F.length("of").alias("n"))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), "n", "verdict", "rule")).alias("best"))
-    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    distinct = rows.where("host <> ''").select("host", "path").distinct()
+    hits = []
+
+    known = rules.select("verdict", lowered(F.col("host")).alias("host"), "path").where("host is not null and path is not null")
+    known = known.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", F.concat("host", "path"))
+    n, depths = known.agg(F.count(F.lit(1)), F.collect_set(F.size(F.split("host", r"\.")))).first()
+    if n:
+        small = F.broadcast if n <= SENT else lambda df: df
+        labels = F.split("host", r"\.")
+        suffixes = F.array_compact(F.array(*[F.when(F.size(labels) >= d, F.array_join(F.slice(labels, -d, d), ".")) for d in sorted(depths)]))
+        lengths = known.groupBy(F.col("host").alias("of")).agg(F.collect_set(F.length("path")).alias("lengths"))
+        at = distinct.select("host", "path", F.explode(suffixes).alias("of")).join(small(lengths), "of")
+        made = at.select("host", "path", "of", F.explode(F.filter("lengths", lambda x: x <= F.length("path"))).alias("n")).select("host", "path", "of", F.concat("of", F.substring("path", F.lit(1), F.col("n"))).alias("key"))
+        exact = known.select("key", "verdict", F.col("host").alias("of"))
+        found = _possible(made, known, n).join(small(exact), ["key", "of"])
+        hits.append(found.select("host", "path", F.struct(F.lit(1).alias("by"), F.length("key").alias("n"), F.length("of").alias("m"), "verdict", F.col("key").alias("rule")).alias("best")))
+
+    if listed is not None:
+        h, p = host_and_path(F.col("url"))
+        keys = listed.select(canonical(h, p).alias("key"), h.alias("h")).where("h <> ''").select("key").distinct()
+        n = keys.count()
+        if n:
+            found = _possible(distinct.select("host", "path", canonical(F.col("host"), F.col("path")).alias("key")), keys, n).join(F.broadcast(keys) if n <= SENT else keys, "key")
+            hits.append(found.select("host", "path", F.struct(F.lit(0).alias("by"), F.lit(0).alias("n"), F.lit(0).alias("m"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule")).alias("best")))
+
+    if not hits:
+        return rows.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    every = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    best = every.groupBy("host", "path").agg(F.max("best").alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     return rows.join(best, ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The query's list, from its rule."""
+    k, hosts, sections = F.col("id"), F.array(*map(F.lit, LISTED_HOSTS)), F.array(*map(F.lit, LISTED_SECTIONS))
+    host, section = F.get(hosts, (k % len(LISTED_HOSTS)).cast("int")), F.get(sections, (F.floor(k / len(LISTED_HOSTS)) % len(LISTED_SECTIONS)).cast("int"))
+    page = F.floor(k / (len(LISTED_HOSTS) * len(LISTED_SECTIONS)))
+    return spark.range(len(LISTED_HOSTS) * len(LISTED_SECTIONS) * LISTED_PAGES).select(F.concat(F.lit("https://"), host, F.lit("/"), section, F.lit("/"), page.cast("string")).alias("url"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("verdict", "host", "path"), strict=True)]) for r in RULES])
     rules = spark.range(1).select(F.inline(rows))
-    return judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+    return judge(table(spark, sf_dir, "pages"), rules, listed_urls(spark)).withColumnRenamed("id", "page_id")
 
 
 SQL = """
 WITH u AS (
   SELECT page_id, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
-  SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
 ), rules(verdict, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), listed AS (
+  SELECT 'spam-farm.example.' || t || '/' || s || '/' || CAST(n AS VARCHAR) AS key
+  FROM (SELECT unnest(['com', 'net', 'org']) AS t) CROSS JOIN (SELECT unnest(['en', 'fr', 'de', 'es']) AS s) CROSS JOIN (SELECT unnest(range(0, 1000)) AS n)
 ), m AS (
   SELECT h.page_id, h.host, h.path, r.rhost || r.rpath AS rule, r.verdict,
+         regexp_replace(regexp_replace(h.host, '^.*@', ''), ':(80|443)?$', '') || regexp_replace(h.path, '/+$', '') AS key,
          row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
   FROM h LEFT JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath)
 )
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM m WHERE k = 1
 """
