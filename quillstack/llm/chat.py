@@ -3,12 +3,15 @@
 Every participant of a conversation (each different role but `system`) gets a rendering of the whole dialogue in which it is the assistant, the
 others are users with their names, and system messages stay system messages. A rendering is rows, one a message, with the
 message's place in the rendered text; the mask is 1 on what the perspective's own speaker says (and the end mark), 0 elsewhere.
-A conversation of any length is thus never gathered: places come from two-level sums per (conversation, perspective).
+
+A conversation of any length is never gathered: its turns are dealt to spans, and texts are moved once, to their span. Renderings of one dialogue differ only in the
+heads of the speaker's own messages, so a message's place is the size of all before it, as rendered for anyone else, plus the difference
+of the two heads times the speaker's messages before it; both are sums inside the span on top of sums over the spans before, which are narrow rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,36 +20,47 @@ from .common import table
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _named(role: Column) -> Column:
+    """The head of a message as others see it."""
+    return F.when(role == "system", F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), role, F.lit("\n")))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", span: int = 1024) -> DataFrame:
     """(conv_id, perspective, turn, head, body, start, body_start, end, mask), a row per perspective and message.
 
     The rendering is head + body of the rows of a (conv_id, perspective) by start. head opens the message, body is the text and END;
     start, body_start and end are code points in the whole rendering. Messages go by turn, then role, then text; equal rows stay, each
     in its own place. Null texts are empty, a null role is the participant `unknown`, null turns come first; rows with a null conv_id are one conversation.
-    A conversation of system messages alone has no perspective and no rows.
+    A conversation of system messages alone has no perspective and no rows; an empty table gives an empty one. Texts of any length are rendered whole. Only the four named columns are
+    read, so others may have any name.
     """
+    conv, turn = F.col(conv_col), F.col(turn_col)
+    own_head = len(f"{START}assistant\n")
     role = F.coalesce(F.col(role_col), F.lit("unknown"))
-    said = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    # equal rows are one row with a count until the places are known
-    said = said.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("times"))
-    speakers = said.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct().withColumnRenamed("conv_id", "c")
-    seen = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    own = F.col("role") == F.col("perspective")
-    head = F.when(F.col("role") == "system", F.lit(f"{START}system\n")).when(own, F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), "role", F.lit("\n")))
-    rows = seen.select("conv_id", "perspective", "turn", "role", "text", "times", own.cast("int").alias("mask"), head.alias("head"), F.concat("text", F.lit(END)).alias("body"))
-    rows = rows.withColumn("size", (F.length("head") + F.length("body")).cast("long"))
-    # spans of turns are ordered, so sums inside them and over their totals are the place in the dialogue
-    keys = ["conv_id", "perspective"]
-    rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / span))
-    inside = Window.partitionBy(*keys, "part").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("times")).over(inside), F.lit(0)))
-    totals = rows.groupBy(*keys, "part").agg(F.sum(F.col("size") * F.col("times")).alias("total"))
-    across = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("part").alias("k"), F.coalesce(F.sum("total").over(across), F.lit(0)).alias("base"))
-    rows = rows.join(totals, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("part") == F.col("k")))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    start = (F.col("base") + F.col("before") + F.col("copy") * F.col("size")).cast("long")
-    return rows.select("conv_id", "perspective", "turn", "head", "body", start.alias("start"), (start + F.length("head")).alias("body_start"), (start + F.col("size")).alias("end"), "mask")
+    # keys that are never null, so that joins on them and windows over them ask for one and the same partitioning
+    keys = [conv.isNull().alias("void"), F.coalesce(conv.cast("string"), F.lit("")).alias("key"), F.floor(F.coalesce(turn, F.lit(-1)) / span).alias("part")]
+    at = ["void", "key", "part"]
+    size = (F.length(_named(F.col("role"))) + F.length("text") + len(END)).cast("long")
+    said = turns.select(*keys, conv.alias("conv_id"), turn.alias("turn"), role.alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("size", size)
+
+    # narrow: what each speaker says in a span, and from it what all say before the span
+    spoken = said.groupBy(*at, "role").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    parts = spoken.groupBy(*at).agg(F.sum("size").alias("size"))
+    speakers = spoken.where("role <> 'system'").select("void", "key", F.col("role").alias("perspective")).distinct()
+    own = spoken.select(*at, F.col("role").alias("perspective"), "n")
+    before = Window.partitionBy("void", "key", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.join(speakers, ["void", "key"]).join(own, [*at, "perspective"], "left")
+    longer = own_head - F.length(_named(F.col("perspective")))
+    bases = bases.select(*at, "perspective", (F.coalesce(F.sum("size").over(before), F.lit(0)) + longer * F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"))
+
+    inside = Window.partitionBy(*at).orderBy("turn", "role", "text")
+    placed = said.withColumn("nth", F.row_number().over(inside)).withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = placed.join(bases, at).withColumn("mask", (F.col("role") == F.col("perspective")).cast("int"))
+    mine = F.coalesce(F.sum("mask").over(Window.partitionBy(*at, "perspective").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = F.when(F.col("mask") == 1, F.lit(f"{START}assistant\n")).otherwise(_named(F.col("role")))
+    rows = rows.withColumn("start", (F.col("base") + F.col("before") + longer * mine).cast("long")).withColumn("head", head).withColumn("body", F.concat("text", F.lit(END)))
+    body_start = F.col("start") + F.length("head")
+    return rows.select("conv_id", "perspective", "turn", "head", "body", "start", body_start.alias("body_start"), (body_start + F.length("body")).alias("end"), "mask")
 
 
 def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
