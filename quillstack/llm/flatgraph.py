@@ -1,15 +1,20 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors are one node. Nodes go to the cells of their nearest centroids, several each, so that cells overlap. Over each cell a graph is built:
-the nearest members of every node, pruned robustly (a neighbour goes if a kept one is closer to it by the factor ALPHA than the node is), plus
-reverse edges. A node's lists from all its cells are united. Then every node is searched in its cells: a greedy beam search
-starts at the cell's medoid and at the node itself, and from every hit in range the search expands until no new hit is met. Hits are
-verified by cosine in double precision. A seeded set of nodes, grown until enough of them have links, is held against all others; if the recall
-there is below WANTED, the whole is done again with more overlap, and after the widest overlap exactly or not at all: then it is an error.
-
-Cells of more than FULL nodes (a third of all rows may be near copies) are split into parts, and each two parts are a cell of their own, so
-a task's memory is bounded. A node with a hit is held against its whole task, so its links there are complete; a pair is counted in the first cell it
-shares in which it was found. No pair leaves a task: counts (by the cells before in which they may have been found) and a spanning forest do.
+Equal vectors are one node. Nodes are dealt to overlapping shards: a node's home is the shard of its nearest centroid, and it visits the shards whose border with
+its home it is near to. How near is told by a margin, which is chosen so that nearly all pairs that just link meet in the home of one of the two; a
+margin as wide as a link is long brings all pairs together, which is the exact way where an audit finds the first one short.
+
+In a shard the graph is built on overlapping cells: the nearest members of every node, pruned robustly (a neighbour goes if a kept one is
+closer to it by the factor ALPHA than the node is), plus reverse edges; a node's lists from all its cells are united. Then every node at home there is searched in
+the united graph: a greedy beam search starts at the cells' medoids, and from every hit in range the search expands until no new hit is met. Hits are
+verified by cosine in double precision, and a node with a hit is held against its whole shard, so its links there are complete.
+
+Shards of more than FULL nodes (a third of all rows may be near copies) are split into parts, and each two parts are a task of their own, so
+a task's memory is bounded. No pair leaves a task: counts and a spanning forest do. A pair counts in one shard: the lesser of its two homes that both are in.
+What a task finds for another shard is told apart by it and counts only if the node had no hit there.
+
+The audit holds seeded nodes against all others, some of those with few, more and many links found and as many of those with none as it takes to
+tell that few of them have any. If the recall is below WANTED, shards are made anew with the widest margin and held against each other in full.
 """
 
 from __future__ import annotations
@@ -21,26 +26,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .additive import usable
 from .common import components, stored, table
 
 THRESHOLD = 0.95
-#: Nodes aimed at in a cell, nodes of a cell above which it is split, rows of the sample that centroids are fitted on, centroids of a level at most.
-CELL, FULL, SAMPLE, CENTROIDS = 1000, 3000, 8192, 1024
-#: Candidates and kept neighbours of a node, pruning factor, beam width.
-POOL, DEGREE, ALPHA, BEAM = 40, 20, 1.2, 12
-#: Nodes that the audit starts with and has at most, groups that it should have met by then (_effective), the recall it asks for.
-AUDITED, AUDITED_MOST, LINKED, WANTED = 256, 8192, 64, 0.97
-#: Parts of a cell are fewer than this.
+#: Nodes at home in a shard that are aimed at, nodes of a shard above which it is split, rows of the sample that centroids are fitted on, centroids of a level at most, shards at most.
+SHARD, FULL, SAMPLE, LEVEL, MOST = 3000, 6000, 16384, 128, 8192
+#: Nodes of a cell of a shard that are aimed at, cells of a node, nodes of a cluster that has a medoid, candidates and kept neighbours of a node, pruning factor, beam width.
+CELL, OVERLAP, CLUSTER, POOL, DEGREE, ALPHA, BEAM = 700, 3, 10, 16, 8, 1.2, 12
+#: The share of pairs that just link and must meet, nodes that the margin is chosen by.
+MEET, TRIED = 0.995, 2048
+#: Nodes audited of each class with links, of those without at most, the recall asked for.
+AUDITED, AUDITED_MOST, WANTED = 256, 8192, 0.97
+#: Parts of a shard are fewer than this.
 PLACE = 1 << 24
-#: Cells a node at first and at most; nodes that are held all against all where that doesn't reach the recall.
-OVERLAP, OVERLAP_MOST, EXACT = 4, 32, 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -82,37 +88,80 @@ def build(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_range(x: np.ndarray, graph: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """[n, n] bool: what range-expanding greedy searches from the medoid and the node find at cosine threshold or more (not the node itself)."""
+def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(5):
+        near = np.argmax(x @ c.T - (c * c).sum(1) / 2, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        n = np.bincount(near, minlength=len(c))[:, None]
+        c = np.where(n > 0, total / np.maximum(n, 1), c)
+    return c
+
+
+def united(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(graph, medoids) of a shard's unit vectors: lists over overlapping cells, united, [n, OVERLAP * 2 * DEGREE]; places without a neighbour hold the node itself.
+
+    Medoids are those of small clusters, so that a search sets out near to where it goes.
+    """
+    n = len(x)
+    few = x[:: max(1, n // 4096)]
+    c = centroids(few, math.ceil(n / CELL))
+    overlap = min(OVERLAP, len(c))
+    cells = np.argsort(-(x @ c.T - (c * c).sum(1) / 2), axis=1, kind="stable")[:, :overlap]
+    graph = np.tile(np.arange(n, dtype=np.int32)[:, None], (1, overlap * 2 * DEGREE))
+    for k in range(len(c)):
+        members, slot = np.nonzero(cells == k)
+        if not len(members):
+            continue
+        lists = members[build(x[members])]
+        for s in range(overlap):
+            here = slot == s
+            graph[members[here], s * 2 * DEGREE : (s + 1) * 2 * DEGREE] = lists[here]
+    c = centroids(few, math.ceil(n / CLUSTER))
+    return graph, np.unique((x @ c.T - (c * c).sum(1) / 2).argmax(0))
+
+
+def in_range(x: np.ndarray, graph: np.ndarray, medoids: np.ndarray, asked: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """[len(asked), n] bool: what range-expanding greedy searches from the medoids find at cosine threshold or more of the asked nodes (not the node itself)."""
     n, width = graph.shape
-    hit = np.zeros((n, n), bool)
-    medoid = int((x @ x.mean(0)).argmax())
-    for at in range(0, n, 256):
-        q = np.arange(at, min(n, at + 256))
+    f, hit = x.astype(np.float32), np.zeros((len(asked), n), bool)
+    loose = np.float32(threshold - 1e-5)  # walked in single precision, verified in double
+    for at in range(0, len(asked), 256):
+        q = asked[at : at + 256]
         m, rows = len(q), np.arange(len(q))
         seen, good = np.zeros((m, n), bool), np.zeros((m, n), bool)
-        beam = np.stack([np.full(m, medoid), q], 1)
-        near = np.stack([x[q] @ x[medoid], np.ones(m)], 1)
-        near[q == medoid, 0] = -2
-        done = near < -1
-        seen[rows, q] = seen[:, medoid] = True
-        good[rows, medoid] = near[:, 0] >= threshold
-        while not done.all():
-            best = np.where(done, -3, near).argmax(1)
-            act = np.flatnonzero(~done.all(1))
-            node = beam[act, best[act]]
-            done[act, best[act]] = True
+        seen[:, medoids] = True
+        near = f[q] @ f[medoids].T
+        good[:, medoids] = near >= loose
+        beam = np.tile(medoids[None, :], (m, 1))
+        if beam.shape[1] > BEAM:
+            top = np.argpartition(-near, BEAM - 1, axis=1)[:, :BEAM]
+            beam, near = np.take_along_axis(beam, top, 1), np.take_along_axis(near, top, 1)
+        done = np.zeros(beam.shape, bool)
+        while len(act := np.flatnonzero(~done.all(1))):
+            best = np.where(done[act], -3, near[act]).argmax(1)
+            node = beam[act, best]
+            done[act, best] = True
             nb = graph[node]
-            s = np.einsum("qd,qrd->qr", x[q[act]], x[nb])
-            s[seen[act[:, None], nb]] = -2
+            new = ~seen[act[:, None], nb]
             seen[act[:, None], nb] = True
-            good[act[:, None], nb] |= s >= threshold
-            all_nb, all_s = np.tile(q[:, None], (1, width)), np.full((m, width), -2.0)
-            all_nb[act], all_s[act] = nb, s
-            beam, near, done = np.concatenate([beam, all_nb], 1), np.concatenate([near, all_s], 1), np.concatenate([done, all_s < -1], 1)
-            if beam.shape[1] > BEAM:
-                top = np.argpartition(-near, BEAM - 1, axis=1)[:, :BEAM]
-                beam, near, done = (np.take_along_axis(v, top, 1) for v in (beam, near, done))
+            s = np.where(new, np.einsum("qd,qrd->qr", f[q[act]], f[nb]), np.float32(-2))
+            good[act[:, None], nb] |= s >= loose
+            both, sims, over = np.concatenate([beam[act], nb], 1), np.concatenate([near[act], s], 1), np.concatenate([done[act], ~new], 1)
+            # a node that stands in a list twice is new twice there: its second place is struck out
+            order = np.argsort(both, axis=1, kind="stable")
+            twice = np.zeros(both.shape, bool)
+            np.put_along_axis(twice, order[:, 1:], np.diff(np.take_along_axis(both, order, 1), axis=1) == 0, 1)
+            sims[twice & (np.arange(both.shape[1]) >= beam.shape[1])] = -2
+            if both.shape[1] > BEAM:
+                top = np.argpartition(-sims, BEAM - 1, axis=1)[:, :BEAM]
+                both, sims, over = (np.take_along_axis(v, top, 1) for v in (both, sims, over))
+            if both.shape[1] != beam.shape[1]:
+                grow = both.shape[1] - beam.shape[1]
+                beam, near, done = np.pad(beam, ((0, 0), (0, grow))), np.pad(near, ((0, 0), (0, grow)), constant_values=-2), np.pad(done, ((0, 0), (0, grow)), constant_values=True)
+            beam[act], near[act], done[act] = both, sims, over | (sims < -1)
         i, j = np.nonzero(good)
         while len(i):
             a, b = np.repeat(i, width), graph[j].ravel()
@@ -120,245 +169,328 @@ def in_range(x: np.ndarray, graph: np.ndarray, threshold: float = THRESHOLD) ->
             key = np.unique(a[new] * np.int64(n) + b[new])
             a, b = key // n, key % n
             seen[a, b] = True
-            ok = np.concatenate([np.einsum("pd,pd->p", x[q[a[k : k + 65536]]], x[b[k : k + 65536]]) >= threshold for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+            ok = np.concatenate([np.einsum("pd,pd->p", f[q[a[k : k + 65536]]], f[b[k : k + 65536]]) >= loose for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
             i, j = a[ok], b[ok]
             good[i, j] = True
         good[rows, q] = False
-        hit[q] = good
-    return hit | hit.T
+        i, j = np.nonzero(good)
+        true = np.concatenate([np.einsum("pd,pd->p", x[q[i[k : k + 65536]]], x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+        hit[at + i[true], j[true]] = True
+    return hit
 
 
-def all_in_range(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """[n, n] bool: what in_range() looks for, by every pair."""
-    hit = np.concatenate([x[k : k + 256] @ x.T >= threshold for k in range(0, len(x), 256)])
-    np.fill_diagonal(hit, False)
-    return hit | hit.T
+def all_in_range(x: np.ndarray, asked: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """[len(asked), n] bool: what in_range() looks for, by every pair."""
+    hit = np.concatenate([x[asked[k : k + 256]] @ x.T >= threshold for k in range(0, len(asked), 256)] or [np.zeros((0, len(x)), bool)])
+    hit[np.arange(len(asked)), asked] = False
+    return hit
 
 
-def completed(x: np.ndarray, hit: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """hit with every link of the nodes that have one, and of those so met: a pair is missing only if neither of the two has any hit."""
+def completed(x: np.ndarray, asked: np.ndarray, hit: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """hit with every link between an asked node and any other of the nodes that have one, and of those so met: a pair is missing only if neither of the two has any hit."""
+    at = np.full(len(x), -1)
+    at[asked] = np.arange(len(asked))
     done = np.zeros(len(x), bool)
-    while len(todo := np.flatnonzero(hit.any(1) & ~done)):
+    while True:
+        linked = hit.any(0)
+        linked[asked] |= hit.any(1)
+        todo = np.flatnonzero(linked & ~done)
+        if not len(todo):
+            return hit
         for k in range(0, len(todo), 256):
             rows = todo[k : k + 256]
             near = x[rows] @ x.T >= threshold
             near[np.arange(len(rows)), rows] = False
-            hit[rows] |= near
-            hit[:, rows] |= near.T
+            hit[:, rows] |= near[:, asked].T
+            own = at[rows] >= 0
+            hit[at[rows[own]]] |= near[own]
         done[todo] = True
-    return hit
 
 
-def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
-    for _ in range(5):
-        near = np.argmax(x @ c.T - (c * c).sum(1) / 2, axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        n = np.bincount(near, minlength=len(c))[:, None]
-        c = np.where(n > 0, total / np.maximum(n, 1), c)
-    return c
-
-
-def cells(x: np.ndarray, levels: list[np.ndarray], overlap: int) -> np.ndarray:
-    """[n, ...] cell numbers of unit vectors: the overlap nearest centroids of the first level, times those of the second for what is left."""
-    nearest = lambda v, c: np.argsort(-(v @ c.T - (c * c).sum(1) / 2), axis=1, kind="stable")[:, : min(overlap, len(c))]
-    first = nearest(x, levels[0])
-    if len(levels) == 1:
-        return first.astype(np.int64)
-    out = []
-    for k in range(first.shape[1]):
-        second = nearest(x - levels[0][first[:, k]], levels[1])
-        out.append(first[:, k : k + 1].astype(np.int64) * len(levels[1]) + second)
-    return np.concatenate(out, 1)
-
-
-def _attempt(nodes: DataFrame, n: int, dimension: int, overlap: int, threshold: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) and forest edges (a, b) over nodes (rep, v, n). exact: one cell, and each two parts of it are held against each other in full."""
+def forest(asked: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """For each node the first asked node that it hangs together with over hits, or itself."""
+    n = hit.shape[1]
+    root, at = np.arange(n), np.full(n, -1)
+    at[asked] = np.arange(len(asked))
+    left = hit.any(1)
+    reached = np.zeros(n, bool)
+    while left.any():
+        start = int(left.argmax())
+        front = np.array([start])
+        left[start] = False
+        reached[asked[start]] = True
+        root[asked[start]] = asked[start]
+        while len(front):
+            new = np.flatnonzero(hit[front].any(0) & ~reached)
+            reached[new] = True
+            root[new] = asked[start]
+            # asked nodes among the new ones, and those that have a hit on a new one
+            also = np.flatnonzero(left & hit[:, new].any(1)) if len(new) else new
+            front = np.union1d(at[new][at[new] >= 0], also).astype(np.int64)
+            front = front[left[front]]
+            left[front] = False
+            reached[asked[front]] = True
+            root[asked[front]] = asked[start]
+    return root
+
+
+class Shards:
+    """The centroids: one level of them, or a level of centroids that have their own below. A shard is a centroid of the last level."""
+
+    def __init__(self, sample: np.ndarray, want: int):
+        want = max(1, min(want, MOST, len(sample)))
+        first = want if want <= LEVEL else math.ceil(math.sqrt(want))
+        self.top = centroids(sample, first)
+        self.below: list[np.ndarray] = []
+        if want > LEVEL:
+            near = _margins(sample, self.top)[0]
+            for k in range(len(self.top)):
+                own = sample[near == k]
+                self.below.append(centroids(own, max(1, min(len(own), round(want * len(own) / len(sample))))) if len(own) else self.top[k : k + 1])
+        self.starts = np.cumsum([0, *map(len, self.below)]) if self.below else np.arange(len(self.top) + 1)
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def near(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each row, and row, shard, margin of the shards that a row is at home in or is at most `reach` from the border of)."""
+        home, margin = _margins(x, self.top)
+        row, shard = np.nonzero(margin <= reach)
+        far = margin[row, shard]
+        if not self.below:
+            return home, row, shard, far
+        homes, rows, shards, fars = np.zeros(len(x), np.int64), [], [], []
+        for k, below in enumerate(self.below):
+            here = np.flatnonzero(shard == k)
+            if len(here):
+                own, inner = _margins(x[row[here]], below)
+                mine = home[row[here]] == k
+                homes[row[here][mine]] = self.starts[k] + own[mine]
+                a, b = np.nonzero(inner <= reach)
+                rows.append(row[here][a])
+                shards.append(self.starts[k] + b)
+                fars.append(np.maximum(far[here][a], inner[a, b]))
+        return homes, *(np.concatenate(v) for v in (rows, shards, fars))
+
+    def margin(self, x: np.ndarray, longest: float, threshold: float) -> float:
+        """The least margin at which MEET of the pairs of a row of x and another vector just in range meet in the home of either; `longest` is enough for all."""
+        rng = np.random.default_rng(7)
+        aside = rng.normal(size=x.shape)
+        aside -= (aside * x).sum(1, keepdims=True) * x
+        other = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * unit(aside + 1e-12)
+        need = np.full(len(x), longest)
+        homes = []
+        for v in (x, other):
+            homes.append(self.near(v, longest))
+        for (_, row, shard, far), (home, *_) in (homes, homes[::-1]):
+            to = shard == home[row]
+            np.minimum.at(need, row[to], far[to])
+        return min(longest, float(np.quantile(need, MEET)))
+
+
+def _margins(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, [n, k] distance to the border between the nearest centroid's region and that of each)."""
+    size = (c * c).sum(1)
+    d = size - 2 * x @ c.T
+    home, rows = d.argmin(1), np.arange(len(x))
+    gap = np.sqrt(np.maximum(size[home][:, None] + size[None, :] - 2 * (c @ c.T)[home], 1e-300))
+    margin = np.maximum(d - d[rows, home][:, None], 0) / (2 * gap)
+    margin[gap < 1e-9] = 0
+    return home, margin
+
+
+FOUND = "rep long, links double, root long, alive array<long>, places array<long>, sums array<double>"
+
+
+def _attempt(nodes: DataFrame, n: int, dimension: int, threshold: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rep, links) and forest edges (a, b) over nodes (rep, v, n). exact: with the widest margin, and every pair of a shard."""
     sample = unit(np.stack(nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"]))
-    want = 1 if exact else math.ceil(n / CELL)
-    levels = [centroids(sample, min(want, CENTROIDS))]
-    if want > CENTROIDS:
-        rest = sample - levels[0][np.argmax(sample @ levels[0].T - (levels[0] ** 2).sum(1) / 2, axis=1)]
-        levels.append(centroids(rest, min(CENTROIDS, math.ceil(want / CENTROIDS))))
+    shards, longest = Shards(sample, math.ceil(n / SHARD)), math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9)
+    reach = longest if exact else shards.margin(sample[:TRIED], longest, threshold)
+    vector = nodes.schema["v"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unit(np.asarray(batch.column(1).flatten()).reshape(-1, dimension))
-                own = cells(x, levels, overlap)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), batch.column(2), pa.array([sorted(c) for c in own], pa.list_(pa.int64()))], ["rep", "x", "n", "cells"])
-
-    placed = stored(nodes.select("rep", "v", "n").mapInArrow(assign, "rep long, x array<double>, n long, cells array<long>"), "placed")
-    member = placed.select("rep", F.explode("cells").alias("cell"))
-    parts = member.groupBy("cell").agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.count(F.lit(1)) / FULL)))).cast("long").alias("parts"))  # so that cells' parts nest
-    member = member.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-    # a node's place in a cell is cell * PLACE + part
-    places = member.groupBy("rep").agg(F.collect_list(F.col("cell") * PLACE + F.col("part")).alias("places"))
+                home, row, shard, _ = shards.near(unit(np.asarray(batch.column(1).flatten()).reshape(-1, dimension)), reach)
+                order = np.lexsort((shard, row))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(shard[order], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(home, pa.int64()), lists], ["rep", "v", "n", "home", "visits"])
+
+    placed = stored(nodes.select("rep", "v", "n").mapInArrow(assign, f"rep long, v {vector}, n long, home long, visits array<long>"), "placed")
+    placed = placed.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(PLACE)))
+    # powers of two, so that the parts of shards nest; shards are MOST at most
+    sizes = placed.select(F.explode("visits").alias("shard")).groupBy("shard").agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(F.count(F.lit(1)) / FULL)))).cast("long").alias("parts"))
+    split = {r["shard"]: r["parts"] for r in sizes.where("parts > 1").collect()}
+    parts = F.lit(1).cast("long")
+    if split:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in split.items() for x in pair]), F.col("shard")), parts)
+    member = placed.withColumn("shard", F.explode("visits")).withColumn("parts", parts).withColumn("part", F.col("lot") % F.col("parts"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    member = stored(member.select("rep", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "members")
-    filled = member.join(placed.drop("cells"), "rep")
-
-    def graph(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rep")
-        ids = t["rep"].to_numpy()
-        g = np.arange(len(ids))[:, None] if exact else build(np.stack(t["x"].to_numpy()))
-        return pd.DataFrame({"rep": ids, "near": [np.unique(ids[row[row != k]]) for k, row in enumerate(g)]})
-
-    lists = filled.select("rep", "cell", "i", "j", "x").groupBy("cell", "i", "j").applyInPandas(graph, "rep long, near array<long>")
-    union = stored(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    member = member.select("rep", "v", "n", "home", "visits", "lot", "shard", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def found(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("rep")
-        ids, x, cell = t["rep"].to_numpy(), np.stack(t["x"].to_numpy()), key[0]
-        sizes = [len(v) for v in t["near"]]
-        src, dst = np.repeat(np.arange(len(ids)), sizes), np.concatenate(list(t["near"])) if sum(sizes) else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
-        here = ids[at] == dst
-        src, at = src[here], at[here]
-        nth = np.arange(len(src)) - np.searchsorted(src, src)
-        g = np.tile(np.arange(len(ids))[:, None], (1, int(nth.max()) + 1 if len(nth) else 1))
-        g[src, nth] = at
-        hit = all_in_range(x, threshold) if exact else completed(x, in_range(x, g, threshold), threshold)
-        part, weight = t["part"].to_numpy(), t["n"].to_numpy()
-        earlier = [tuple(sorted(int(c) for c in v if c // PLACE < cell)) for v in t["places"]]
-        kinds = {e: i for i, e in enumerate(dict.fromkeys(earlier))}
-        kind, known = np.array([kinds[e] for e in earlier]), list(kinds)
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        alive, late, since = ([[] for _ in ids] for _ in range(3))
-        for k in np.flatnonzero(hit.any(1)):
-            to = np.flatnonzero(hit[k])
-            mine = to[(part[to] != part[k])] if key[1] != key[2] else to
-            alive[k] = [int(cell) * PLACE + int(p) for p in np.unique(part[mine])]
-            before, sums = {c // PLACE for c in earlier[k]}, {}
-            for e in np.unique(kind[mine]):
-                shared = tuple(c for c in known[e] if c // PLACE in before)
-                sums[shared] = sums.get(shared, 0) + int(weight[mine[kind[mine] == e]].sum())
-            links[k] = sums.pop((), 0)
-            since[k], late[k] = [list(s) for s in sums], list(sums.values())
-        left = hit.any(1)
-        while left.any():
-            start = int(left.argmax())
-            edge = np.array([start])
-            while len(edge):
-                left[edge] = False
-                root[edge] = start
-                edge = np.flatnonzero(hit[edge].any(0) & left)
-        some = np.flatnonzero(hit.any(1))
-        pick = lambda v: pd.Series([v[k] for k in some], dtype=object)  # noqa: E731  # without a dtype no rows make no lists
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ids[root[some]], "alive": pick(alive), "since": pick(since), "late": pick(late)})
-
-    searched = filled.join(union, "rep").join(places, "rep").groupBy("cell", "i", "j").applyInPandas(found, "rep long, links long, root long, alive array<long>, since array<array<long>>, late array<long>")
-    searched = stored(searched, "found")
-    every = searched.groupBy("rep").agg(F.sum("links").alias("links"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("alive", "since", "late")])
-    # links that share earlier places count where the node had no hit in any of these
-    first = F.filter(F.arrays_zip("since", "late"), lambda z: ~F.arrays_overlap(z["since"], F.col("alive")))
-    links = every.select("rep", (F.col("links") + F.aggregate(first, F.lit(0).cast("long"), lambda s, z: s + z["late"])).alias("links"))
+        shard, i, j = key
+        ids, weight, home, part, lot = (t[c].to_numpy() for c in ("rep", "n", "home", "part", "lot"))
+        x, n = unit(np.stack(t["v"].to_numpy())), len(t)
+        asked = np.flatnonzero(home == shard)
+        at = np.full(n, -1)
+        at[asked] = np.arange(len(asked))
+        hit = all_in_range(x, asked, threshold) if exact else completed(x, asked, in_range(x, *united(x), asked, threshold), threshold)
+        if i != j:
+            hit &= part[asked][:, None] != part[None, :]
+        links, some = np.zeros(n), hit.any(0)
+        some[asked] |= hit.any(1)
+        who, where, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if some.any():
+            own = home == shard
+            others = np.flatnonzero(~own & hit.any(0))
+            # does an asked node visit the home of the other?
+            names, of = np.unique(home[others], return_inverse=True)
+            visited = np.zeros((len(asked), len(names)), bool)
+            if len(names):
+                lists = t["visits"].to_numpy()[asked]
+                row, to = np.repeat(np.arange(len(asked)), [len(v) for v in lists]), np.concatenate(list(lists))
+                k = np.minimum(np.searchsorted(names, to), len(names) - 1)
+                visited[row[names[k] == to], k[names[k] == to]] = True
+            scale = np.array([split.get(int(a), 1) for a in names], dtype=np.int64)
+            for k in range(0, len(asked), 256):
+                rows = asked[k : k + 256]
+                links[rows] += hit[k : k + 256][:, own] @ weight[own].astype(float)
+                a, b = np.nonzero(hit[k : k + 256][:, others])
+                u, v, h = rows[a], others[b], of[b]
+                elsewhere = visited[a + k, h] & (names[h] < shard) if len(names) else np.zeros(0, bool)
+                here = ~elsewhere
+                links += np.bincount(u[here], weight[v[here]], minlength=n) + np.bincount(v[here], weight[u[here]], minlength=n)
+                u, v, h = u[elsewhere], v[elsewhere], h[elsewhere]
+                # for each end the part of that shard in which the other is
+                for one, two in ((u, v), (v, u)):
+                    place = names[h] * PLACE + lot[two] % scale[h]
+                    pairs, to = np.unique(np.stack([one, place]), axis=1, return_inverse=True)
+                    who.append(pairs[0])
+                    where.append(pairs[1])
+                    sums.append(np.bincount(to.ravel(), weight[two], minlength=pairs.shape[1]))
+        root = forest(asked, hit)
+        who, where, sums = map(np.concatenate, (who, where, sums))
+        order = np.argsort(who, kind="stable")
+        who, where, sums = who[order], where[order], sums[order]
+        pick = np.flatnonzero(some)
+        cuts = np.searchsorted(who, pick), np.searchsorted(who, pick, side="right")
+        across = part if i == j else i + j - part  # the part that a node was held against
+        list_of = lambda v: pd.Series([v[a:b] for a, b in zip(*cuts, strict=True)], dtype=object)  # noqa: E731  # without a dtype no rows make no lists
+        alive = pd.Series([[int(shard) * PLACE + int(across[k])] for k in pick], dtype=object)
+        return pd.DataFrame({"rep": ids[pick], "links": links[pick], "root": ids[root[pick]], "alive": alive, "places": list_of(where), "sums": list_of(sums)})
+
+    searched = stored(member.groupBy("shard", "i", "j").applyInPandas(found, FOUND), "found")
+    every = searched.groupBy("rep").agg(F.sum("links").alias("links"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("alive", "places", "sums")])
+    late = F.filter(F.arrays_zip("places", "sums"), lambda z: ~F.array_contains("alive", z["places"]))
+    links = every.select("rep", (F.col("links") + F.aggregate(late, F.lit(0.0), lambda s, z: s + z["sums"])).cast("long").alias("links"))
     return links, searched.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
 
-def _true_links(nodes: DataFrame, few: pd.DataFrame, dimension: int, threshold: float) -> dict[int, tuple[int, int]]:
-    """{rep: (links, linked nodes)} of the few (rep, v), held against all nodes. They are AUDITED_MOST at most and go along with the tasks."""
+def _true_links(nodes: DataFrame, few: pd.DataFrame, dimension: int, threshold: float) -> dict[int, int]:
+    """{rep: links} of the few (rep, v), held against all nodes. They are AUDITED_MOST and three times AUDITED at most and go along with the tasks."""
+    if not len(few):
+        return {}
     ids, q = few["rep"].to_numpy(), unit(np.stack(few["v"]))
+    f = q.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        links = np.zeros(len(ids))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                x = unit(np.asarray(part.column(1).flatten()).reshape(-1, dimension))
-                hit = (q @ x.T >= threshold) & (ids[:, None] != part.column(0).to_numpy()[None, :])
-                links += hit @ part.column(2).to_numpy()
-                near += hit.sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(near)], ["rep", "links", "near"])
-
-    held = nodes.select("rep", "v", "n").mapInArrow(run, "rep long, links long, near long").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
-    return {r["rep"]: (r["links"], r["near"]) for r in held.collect()}
+                x, weight, own = unit(np.asarray(part.column(1).flatten()).reshape(-1, dimension)), part.column(2).to_numpy(), part.column(0).to_numpy()
+                a, b = np.nonzero(f @ x.T.astype(np.float32) >= threshold - 1e-5)
+                true = ((q[a] * x[b]).sum(1) >= threshold) & (ids[a] != own[b])
+                links += np.bincount(a[true], weight[b[true]], minlength=len(ids))
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some])], ["rep", "links"])
 
+    held = nodes.select("rep", "v", "n").mapInArrow(run, "rep long, links double").groupBy("rep").agg(F.sum("links").alias("links"))
+    return dict.fromkeys(ids.tolist(), 0) | {r["rep"]: int(r["links"]) for r in held.collect()}
 
-def _effective(truth: dict[int, tuple[int, int]]) -> float:
-    """About how many groups of links the audit has met: its linked nodes, each weighted by one over its group, as an effective number."""
-    w = np.array([1 / (1 + near) for _, near in truth.values() if near])
-    return float(w.sum() ** 2 / (w * w).sum()) if len(w) else 0.0
 
+def _recall(nodes: DataFrame, links: DataFrame, n: int, dimension: int, threshold: float) -> tuple[float | None, int]:
+    """The mean share of a linked node's links that was found, by strata, and the nodes audited; None if no link is known.
 
-def _recall(truth: dict[int, tuple[int, int]], got: dict[int, int]) -> float | None:
-    """The mean share of a linked node's links that was found, over nodes or over groups, whichever is less; None if no node has links."""
-    linked = [(min(got.get(k, 0), links) / links, 1 / (1 + near)) for k, (links, near) in truth.items() if links]
-    if not linked:
-        return None
-    share, w = np.array(linked).T
-    return float(min(share.mean(), (share * w).sum() / w.sum()))
+    Nodes with 1, up to 15 and more links found are strata, and those with none: of these so many are taken that as few as would spoil the recall should show.
+    """
+    classes = F.when(F.col("links") <= 1, 1).when(F.col("links") <= 15, 2).otherwise(3)
+    linked = links.where("links > 0").withColumn("class", classes)
+    sizes = {r["class"]: r["count"] for r in linked.groupBy("class").count().collect()}
+    n_linked, drawn = sum(sizes.values()), F.xxhash64(F.lit("audit"), "rep")
+    few = []
+    for k in sizes:
+        few.append(linked.where(F.col("class") == k).orderBy(drawn, "rep").limit(AUDITED).select("rep", "links", "class"))
+    none = n - n_linked
+    enough = min(none, AUDITED_MOST, math.ceil(3 * none / max(1.0, (1 - WANTED) * n_linked)))
+    chosen = nodes.select("rep").join(linked.select("rep"), "rep", "left_anti").orderBy(drawn, "rep").limit(enough).select("rep", F.lit(0).cast("long").alias("links"), F.lit(0).alias("class"))
+    for f in few:
+        chosen = chosen.unionByName(f)
+    got = nodes.select("rep", "v").join(F.broadcast(chosen), "rep").toPandas()
+    truth = _true_links(nodes, got, dimension, threshold)
+    total = lost = 0.0
+    for k, size in ({0: none} | sizes).items():
+        own = got[got["class"] == k]
+        true = np.array([truth[r] for r in own["rep"]], dtype=float)
+        has = true > 0
+        if has.any():
+            share = np.minimum(own["links"].to_numpy()[has] / true[has], 1)
+            total += size * has.mean()
+            lost += size * has.mean() * (1 - share.mean())
+    return (None if not total else 1 - lost / total), len(got)
 
 
-def _audit(nodes: DataFrame, n: int, dimension: int, threshold: float) -> dict[int, tuple[int, int]]:
-    """True links of a seeded sample, grown until LINKED groups are met, all n nodes or AUDITED_MOST are in it."""
-    truth: dict[int, tuple[int, int]] = {}
-    m = AUDITED
-    while True:
-        few = nodes.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(m).select("rep", "v").toPandas()
-        truth |= _true_links(nodes, few.iloc[len(truth) :], dimension, threshold)
-        if m >= min(n, AUDITED_MOST) or _effective(truth) >= LINKED:
-            return truth
-        m = min(4 * m, AUDITED_MOST)
+def _linked(nodes: DataFrame, n: int, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """An _attempt() whose recall is WANTED or more, or the exact one."""
+    links, edges = _attempt(nodes, n, dimension, threshold)
+    links = stored(links, "links", n)
+    recall, audited = _recall(nodes, links, n, dimension, threshold)
+    if recall is None and audited < n:
+        warnings.warn(f"near_duplicates: no link was found, and none of {audited} audited nodes of {n} has one; the recall isn't known", stacklevel=2)
+    if recall is not None and recall < WANTED:
+        return _attempt(nodes, n, dimension, threshold, exact=True)
+    return links, edges
 
 
-def _linked(nodes: DataFrame, n: int, dimension: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The first _attempt() whose recall is WANTED or more."""
-    sample, overlap = _audit(nodes, n, dimension, threshold), OVERLAP
-    while True:
-        links, edges = _attempt(nodes, n, dimension, overlap, threshold)
-        truth = dict(sample)
-        if len(sample) < n and _effective(sample) < LINKED:
-            # the sample met few links; what was found tells of more nodes to audit
-            more = nodes.join(links.where("links > 0").select("rep"), "rep").orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(LINKED).select("rep", "v").toPandas()
-            if len(more):
-                truth |= _true_links(nodes, more, dimension, threshold)
-        has = [k for k, (true, _) in truth.items() if true]
-        got = {r["rep"]: r["links"] for r in links.where(F.col("rep").isin(has)).collect()} if has else {}
-        recall = _recall(truth, got)
-        if recall is None and len(sample) >= n or recall is not None and recall >= WANTED:
-            return links, edges
-        if overlap >= min(OVERLAP_MOST, math.ceil(n / CELL)):
-            break
-        overlap *= 2
-    if n <= EXACT:
-        return _attempt(nodes, n, dimension, 1, threshold, exact=True)
-    if recall is None:
-        warnings.warn(f"near_duplicates: no link was found, and none of {len(sample)} audited nodes of {n} has one; the recall isn't known", stacklevel=2)
-        return links, edges
-    raise RuntimeError(f"near_duplicates: recall {recall:.3f} on {len(has)} audited nodes with links, {WANTED} wanted, at {overlap} cells a node")
+def _usable(v: Column) -> Column:
+    """Whether a vector takes part: not null or empty, no null or non-finite component, not zero."""
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component), a row per row of vectors.
 
-    Vectors that usable() drops link with nothing and are their own component, as are those whose dimension isn't the most frequent one.
-    Equal vectors link with each other (n_links counts rows). Rows with a null id have component null. An empty table gives an empty one.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own component, as are those whose dimension isn't the most frequent one.
+    Equal vectors link with each other (n_links counts rows); equal ids are rows of their own. Rows with a null id link with nothing and have component null. An empty table gives an empty one.
+    Only the two named columns are read, so others may have any name. Vectors are nodes by two 64-bit hashes of their components.
     """
-    everything = vectors.select(F.col(id_col).cast("long").alias("id"))
-    rows = stored(usable(vectors, id_col, vector_col), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
+    element = vectors.schema[vector_col].dataType
+    kind = "float" if isinstance(element, T.ArrayType) and isinstance(element.elementType, T.FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    rows = rows.withColumn("usable", F.col("id").isNotNull() & _usable(F.col("v")))
+    sizes = rows.where("usable").groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
     if not sizes:
-        return everything.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     dimension = sizes[0]["d"]
-    rows = rows.where(F.size("v") == dimension)
-    # a node's key is its vector's hash, as ids may repeat
-    nodes = stored(rows.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.xxhash64("v")), "nodes")
+    # 0 and -0 are equal
+    rows = rows.withColumn("usable", F.col("usable") & (F.size("v") == dimension)).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
+    rows = rows.withColumn("rep", F.when(F.col("usable"), F.xxhash64("v"))).withColumn("twin", F.when(F.col("usable"), F.xxhash64(F.lit("twin"), "v")))
+    nodes = rows.where("usable").groupBy("rep", "twin").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    nodes = stored(nodes, "nodes")
     n = nodes.count()
     links, edges = _linked(nodes, n, dimension, threshold)
     joined = components(stored(edges, "edges", n), "a", "b", n)
-    of = nodes.join(links, "rep", "left").join(joined, nodes["rep"] == joined["node"], "left")
-    of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"), "least")
-    of = of.join(of.groupBy("group").agg(F.min("least").alias("component")), "group")
-    linked = rows.join(of, "v").select("id", "n_links", "component")
-    rest = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    bad = F.col("v").isNull() | (F.size("v") != dimension) | F.coalesce(~F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(True)) | ~F.exists("v", lambda x: x != 0) | F.col("id").isNull()
-    rest = rest.where(bad).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return linked.unionByName(rest)
+    of = nodes.select("rep", "twin", "least", "n").join(links, "rep", "left").join(joined, F.col("rep") == joined["node"], "left")
+    of = of.select("rep", "twin", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("group"), "least")
+    of = of.join(of.groupBy("group").agg(F.min("least").alias("component")), "group").select("rep", "twin", "n_links", "component")
+    found = rows.select("id", "rep", "twin").join(of, ["rep", "twin"], "left")
+    return found.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def op10_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
