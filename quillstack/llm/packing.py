@@ -116,7 +116,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Packs one worker's documents; rows are (doc_id, start, length, crc, doc_tokens, sequence_id, offset)."""
+    """Packs one worker's documents; rows are (doc_id, start, length, crc, doc_tokens, sequence_id, offset, ids)."""
 
     def __init__(self, first: int, capacity: int = CAPACITY, slack: float = SLACK):
         self.next, self.capacity, self.slack = first, capacity, slack
@@ -127,7 +127,7 @@ class Packer:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) >> 2
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next, at))
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next, at, ids))
             at += n
         self.next += 1
 
@@ -170,16 +170,19 @@ class Packer:
                     held = []
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row per piece of a document.
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a row per piece of a document; with_ids adds `ids`, the piece's ids, little-endian unsigned 32-bit.
 
     Null texts count as empty; with an end id they are one token, without one they have no piece. Rows with equal or null ids
-    are packed one by one. sequence_id is the partition's number times 2**40 plus a count. remembered: words that a worker
+    are packed one by one; texts of any length are packed whole; an empty table gives an empty one. Only the two named columns are read, so others may have any name. sequence_id is the partition's number times 2**40 plus a count. remembered: words that a worker
     remembers, about 250 bytes each; fewer take more time and give the same rows.
     """
     tail = b"" if end is None else end.to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = ", ".join(f"{n} long" for n in names)
     kinds = [pa.int64()] * 7
+    if with_ids:
+        names, kinds, schema = [*names, "ids"], [*kinds, pa.binary()], schema + ", ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
@@ -190,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
         def taken() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
         for batch in batches:
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
@@ -207,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
         yield taken()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(run, schema)
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

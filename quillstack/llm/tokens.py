@@ -135,6 +135,8 @@ def piece_model(path: str) -> PieceModel:
 def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of each row. Null texts count as empty, an empty text has no tokens; equal rows stay; no shuffle.
 
+    An empty table gives an empty one; null ids stay; texts of any length are counted whole. Only the two named columns are read, so others may have any name.
+
     model_path is read by each Python worker (None: the public model's own place there). Memory per worker: the vocabulary,
     REMEMBERED stretches, one Arrow batch; a single stretch of n characters takes n log n steps.
     """
