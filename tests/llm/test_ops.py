@@ -208,7 +208,7 @@ def test_counterfactual_term_quiets_mentions():
     names = sorted(set().union(*map(toxicity.features, texts)))
     number = {f: j for j, f in enumerate(names)}
     rows = [[number[f] for f in toxicity.features(t)] for t in texts]
-    swaps = [([number[f] for f in a if f in number], [number[f] for f in b if f in number]) for t in texts for a, b in toxicity.counterfactuals(t, 20)]
+    swaps = [([number[f] for f in a if f in number], [number[f] for f in b if f in number]) for t in texts for a, b in toxicity.counterfactuals(t)]
     gap = lambda m: m.score("muslim people") - m.score("christian people")
     free, held = toxicity.fit(rows, y, names, [], penalty=0.0), toxicity.fit(rows, y, names, swaps, penalty=5.0)
     assert 0.2 < gap(free) and abs(gap(held)) < 0.5 * gap(free)
@@ -218,7 +218,7 @@ def test_counterfactual_term_quiets_mentions():
 def test_every_mention_is_swapped():
     swapped = lambda t: {(w, o) for lost, gained in toxicity.counterfactuals(t) for w in lost for o in gained if "*" not in w + o}
     every = swapped("Asian and black women, young, muslim")
-    assert {w for w, _ in every} == {"asian", "black", "women", "young", "muslim"} and ("muslim", "atheist") in every and ("women", "boys") in every
+    assert {w for w, _ in every} == {"asian", "and", "black", "women", "young", "muslim"} and ("muslim", "atheist") in every and ("women", "boys") in every
     texts = [f"black asian women are idiot {i}" for i in range(40)] + [f"black asian men are kind {i}" for i in range(40)] + ["black asian women scum"] * 10
     y = np.array([1] * 40 + [0] * 40 + [1] * 10)
     names = sorted(set().union(*map(toxicity.features, texts)))
@@ -358,39 +358,94 @@ def test_additive_recall_and_ties(spark):
     assert additive.search(vectors(spark, []), F.col("id") % 20 == 0).count() == 0
 
 
-def test_flat_graph_links(spark):
-    rng = np.random.default_rng(2)
+def true_links(x):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = u @ u.T >= 0.95
+    np.fill_diagonal(true, False)
+    return true
+
+
+def crowded(seed=2):
+    rng = np.random.default_rng(seed)
     x = rng.normal(size=(700, 16))
     x[100:260] = x[5] + 0.12 * rng.normal(size=(160, 16))
     x[300:340] = x[6]
-    x = x.astype(np.float32)
+    return x.astype(np.float32)
+
+
+def test_flat_graph_links(spark):
+    x = crowded()
     got = flatgraph.near_duplicates(vectors(spark, x, BAD)).toPandas().set_index("id")
     assert len(got) == 700 + len(BAD)
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    true = u @ u.T >= 0.95
-    np.fill_diagonal(true, False)
+    true = true_links(x)
     assert got["n_links"].sum() >= 0.97 * true.sum() and (got.loc[range(700), "n_links"].to_numpy() <= true.sum(1)).all()
     assert got.loc[range(700), "component"].tolist() == roots(700, [(i, j) for i, j in zip(*np.nonzero(np.triu(true)))])
     assert (got.loc[range(1000, 1000 + len(BAD)), "n_links"] == 0).all()
     assert flatgraph.near_duplicates(vectors(spark, [])).count() == 0
 
 
-def test_flat_graph_counts_what_a_later_cell_finds(spark, monkeypatch):
+def test_flat_graph_of_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [-0.0, 2.0]), (7, [1.0, 0.0, 0.0])]
+    got = sorted((r.id or 0, r.n_links, r.component) for r in flatgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(0, 0, None), (1, 1, 1), (1, 2, 1), (1, 2, 1), (5, 1, 1), (6, 2, 1), (7, 0, 7)]
+
+
+@pytest.fixture
+def by_value():
+    """Patched constants and functions of the module go along with the tasks."""
     from pyspark import cloudpickle
 
-    # all three vectors are in cell 0, where the search finds nothing; the near two share cell 1 too
+    for m in (flatgraph, additive):
+        cloudpickle.register_pickle_by_value(m)
+    yield
+    for m in (flatgraph, additive):
+        cloudpickle.unregister_pickle_by_value(m)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_flat_graph_of_many_shards_and_parts(spark, monkeypatch, by_value, exact):
+    for name, value in (("SHARD", 60), ("FULL", 50), ("LEVEL", 4), ("CELL", 30)):
+        monkeypatch.setattr(flatgraph, name, value)
+    x = np.unique(crowded(), axis=0)
+    true = true_links(x)
+    weights = 1 + np.arange(len(x)) % 3
+    nodes = spark.createDataFrame([(i, [float(c) for c in v], int(w)) for i, (v, w) in enumerate(zip(x, weights, strict=True))], "rep long, v array<float>, n long")
+    links, edges = flatgraph._attempt(nodes, len(x), 16, 0.95, exact=exact)
+    got, want = {r.rep: r.links for r in links.collect()}, true @ weights
+    if exact:
+        assert got == {i: n for i, n in enumerate(want) if n}
+    else:
+        assert all(n <= want[i] for i, n in got.items()) and sum(got.values()) >= 0.97 * want.sum()
+    assert roots(len(x), [(r.a, r.b) for r in edges.collect()]) == roots(len(x), list(zip(*np.nonzero(np.triu(true))))) or not exact
+
+
+def test_margin_of_a_link_brings_all_pairs_together():
+    x = flatgraph.unit(crowded())
+    for want in (5, 40):
+        shards = flatgraph.Shards(x, want)
+        home, row, shard, _ = shards.near(x, math.sqrt(0.1))
+        inside = set(zip(row.tolist(), shard.tolist()))
+        assert len(shards) >= want // 2 and all((i, home[i]) in inside for i in range(len(x)))
+        assert all((j, home[i]) in inside for i, j in zip(*np.nonzero(true_links(x))))
+        assert 0 <= shards.margin(x, math.sqrt(0.1), 0.95) <= math.sqrt(0.1)
+
+
+def test_flat_graph_counts_what_another_shard_finds(spark, monkeypatch, by_value):
+    # the near two are both in shard 0, where the search finds nothing, and in shard 1
     x = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]]
-    monkeypatch.setattr(flatgraph, "cells", lambda v, levels, overlap: np.where(v[:, :1] > 0.9, [[0, 2]], [[0, 1]]))
-    monkeypatch.setattr(flatgraph, "in_range", lambda v, graph, threshold: ~np.eye(2, dtype=bool) if len(v) == 2 else np.zeros((len(v), len(v)), bool))
+
+    def near(self, v, reach):
+        pairs = [(i, k) for i, r in enumerate(v) for k in ((0,) if r[0] > 0.9 else (0, 1))]
+        rows, shards = np.array(pairs).T
+        return (v[:, 2] > 0).astype(int), rows, shards, np.zeros(len(pairs))
+
+    monkeypatch.setattr(flatgraph.Shards, "near", near)
+    truth = lambda v, graph, medoids, asked, threshold: (v[asked] @ v.T >= threshold) & (asked[:, None] != np.arange(len(v))[None, :])
     nodes = spark.createDataFrame([(i, v, 5) for i, v in enumerate(x)], "rep long, v array<double>, n long")
-    cloudpickle.register_pickle_by_value(flatgraph)
-    try:
-        links, edges = flatgraph._attempt(nodes, 3, 3, 2, 0.95)
-        assert {tuple(r) for r in links.collect()} == {(1, 5), (2, 5)} and edges.count() == 1
-        monkeypatch.setattr(flatgraph, "in_range", lambda v, graph, threshold: (v @ v.T >= threshold) & ~np.eye(len(v), dtype=bool))
-        assert {tuple(r) for r in flatgraph._attempt(nodes, 3, 3, 2, 0.95)[0].collect()} == {(1, 5), (2, 5)}
-    finally:
-        cloudpickle.unregister_pickle_by_value(flatgraph)
+    for search in (truth, lambda v, graph, medoids, asked, threshold: truth(v, graph, medoids, asked, threshold) & (len(v) == 2)):
+        monkeypatch.setattr(flatgraph, "in_range", search)
+        links, edges = flatgraph._attempt(nodes, 3, 3, 0.95)
+        assert {tuple(r) for r in links.collect()} == {(1, 5), (2, 5)} and {frozenset(r) for r in edges.collect()} == {frozenset((1, 2))}
 
 
 def test_flat_graph_audit(spark, monkeypatch):
@@ -398,20 +453,41 @@ def test_flat_graph_audit(spark, monkeypatch):
     x = rng.normal(size=(1500, 16))
     x[:600] = x[0] + 0.02 * rng.normal(size=(600, 16))
     x[600:620:2] = x[601:621:2] + 0.01 * rng.normal(size=(10, 16))
-    rows = vectors(spark, x).select(F.col("vec_id").alias("rep"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1).cast("long").alias("n")).cache()
-    truth = flatgraph._audit(rows, 1500, 16, 0.95)
-    assert len(truth) == 1500 and all(truth[k] == (599, 599) for k in range(600)) and all(truth[k] == (1, 1) for k in range(600, 620))
-    # the pairs are missed, the large group is found: 0.9999 of all links
-    assert flatgraph._recall(truth, {k: 599 for k in range(600)}) < 0.5
-    assert flatgraph._recall(truth, {k: v for k, (v, _) in truth.items()}) == 1.0 and flatgraph._recall({1: (0, 0)}, {}) is None
+    nodes = vectors(spark, x).select(F.col("vec_id").alias("rep"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1).cast("long").alias("n")).cache()
+    found = lambda d: flatgraph._recall(nodes, spark.createDataFrame(list(d.items()), "rep long, links long"), 1500, 16, 0.95)[0]
+    whole = dict.fromkeys(range(600), 599) | dict.fromkeys(range(600, 620), 1)
+    assert found(whole) == 1.0 and found({k: 599 for k in range(600)}) < 0.98 and found({}) == 0.0 and found(whole | dict.fromkeys(range(600), 300)) < 0.6
+    few = nodes.where("rep >= 700")
+    assert flatgraph._recall(few, spark.createDataFrame([], "rep long, links long"), 800, 16, 0.95) == (None, 800)
 
     attempt = flatgraph._attempt
     blind = lambda nodes, *a, exact=False: attempt(nodes, *a, exact=True) if exact else tuple(df.limit(0) for df in attempt(nodes, *a))
     monkeypatch.setattr(flatgraph, "_attempt", blind)
     assert flatgraph.near_duplicates(vectors(spark, x)).agg(F.sum("n_links")).first()[0] == 600 * 599 + 20
-    monkeypatch.setattr(flatgraph, "EXACT", 10)
-    with pytest.raises(RuntimeError, match="recall 0.000"):
-        flatgraph.near_duplicates(vectors(spark, x))
+
+
+def test_additive_in_blocks_and_cells(spark, monkeypatch, by_value):
+    monkeypatch.setattr(additive, "QUERIES", 9)
+    monkeypatch.setattr(additive, "AT_ONCE", 4)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] * 3 + 0.2 * rng.normal(size=(1500, 16))).astype(np.float32)
+    for metric in ("ip", "l2"):
+        got = additive.search(vectors(spark, x, BAD), F.col("id") % 20 == 0, k=10, metric=metric).toPandas()
+        f, hit = x.astype(float), 0
+        for q in range(0, 1500, 20):
+            s = f @ f[q] if metric == "ip" else -((f - f[q]) ** 2).sum(1)
+            s[q] = -np.inf
+            mine = got[got["query_id"] == q].sort_values("rank")
+            assert len(mine) == 10 and mine["rank"].tolist() == list(range(1, 11)) and np.allclose(mine["score"], s[mine["id"]])
+            hit += len(set(np.lexsort((np.arange(1500), -s))[:10]) & set(mine["id"]))
+        assert hit / (75 * 10) >= 0.95
+
+
+def test_additive_repeated_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [-1.0, 0.0]), (None, [9.0, 9.0]), (20, [0.0, 1.0])]
+    got = additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 20, 0.0), (0, 4, 2, -1.0), (20, 1, 1, 0.5), (20, 2, 1, 0.5), (20, 3, 0, 0.0), (20, 4, 0, 0.0), (20, 5, 2, 0.0)]
+    assert additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(False)).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -427,9 +503,318 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
 
 
-def test_pipeline(spark, docs):
+CLASHING = ["__row", "__words", "__id", "__kept", "__first", "row", "words", "doc", "own", "own_row", "whole", "ranges", "taken", "t", "y", "fp", "block", "sid", "size", "start", "pass"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` long" for c in CLASHING) + ", `a.b` string, n_chars long"
+    rows = [(i, t, "s", *[100 * i + k for k in range(len(CLASHING))], f"x{i}", -1) for i, t in enumerate(["one two three", "one two three", "call +49 30 1234567 now", None, "x y z"])]
+    frame = spark.createDataFrame(rows, schema)
+    trees = toxicity.Model({}, -4.0)
+    for made, changes in ((mixing.mixed_documents(frame), {"text", "n_chars"}), (simhash.keep_first(frame), set()), (pii.redact(frame), {"text", "n_chars"}), (toxicity.keep_clean(frame, trees), set())):
+        assert made.columns == frame.columns
+        got = made.collect()
+        assert got
+        for r in got:
+            assert all(r[c] == rows[r.doc_id][k] for k, c in enumerate(frame.columns) if c not in changes)
+    assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == [0, 2, 3, 4]
+
+
+def test_narrow_operators_with_clashing_names(spark):
+    frame = spark.createDataFrame([(7, "a b c", "s", "id!", "t!", 3, 4)], "doc_id long, text string, source string, id string, t string, y int, n_tokens int")
+    assert tokens.token_counts(frame).first()["id"] == 7 and packing.pack(frame).first()["doc_id"] == 7 and pii.find(frame).first()["id"] == 7
+    assert toxicity.scored(frame, toxicity.Model({}, 0.0)).first()["id"] == 7 and mixing.taken_words(frame).first()["size"] == 3
+    pages = spark.createDataFrame([(1, "http://a.com/en/" + "x" * 100_000, "h", "p", "k", 5)], "page_id long, url string, host string, path string, key string, n int")
+    judged = urls.judge(pages, spark.createDataFrame(urls.RULES, "verdict string, host string, path string")).first()
+    assert judged["host"] == "a.com" and judged["rule"] == "com/en/" and len(judged["path"]) == 100_004
+    turns = spark.createDataFrame([(1, 0, "ann", "w " * 100_000, "k", 1), (1, 1, "bob", "hi", "k", 1)], "conv_id long, turn long, role string, text string, key string, size long")
+    got = chat.rotate(turns).orderBy("perspective", "start").collect()
+    assert [(r.perspective, r["mask"], len(r.body)) for r in got] == [("ann", 1, 200_011), ("ann", 0, 13), ("bob", 0, 200_011), ("bob", 1, 13)]
+
+
+def test_hosts_are_compared_as_ascii(spark):
+    pages = spark.createDataFrame([(1, "http://Éx.com/a"), (2, "http://A.ÉX.com/a"), (3, "http://éx.com/a")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "Éx.com", "/a"), ("block", "ÉX.COM", "/a"), ("block", None, "/"), ("block", "com", None)], "verdict string, host string, path string")
+    assert {r.id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_listed_urls(spark):
+    given = ["http://u:p@Spam.org:80/a/b//?q#f", "https://spam.org/a/b", "http://spam.org/a", "http://spam.org:8080/a/b", "http://x.spam.org/a/b", "http://ok.org/", "spam.org/a/b", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*given, given[1]])], "page_id long, url string")
+    listed = spark.createDataFrame([("http://SPAM.org/a/b/",), (None,), ("no host",)] + [(f"http://h{i}.org/p{i}",) for i in range(5000)], "url string")
+    rules = spark.createDataFrame([("allow", "spam.org", "/a/b//")], "verdict string, host string, path string")
+    judged = lambda r: {x.id: x.verdict for x in urls.judge(pages, r, listed).collect()}
+    assert judged(rules.limit(0)) == {0: "block", 1: "block", 8: "block"} | dict.fromkeys(range(2, 8), "allow")
+    assert judged(rules)[0] == "block"  # of user and port the rule's host is another
+    assert urls.judge(pages, rules.limit(0), listed.limit(0)).where("verdict = 'allow'").count() == 9
+
+
+def test_urls_by_more_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SENT", 0)
+    con, want = registry.queries()["op6_url_filters"](spark, DIR), test_query_equals_sql
+    want(spark, "op6_url_filters")
+    assert con.count() == 250
+
+
+def test_rotation_by_hand_over_spans(spark):
+    rng = random.Random(6)
+    turns = [(rng.choice([1, 2, None]), rng.choice([None, 0, 1, 2, 3, 4, 5, 6, 7]), rng.choice(["system", "ann", "bob", None]), rng.choice(["x", "yy", None, "é" * 30])) for _ in range(120)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = Counter()
+    for conv in {t[0] for t in turns}:
+        own = sorted(((t[1] is not None, t[1] or 0, t[2] or "unknown", t[3] or "") for t in turns if t[0] == conv))
+        for who in {r for *_, r, _ in own} - {"system"}:
+            at = 0
+            for there, turn, role, text in own:
+                head = "<|im_start|>" + ("system" if role == "system" else "assistant" if role == who else f"user name={role}") + "\n"
+                body = text + "<|im_end|>\n"
+                want[conv, who, turn if there else None, head, body, at, at + len(head), at + len(head) + len(body), int(role == who)] += 1
+                at += len(head) + len(body)
+    for span in (2, 1024):
+        assert Counter(tuple(r) for r in chat.rotate(frame, span=span).collect()) == want
+
+
+def dtypes(df):
+    return dict(df.dtypes)
+
+
+def test_op1_query(spark, tmp_path):
+    x = crowded(5)
+    vectors(spark, x, BAD).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = additive.op1_additive_quantisation(spark, str(tmp_path))
+    assert dtypes(df) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    got, f, hit = df.toPandas(), x.astype(float), 0
+    assert sorted(set(got["query_id"])) == list(range(0, 700, 20))
+    for q in range(0, 700, 20):
+        s = f @ f[q]
+        s[q] = -np.inf
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and np.allclose(mine["score"], s[mine["vec_id"]])
+        hit += len(set(np.lexsort((np.arange(700), -s))[:20]) & set(mine["vec_id"]))
+    assert hit / (35 * 20) >= 0.95
+
+
+def test_op10_query(spark, tmp_path):
+    x = crowded(6)
+    rows = vectors(spark, x, BAD)
+    rows.unionByName(rows.limit(1).withColumn("vec_id", F.lit(None).cast("long"))).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = flatgraph.op10_flat_graph_dedup(spark, str(tmp_path))
+    assert dtypes(df) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+    true, got = true_links(x), {r.vec_id: r for r in df.collect()}
+    component = roots(700, list(zip(*np.nonzero(np.triu(true)))))
+    for i in range(700):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (true[i].sum(), component[i], component[i] == i)
+    assert got[None].kept is False and got[1000].kept is True
+
+
+def test_op2_query(spark, docs):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokens.MODEL))
+    df = tokens.op2_token_counts(spark, DIR)
+    assert dtypes(df) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+    want = {(r.doc_id, len((r.text or "").encode()), n := len(lib.encode(r.text or "")), n > 4096) for r in docs.collect()}
+    assert {tuple(r) for r in df.collect()} == want and any(w[3] for w in want)
+
+
+def xx(value, seed, width=8):
+    """Spark's xxhash64 of a whole number, as a signed long."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(int(value).to_bytes(width, "little", signed=True), seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def permuted_by_hand(x, size, sid, number):
+    keyed = lambda first, wide, *more: _chain([(first, wide), *more, (sid, 4), (number, 8)])
+    for i in range(mixing.ROUNDS):
+        other = (keyed(mixing.SEED, 4, (i, 4)) % size - x) % size
+        x = x if _chain([(max(x, other), 8), (i, 4), (sid, 4), (number, 8)]) & 1 == 0 else other
+    return x
+
+
+def _chain(values):
+    seed = 42
+    for v, width in values:
+        seed = xx(v, seed, width)
+    return seed
+
+
+def test_op3_query_recounted(spark):
+    """taken, document by document, from the targets, the blocks and the permutations: all in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    df = mixing.op3_source_mixing(spark, sf)
+    assert dtypes(df) == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+    got = {r.doc_id: r for r in df.collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).collect()
+    sizes = {r.doc_id: len(re.findall(mixing.WORD, r.text)) for r in rows}
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(sizes[r.doc_id] for r in rows if r.source == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, rest, target = 1.5 * sum(whole.values()), set(names), {}
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        full = {s for s in rest if level * weight[s] >= 2 * whole[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in rest}
+            break
+        target |= {s: 2.0 * whole[s] for s in full}
+        left -= sum(2 * whole[s] for s in full)
+        rest -= full
+    order = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    assert len(order) < 5000  # a source is one bucket, so its documents lie in the order of their ids
+    for sid, source in enumerate(names, 1):
+        own = sorted(r.doc_id for r in rows if r.source == source)
+        goal, n = math.floor(target[source] + 0.5), whole[source]
+        blocks = -(-n // mixing.BLOCK)
+        length = lambda k: mixing.BLOCK if k < blocks - 1 else n - (blocks - 1) * mixing.BLOCK
+        taken, slot, words = Counter(), 0, goal
+        while words > 0:
+            k = permuted_by_hand(slot % blocks, blocks, sid, slot // blocks)
+            for w in range(min(length(k), words)):
+                taken[k * mixing.BLOCK + w] += 1
+            words -= length(k)
+            slot += 1
+        at = 0
+        for d in own:
+            assert (got[d].size, got[d].source_size, got[d].taken) == (sizes[d], n, sum(taken[w] for w in range(at, at + sizes[d]))) and math.isclose(got[d].target, target[source])
+            at += sizes[d]
+
+
+def test_op5_query(spark, docs):
+    import hashlib
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    df = pii.op5_pii_spans(spark, DIR)
+    assert dtypes(df) == {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in pii.KINDS}, "base_sha256": "string", "spans": "string", "n_added": "bigint"}
+    got, total = {r.doc_id: r for r in df.collect()}, 0
+    for r in docs.collect():
+        t = r.text or ""
+        want = {"email": [m.span() for m in email.finditer(t)], "ip": [m.span() for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]}
+        want["card"] = [m.span() for m in card.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        want["phone"] = [m.span() for m in phone.finditer(t) if 9 <= len(digits(m)) <= 15]
+        told, mine = pii.joined(want), got[r.doc_id]
+        assert [mine[f"n_{k}"] for k in pii.KINDS] == [len(want[k]) for k in pii.KINDS] and mine.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        every = mine.spans.split(",") if mine.spans else []
+        assert set(told.split(",") if told else []) <= set(every) and len(every) == sum(map(len, want.values())) + mine.n_added
+        assert every == sorted(every, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+        total += len(every)
+    assert total
+
+
+def test_op7_query(spark):
+    df = packing.op7_harmonic_packing(spark, "/root/testdata/sf0.001")
+    assert dtypes(df) == dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "bigint")
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), with_ids=True).collect()
+    assert all(zlib.crc32(r["ids"]) == r.ids_crc32 and len(r["ids"]) == 4 * r.length for r in rows)
+    assert sorted((r.doc_id, r.start, r.ids_crc32, r.sequence_id, r.offset) for r in rows) == sorted((r.doc_id, r.start, r.ids_crc32, r.sequence_id, r.offset) for r in df.collect())
+
+
+def test_op9_query(spark, docs):
+    df = simhash.op9_simhash_near_dedup(spark, DIR)
+    assert dtypes(df) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    fps = [fingerprint_by_hand(t) for _, t in texts]
+    f = np.array(fps, dtype=np.uint64)
+    pairs = [(i, j) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]) <= 3) + i + 1]
+    root = roots(len(f), pairs)
+    assert {tuple(r) for r in df.collect()} == {(d, f"{fps[i]:016x}", texts[root[i]][0]) for i, (d, _) in enumerate(texts)} and pairs
+
+
+def test_toxicity_by_its_method(spark):
+    """Swaps hold the model; with the penalty a mention moves scores less, and clean texts with a neutral mention put in stay clean."""
+    for sf in ("sf0.01", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        held = docs.join(labels, "doc_id").where(toxicity.is_held_out()).select("text", "toxic").collect()
+        moved, wrong = {}, {}
+        for penalty in (0.0, toxicity.PENALTY):
+            model = toxicity.train(docs, labels, held_out=toxicity.is_held_out(), penalty=penalty)
+            assert model.swaps > 1000
+            logit = lambda words: sum(model.weights.get(w, 0.0) for w in words)  # noqa: B023, E731
+            moved[penalty] = np.mean([abs(logit(lost) - logit(gained)) for r in held for lost, gained in toxicity.counterfactuals(r.text or "")])
+            clean = [r.text or "" for r in held if not r.toxic and model.score(r.text or "") < toxicity.THRESHOLD]
+            wrong[penalty] = sum(any(model.score(f"{t} {term}") >= toxicity.THRESHOLD for term in toxicity._SWAPS) for t in clean)
+        print(sf, model.swaps, moved, wrong, len(clean))
+        assert moved[toxicity.PENALTY] < 0.1 * moved[0.0] and wrong[toxicity.PENALTY] <= wrong[0.0]
+
+
+def test_toxicity_of_repeats_and_ties(spark):
+    rows = [(i, f"{'bad words here' if i % 3 == 0 else 'fine words here'} {i % 5}", int(i % 3 == 0)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = frame.select("doc_id", "toxic")
+    model = toxicity.train(frame.unionByName(frame), labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None), (None, 1), (1, 0)], "doc_id long, toxic int")))
+    again = toxicity.train(frame.unionByName(frame), labels)
+    assert math.isclose(model.score("bad words"), again.score("bad words"), rel_tol=1e-6) and model.score("bad words") > 0.5 > model.score("fine words")
+    scores = defaultdict(set)
+    for r in toxicity.scored(frame.unionByName(frame), model).join(frame.withColumnRenamed("doc_id", "id"), "id").collect():
+        scores[r.text].add(r.score)
+    assert all(len(s) == 1 for s in scores.values())
+    long = spark.createDataFrame([(1, LONG + "bad"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.id: r.score for r in toxicity.scored(long, model).collect()}
+    assert got[2] == got[3] and got[1] > got[2]
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("login at host 10[.]0[.]3[.]7 now", ["IP"]), ("server 9990.10.2.33.44 is up", ["IP"]), ("ring +4 9 3 0 1 2 3 4 5 6 7 8 123456 now", ["PHONE"]), ("we meet at noon. Then home", []),
+])
+def test_pii_generators(text, kinds):
+    trees, thresholds = pii.trained()
+    assert max(thresholds.values()) <= 0.99 and set(thresholds) == set(pii.KINDS)
+    assert re.findall(r"\[([A-Z]+)\]", pii.redacted(text, trees, thresholds).replace("[.]", "")) == kinds
+
+
+def test_pii_candidates_of_any_length():
+    text = "x" * 3000 + "[at]mail[dot]example[dot]co[dot]uk[dot]org"
+    assert ("email", 0, len(text)) in pii.candidates(text, *pii.base(text))
+    digits = " ".join("9" * 5000)
+    assert len(pii.candidates("+" + digits, *pii.base("+" + digits))) > 5000 * 7
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage against a plain version of it, on what the stage before kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "pii", "mixing", "packing"]
-    out = corpus_pipeline.run(spark, DIR)
-    assert out.count() > 0 and out.select("doc_id").distinct().count() <= docs.count()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(stage(spark, kept[-1], sf).cache())
+    rows = [df.collect() for df in kept]
+    assert all(df.columns == docs.columns for df in kept[:-1])
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), held_out=toxicity.is_held_out())
+    assert sorted(rows[1]) == sorted(r for r in rows[0] if model.score(r.text or "") < toxicity.THRESHOLD) and len(rows[1]) < len(rows[0])
+    own = sorted(rows[1], key=lambda r: r.doc_id)
+    f = [fingerprint_by_hand(r.text) for r in own]
+    root = roots(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 3])
+    assert sorted(rows[2]) == [r for i, r in enumerate(own) if root[i] == i]
+    trees, thresholds = pii.trained()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in rows[3]) == sorted((r.doc_id, t := pii.redacted(r.text, trees, thresholds), len(t)) for r in rows[2])
+    taken = {r.id: r.taken for r in mixing.taken_words(kept[3]).collect()}
+    words, given = Counter(), {r.doc_id: re.findall(mixing.WORD, r.text) for r in rows[3]}
+    for r in rows[4]:
+        mine = re.findall(mixing.WORD, r.text)
+        words[r.doc_id] += len(mine)
+        assert not Counter(mine) - Counter(given[r.doc_id])
+    assert words == Counter({k: v for k, v in taken.items() if v})
+    lib, pieces = Tokenizer.from_file(public_tokenizers.path(packing.MODEL)), defaultdict(Counter)
+    for r in rows[4]:
+        ids = np.array([*lib.encode(r.text, add_special_tokens=False).ids, packing.END], dtype="<u4").tobytes()
+        pieces[r.doc_id][ids] += 1
+    for doc, want in pieces.items():
+        mine = sorted((r for r in rows[5] if r.doc_id == doc), key=lambda r: (r.doc_tokens, r.start))
+        assert sum(r.length for r in mine) == sum(len(i) // 4 * n for i, n in want.items())
+        assert Counter(b for r in mine for b in np.frombuffer(r["ids"], "<u4").tolist()) == Counter(b for i, n in want.items() for b in np.frombuffer(i, "<u4").tolist() * n)
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_pipeline_of_awkward_tables(spark, tmp_path, odd, empty, which):
+    import corpus_pipeline
+
+    {"odd": odd, "empty": empty}[which].write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*((i, 0) for i in range(10) if i not in (4, 5)), (4, 1), (None, 1), (6, None)] if which == "odd" else [], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(out) > 0) == (which == "odd") and all(len(r["ids"]) == 4 * r.length for r in out)
