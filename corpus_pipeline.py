@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import mixing, packing, pii, simhash, toxicity
-from quillstack.llm.common import stored, table
+from quillstack.llm.common import freed, stored, table
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences. Workers that other stages share remember fewer words than packing alone would."""
-    return packing.pack(docs, remembered=300_000)
+    """Pieces of documents in sequences, with their ids. Workers that other stages share remember fewer words than packing alone would."""
+    return packing.pack(docs, remembered=300_000, with_ids=True)
 
 
 STAGES = [("toxicity", _toxicity), ("simhash_near_dedup", _near_dedup), ("pii", _pii), ("mixing", _mixing), ("packing", _packing)]
@@ -40,7 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each on what the one before has written: packed pieces with their ids.
+
+    Rows with a null text or id pass through as the stages say; an empty table gives an empty one. What a stage stores on its way is removed when it is done.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with freed(spark):
+            docs = stored(stage(spark, docs, sf_dir), name)
     return docs
