@@ -29,6 +29,8 @@ from .common import stored, table
 LEVELS, WORDS, SAMPLE, PASSES, BEAM = 8, 256, 8192, 5, 4
 #: Queries in a block, queries that a task scores at once, pairs reranked at once, deviations of the residual's part that a row may make up for.
 QUERIES, AT_ONCE, PAIRS, MARGIN = 4096, 256, 65536, 2.5
+#: The share of hopeful pairs from which they are reranked together.
+DENSE = 0.01
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -190,7 +192,14 @@ class Block:
             if self.euclid:
                 near = 2 * near - norm[rows] ** 2
             near += np.multiply(spread[queries][:, None], aside[rows][None, :], out=got)
-            a, b = np.nonzero(near >= lifted[queries][:, None])
+            hopeful = near >= lifted[queries][:, None]
+            if hopeful.mean() > DENSE:
+                # so many pairs are reranked by one product of matrices; what stays is scored pair by pair, so that equal vectors have equal scores
+                exact = self.q[queries] @ x[rows].T
+                if self.euclid:
+                    exact = 2 * exact - (x[rows] ** 2).sum(1)
+                hopeful &= exact >= (lifted[queries] - 1e-9 * (1 + np.abs(lifted[queries])))[:, None]
+            a, b = np.nonzero(hopeful)
             a, b = queries[a], rows[b]
             new = ~np.isin(a * np.int64(n) + b, sure_pairs)
             return reranked(a[new], b[new])
