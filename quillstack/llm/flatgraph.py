@@ -34,11 +34,11 @@ from .common import components, stored, table
 
 THRESHOLD = 0.95
 #: Nodes at home in a shard that are aimed at, nodes of a shard above which it is split, rows of the sample that centroids are fitted on, centroids of a level at most, shards at most.
-SHARD, FULL, SAMPLE, LEVEL, MOST = 3000, 6000, 16384, 128, 8192
+SHARD, FULL, SAMPLE, LEVEL, MOST = 2500, 8000, 16384, 128, 8192
 #: Nodes of a cell of a shard that are aimed at, cells of a node, nodes of a cluster that has a medoid, candidates and kept neighbours of a node, pruning factor, beam width.
-CELL, OVERLAP, CLUSTER, POOL, DEGREE, ALPHA, BEAM = 700, 3, 10, 16, 8, 1.2, 12
+CELL, OVERLAP, CLUSTER, POOL, DEGREE, ALPHA, BEAM = 500, 2, 10, 16, 8, 1.2, 10
 #: The share of pairs that just link and must meet, nodes that the margin is chosen by.
-MEET, TRIED = 0.995, 2048
+MEET, TRIED = 0.99, 2048
 #: Nodes audited of each class with links, of those without at most, the recall asked for.
 AUDITED, AUDITED_MOST, WANTED = 256, 8192, 0.97
 #: Parts of a shard are fewer than this.
