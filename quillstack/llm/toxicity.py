@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,24 +109,34 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], swaps: list
     return Model({names[j]: float(now[j]) for j in range(m) if abs(now[j]) > 1e-6}, float(now[m]))
 
 
+@cache
+def _of(term: str) -> frozenset[str]:
+    return frozenset(features(term))
+
+
 def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
     """Features that the text loses and gains by each swap of a mention in it, and by each of those of the neutral mention put into it."""
     words = set(_WORD.findall(text.lower()))
+    # how many words have a feature: what one word alone has is lost with it
+    held = Counter(words)
+    for n in (4, 5, 6):
+        held.update(w[:n] + "*" for w in words if len(w) >= n)
     out = []
-    for term in sorted(words & _SWAPS.keys()):
-        rest, own = features(" ".join(words - {term})), features(term)
+
+    def swap(term: str, alone: int) -> None:
+        own = _of(term)
         for other in _SWAPS[term]:
             if other not in words:
-                new = features(other)
-                out.append((own - rest - new, new - rest - own))
+                new = _of(other)
+                out.append(({f for f in own - new if held[f] == alone}, {f for f in new - own if not held[f]}))
+
+    for term in sorted(words & _SWAPS.keys()):
+        swap(term, 1)
     if not words & _NAMED:
         kind = IDENTITIES[(h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) % len(IDENTITIES)]
         term = kind[h // len(IDENTITIES) % len(kind)]
-        rest, own = features(" ".join(words)), features(term)
-        out.append((set(), own - rest))
-        for other in _SWAPS[term]:
-            new = features(other)
-            out.append((own - rest - new, new - rest - own))
+        out.append((set(), {f for f in _of(term) if not held[f]}))
+        swap(term, 0)
     return out
 
 
