@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
                 for doc, ids in zip(docs[at:upto], encoder.ids(texts[at:upto]), strict=True):
                     packer.add(doc, ids + tail)
                 at = upto
-            yield taken()
+                yield taken()  # at once, so that no more than these texts' ids are held
         packer.pour()
         yield taken()
 
