@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from .retrieval import to_id
 
-#: Fixed value: what asks a model for bare JSON.
+#: What a client is told first, and what asks a model for bare JSON.
+THINKING = "正在思考..."
 JSON_HINT = "请只返回合法的 JSON 对象，不要包含任何其他内容或 markdown 格式。"
 
 
@@ -156,6 +157,30 @@ def messages(history: DataFrame, system: str) -> DataFrame:
     return rows.select("conv_id", F.concat(F.array(message("system", F.lit(system))), said).alias("messages"))
 
 
+def answer_events(rows: DataFrame) -> DataFrame:
+    """K7: (query_id, pos, event, data) that a client is sent for each answer (query_id, action, answer, sources, images, error): status, answer_token, sources, done; an error ends them.
+
+    data is JSON. A chat or refusal has neither sources nor images.
+    """
+    searched = F.col("action") == "search"
+    listed = lambda c: F.when(searched, F.coalesce(F.col(c), F.array())).otherwise(F.array())
+    event = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    status = event("status", F.to_json(F.struct(F.lit(THINKING).alias("text"))))
+    told = event("answer_token", F.to_json(F.struct(F.coalesce("answer", F.lit("")).alias("content"))))
+    found = event("sources", F.to_json(F.struct(listed("sources").alias("sources"), listed("images").alias("images"), "action")))
+    failed = event("error", F.to_json(F.struct("error")))
+    events = F.when(F.col("error").isNotNull(), F.array(status, failed)).otherwise(F.array(status, told, found, event("done", F.lit("{}"))))
+    return rows.select("query_id", F.posexplode(events).alias("pos", "e")).select("query_id", "pos", "e.event", "e.data")
+
+
+def manual_label(pdf_name: Column, short: dict[str, str] | None = None) -> Column:
+    """T5: what a manual is called in a list: its short name, if it has one, or its file's name without the ending."""
+    base = F.regexp_replace(X.strip(F.coalesce(pdf_name, F.lit(""))), r"(?i)\.pdf\z", "")
+    for name, said in (short or {}).items():
+        base = F.when(base == name, said).otherwise(base)
+    return base
+
+
 def google_payload(messages: Column, json_mode: bool = False) -> Column:
     """Q11: (system_instruction, contents) as the provider `google` takes messages: system texts joined and apart, the assistant called model, blank messages left out."""
     solid = F.filter(F.transform(messages, lambda m: F.struct(F.lower(X.strip(m["role"])).alias("role"), X.strip(F.coalesce(m["content"], F.lit(""))).alias("text"))), lambda m: m["text"] != "")

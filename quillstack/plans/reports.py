@@ -163,6 +163,22 @@ def q11p(spark, d):
     return table(spark, d, "events").select("event_type", C.provider(name).alias("provider")).distinct()
 
 
+@query("k7_answer_events", f"""WITH {PAIRS}, a AS (SELECT conv_id * 1000 + turn AS query_id, CASE turn % 3 WHEN 0 THEN 'chat' ELSE 'search' END AS action, CASE WHEN turn % 5 <> 4 THEN answer END AS answer, CASE WHEN turn % 7 = 2 THEN 'down' END AS error, turn FROM pairs),
+e AS (SELECT query_id, 0 AS pos, 'status' AS event, '{{"text":"正在思考..."}}' AS data FROM a UNION ALL SELECT query_id, 1, 'error', '{{"error":"down"}}' FROM a WHERE error IS NOT NULL
+  UNION ALL SELECT query_id, 1, 'answer_token', '{{"content":' || CAST(to_json(coalesce(answer, '')) AS VARCHAR) || '}}' FROM a WHERE error IS NULL
+  UNION ALL SELECT query_id, 2, 'sources', CASE action WHEN 'chat' THEN '{{"sources":[],"images":[],"action":"chat"}}' ELSE '{{"sources":[{{"page":' || CAST(turn AS VARCHAR) || '}}],"images":["i.png"],"action":"search"}}' END FROM a WHERE error IS NULL
+  UNION ALL SELECT query_id, 3, 'done', '{{}}' FROM a WHERE error IS NULL) SELECT * FROM e""")
+def k7(spark, d):
+    k = F.col("turn")
+    rows = pairs(spark, d).select((F.col("conv_id") * 1000 + k).alias("query_id"), F.when(k % 3 == 0, "chat").otherwise("search").alias("action"), F.when(k % 5 != 4, F.col("answer")).alias("answer"), F.array(F.struct(k.alias("page"))).alias("sources"), F.array(F.lit("i.png")).alias("images"), F.when(k % 7 == 2, "down").alias("error"))
+    return C.answer_events(rows)
+
+
+@query("t5_manual_labels", "SELECT DISTINCT source, CASE WHEN source = 'src3' THEN 'Third' ELSE source END AS label FROM documents")
+def t5(spark, d):
+    return table(spark, d, "documents").select("source", C.manual_label(F.concat(F.lit(" "), "source", F.lit(".PDF")), {"src3": "Third"}).alias("label")).distinct()
+
+
 @query("a1_token_stats", f"WITH t AS (SELECT source, {TOK.format('text')} AS n FROM documents) SELECT source, count(*) AS n, min(n) AS least, max(n) AS most, round(quantile_cont(n, 0.5), 4) AS median, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.75), 4) AS p75 FROM t GROUP BY GROUPING SETS ((source), ())")
 def a1(spark, d):
     return S.token_stats(table(spark, d, "documents").select("source", X.token_count(F.col("text")).alias("tok")), "source", "tok")
@@ -393,7 +409,7 @@ def t1(spark, d):
     return S.stages_to_run(plan.drop("o_orderstatus"), state, restart_from=3)
 
 
-@query("t3_windowed_feedback", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("extension_windowed_feedback", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t3(spark, d):
     return feedback.windowed_counts(table(spark, d, "events"), "event_type")
 
