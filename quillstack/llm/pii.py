@@ -155,34 +155,39 @@ class Trees:
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, leaf: float = 3.0):
         self.rate, self.depth = rate, depth
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.04, 0.96, 24))) for j in range(x.shape[1])]
+        # a row's place among a feature's cuts: it is at or below cut k if its place is k at most
+        width = 1 + max(map(len, cuts))
+        place = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1) + np.arange(x.shape[1]) * width
         self.trees = []
         f = np.zeros(len(y))
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-f))
             tree: dict[int, tuple] = {}
-            f += rate * self._grow(tree, 1, x, p - y, p * (1 - p), np.arange(len(y)), cuts, leaf)
+            f += rate * self._grow(tree, 1, place, width, p - y, p * (1 - p), np.arange(len(y)), cuts, leaf)
             self.trees.append(tree)
 
-    def _grow(self, tree: dict, node: int, x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, cuts: list, leaf: float) -> np.ndarray:
+    def _grow(self, tree: dict, node: int, place: np.ndarray, width: int, g: np.ndarray, h: np.ndarray, at: np.ndarray, cuts: list, leaf: float) -> np.ndarray:
         out = np.zeros(len(g))
-        gs, hs, best = g[at].sum(), h[at].sum(), (1e-3, -1, 0.0)
-        if node < 1 << self.depth:
+        gs, hs, best = g[at].sum(), h[at].sum(), (1e-3, -1, 0)
+        if node < 1 << self.depth and len(at):
+            n = place.shape[1]
+            sums = [np.bincount(place[at].ravel(), np.repeat(v[at], n), minlength=n * width).reshape(n, width).cumsum(1) for v in (g, h)]
+            gl, hl = sums[0], sums[1]
+            gain = gl * gl / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs * gs / (hs + 1)
+            gain[(hl <= leaf / 4) | (hs - hl <= leaf / 4)] = -1.0
             for j, c in enumerate(cuts):
-                for t in c:
-                    low = x[at, j] <= t
-                    hl, gl = h[at][low].sum(), g[at][low].sum()
-                    if hl > leaf / 4 and hs - hl > leaf / 4:
-                        gain = gl * gl / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs * gs / (hs + 1)
-                        if gain > best[0]:
-                            best = (gain, j, t)
+                gain[j, len(c) :] = -1.0
+            j, k = np.unravel_index(gain.argmax(), gain.shape)
+            if gain[j, k] > best[0]:
+                best = (gain[j, k], int(j), int(k))
         if best[1] < 0:
             tree[node] = (-1, 0.0, v := -gs / (hs + 1))
             out[at] = v
             return out
-        _, j, t = best
-        tree[node] = (j, t, 0.0)
-        low = x[at, j] <= t
-        return self._grow(tree, 2 * node, x, g, h, at[low], cuts, leaf) + self._grow(tree, 2 * node + 1, x, g, h, at[~low], cuts, leaf)
+        _, j, k = best
+        tree[node] = (j, float(cuts[j][k]), 0.0)
+        low = place[at, j] - j * width <= k
+        return self._grow(tree, 2 * node, place, width, g, h, at[low], cuts, leaf) + self._grow(tree, 2 * node + 1, place, width, g, h, at[~low], cuts, leaf)
 
     def score(self, row: list[float]) -> float:
         total = 0.0
