@@ -28,7 +28,7 @@ from .common import stored, table
 #: Codebooks, words in each, rows of the sample that fits them, passes of the fit, encodings kept by the beam.
 LEVELS, WORDS, SAMPLE, PASSES, BEAM = 8, 256, 8192, 5, 4
 #: Queries in a block, queries that a task scores at once, pairs reranked at once, deviations of the residual's part that a row may make up for.
-QUERIES, AT_ONCE, PAIRS, MARGIN = 4096, 256, 65536, 2.5
+QUERIES, AT_ONCE, PAIRS, MARGIN = 16384, 256, 65536, 2.5
 #: The share of hopeful pairs from which they are reranked together.
 DENSE = 0.01
 
@@ -110,34 +110,42 @@ def index(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     return vectors.where(F.size("v") == d).mapInArrow(run, "id long, v array<double>, codes binary, norm double, gain double, aside double, cell int, along double, off double")
 
 
+def floors(asked: DataFrame, sample: tuple[np.ndarray, np.ndarray], books: np.ndarray, k: int, euclid: bool) -> DataFrame:
+    """(id, v, cell, floor, sure, sure_cells) of queries (id, v, cell): the k-th best score in the sample, which k rows reach, so that the k best do; and the ids and cells of these k."""
+    sample_cells = encode(sample[1], books)[0][:, 0].astype(np.int32)
+    sent = asked.sparkSession.sparkContext.broadcast((*sample, sample_cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, at_home = sent.value
+        size = (x**2).sum(1)
+        top_n = min(k, len(ids))
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                q = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
+                near = q @ x.T
+                if euclid:
+                    near = 2 * near - size - (q**2).sum(1)[:, None]
+                near[part.column(0).to_numpy()[:, None] == ids[None, :]] = -np.inf
+                top = np.argpartition(near, len(ids) - top_n, axis=1)[:, len(ids) - top_n :]
+                floor = np.take_along_axis(near, top, 1).min(1) if top_n == k else np.full(len(q), -np.inf)
+                # rounding must not shut out the very rows that the floor was made of
+                floor -= 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+                lists = [pa.array(list(v[top]), pa.list_(kind)) for v, kind in ((ids, pa.int64()), (at_home, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(floor), *lists], ["id", "v", "cell", "floor", "sure", "sure_cells"])
+
+    return asked.mapInArrow(run, "id long, v array<double>, cell int, floor double, sure array<long>, sure_cells array<int>")
+
+
 class Block:
-    """A block of queries, ready to be held against rows of the index. floor: what a row must reach, at first by the sample's k-th best."""
+    """A block of queries (ids, q), ready to be held against rows of the index. floor: what a row must reach; sure: ids of rows that are reranked whatever their codes say, a list a query."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, books: np.ndarray, sample: tuple[np.ndarray, np.ndarray], cells: np.ndarray, k: int, euclid: bool):
-        self.ids, self.q, self.books, self.k, self.euclid = ids, q, books, k, euclid
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, sure: list[np.ndarray], books: np.ndarray, cells: np.ndarray, k: int, euclid: bool):
+        self.ids, self.q, self.floor, self.books, self.cells, self.k, self.euclid = ids, q, floor, books, cells, k, euclid
         self.norms = np.linalg.norm(q, axis=1)
-        self.floor = np.full(len(q), -np.inf)
-        # the sample's best k are always reranked, so that no query gets fewer than k
-        sure_of, sure_id, sure_cell = [], [], []
-        sample_cells = encode(sample[1], books)[0][:, 0].astype(int)
-        for at in range(0, len(q), AT_ONCE):
-            part = slice(at, at + AT_ONCE)
-            near = q[part] @ sample[1].T
-            if euclid:
-                near = 2 * near - (sample[1] ** 2).sum(1) - (q[part] ** 2).sum(1)[:, None]
-            near[ids[part][:, None] == sample[0][None, :]] = -np.inf
-            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :] if near.shape[1] >= k else np.tile(np.arange(near.shape[1]), (len(near), 1))
-            if near.shape[1] >= k:
-                self.floor[part] = np.take_along_axis(near, top, 1).min(1)
-            sure_of.append(np.repeat(np.arange(at, at + len(near)), top.shape[1]))
-            sure_id.append(sample[0][top].ravel())
-            sure_cell.append(sample_cells[top].ravel())
-        sure_of, sure_id, sure_cell = map(np.concatenate, (sure_of, sure_id, sure_cell))
-        order = np.argsort(sure_id, kind="stable")
-        self.sure_of, self.sure_id, self.sure_cells = sure_of[order], sure_id[order], np.unique(sure_cell)
-        # rounding must not shut out the very rows that the floor was made of
-        self.floor -= 1e-9 * (1 + np.abs(np.where(np.isfinite(self.floor), self.floor, 0)))
-        self.cells = cells
+        of, to = np.repeat(np.arange(len(q)), [len(s) for s in sure]), np.concatenate([np.zeros(0, np.int64), *sure])
+        order = np.argsort(to, kind="stable")
+        self.sure_of, self.sure_id = of[order], to[order]
 
     def wants(self) -> np.ndarray:
         """[queries, cells] whether a row of the cell may reach the floor. cells: rows, largest along and off of each.
@@ -157,19 +165,20 @@ class Block:
         """The best k of a task's rows (id, v, codes, norm, gain, aside, cell) for each query, by lookups and an exact rerank."""
         wants, floor = self.wants(), self.floor.copy()
         levels, words, d = self.books.shape
-        tables = np.ascontiguousarray((self.q.astype(np.float32) @ self.books.reshape(-1, d).T).reshape(-1, levels, words).transpose(1, 0, 2))
+        flat, q32 = self.books.reshape(-1, d).T, self.q.astype(np.float32)
         spread = (MARGIN * (2 if self.euclid else 1) / math.sqrt(d) * self.norms).astype(np.float32)
-        lifted = floor + (self.norms**2 if self.euclid else 0)
-        kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        lift = self.norms**2 if self.euclid else np.zeros(len(floor))
+        parts = [slice(at, min(at + AT_ONCE, len(floor))) for at in range(0, len(floor), AT_ONCE)]
+        kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in parts]
 
-        def best(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        def best(found: list[tuple[np.ndarray, ...]], part: slice) -> tuple[np.ndarray, ...]:
+            """The best k of the part's queries; what a further row must reach rises with them."""
             at, score, ids = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((ids, -score, at))
             order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < self.k]
             at, score, ids = at[order], score[order], ids[order]
-            full = np.flatnonzero(np.bincount(at, minlength=len(floor)) >= self.k)
+            full = np.flatnonzero(np.bincount(at - part.start, minlength=part.stop - part.start) >= self.k) + part.start
             floor[full] = np.maximum(floor[full], score[np.searchsorted(at, full, side="right") - 1])
-            lifted[full] = floor[full] + (self.norms[full] ** 2 if self.euclid else 0)
             return at, score, ids
 
         def reranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,25 +192,26 @@ class Block:
             good = score >= floor[a]
             return a[good], score[good], ids[b[good]]
 
-        def hold(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-            """Queries against rows by lookups; what may reach the floor is reranked, but for the sure pairs."""
+        def hold(queries: np.ndarray, tables: np.ndarray, rows: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Queries against rows by lookups in their tables; what may reach the floor is reranked, but for the sure pairs."""
             near, got = np.zeros((len(queries), len(rows)), np.float32), np.empty((len(queries), len(rows)), np.float32)
             for table_, code in zip(tables, codes, strict=True):
-                near += np.take(table_[queries], code[rows], axis=1, out=got, mode="clip")
+                near += np.take(table_, code[rows], axis=1, out=got, mode="clip")
             near *= gain[rows]
             if self.euclid:
                 near = 2 * near - norm[rows] ** 2
             near += np.multiply(spread[queries][:, None], aside[rows][None, :], out=got)
-            hopeful = near >= lifted[queries][:, None]
+            lifted = (floor + lift)[queries]
+            hopeful = near >= lifted[:, None]
             if hopeful.mean() > DENSE:
                 # so many pairs are reranked by one product of matrices; what stays is scored pair by pair, so that equal vectors have equal scores
                 exact = self.q[queries] @ x[rows].T
                 if self.euclid:
                     exact = 2 * exact - (x[rows] ** 2).sum(1)
-                hopeful &= exact >= (lifted[queries] - 1e-9 * (1 + np.abs(lifted[queries])))[:, None]
+                hopeful &= exact >= (lifted - 1e-9 * (1 + np.abs(lifted)))[:, None]
             a, b = np.nonzero(hopeful)
             a, b = queries[a], rows[b]
-            new = ~np.isin(a * np.int64(n) + b, sure_pairs)
+            new = ~np.isin(a * np.int64(n) + b, sure)
             return reranked(a[new], b[new])
 
         for batch in batches:
@@ -215,20 +225,20 @@ class Block:
             low, high = np.searchsorted(self.sure_id, ids), np.searchsorted(self.sure_id, ids, side="right")
             sure_rows = np.repeat(np.arange(n), high - low)
             sure_of = self.sure_of[np.arange(len(sure_rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
-            sure_pairs = np.unique(sure_of * np.int64(n) + sure_rows)  # an id that occurs twice is sure twice
-            found = reranked(sure_pairs // n, sure_pairs % n)
-            if len(found[0]):
-                kept = best([kept, found])
+            sure = np.unique(sure_of * np.int64(n) + sure_rows)  # an id that occurs twice is sure twice
             runs = np.split(np.arange(n), np.flatnonzero(np.diff(cell)) + 1)
             if wants[:, np.unique(cell)].mean() > 0.5:  # cells tell little here
                 runs = [np.arange(n)]
-            for rows in runs:
-                queries = np.flatnonzero(wants[:, cell[rows[0]]]) if len(runs) > 1 else np.flatnonzero(wants[:, np.unique(cell)].any(1))
-                for at in range(0, len(queries), AT_ONCE):
-                    found = hold(queries[at : at + AT_ONCE], rows)
-                    if len(found[0]):
-                        kept = best([kept, found])
-        at, score, who = kept
+            wanted = [wants[:, np.unique(cell[rows])].any(1) for rows in runs]
+            for i, part in enumerate(parts):
+                own = sure[np.searchsorted(sure, part.start * n) : np.searchsorted(sure, part.stop * n)]
+                found = [kept[i], reranked(own // n, own % n)]
+                tables = np.ascontiguousarray((q32[part] @ flat).reshape(-1, levels, words).transpose(1, 0, 2))
+                for rows, by in zip(runs, wanted, strict=True):
+                    if len(some := np.flatnonzero(by[part])):
+                        found.append(hold(some + part.start, tables if len(some) == tables.shape[1] else tables[:, some], rows, own))
+                kept[i] = best(found, part)
+        at, score, who = (np.concatenate(c) for c in zip(*kept, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(self.ids[at], pa.int64()), pa.array(who, pa.int64()), pa.array(score, pa.float64())], ["query_id", "id", "score"])
 
 
@@ -263,6 +273,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     # blocks of queries of neighbouring cells; a block's place is told by its cell and, where a cell has many, by a hash
     asked = coded.where(is_query).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
+    asked = stored(floors(asked, sample, books, k, euclid), "queries")
     blocks, taken = [[]], 0
     for r in asked.groupBy("cell").count().orderBy("cell").collect():
         parts = math.ceil(r["count"] / QUERIES)
@@ -279,9 +290,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         mine = conditions[0]
         for c in conditions[1:]:
             mine = mine | c
-        own = asked.where(mine).toPandas().sort_values("id") if len(blocks) > 1 else asked.toPandas().sort_values("id")
-        block = Block(own["id"].to_numpy(), np.stack(own["v"]), books, sample, cells, k, euclid)
-        wanted = np.union1d(np.flatnonzero(block.wants().any(0)), block.sure_cells).tolist()
+        own = (asked.where(mine) if len(blocks) > 1 else asked).toPandas().sort_values("id")
+        block = Block(own["id"].to_numpy(), np.stack(own["v"]), own["floor"].to_numpy(), list(own["sure"]), books, cells, k, euclid)
+        wanted = np.union1d(np.flatnonzero(block.wants().any(0)), np.concatenate(list(own["sure_cells"]))).tolist()
         sent = spark.sparkContext.broadcast(block)
         seen = coded if len(wanted) >= np.count_nonzero(cells[:, 0]) else coded.where(F.col("cell").isin(wanted))
         part = seen.select("id", "v", "codes", "norm", "gain", "aside", "cell").mapInArrow(lambda batches, sent=sent: sent.value.scan(batches), "query_id long, id long, score double")
