@@ -4,7 +4,7 @@ A text's features are the words it has (A-Z etc. lower-cased, letters only) and
 labelled toxic texts apart are chosen by their G statistic; a logistic model over them is fitted with three terms: log loss,
 a ridge, and the counterfactual term: each labelled text is paired with its swaps, and the square of the difference between their scores' logits
 is a penalty, so that a mention alone moves no score. A text's swaps are those of every mention of a group in it (the term gives way to each other
-term of its kind) and those of a mention that is put into it: a neutral mention of a group drawn by the text's hash, first against the text
+term of its kind, or to nothing) and those of a mention that is put into it: a neutral mention of a group drawn by the text's hash, first against the text
 without it, then against its kind's other terms. So the term holds where texts speak of no group by name as well. Groups are
 people by name, and speakers of a language by its commonest words. Their terms are always among the features.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import numbered_columns, stored, table
 
 #: Labelled rows of each class that a fit uses at most, features that it chooses at most, least G of a feature, texts that need to have it.
-SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 10.83, 3
+SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 6.63, 3
 THRESHOLD, RIDGE, PENALTY = 0.3, 0.0002, 10.0
 #: Groups whose mention is swapped; single words, each kind's terms in one row.
 IDENTITIES = [
@@ -115,7 +115,7 @@ def _of(term: str) -> frozenset[str]:
 
 
 def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
-    """Features that the text loses and gains by each swap of a mention in it, and by each of those of the neutral mention put into it."""
+    """Features that the text loses and gains by each swap of a mention in it, by leaving the mention out, and by each of those of the neutral mention put into it."""
     words = set(_WORD.findall(text.lower()))
     # how many words have a feature: what one word alone has is lost with it
     held = Counter(words)
@@ -131,6 +131,7 @@ def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
                 out.append(({f for f in own - new if held[f] == alone}, {f for f in new - own if not held[f]}))
 
     for term in sorted(words & _SWAPS.keys()):
+        out.append(({f for f in _of(term) if held[f] == 1}, set()))
         swap(term, 1)
     if not words & _NAMED:
         kind = IDENTITIES[(h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) % len(IDENTITIES)]
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = F.lit(n1 / n)
     g = 2 * (a * F.log(a / ((a + b) * rate)) + b * F.log(b / ((a + b) * (1 - rate))))
     group = F.col("f").isin(list(_SWAPS))
-    best = counts.withColumn("g", g).where(((F.col("k") >= LEAST_TEXTS) & (F.col("g") >= LEAST_G)) | group).orderBy(F.col("g").desc(), "f").limit(FEATURES)
+    best = counts.withColumn("g", g).where(((F.col("k") >= LEAST_TEXTS) & (F.col("g") >= LEAST_G)) | group).orderBy(group.desc(), F.col("g").desc(), "f").limit(FEATURES)
     names = [r["f"] for r in best.select("f").collect()]
     number = {f: j for j, f in enumerate(names)}
 
