@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.store import freed, stored
 
-__all__ = ["components", "freed", "numbered_columns", "running_start", "stored", "table"]
+__all__ = ["components", "freed", "numbered_columns", "running_start", "slices", "stored", "table"]
 
 
 def numbered_columns(df: DataFrame) -> DataFrame:
@@ -16,6 +19,13 @@ def numbered_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to `rows` rows: a worker that turns texts into Python's holds no more of them, and hands no more back, at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 MODEL, CAPACITY, END = "word_bpe_49k.json", 4096, 2
 #: The part of its share that an uncut piece may leave empty.
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             rows, packer.rows = packer.rows, []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             while at < len(docs):
                 upto, size = at, 0

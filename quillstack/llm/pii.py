@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered_columns, table
+from .common import numbered_columns, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -402,7 +402,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = ["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 kept, every = spans(text, trees, thresholds)
@@ -437,7 +437,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place, sized = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t if t is None else redacted(t, trees, thresholds) for t in batch.column(place).to_pylist()]
             batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
             if sized is not None:

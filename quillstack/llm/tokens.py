@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 #: Stretches that a worker remembers; longer ones than LONG characters are merged anew each time.
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "
         import public_tokenizers
 
         model = piece_model(model_path or public_tokenizers.path(MODEL))
-        for batch in batches:
+        for batch in slices(batches):
             counts = [model.count(x or "") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

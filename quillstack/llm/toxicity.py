@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered_columns, stored, table
+from .common import numbered_columns, slices, stored, table
 
 #: Labelled rows of each class that a fit uses at most, features that it chooses at most, least G of a feature, texts that need to have it.
 SAMPLE, FEATURES, LEAST_G, LEAST_TEXTS = 6000, 4096, 6.63, 3
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each feature's toxic texts and texts, summed over a task's part of the sample."""
         toxic, every = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 has = features(t)
                 every.update(has)
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorts of swaps by the numbers that they lose and gain; a text's swaps share a weight of 1."""
         weight, count = Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(2).to_pylist():
                 own = counterfactuals(text)
                 for old, new in own:
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
@@ -241,7 +241,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             clean = [model.score(t or "") < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_())).rename_columns(names)
 
