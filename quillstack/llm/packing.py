@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
             rows, packer.rows = packer.rows, []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             while at < len(docs):
                 upto, size = at, 0
