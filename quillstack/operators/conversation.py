@@ -14,6 +14,10 @@ from .retrieval import to_id
 #: What a client is told first, and what asks a model for bare JSON.
 THINKING = "正在思考..."
 JSON_HINT = "请只返回合法的 JSON 对象，不要包含任何其他内容或 markdown 格式。"
+#: How a past turn's search query is told, the marks around a reply's keys, and what a line that only repeats the form says: the first and one of the others.
+ROUTED_AS = ("\n（当时路由检索query：", "）")
+BLOCK_START, BLOCK_END = "SOURCES_START", "SOURCES_END"
+FORM_LINE = ("chunk key", ("逗号分隔", "chunk_1,chunk_2"))
 
 
 def unfenced(c: Column) -> Column:
@@ -43,15 +47,22 @@ def route(c: Column, reply: Column | None = None, reasoning: bool = False) -> Co
     return F.when(X.is_injection(c), chat("injection_rule")).when(X.is_small_talk(c), chat("rule_match")).otherwise(rest)
 
 
-def recent(history: DataFrame, turns: int = 2, cut: int = 100) -> DataFrame:
-    """Q4, Q7: adds `recent`, the last `turns` turns (query, answer) of the conversation before each one, answers cut: what a model is shown."""
+def recent(history: DataFrame, turns: int = 2, cut: int = 100, told_route: bool = False) -> DataFrame:
+    """Q4, Q7: adds `recent`, the last `turns` turns (query, answer) of the conversation before each one, answers cut: what a model is shown.
+
+    told_route: what a turn's query was searched as (`route_query`, if there is such a column and it isn't blank) is told after it.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-turns, -1)
-    return history.withColumn("recent", F.collect_list(F.struct(F.coalesce("query", F.lit("")).alias("query"), F.left(F.coalesce("answer", F.lit("")), F.lit(cut)).alias("answer"))).over(w))
+    query = F.coalesce("query", F.lit(""))
+    if told_route and "route_query" in history.columns:
+        searched = X.strip(F.coalesce("route_query", F.lit("")))
+        query = F.when(searched == "", query).otherwise(F.concat(query, F.lit(ROUTED_AS[0]), searched, F.lit(ROUTED_AS[1])))
+    return history.withColumn("recent", F.collect_list(F.struct(query.alias("query"), F.left(F.coalesce("answer", F.lit("")), F.lit(cut)).alias("answer"))).over(w))
 
 
 def routed(history: DataFrame, model: Callable[[Column, Column], Column], turns: int = 2, cut: int = 100) -> DataFrame:
-    """Q4: adds `route`, with a model's reply to each query and its recent turns."""
-    rows = recent(history, turns, cut)
+    """Q4: adds `route`, with a model's reply to each query and its recent turns, which tell what was searched then."""
+    rows = recent(history, turns, cut, told_route=True)
     return rows.withColumn("route", route(F.col("query"), model(F.col("query"), F.col("recent")))).drop("recent")
 
 
@@ -74,8 +85,8 @@ def pairs(turns: DataFrame) -> DataFrame:
 
 
 def trim_history(history: DataFrame, budget: int) -> DataFrame:
-    """Q6: newest first, until the turns kept would pass the budget; a single turn above it is skipped and older ones still count."""
-    rows = history.withColumn("n_tokens", X.token_count(F.concat("query", F.lit(" "), "answer"))).where(F.col("n_tokens") <= budget)
+    """Q6: newest first, until the turns kept would pass the budget; a single turn above it is skipped and older ones still count. A null query or answer is empty; a budget of 0 keeps nothing."""
+    rows = history.withColumn("n_tokens", X.token_count(F.col("query")) + X.token_count(F.col("answer"))).where((F.col("n_tokens") <= budget) & F.lit(budget > 0))
     total = F.sum("n_tokens").over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("running", total).where(F.col("running") <= budget)
 
@@ -138,14 +149,18 @@ def answered(rows: DataFrame, generate: Callable[[str, str, list[dict]], str], a
 
 
 def used_keys(keys: Column, valid: Column) -> Column:
-    """Q9: a model's keys that are known, each once, in order."""
-    return F.array_join(F.array_distinct(F.filter(keys, lambda k: F.array_contains(valid, k))), ",")
-
-
-def block_between(c: Column, start: str, end: str, template: str) -> Column:
-    """Q10: the lines between two markers, without the template's line."""
-    inner = F.regexp_extract(c, rf"(?s)\Q{start}\E(.*?)\Q{end}\E", 1)
-    return F.array_join(F.filter(F.split(inner, "\n"), lambda l: (X.strip(l) != "") & (X.strip(l) != template)), "\n")
+    """Q9: a model's keys that are known, each once, in order. Space around keys doesn't count; blank ones are none."""
+    bare = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), X.strip), lambda k: k != "")
+    known = bare(valid)
+    return F.array_join(F.array_distinct(F.filter(bare(keys), lambda k: F.array_contains(known, k))), ",")
+
+
+def block_between(c: Column, start: str = BLOCK_START, end: str = BLOCK_END) -> Column:
+    """Q10: the lines between two marks, without those that only repeat the form, space around the whole left out; null where a mark is missing. Blank lines inside stay."""
+    pattern = rf"(?s)\Q{start}\E[ \t\r]*+\n?+(.*?)\Q{end}\E"
+    form = lambda l: l.contains(FORM_LINE[0]) & (l.contains(FORM_LINE[1][0]) | l.contains(FORM_LINE[1][1]))
+    kept = F.filter(X.lines(F.regexp_extract(c, pattern, 1)), lambda l: ~form(l))
+    return F.when(c.rlike(pattern), X.strip(F.array_join(kept, "\n")))
 
 
 def messages(history: DataFrame, system: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.store import stored
 
 PREFETCH, TOP_K, RRF_K, RERANK_N, BUDGET = 50, 50, 1, 3, 6000
 #: Queries that one pass over the vectors compares with them; more are taken in passes, block by block. Vectors held against a block at once.
@@ -124,15 +125,38 @@ def point_id(key: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _scan(asked: list[Row], vectors: DataFrame, k: int) -> DataFrame:
-    """Each task's best k of a block of queries: vectors stay where they are read, and a pair goes on only if it may be among the best."""
+def solid(vector: str) -> Column:
+    """Whether a vector has an entry other than zero, and none that is null or no number."""
+    return F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+
+
+def blocks_of(rows: DataFrame, n: int, key: str = "query_id") -> Iterator[list[Row]]:
+    """rows on the driver, about n at a time; they are stored if there are more."""
+    block = rows.limit(n + 1).collect()
+    if len(block) <= n:
+        if block:
+            yield block
+        return
+    held = stored(rows, "asked", narrow=True)
+    blocks = -(-held.count() // n)
+    for b in range(blocks):
+        block = held.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
+        if block:
+            yield block
+
+
+def scan(asked: list[Row], vectors: DataFrame, k: int, allowed: np.ndarray | None = None) -> DataFrame:
+    """Each task's best k of a block of queries: vectors stay where they are read, and a pair goes on only if it may be among the best.
+
+    allowed: of each query and cell (column `cell` of vectors) whether the query looks at it.
+    """
     ids, wanted = np.array([r["query_id"] for r in asked]), [r["wanted"] for r in asked]
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for w in wanted if w is not None))}
-    q, kind = _unit(np.array([r["qv"] for r in asked], dtype=float)), np.array([-1 if w is None else kinds[w] for w in wanted])
+    q, kind = unit(np.array([r["qv"] for r in asked], dtype=float)), np.array([-1 if w is None else kinds[w] for w in wanted])
     key, out = vectors.schema["id"].dataType.simpleString(), vectors.select("id").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,46 +178,67 @@ def _scan(asked: list[Row], vectors: DataFrame, k: int) -> DataFrame:
             names, groups = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             of = np.array([kinds.get(g, -2) for g in groups])
             x = np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, -1)
+            cell = None if allowed is None else np.asarray(batch.column(3))
             for i in range(0, len(x), VECTORS_AT_ONCE):
                 part = slice(i, i + VECTORS_AT_ONCE)
-                near = np.rint(q @ _unit(x[part]).T * 1e6).astype(np.int64)
-                a, b = np.nonzero((near >= floor[:, None]) & ((kind[:, None] < 0) | (kind[:, None] == of[part][None, :])))
-                at, score, who = np.concatenate([at, a]), np.concatenate([score, near[a, b]]), np.concatenate([who, np.array(names[part], object)[b]])
+                asking = np.arange(len(q)) if cell is None else np.flatnonzero(allowed[:, np.unique(cell[part])].any(axis=1))
+                near = np.rint(q[asking] @ unit(x[part]).T * 1e6).astype(np.int64)
+                hopeful = (near >= floor[asking, None]) & ((kind[asking, None] < 0) | (kind[asking, None] == of[part][None, :]))
+                if cell is not None:
+                    hopeful &= allowed[np.ix_(asking, cell[part])]
+                a, b = np.nonzero(hopeful)
+                at, score, who = np.concatenate([at, asking[a]]), np.concatenate([score, near[a, b]]), np.concatenate([who, np.array(names[part], object)[b]])
                 best()
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(list(who), to_arrow_type(out["id"].dataType)), pa.array(score / 1e6)], ["query_id", "id", "score"])
 
-    return vectors.select("id", "v", "grp").mapInArrow(run, f"query_id long, id {key}, score double")
+    columns = ["id", "v", "grp"] + (["cell"] if allowed is not None else [])
+    return vectors.select(*columns).mapInArrow(run, f"query_id long, id {key}, score double")
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH) -> DataFrame:
     """(query_id, id, score, rank) by cosine (six digits; ties to the smaller id) over vectors whose group the query asks for (a null `wanted`: all).
 
-    The filter acts before the top k. queries: query_id (a whole number), qv, wanted; vectors: id, vector, grp. Null and zero vectors and those of another dimension than the first query's take no part.
-    Queries are the stated set; they are taken in blocks of about QUERIES_AT_ONCE, a pass over the vectors each, and only a task's best k of a query are shuffled.
+    The filter acts before the top k; queries with a group read that group's vectors alone (its folder's, of an index stored by manual). queries: query_id (a whole number), qv, wanted; vectors: id,
+    vector, grp. Null and zero vectors and those of another dimension than the first query's take no part.
+    Queries are the stated set. QUERIES_AT_ONCE of them are on the driver at a time, a pass over the vectors each; only a task's best k of a query are shuffled. More passes than one
+    run one after another, and their best are stored.
     """
-    solid = lambda c: F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    from .indexes import pruned
+
     q = queries.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>"), "wanted").where(solid("qv"))
-    block = q.limit(QUERIES_AT_ONCE + 1).collect()
-    if not block:
+    head = q.limit(1).collect()
+    if not head:
         return vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    width = len(block[0]["qv"])
-    v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), "grp").where((F.size("v") == width) & solid("v"))
-    if len(block) <= QUERIES_AT_ONCE:
-        found = _scan([r for r in block if len(r["qv"]) == width], v, k)
-    else:
-        blocks = -(-q.count() // QUERIES_AT_ONCE)
-        parts = [q.where((F.size("qv") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect() for b in range(blocks)]
-        passes = [_scan(p, v, k) for p in parts if p]
-        found = passes[0]
-        for p in passes[1:]:
-            found = found.unionByName(p)
+    width = len(head[0]["qv"])
+    kept = [c for c in ("part",) if c in vectors.columns]
+    v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), "grp", *kept).where((F.size("v") == width) & solid("v"))
+    passes: list[DataFrame] = []
+    for asked in blocks_of(q.where(F.size("qv") == width), QUERIES_AT_ONCE):
+        free, bound = [r for r in asked if r["wanted"] is None], [r for r in asked if r["wanted"] is not None]
+        parts = [scan(free, v, k)] if free else []
+        if bound:
+            parts.append(scan(bound, pruned(v, sorted({r["wanted"] for r in bound})), k))
+        if len(passes) == 1:
+            passes[0] = stored(passes[0], "found", narrow=True)
+        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        passes.append(stored(found, "found", narrow=True) if passes else found)
+    found = passes[0]
+    for p in passes[1:]:
+        found = found.unionByName(p)
     return top(found, ["query_id"], k, F.col("score").desc(), F.col("id"))
 
 
 def sparse_top_k(queries: DataFrame, index: DataFrame, k: int = PREFETCH) -> DataFrame:
-    """(query_id, id, score, rank) by dot product over shared terms; an equi-join on the term with map-side sums."""
-    q = queries.select("query_id", "term", F.col("weight").alias("qw"))
-    scored = index.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    """(query_id, id, score, rank) by dot product over shared terms; an equi-join on the term with map-side sums. Queries with a manual (`wanted`, if there is such a column; index: grp) meet that manual's postings alone."""
+    q = queries.select("query_id", "term", F.col("weight").alias("qw"), *(["wanted"] if "wanted" in queries.columns else []))
+    met = index.join(q, "term")
+    if "wanted" in q.columns:
+        from .indexes import of_manuals
+
+        some = q.where("wanted is not null")
+        met = index.join(q.where("wanted is null"), "term").select("query_id", "id", "weight", "qw")
+        met = met.unionByName(of_manuals(index, some).join(some.withColumnRenamed("wanted", "grp"), ["term", "grp"]).select("query_id", "id", "weight", "qw"))
+    scored = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
     return top(scored, ["query_id"], k, F.col("score").desc(), F.col("id"))
 
 
@@ -207,22 +252,35 @@ def fuse(legs: list[DataFrame], k: int = TOP_K, k0: int = RRF_K) -> DataFrame:
 
 
 def hybrid(queries: DataFrame, vectors: DataFrame, index: DataFrame, make: Callable[[], Encoder] = HashedTerms, k: int = TOP_K, prefetch: int = PREFETCH) -> DataFrame:
-    """Questions (query_id, text) encoded, searched in the dense vectors and in the postings, and both legs fused."""
-    asked = encode(queries, make, "query_id").select("query_id", F.col("dense").alias("qv"), F.lit(None).cast("string").alias("wanted"))
-    dense = dense_top_k(asked, vectors.withColumn("grp", F.lit(None).cast("string")), prefetch)
-    return fuse([dense, sparse_top_k(postings(queries, "query_id"), index, prefetch)], k)
+    """Questions (query_id, text, and wanted, a manual or null, if there is such a column) encoded, searched in the dense vectors and in the postings, and both legs fused.
+
+    The manual filters both legs before their best are taken. index: postings (id, term, weight, grp) or their block index, which is read as far as it can matter.
+    """
+    from .indexes import block_top_k
+
+    wanted = queries.select("query_id", F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string").alias("wanted"))
+    asked = encode(queries, make, "query_id").select("query_id", F.col("dense").alias("qv")).join(wanted, "query_id")
+    dense = dense_top_k(asked, vectors if "grp" in vectors.columns else vectors.withColumn("grp", F.lit(None).cast("string")), prefetch)
+    said = postings(queries, "query_id").join(wanted, "query_id")
+    sparse = block_top_k(said, index, prefetch) if "has" in index.columns else sparse_top_k(said if "wanted" in queries.columns else said.drop("wanted"), index, prefetch)
+    return fuse([dense, sparse], k)
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, enabled: bool = True) -> DataFrame:
-    """Hits and the chunks before and after them under the same first title (null is like null), score 0; a hit is never its own neighbour's row. Not enabled: hits alone."""
-    found = hits.select("query_id", "id", "score", F.lit("search").alias("source"))
-    if not enabled:
-        return found
-    own = hits.join(chunks.select(F.col("chunk_id").alias("id"), "prev_chunk_id", "next_chunk_id", F.col("title_h1").alias("h1")), "id")
-    around = own.select("query_id", F.explode(F.array("prev_chunk_id", "next_chunk_id")).alias("id"), "h1").where("id is not null")
-    around = around.join(chunks.select(F.col("chunk_id").alias("id"), "title_h1"), "id").where(F.col("h1").eqNullSafe(F.col("title_h1"))).select("query_id", "id").distinct()
-    around = around.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    return found.unionByName(around.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("neighbor").alias("source")))
+    """(query_id, id, score, source, pos) of hits (query_id, id, score, rank) and the chunks before and after them under the same first title (null is like null), score 0.
+
+    pos is a row's place as found: hits by rank, then the neighbours of the first hit, the one before it first, then those of the next; a chunk stands where it was first met, and a
+    hit is never its own neighbour's row. Not enabled: hits alone.
+    """
+    found = hits.select("query_id", "id", F.col("score").cast("double").alias("score"), F.lit("search").alias("source"), F.col("rank").cast("long").alias("hit"), F.lit(0).alias("way"))
+    if enabled:
+        own = hits.join(chunks.select(F.col("chunk_id").alias("id"), "prev_chunk_id", "next_chunk_id", F.col("title_h1").alias("h1")), "id")
+        around = own.select("query_id", F.col("rank").cast("long").alias("hit"), "h1", F.posexplode(F.array("prev_chunk_id", "next_chunk_id")).alias("way", "id")).where("id is not null")
+        around = around.join(chunks.select(F.col("chunk_id").alias("id"), "title_h1"), "id").where(F.col("h1").eqNullSafe(F.col("title_h1")))
+        first = around.groupBy("query_id", "id").agg(F.min(F.struct("hit", "way")).alias("f")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        found = found.unionByName(first.select("query_id", "id", F.lit(0.0).alias("score"), F.lit("neighbor").alias("source"), "f.hit", "f.way"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("source").desc(), "hit", "way"))
+    return found.withColumn("pos", place.cast("long")).select("query_id", "id", "score", "source", "pos")
 
 
 def shared_terms(query: Column, text: Column) -> Column:
@@ -297,11 +355,21 @@ def context(chosen: DataFrame) -> DataFrame:
     return g.select("query_id", F.array_join(F.transform("p", lambda s: s["part"]), "\n\n").alias("context"), F.map_from_entries(F.transform("p", lambda s: F.struct(s["label"], s["id"]))).alias("labels"))
 
 
-def sources(used: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Used ids in order, each once, unknown and blank ones dropped, with their place in the ranking."""
-    rows = used.select("query_id", F.posexplode("used").alias("pos", "id")).where(F.trim("id") != "")
+def sources(used: DataFrame, ranked: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, pos, rank) of used ids in order, each once, unknown and blank ones dropped; rank counts the different ids of the ranking up to it, as repeated and blank ones take no place.
+
+    With chunks (chunk_id, page_start, title_h1 to title_h3, image_paths) page, title_path and image_paths (blank ones left out) are added, and ids that no chunk has are dropped.
+    """
+    rows = used.select("query_id", F.posexplode("used").alias("pos", "id"))
     first = rows.groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
-    return first.join(ranked.groupBy("query_id", "id").agg(F.min("rank").alias("rank")), ["query_id", "id"])
+    once = ranked.where(X.strip(F.col("id").cast("string")) != "").groupBy("query_id", "id").agg(F.min("rank").alias("at"))
+    places = once.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank"))
+    found = first.join(places, ["query_id", "id"])
+    if chunks is None:
+        return found
+    shown = F.filter(F.coalesce("image_paths", F.array().cast("array<string>")), lambda p: X.strip(F.coalesce(p, F.lit(""))) != "")
+    told = chunks.select(F.col("chunk_id").cast(ranked.schema["id"].dataType).alias("id"), page_of(F.col("page_start")).alias("page"), title_path(F.col("title_h1"), F.col("title_h2"), F.col("title_h3")).alias("title_path"), shown.alias("image_paths"))
+    return found.join(told, "id").select("query_id", "id", "pos", "rank", "page", "title_path", "image_paths")
 
 
 def to_id(label: Column, labels: Column) -> Column:

@@ -125,10 +125,10 @@ def with_margins(manuals: DataFrame, margins: DataFrame, default: float = 55.0)
 
 
 def locate_titles(titles: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line that holds the title (white space aside) inside the margins: largest font, then highest; else the top margin."""
-    l = lines.select("doc", "page", "y0", "size", X.squeeze(F.col("text")).alias("flat"))
+    """The line that holds the title (white space aside) and lies inside the margins, top and bottom: largest font, then highest; else the top margin."""
+    l = lines.select("doc", "page", "y0", "y1", "size", X.squeeze(F.col("text")).alias("flat"))
     hit = titles.withColumn("want", X.squeeze(F.col("title"))).join(l, ["doc", "page"])
-    hit = hit.where((F.col("y0") >= F.col("margin_top")) & (F.col("y0") <= F.col("height") - F.col("margin_bottom")) & F.col("flat").contains(F.col("want")))
+    hit = hit.where((F.col("y0") >= F.col("margin_top")) & (F.col("y1") <= F.col("height") - F.col("margin_bottom")) & F.col("flat").contains(F.col("want")))
     best = hit.groupBy("doc", "page", "title").agg(F.max(F.struct("size", -F.col("y0"))).alias("b")).select("doc", "page", "title", (-F.col("b.col2")).alias("found"))
     return titles.join(best, ["doc", "page", "title"], "left").select("doc", "page", "title", F.coalesce("found", "margin_top").cast("double").alias("y"))
 
@@ -159,34 +159,51 @@ def fill_text(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     return chunks.select("doc", "chunk_id").join(out, ["doc", "chunk_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _left_linked(chunks: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The chunks whose place (doc, ord) narrow still has, linked anew; narrow: doc, ord, chunk_id."""
+    link = lambda way: way("chunk_id").over(by())
+    return _with(chunks, narrow.select("doc", "ord", "chunk_id", link(F.lag).alias("prev_chunk_id"), link(F.lead).alias("next_chunk_id")), ["doc", "ord"])
+
+
+def _said(name: str) -> Column:
+    return X.strip(F.coalesce(F.col(name), F.lit("")))
+
+
 def drop_stubs(chunks: DataFrame, longest: int = 120, lines: int = 3) -> DataFrame:
-    """A short text without a third heading goes if the next chunk begins on its page."""
-    stub = (F.lead("page_start").over(by()) == F.col("page_start")) & (F.col("title_h3") == "") & (F.length("text") <= longest) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < lines)
-    return chunks.withColumn("__stub", F.coalesce(stub, F.lit(False))).where("not __stub").drop("__stub")
+    """A short text without a third heading goes if the next chunk begins on its page; the rest is linked anew. Space around texts and headings doesn't count, nulls are empty."""
+    text = _said("text")
+    short = (_said("title_h3") == "") & (F.length(text) <= longest) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < lines)
+    follows = F.lead("page_start").over(by()) == F.col("page_start")
+    narrow = chunks.select("doc", "ord", "chunk_id", "page_start", short.alias("short")).withColumn("stub", F.coalesce(F.col("short") & follows, F.lit(False)))
+    return _left_linked(chunks, narrow.where("not stub"))
 
 
 def drop_title_only(chunks: DataFrame) -> DataFrame:
-    """A text that says nothing but one of its titles goes."""
-    same = lambda h: (X.collapse(F.col("text")) == X.collapse(h)) | (X.squeeze(F.col("text")) == X.squeeze(h))
-    return chunks.where(~F.exists(F.filter(F.array("title_h1", "title_h2", "title_h3"), lambda h: h != ""), same))
+    """A text that says nothing but one of its titles goes; the rest is linked anew. A blank text stays."""
+    text = _said("text")
+    same = lambda h: (X.collapse(text) == X.collapse(h)) | (X.squeeze(text) == X.squeeze(h))
+    only = F.exists(F.filter(F.array(*[_said(f"title_h{k}") for k in (1, 2, 3)]), lambda h: h != ""), same) & (text != "")
+    return _left_linked(chunks, chunks.select("doc", "ord", "chunk_id", only.alias("only")).where("not only"))
 
 
 def drop_empty(chunks: DataFrame) -> DataFrame:
     """P18"""
-    return chunks.where(X.strip(F.col("text")) != "")
+    return chunks.where(_said("text") != "")
 
 
 def leaf_title(h1: Column, h2: Column, h3: Column) -> Column:
-    """P21"""
-    return F.coalesce(F.nullif(h3, F.lit("")), F.nullif(h2, F.lit("")), F.nullif(h1, F.lit("")), F.lit(""))
+    """The deepest title that isn't blank, without space around it."""
+    return F.coalesce(*[F.nullif(X.strip(h), F.lit("")) for h in (h3, h2, h1)], F.lit(""))
 
 
 def merge_titles(chunks: DataFrame) -> DataFrame:
-    """P20: chunks of one leaf title become one, at the place and with the attributes of the first; untitled ones stay."""
-    rows = chunks.withColumn("leaf", leaf_title(F.col("title_h1"), F.col("title_h2"), F.col("title_h3")))
+    """P20: chunks of one leaf title (runs of space alike) become one, at the place and with the attributes of the first, blank texts left out; untitled ones stay, and so does the text of a title that stands alone."""
+    rows = chunks.withColumn("leaf", X.collapse(leaf_title(F.col("title_h1"), F.col("title_h2"), F.col("title_h3"))))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"])
     titled = rows.where("leaf <> ''").groupBy("doc", "leaf").agg(
-        F.min("ord").alias("ord"), F.min_by("chunk_id", "ord").alias("chunk_id"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n\n").alias("text"),
+        F.min("ord").alias("ord"), F.min_by("chunk_id", "ord").alias("chunk_id"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), texts.alias("texts"),
     )
+    joined = F.array_join(F.filter(F.transform("texts", X.strip), lambda t: t != ""), "\n\n")
+    titled = titled.withColumn("text", F.when(F.size("texts") > 1, joined).otherwise(F.get("texts", F.lit(0))))
     columns = ["doc", "ord", "chunk_id", "page_start", "page_end", "text"]
     return titled.select(*columns).unionByName(rows.where("leaf = ''").select(*columns))

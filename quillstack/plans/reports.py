@@ -43,15 +43,16 @@ def q1(spark, d):
     return said(spark, d).withColumn("r", C.route(F.col("text"))).select("conv_id", "turn", "r.*")
 
 
-@query("q4_route_by_reply", f"""WITH {SAID}, u AS (SELECT conv_id, turn, 'ask ' || text AS text FROM said) SELECT conv_id, turn,
-CASE turn % 7 WHEN 2 THEN 'chat' WHEN 6 THEN 'reject' ELSE 'search' END AS action, CASE turn % 7 WHEN 2 THEN '' WHEN 6 THEN '' WHEN 3 THEN 'q' ELSE text END AS query, CASE turn % 7 WHEN 0 THEN 'api_error' WHEN 1 THEN 'parse_error' WHEN 5 THEN 'parse_error' WHEN 3 THEN 'why' ELSE '' END AS reasoning FROM u WHERE turn % 5 <> 1""")
+@query("q4_route_by_reply", f"""WITH {SAID}, u AS (SELECT conv_id, turn, turn % 5 = 1 AS inj, 'ask ' || text AS text FROM said) SELECT conv_id, turn,
+CASE WHEN inj THEN 'chat' ELSE CASE turn % 7 WHEN 2 THEN 'chat' WHEN 6 THEN 'reject' ELSE 'search' END END AS action, CASE WHEN inj THEN '' ELSE CASE turn % 7 WHEN 2 THEN '' WHEN 6 THEN '' WHEN 3 THEN 'q' ELSE text END END AS query,
+CASE WHEN inj THEN 'injection_rule' ELSE CASE turn % 7 WHEN 0 THEN 'api_error' WHEN 1 THEN 'parse_error' WHEN 5 THEN 'parse_error' WHEN 3 THEN 'why' ELSE '' END END AS reasoning FROM u""")
 def q4(spark, d):
     k = F.col("turn") % 7
     replies = ["not json", '{"action": " CHAT ", "query": "x"}', '```json\n{"action": "search", "query": " q ", "reasoning": "why"}\n```', '{"action": "dance", "query": ""}', "[1]"]
     reply = F.when(k == 0, F.lit(None).cast("string"))
     for i, r in enumerate(replies, 1):
         reply = reply.when(k == i, r)
-    rows = said(spark, d).where("turn % 5 <> 1").withColumn("text", F.concat(F.lit("ask "), "text"))
+    rows = said(spark, d).withColumn("text", F.concat(F.lit("ask "), "text"))
     return rows.withColumn("r", C.route(F.col("text"), reply.otherwise('{"action": "reject", "query": "y"}'), reasoning=True)).select("conv_id", "turn", "r.*")
 
 
@@ -77,9 +78,11 @@ def pairs(spark, d):
     return C.pairs(table(spark, d, "conversations"))
 
 
-@query("q6_trim_history", f"WITH {PAIRS}, t AS (SELECT conv_id, turn, {TOK.format("query || ' ' || answer")} AS n_tokens FROM pairs), r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS running FROM t WHERE n_tokens <= 150) SELECT * FROM r WHERE running <= 150")
+@query("q6_trim_history", f"""WITH {PAIRS}, h AS (SELECT conv_id, turn, CASE WHEN turn % 8 <> 2 THEN query END AS query, CASE WHEN turn % 6 <> 2 THEN answer END AS answer FROM pairs), t AS (SELECT conv_id, turn, {TOK.format("coalesce(query, '')")} + {TOK.format("coalesce(answer, '')")} AS n_tokens FROM h),
+r AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS running FROM t WHERE n_tokens <= 150) SELECT * FROM r WHERE running <= 150""")
 def q6(spark, d):
-    return C.trim_history(pairs(spark, d), 150).select("conv_id", "turn", "n_tokens", "running")
+    rows = pairs(spark, d).select("conv_id", "turn", F.when(F.col("turn") % 8 != 2, F.col("query")).alias("query"), F.when(F.col("turn") % 6 != 2, F.col("answer")).alias("answer"))
+    return C.trim_history(rows, 150).select("conv_id", "turn", "n_tokens", "running")
 
 
 @query("q7_rewrite", f"""WITH {PAIRS}, u AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '第 2 步怎么做' WHEN 1 THEN query ELSE '什么意思' END AS query FROM pairs), l AS (SELECT *, trim(coalesce(lag(query) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS last FROM u)
@@ -103,11 +106,16 @@ def q7m(spark, d):
     return C.rewrite(pairs(spark, d), model).select("conv_id", "turn", "search_query")
 
 
-@query("q4_route_with_history", f"""WITH {PAIRS}, {RECENT} SELECT conv_id, turn, 'search' AS action, 'seen ' || CAST(shown AS VARCHAR) || ' ' || CAST(coalesce(length(left(a1, 100)), 0) AS VARCHAR) AS query FROM nth""")
+@query("q4_route_with_history", f"""WITH {PAIRS}, {RECENT.replace("lag(query) OVER w AS q1", "lag(query) OVER w AS q1, lag(turn) OVER w AS t1")} SELECT conv_id, turn, 'search' AS action,
+'seen ' || CAST(shown AS VARCHAR) || ' ' || CAST(coalesce(length(left(a1, 100)), 0) AS VARCHAR) || CASE WHEN shown > 0 AND t1 % 3 > 0 THEN chr(10) || '（当时路由检索query：r' || CAST(t1 AS VARCHAR) || '）' ELSE '' END AS query FROM nth""")
 def q4h(spark, d):
-    last = lambda recent: F.coalesce(F.length(F.try_element_at(recent, F.lit(-1))["answer"]), F.lit(0))
-    model = lambda query, recent: F.to_json(F.struct(F.lit("search").alias("action"), F.format_string("seen %d %d", F.size(recent), last(recent)).alias("query")))
-    return C.routed(pairs(spark, d), model).select("conv_id", "turn", "route.action", "route.query")
+    """The model tells how many turns it was shown, the length of the last answer, and what the last query was searched as."""
+    last = lambda recent, field: F.coalesce(F.try_element_at(recent, F.lit(-1))[field], F.lit(""))
+    searched = lambda recent: F.regexp_extract(last(recent, "query"), r"(?s)\n（当时路由检索query：[^\n]*）\z", 0)
+    model = lambda query, recent: F.to_json(F.struct(F.lit("search").alias("action"), F.concat(F.format_string("seen %d %d", F.size(recent), F.length(last(recent, "answer"))), searched(recent)).alias("query")))
+    k = F.col("turn")
+    rows = pairs(spark, d).withColumn("route_query", F.when(k % 3 == 1, F.concat(F.lit(" r"), k.cast("string"), F.lit(" "))).when(k % 3 == 2, F.concat(F.lit("r"), k.cast("string"))).otherwise(" "))
+    return C.routed(rows, model).select("conv_id", "turn", "route.action", "route.query")
 
 
 @query("q8_last_user_message", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user FROM conversations")
@@ -119,17 +127,19 @@ def q8(spark, d):
 u AS (SELECT doc_id, unnest(keys) AS key, generate_subscripts(keys, 1) AS pos, valid FROM k), f AS (SELECT doc_id, key, min(pos) AS pos FROM u WHERE list_contains(valid, key) GROUP BY ALL),
 j AS (SELECT doc_id, string_agg(key, ',' ORDER BY pos) AS used FROM f GROUP BY 1) SELECT d.doc_id, coalesce(used, '') AS used FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id""")
 def q9(spark, d):
-    key = lambda n: F.concat(F.lit("chunk_"), (F.col("doc_id") % n).cast("string"))
-    return table(spark, d, "documents").select("doc_id", C.used_keys(F.array(key(5), F.lit("chunk_9"), key(3), key(5)), F.array(F.lit("chunk_1"), F.lit("chunk_2"), key(7))).alias("used"))
+    """Keys come with space around them and blank ones among them, on either side."""
+    key = lambda n, before="", after="": F.concat(F.lit(before + "chunk_"), (F.col("doc_id") % n).cast("string"), F.lit(after))
+    valid = F.array(F.lit("chunk_1 "), F.lit("chunk_2"), key(7, "\t"), F.lit("  "))
+    return table(spark, d, "documents").select("doc_id", C.used_keys(F.array(key(5, " "), F.lit("chunk_9"), F.lit(" "), F.lit(None), key(3, "", "\n"), key(5)), valid).alias("used"))
 
 
-@query("q10_source_block", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'x<<START>>' || chr(10) END || left(text, CAST(40 + doc_id % 90 AS INTEGER)) || chr(10) || ' TEMPLATE ' || chr(10) || chr(10) || source || chr(10) || '<<END>> y <<END>>' AS t FROM documents),
-b AS (SELECT doc_id, CASE WHEN strpos(t, '<<START>>') > 0 THEN split_part(split_part(t, '<<START>>', 2), '<<END>>', 1) ELSE '' END AS b FROM t)
-SELECT doc_id, array_to_string(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '' AND trim(x) <> 'TEMPLATE'), chr(10)) AS block FROM b""")
+@query("q10_source_block", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'xSOURCES_START ' || chr(10) END || left(text, CAST(40 + doc_id % 90 AS INTEGER)) || chr(10) || ' chunk key，逗号分隔 ' || chr(10) || chr(10) || source || chr(10) || 'chunk key' || chr(10) || 'chunk_1,chunk_2 chunk key' || chr(10) || CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'SOURCES_END y SOURCES_END' END AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 AND doc_id % 5 < 4 THEN regexp_replace(array_to_string(list_filter(string_split(split_part(split_part(t, 'SOURCES_START', 2), 'SOURCES_END', 1), chr(10)), lambda x: NOT (contains(x, 'chunk key') AND (contains(x, '逗号分隔') OR contains(x, 'chunk_1,chunk_2')))), chr(10)), '^\\s+|\\s+$', '', 'g') END AS block FROM t""")
 def q10(spark, d):
-    start = F.when(F.col("doc_id") % 4 == 3, "").otherwise("x<<START>>\n")
-    t = F.concat(start, F.left("text", (40 + F.col("doc_id") % 90).cast("int")), F.lit("\n TEMPLATE \n\n"), "source", F.lit("\n<<END>> y <<END>>"))
-    return table(spark, d, "documents").select("doc_id", C.block_between(t, "<<START>>", "<<END>>", "TEMPLATE").alias("block"))
+    k = F.col("doc_id")
+    start, end = F.when(k % 4 == 3, "").otherwise("xSOURCES_START \n"), F.when(k % 5 == 4, "").otherwise("SOURCES_END y SOURCES_END")
+    t = F.concat(start, F.left("text", (40 + k % 90).cast("int")), F.lit("\n chunk key，逗号分隔 \n\n"), "source", F.lit("\nchunk key\nchunk_1,chunk_2 chunk key\n"), end)
+    return table(spark, d, "documents").select("doc_id", C.block_between(t).alias("block"))
 
 
 def echo(query: str, context: str, history: list[dict]) -> str:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators import indexes as V
 from ..operators import normalise as N
 from ..operators import retrieval as R
 from ..sources.files import table, unique_chunks, uploaded_ids, valid_embeddings
-from ..sources.store import once, stored
+from ..sources.store import kept, once, stored, version
 from .structure import CHUNKS, PATHS, chunks, illustrated
 
 QUERIES: dict = {}
@@ -194,6 +195,29 @@ def r2(spark, d):
     return dense(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
+def cells(spark, d):
+    """The documents' vectors in an inverted file, made once a session."""
+    key = (spark.sparkContext.applicationId, d, version(spark, f"{d}/documents.parquet"))
+    if key not in _CELLS:
+        rows = encoded(spark, d)
+        with kept():
+            _CELLS[key] = V.cell_index(rows, rows.count())
+    return _CELLS[key]
+
+
+_CELLS: dict = {}
+
+
+def asked(spark, d):
+    """The questions' vectors; two of three questions ask for a manual."""
+    return R.encode(questions(spark, d), key="query_id").join(wanted(spark, d), "query_id").select("query_id", F.col("dense").alias("qv"), "wanted")
+
+
+def wanted(spark, d):
+    k = F.col("query_id")
+    return questions(spark, d).select("query_id", F.when(k % 3 > 0, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("wanted"))
+
+
 SPARSE = f"""{POST}, bq AS (SELECT item_id AS query_id, term, count(*) AS qw FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
 ss AS (SELECT query_id, id, CAST(sum(weight * qw) AS BIGINT) AS score FROM post JOIN bq USING (term) GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ss) WHERE rank <= 50)"""
@@ -205,9 +229,16 @@ def index(spark, d):
 
 
 def encoded(spark, d):
-    """Dense vectors of the documents, made once a session."""
-    rows = lambda: R.encode(table(spark, d, "documents"), key="doc_id").select(F.col("doc_id").alias("id"), F.col("dense").alias("vector"))
-    return once(spark, "vectors", f"{d}/documents.parquet", rows)
+    """Dense vectors of the documents in folders by manual, made once a session."""
+    docs = table(spark, d, "documents")
+    rows = R.encode(docs, key="doc_id").join(docs.select("doc_id", F.col("source").alias("grp")), "doc_id").select(F.col("doc_id").alias("id"), F.col("dense").alias("vector"), "grp")
+    return once(spark, "vectors", f"{d}/documents.parquet", lambda: V.by_manual(rows, "vectors", "id"))
+
+
+def blocks(spark, d):
+    """Postings of the documents in blocks by manual, made once a session."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("grp"))
+    return once(spark, "blocks", f"{d}/documents.parquet", lambda: V.block_index(docs, docs.count(), "doc_id"))
 
 
 def questions(spark, d):
@@ -215,7 +246,8 @@ def questions(spark, d):
 
 
 def sparse(spark, d):
-    return R.sparse_top_k(R.postings(questions(spark, d), "query_id"), index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    said = R.postings(questions(spark, d), "query_id").withColumn("wanted", F.lit(None).cast("string"))
+    return V.block_top_k(said, blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("r3_sparse_top_k", f"WITH {SPARSE} SELECT query_id, id, score, rank FROM sparse")
@@ -236,18 +268,45 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def fused(spark, d):
     """Hits of all questions, stored: a few narrow rows that many later steps read."""
-    return stored(R.hybrid(questions(spark, d), encoded(spark, d), index(spark, d)).withColumn("rank", F.col("rank").cast("long")), "hits")
+    return stored(R.hybrid(questions(spark, d), encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long")), "hits")
 
 
 @query("r4_rrf_fusion", f"WITH {SPARSE}, {HYBRID} SELECT query_id, id, score, rank FROM fused")
 def r4(spark, d):
-    return R.hybrid(questions(spark, d), encoded(spark, d), index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return R.hybrid(questions(spark, d), encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+#: Both legs of questions that may ask for a manual: the filter acts before each leg's best 50.
+WANTED = """wq AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 > 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS wanted FROM benchmark),
+allowed AS (SELECT query_id, doc_id AS id FROM wq JOIN documents ON wanted IS NULL OR wanted = source)"""
+FILTERED = f"""{POST}, bq AS (SELECT item_id AS query_id, term, count(*) AS qw FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL), {WANTED},
+ss AS (SELECT query_id, id, CAST(sum(weight * qw) AS BIGINT) AS score FROM post JOIN bq USING (term) JOIN allowed USING (query_id, id) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ss) WHERE rank <= 50),
+{HYBRID.replace("FROM qv JOIN dv USING (dim) JOIN dn USING (id) JOIN qn2 USING (query_id) GROUP BY ALL", "FROM allowed JOIN dn USING (id) JOIN qn2 USING (query_id) JOIN qv USING (query_id) LEFT JOIN dv ON dv.id = allowed.id AND dv.dim = qv.dim GROUP BY ALL").replace("sum(qv.w * dv.w)", "coalesce(sum(qv.w * dv.w), 0)")}"""
+
+
+@query("r1_r4_filtered_hybrid", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM fused")
+def r4_filtered(spark, d):
+    rows = questions(spark, d).join(wanted(spark, d), "query_id")
+    return R.hybrid(rows, encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("r1_r3_filtered_sparse", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM sparse")
+def r3_filtered(spark, d):
+    said = R.postings(questions(spark, d), "query_id").join(wanted(spark, d), "query_id")
+    return V.block_top_k(said, blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("r1_r2_cells", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM hdense")
+def r2_cells(spark, d):
+    """By the inverted file: the nearest cells, then those that could still hold a better vector."""
+    return V.cell_top_k(asked(spark, d), cells(spark, d), exact=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 DOCS = """dc AS (SELECT doc_id, source, lang, text, floor(doc_id / 200) AS page, CASE WHEN doc_id % 3 > 0 THEN source ELSE ' ' END AS h1, CASE WHEN doc_id % 3 = 1 THEN lang END AS h2, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)"""
-AROUND = f"""{DOCS}, hits AS (SELECT * FROM fused WHERE rank <= 5), nb AS (SELECT query_id, unnest([p, n]) AS id, lang FROM hits h JOIN dc ON h.id = dc.doc_id),
-nb2 AS (SELECT DISTINCT query_id, nb.id FROM nb JOIN dc ON nb.id = dc.doc_id AND nb.lang IS NOT DISTINCT FROM dc.lang WHERE (query_id, nb.id) NOT IN (SELECT (query_id, id) FROM hits)),
-expanded AS (SELECT query_id, id, score, 'search' AS source FROM hits UNION ALL SELECT query_id, id, 0.0, 'neighbor' FROM nb2)"""
+AROUND = f"""{DOCS}, hits AS (SELECT * FROM fused WHERE rank <= 5), nb AS (SELECT query_id, rank, unnest([p, n]) AS id, unnest([0, 1]) AS way, lang FROM hits h JOIN dc ON h.id = dc.doc_id),
+nb2 AS (SELECT query_id, nb.id, min(rank * 2 + way) AS found FROM nb JOIN dc ON nb.id = dc.doc_id AND nb.lang IS NOT DISTINCT FROM dc.lang WHERE (query_id, nb.id) NOT IN (SELECT (query_id, id) FROM hits) GROUP BY ALL),
+expanded AS (SELECT query_id, id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY source DESC, found) AS pos FROM (SELECT query_id, id, score, 'search' AS source, rank AS found FROM hits UNION ALL SELECT query_id, id, 0.0, 'neighbor', found FROM nb2))"""
 
 
 def linked(spark, d):
@@ -271,20 +330,19 @@ def r6(spark, d):
     return expanded(spark, d)
 
 
-@query("r6_disabled", f"WITH {SPARSE}, {HYBRID} SELECT query_id, id, score, 'search' AS source FROM fused WHERE rank <= 5")
+@query("r6_disabled", f"WITH {SPARSE}, {HYBRID} SELECT query_id, id, score, 'search' AS source, rank AS pos FROM fused WHERE rank <= 5")
 def r6_disabled(spark, d):
     return R.expand_neighbours(fused(spark, d).where("rank <= 5"), linked(spark, d), enabled=False)
 
 
-RERANK = f"""bo AS (SELECT DISTINCT query_id, term FROM bq), cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pos FROM expanded), qn AS (SELECT query_id, count(*) AS n FROM bo GROUP BY 1),
+RERANK = f"""bo AS (SELECT DISTINCT query_id, term FROM bq), cand AS (SELECT query_id, id, pos FROM expanded), qn AS (SELECT query_id, count(*) AS n FROM bo GROUP BY 1),
 rs AS (SELECT c.query_id, c.id, pos, round(count(post.term) / any_value(n), 6) AS rerank_score FROM cand c JOIN qn USING (query_id) JOIN bo ON bo.query_id = c.query_id LEFT JOIN post ON post.id = c.id AND post.term = bo.term GROUP BY c.query_id, c.id, pos),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, pos) AS rank FROM rs) WHERE rank <= 3)"""
 
 
 def ranked(spark, d):
     """The best three of each question, stored: what follows reads them more than once."""
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    cand = expanded(spark, d).withColumn("pos", pos.cast("long")).select("query_id", "id", "pos")
+    cand = expanded(spark, d).select("query_id", "id", "pos")
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return stored(R.rerank(cand, questions(spark, d), texts).withColumn("rank", F.col("rank").cast("long")), "ranked")
 
@@ -317,12 +375,18 @@ def r11(spark, d):
     return R.context(fitting(spark, d)).select("query_id", "context", told.alias("labels"))
 
 
-@query("r12_sources", f"WITH {SPARSE}, {HYBRID}, {AROUND}, {RERANK} SELECT query_id, CAST(id AS VARCHAR) AS id, CASE rank WHEN 3 THEN 0 ELSE 1 END AS pos, rank FROM ranked WHERE rank IN (1, 3)")
+@query("r12_sources", f"""WITH {SPARSE}, {HYBRID}, {AROUND}, {RERANK} SELECT query_id, CAST(id AS VARCHAR) AS id, CASE rank WHEN 3 THEN 0 ELSE 1 END AS pos, CAST(rank AS INTEGER) AS rank, CAST(page AS INTEGER) AS page,
+CASE WHEN trim(h1) = '' THEN '' ELSE h1 || coalesce(' › ' || h2, '') END AS title_path, CASE WHEN id % 2 = 0 THEN 'img/' || CAST(id AS VARCHAR) || '.png' ELSE '' END AS image_paths FROM ranked JOIN dc ON dc.doc_id = ranked.id WHERE rank IN (1, 3)""")
 def r12(spark, d):
+    """Every id stands twice in the ranking, with blank ones between, which take no place."""
     got = ranked(spark, d).withColumn("id", F.col("id").cast("string"))
     used = got.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("rank") == 3, F.col("id"))).alias("c"))
     used = used.select("query_id", F.array("c", "a", "a", F.lit("unknown"), F.lit(" ")).alias("used"))
-    return R.sources(used, got.select("query_id", "id", "rank"))
+    twice = F.posexplode(F.array("id", F.lit("  "), "id"))
+    repeated = got.select("query_id", "rank", twice.alias("k", "id")).select("query_id", "id", (F.col("rank") * 3 + F.col("k")).alias("rank"))
+    images = F.array(F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("img/"), F.col("chunk_id").cast("string"), F.lit(".png"))), F.lit(" "))
+    found = R.sources(used, repeated, linked(spark, d).withColumn("image_paths", images))
+    return found.withColumn("image_paths", F.array_join("image_paths", "|"))
 
 
 @query("r13_labels", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN CAST(doc_id AS VARCHAR) END AS id FROM documents")

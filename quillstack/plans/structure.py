@@ -155,7 +155,7 @@ def titles(spark, d):
 
 
 LOCATED = f"""WITH {LINES}, {TITLES}, hit AS (SELECT t.doc, t.page, title, y0, row_number() OVER (PARTITION BY t.doc, t.page, title ORDER BY size DESC, y0) AS k FROM titles t JOIN lines l ON t.doc = l.doc AND t.page = l.page
-WHERE y0 BETWEEN 55 AND 745 AND contains(replace(text, ' ', ''), replace(title, ' ', '')))"""
+WHERE y0 >= 55 AND y1 <= 745 AND contains(replace(text, ' ', ''), replace(title, ' ', '')))"""
 
 
 @query("p13_locate_titles", LOCATED + "SELECT t.doc, t.page, t.title, coalesce(y0, 55.0) AS y FROM titles t LEFT JOIN hit h ON t.doc = h.doc AND t.page = h.page AND k = 1")
@@ -185,15 +185,34 @@ def p15(spark, d):
     return S.fill_text(spans(spark, d), lines(spark, d))
 
 
-@query("p16_drop_stubs", f"""WITH {FILLED}, x AS (SELECT *, lead(page_start) OVER (PARTITION BY doc ORDER BY ord) = page_start AND title_h3 = '' AND length(text) <= 120 AND length(text) - length(replace(text, chr(10), '')) < 3 AS stub FROM full_chunks)
-SELECT doc, chunk_id, text FROM x WHERE stub IS NOT TRUE""")
+#: Chunks with texts at, under and over the bounds of a stub, in space and lines; titles padded, blank or null.
+PADDED = f"""{FILLED}, padded AS (SELECT doc, ord, chunk_id, page_start, title_h1, '  ' || title_h2 AS title_h2, CASE ord % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE title_h3 END AS title_h3,
+  CASE ord % 5 WHEN 0 THEN repeat('x', CAST(118 + ord % 4 AS INTEGER)) || repeat(' ', 10) WHEN 1 THEN chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || repeat(chr(10), CAST(ord % 3 AS INTEGER)) || CASE WHEN ord % 2 = 0 THEN 'd' ELSE '' END WHEN 2 THEN ' ' || text || ' '
+    WHEN 3 THEN NULL ELSE ' ' || replace(title_h1, ' ', '  ') END AS text FROM full_chunks)"""
+AGAIN = "lag(chunk_id) OVER (PARTITION BY doc ORDER BY ord) AS prev_chunk_id, lead(chunk_id) OVER (PARTITION BY doc ORDER BY ord) AS next_chunk_id"
+BARE = r"regexp_replace(coalesce({0}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def padded(spark, d):
+    k = F.col("ord")
+    lines_of = F.concat(F.lit("\na\nb\nc"), F.repeat(F.lit("\n"), (k % 3).cast("int")), F.when(k % 2 == 0, "d").otherwise(""))
+    long = F.concat(F.repeat(F.lit("x"), (118 + k % 4).cast("int")), F.repeat(F.lit(" "), F.lit(10)))
+    text = F.when(k % 5 == 0, long).when(k % 5 == 1, lines_of).when(k % 5 == 2, F.concat(F.lit(" "), "text", F.lit(" "))).when(k % 5 == 4, F.concat(F.lit(" "), F.replace("title_h1", F.lit(" "), F.lit("  "))))
+    h3 = F.when(k % 4 == 1, "  ").when(k % 4 > 1, F.col("title_h3"))
+    return filled(spark, d).withColumn("text", text).withColumn("title_h2", F.concat(F.lit("  "), "title_h2")).withColumn("title_h3", h3)
+
+
+@query("p16_drop_stubs", f"""WITH {PADDED}, b AS (SELECT *, {BARE.format("text")} AS t, {BARE.format("title_h3")} = '' AS plain FROM padded),
+x AS (SELECT *, lead(page_start) OVER (PARTITION BY doc ORDER BY ord) = page_start AND plain AND length(t) <= 120 AND length(t) - length(replace(t, chr(10), '')) < 3 AS stub FROM b)
+SELECT doc, chunk_id, text, {AGAIN} FROM x WHERE stub IS NOT TRUE""")
 def p16(spark, d):
-    return S.drop_stubs(filled(spark, d)).select("doc", "chunk_id", "text")
+    return S.drop_stubs(padded(spark, d)).select("doc", "chunk_id", "text", "prev_chunk_id", "next_chunk_id")
 
 
-@query("p17_drop_title_only", f"WITH {FILLED} SELECT doc, chunk_id FROM full_chunks WHERE NOT (replace(text, ' ', '') IN (nullif(replace(title_h1, ' ', ''), '-'), replace(title_h2, ' ', ''), replace(title_h3, ' ', '')) AND replace(text, ' ', '') <> '')")
+@query("p17_drop_title_only", rf"""WITH {PADDED}, b AS (SELECT *, regexp_replace(coalesce(text, ''), '\s', '', 'g') AS t, list_filter([regexp_replace(coalesce(h, ''), '\s', '', 'g') FOR h IN [title_h1, title_h2, title_h3]], lambda h: h <> '') AS titles FROM padded)
+SELECT doc, chunk_id, {AGAIN} FROM b WHERE t = '' OR NOT list_contains(titles, t)""")
 def p17(spark, d):
-    return S.drop_title_only(filled(spark, d)).select("doc", "chunk_id")
+    return S.drop_title_only(padded(spark, d)).select("doc", "chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
 @query("p18_p19_drop_empty_relink", f"""WITH {CHUNKS}, k AS (SELECT doc, ord, chunk_id FROM chunks WHERE trim(CASE WHEN n_chars % 5 = 0 THEN '  ' ELSE text END) <> '')
@@ -203,14 +222,15 @@ def p19(spark, d):
     return S.relink(S.drop_empty(c)).select("doc", "chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
-@query("p20_merge_titles", f"""WITH {FILLED}, l AS (SELECT *, coalesce(nullif(title_h3, ''), nullif(title_h2, ''), nullif(title_h1, ''), '') AS leaf FROM full_chunks)
-SELECT doc, min(ord) AS ord, arg_min(chunk_id, ord) AS chunk_id, min(page_start) AS page_start, max(page_end) AS page_end, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text FROM l WHERE leaf <> '' GROUP BY doc, leaf
+@query("p20_merge_titles", rf"""WITH {PADDED}, l AS (SELECT p.*, f.page_end, regexp_replace(coalesce(nullif({BARE.format("p.title_h3")}, ''), nullif({BARE.format("p.title_h2")}, ''), nullif({BARE.format("p.title_h1")}, ''), ''), '\s+', ' ', 'g') AS leaf FROM padded p JOIN full_chunks f ON p.doc = f.doc AND p.ord = f.ord)
+SELECT doc, min(ord) AS ord, arg_min(chunk_id, ord) AS chunk_id, min(page_start) AS page_start, max(page_end) AS page_end,
+  CASE WHEN count(*) > 1 THEN coalesce(string_agg({BARE.format("text")}, chr(10) || chr(10) ORDER BY ord) FILTER ({BARE.format("text")} <> ''), '') ELSE any_value(text) END AS text FROM l WHERE leaf <> '' GROUP BY doc, leaf
 UNION ALL SELECT doc, ord, chunk_id, page_start, page_end, text FROM l WHERE leaf = ''""")
 def p20(spark, d):
-    return S.merge_titles(filled(spark, d))
+    return S.merge_titles(padded(spark, d))
 
 
-@query("p21_leaf_titles", f"WITH {FILLED} SELECT doc, ord, coalesce(nullif(title_h3, ''), nullif(title_h2, ''), nullif(title_h1, ''), '') AS leaf FROM full_chunks")
+@query("p21_leaf_titles", f"WITH {FILLED} SELECT doc, ord, coalesce(nullif({BARE.format('title_h3')}, ''), nullif({BARE.format('title_h2')}, ''), nullif({BARE.format('title_h1')}, ''), '') AS leaf FROM full_chunks")
 def p21(spark, d):
     return filled(spark, d).select("doc", "ord", S.leaf_title(F.col("title_h1"), F.col("title_h2"), F.col("title_h3")).alias("leaf"))
 

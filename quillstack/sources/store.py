@@ -49,11 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = False, by: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
     rows: about how many narrow rows there are at most; they are dealt to files by that, not one a partition.
     narrow: rows are small against what they were made of, but their number isn't known; they are dealt to two files a core.
+    by: a column of few values; rows of each have a folder of their own, which a filter on it opens alone.
     """
     spark = df.sparkSession
     if rows is not None:
@@ -61,9 +62,10 @@ def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = Fals
     elif narrow:
         df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns) if by else back
 
 
 @contextlib.contextmanager
@@ -76,6 +78,14 @@ def freed(spark: SparkSession) -> Iterator[list[str]]:
     del _tables[before:-1]
 
 
+@contextlib.contextmanager
+def kept() -> Iterator[None]:
+    """Tables stored inside the block outlive any freed() around it."""
+    before = len(_tables)
+    yield
+    del _tables[before:]
+
+
 def version(spark: SparkSession, path: str) -> tuple[int, int]:
     """Size and time of change of a table's file or folder, so that what was derived from an older state isn't taken for the present one."""
     target, system = _file(spark, path)
@@ -84,9 +94,12 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def once(spark: SparkSession, name: str, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() makes of the table at path, stored when the session first asks for it: an index is made once and searched often."""
+    """What build() makes of the table at path, stored when the session first asks for it: an index is made once and searched often. What build() has stored itself isn't stored again."""
     key = (spark.sparkContext.applicationId, name, path, version(spark, path))
     if key not in _kept:
-        _kept[key] = stored(build(), name)
-        _tables.pop()  # outlives any freed() around it
+        before = len(_tables)
+        made = build()
+        own = _tables[before:]
+        _kept[key] = made if own and own[-1].rsplit("/", 1)[-1].startswith(f"{name}-") else stored(made, name)
+        _tables.remove(own[-1] if _kept[key] is made else _tables[-1])  # outlives any freed() around it
     return _kept[key]

@@ -41,10 +41,72 @@ def test_page_range_clamped(spark):
     assert [(r.page_start, r.page_end) for r in got] == [(3, 3), (3, 7), (7, 7), (2, 9)]
 
 
-@pytest.mark.parametrize("text,h3,stays", [("x" * 120, "", False), ("x" * 121, "", True), ("a\nb\nc", "", False), ("a\nb\nc\nd", "", True), ("x", "h", True)])
+CHUNK = "doc string, ord long, chunk_id string, page_start long, page_end long, title_h1 string, title_h2 string, title_h3 string, text string, prev_chunk_id string, next_chunk_id string"
+
+
+def chunk(k, text, page=1, h1="H", h2="", h3=""):
+    return "d", k, f"d_{k}", page, page, h1, h2, h3, text, "old", "old"
+
+
+@pytest.mark.parametrize(
+    "text,h3,stays",
+    [("x" * 120, "", False), ("x" * 121, "", True), ("a\nb\nc", "", False), ("a\nb\nc\nd", "", True), ("x", "h", True), ("x" * 119 + "   ", "", False), ("\n\na\nb\nc\n\n", "", False), ("x", "  ", False), ("x", None, False), (None, "", False)],
+)
 def test_stubs(spark, text, h3, stays):
-    rows = spark.createDataFrame([("d", 0, 1, h3, text), ("d", 1, 1, "", "y" * 500)], "doc string, ord long, page_start long, title_h3 string, text string")
-    assert S.drop_stubs(rows).count() == 1 + stays
+    rows = spark.createDataFrame([chunk(0, "z" * 500), chunk(1, text, h3=h3), chunk(2, "y" * 500), chunk(3, "last", page=1)], CHUNK)
+    got = S.drop_stubs(rows).orderBy("ord").collect()
+    ids = ["d_0", *(["d_1"] if stays else []), "d_2", "d_3"]
+    assert [(r.chunk_id, r.prev_chunk_id, r.next_chunk_id) for r in got] == list(zip(ids, [None, *ids], [*ids[1:], None], strict=False))
+    assert got[0].text == "z" * 500 and set(got[0].asDict()) == set(rows.columns)
+
+
+def test_title_only(spark):
+    rows = spark.createDataFrame([chunk(0, " A  B ", h1="A B"), chunk(1, "AB", h2=" A B "), chunk(2, "A B c", h1="A B"), chunk(3, " ", h1="", h3=" "), chunk(4, None, h1=None), chunk(5, "t", h3="t")], CHUNK)
+    got = S.drop_title_only(rows).orderBy("ord").collect()
+    assert [(r.chunk_id, r.prev_chunk_id, r.next_chunk_id) for r in got] == [("d_2", None, "d_3"), ("d_3", "d_2", "d_4"), ("d_4", "d_3", None)]
+
+
+def test_merged_titles(spark):
+    rows = spark.createDataFrame([chunk(0, " a ", 3, h2="T  1 "), chunk(1, "  ", 1, h3="T 1"), chunk(2, "b", 9, h1="T 1"), chunk(3, " alone ", h1="S"), chunk(4, "x", h1=" ", h2=None), chunk(5, "y", h1="")], CHUNK)
+    got = S.merge_titles(rows).orderBy("ord").collect()
+    assert [(r.chunk_id, r.page_start, r.page_end, r.text) for r in got] == [("d_0", 1, 9, "a\n\nb"), ("d_3", 1, 1, " alone "), ("d_4", 1, 1, "x"), ("d_5", 1, 1, "y")]
+
+
+def test_title_line_ends_inside_the_body(spark):
+    titles = spark.createDataFrame([("d", 1, "A B", 50.0, 50.0, 800.0)], "doc string, page long, title string, margin_top double, margin_bottom double, height double")
+    lines = spark.createDataFrame([("d", 1, 740.0, 760.0, 30.0, "AB"), ("d", 1, 300.0, 310.0, 12.0, "x A  B y"), ("d", 1, 20.0, 55.0, 40.0, "AB"), ("d", 1, 400.0, 750.0, 12.0, "AB")], "doc string, page long, y0 double, y1 double, size double, text string")
+    assert S.locate_titles(titles, lines).first().y == 300.0
+
+
+def test_used_keys(spark):
+    rows = spark.createDataFrame([([" chunk_1", "chunk_2 ", "chunk_1", "", None, "chunk_7"], ["chunk_2", " chunk_1\n", " "]), (None, ["a"]), (["a"], None)], "k array<string>, v array<string>")
+    assert [r.u for r in rows.select(C.used_keys(F.col("k"), F.col("v")).alias("u")).collect()] == ["chunk_1,chunk_2", "", ""]
+
+
+@pytest.mark.parametrize(
+    "said,block",
+    [("SOURCES_START\na\n\nb\nSOURCES_END", "a\n\nb"), ("no marks", None), ("SOURCES_START a", None), ("SOURCES_END SOURCES_START a", None), ("x SOURCES_START \t\n chunk_1 , chunk_2 \n SOURCES_END SOURCES_END", "chunk_1 , chunk_2"),
+     ("SOURCES_START\n（chunk key，逗号分隔）\nchunk_3\nSOURCES_END", "chunk_3"), ("SOURCES_START\nchunk key\r\nsee chunk key chunk_1,chunk_2 here\nSOURCES_END", "chunk key"), ("SOURCES_STARTSOURCES_END", ""), (None, None)],
+)
+def test_source_block(spark, said, block):
+    assert one(spark, said, C.block_between) == block
+
+
+def test_ranks_count_different_ids(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, " ", 3), (1, "b", 4), (1, "c", 9), (2, "b", 7)], "query_id long, id string, rank int")
+    used = spark.createDataFrame([(1, ["b", "a", "b", "zz", " ", "c"]), (2, ["b"])], "query_id long, used array<string>")
+    got = R.sources(used, ranked).collect()
+    assert sorted((r.query_id, r.pos, r.id, r["rank"]) for r in got) == [(1, 0, "b", 2), (1, 1, "a", 1), (1, 5, "c", 3), (2, 0, "b", 1)]
+    chunks = spark.createDataFrame([("a", "7", "T", " ", "U", ["x.png", " ", None]), ("b", "p", None, None, None, None)], "chunk_id string, page_start string, title_h1 string, title_h2 string, title_h3 string, image_paths array<string>")
+    got = R.sources(used, ranked, chunks).where("query_id = 1").orderBy("pos").collect()
+    assert [(r.id, r.page, r.title_path, r.image_paths) for r in got] == [("b", 0, "", []), ("a", 7, "T › U", ["x.png"])]
+
+
+def test_model_sees_past_routes(spark):
+    rows = spark.createDataFrame([("c", 1, "q1", "a1", " r1 "), ("c", 2, "q2", "a2", None), ("c", 3, None, "a3", " "), ("c", 4, "q4", "", "")], "conv_id string, turn long, query string, answer string, route_query string")
+    got = C.recent(rows, told_route=True).orderBy("turn").collect()
+    assert [[t.query for t in r.recent] for r in got] == [[], ["q1\n（当时路由检索query：r1）"], ["q1\n（当时路由检索query：r1）", "q2"], ["q2", ""]]
+    assert [t.query for t in C.recent(rows).orderBy("turn").collect()[1].recent] == ["q1"]
 
 
 def test_greedy_packing(spark):
@@ -90,9 +152,12 @@ def test_fusion_of_legs(spark):
 
 
 def test_neighbours(spark):
-    chunks = spark.createDataFrame([("a", None, "b", None), ("b", "a", "c", None), ("c", "b", "zz", "H")], "chunk_id string, prev_chunk_id string, next_chunk_id string, title_h1 string")
-    hits = spark.createDataFrame([(1, "b", 0.5), (1, "c", 0.4)], "query_id long, id string, score double")
-    assert sorted((r.id, r.source) for r in R.expand_neighbours(hits, chunks).collect()) == [("a", "neighbor"), ("b", "search"), ("c", "search")]
+    chunks = spark.createDataFrame([("a", None, "b", None), ("b", "a", "c", None), ("c", "b", "zz", "H"), ("z", "y", "a", None), ("y", "b", "z", None)], "chunk_id string, prev_chunk_id string, next_chunk_id string, title_h1 string")
+    hits = spark.createDataFrame([(1, "b", 0.5, 2), (1, "c", 0.4, 3), (1, "z", 0.9, 1)], "query_id long, id string, score double, rank int")
+    got = R.expand_neighbours(hits, chunks).orderBy("pos").collect()
+    # hits by rank, then what the first hit found, the one before it first; `a` was found by the first hit already
+    assert [(r.id, r.source, r.pos) for r in got] == [("z", "search", 1), ("b", "search", 2), ("c", "search", 3), ("y", "neighbor", 4), ("a", "neighbor", 5)]
+    assert [r.id for r in R.expand_neighbours(hits, chunks, enabled=False).orderBy("pos").collect()] == ["z", "b", "c"]
 
 
 def test_budget_stops_at_overflow(spark):
@@ -106,6 +171,10 @@ def test_history_skips_and_stops(spark):
     rows = [("c", i, "w " * n, "") for i, n in enumerate([3, 4, 50, 5])]
     got = C.trim_history(spark.createDataFrame(rows, "conv_id string, turn long, query string, answer string"), 10)
     assert sorted(r.turn for r in got.collect()) == [1, 3]
+    rows = [("c", 1, None, "w " * 4), ("c", 2, "w " * 5, None), ("c", 3, "w", "w"), ("c", 4, None, None)]
+    history = spark.createDataFrame(rows, "conv_id string, turn long, query string, answer string")
+    assert sorted((r.turn, r.n_tokens) for r in C.trim_history(history, 10).collect()) == [(2, 5), (3, 2), (4, 0)]
+    assert C.trim_history(history, 0).count() == 0
 
 
 @pytest.mark.parametrize("said,answer", [('```json\n{"answer": "x"}\n```', "x"), ("plain", "plain"), ("[1]", "[1]"), ('{"answer": 1', '{"answer": 1')])
