@@ -1,7 +1,7 @@
 """URL filters: blocked Bloom filters of listed keys pass possible hits to exact hash joins.
 
-Two lists are held against each URL. One is of canonical URLs: host (A-Z lower-cased, without user and default port) and path without slashes at its end, scheme,
-query and fragment left off. The other is of rules, a host and a path prefix that hold for subdomains and longer paths as well; of each URL the keys that some
+Two lists are held against each URL. One is of canonical URLs: host (A-Z lower-cased, without user, default port, dot at its end and a `www.` before a host of two labels or more)
+and path (escapes of unreserved characters undone, hex digits of the others upper-cased, no slashes at its end), scheme, query and fragment left off. The other is of rules, a host and a path prefix that hold for subdomains and longer paths as well; of each URL the keys that some
 rule could have are made: its host's suffixes that are rules' hosts, times its path's prefixes as long as rules of that host have. A rule goes before the list.
 
 Each key's hash names a block of 256 bits and 8 bits in it; the blocks are rows, met by an equi-join on the block number.
@@ -18,10 +18,11 @@ from .common import table
 #: Fixed values of the query: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: The query's list of canonical URLs, made by a rule: of these hosts and sections, the pages numbered from 0.
-LISTED_HOSTS, LISTED_SECTIONS, LISTED_PAGES = ["spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org"], ["en", "fr", "de", "es"], 1000
+LISTED_HOSTS = [f"{name}.example.{end}" for name in ("spam-farm", "cheap-pills") for end in ("com", "net", "org")]
+LISTED_SECTIONS, LISTED_PAGES = ["en", "fr", "de", "es"], 10_000
 PROBES, KEYS_PER_BLOCK = 8, 16
-#: Rules or listed URLs up to which a filter and its list are sent to every executor; beyond, Spark chooses the joins.
-SENT = 20_000
+#: Rules or listed URLs up to which a list, and up to which its filter (2 bytes a key and a block's number), is sent to every executor; beyond, Spark chooses the joins.
+SENT, FILTER_SENT = 20_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,9 +39,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.when(at > 0, F.regexp_extract(after, r"\A[^?#]*", 0)).otherwise("")
 
 
+def _plain(path: Column) -> Column:
+    """A path whose escapes of letters, digits and -._~ are undone and whose other escapes have upper-case digits. What follows a % but isn't two such digits stays."""
+
+    def after(piece: Column) -> Column:
+        digits, rest = F.substring(piece, 1, 2), F.substr(piece, F.lit(3))
+        char = F.char(F.conv(digits, 16, 10).cast("int"))
+        undone = F.when(digits.rlike("^[2-7]") & char.rlike(r"^[A-Za-z0-9._~-]$"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), F.upper(digits), rest))
+        return F.when(piece.rlike("^[0-9A-Fa-f]{2}"), undone).otherwise(F.concat(F.lit("%"), piece))
+
+    parts = F.split(path, "%")
+    return F.when(path.contains("%"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), after), ""))).otherwise(path)
+
+
 def canonical(host: Column, path: Column) -> Column:
     """The key of a URL in a list of canonical ones."""
-    return F.concat(F.regexp_replace(host, r"\A.*@|:(?:80|443)?\z", ""), F.regexp_replace(path, r"/+\z", ""))
+    bare = F.regexp_replace(F.regexp_replace(host, r"\A.*@|\.?(?::(?:80|443)?)?\z", ""), r"\Awww\.([^.]+\.)", "$1")
+    return F.concat(bare, F.regexp_replace(_plain(path), r"/+\z", ""))
 
 
 def _bits(key: Column, word: int) -> Column:
@@ -66,7 +81,7 @@ def _possible(made: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     for i in range(PROBES // 2):
         mask = _bits(F.col("key"), i)
         passes = passes & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    return rows.join(F.broadcast(blocks) if n <= SENT else blocks, "block").where(passes).select(*made.columns)
+    return rows.join(F.broadcast(blocks) if n <= FILTER_SENT else blocks, "block").where(passes).select(*made.columns)
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -127,7 +142,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules, listed_urls(spark)).withColumnRenamed("id", "page_id")
 
 
-SQL = """
+SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
@@ -136,13 +151,18 @@ WITH u AS (
 ), rules(verdict, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), listed AS (
-  SELECT 'spam-farm.example.' || t || '/' || s || '/' || CAST(n AS VARCHAR) AS key
-  FROM (SELECT unnest(['com', 'net', 'org']) AS t) CROSS JOIN (SELECT unnest(['en', 'fr', 'de', 'es']) AS s) CROSS JOIN (SELECT unnest(range(0, 1000)) AS n)
+  SELECT f || '.example.' || t || '/' || s || '/' || CAST(n AS VARCHAR) AS key FROM (SELECT unnest(['spam-farm', 'cheap-pills']) AS f)
+  CROSS JOIN (SELECT unnest(['com', 'net', 'org']) AS t) CROSS JOIN (SELECT unnest(['en', 'fr', 'de', 'es']) AS s) CROSS JOIN (SELECT unnest(range(0, 10000)) AS n)
+), e AS (
+  SELECT *, list_transform(string_split(path, '%'), lambda x, i: struct_pack(x := x, i := i, d := upper(substr(x, 1, 2)), hex := i > 1 AND regexp_matches(x, '^[0-9A-Fa-f]{2}'),
+    c := CASE WHEN regexp_matches(x, '^[2-7][0-9A-Fa-f]') THEN chr(CAST((strpos('0123456789ABCDEF', upper(substr(x, 1, 1))) - 1) * 16 + strpos('0123456789ABCDEF', upper(substr(x, 2, 1))) - 1 AS INTEGER)) ELSE '%' END)) AS parts FROM h
+), p AS (
+  SELECT page_id, host, path, array_to_string(list_transform(parts, lambda v: CASE WHEN v.i = 1 THEN v.x WHEN NOT v.hex THEN '%' || v.x WHEN regexp_matches(v.c, '^[A-Za-z0-9._~-]$') THEN v.c || substr(v.x, 3) ELSE '%' || v.d || substr(v.x, 3) END), '') AS plain FROM e
 ), m AS (
   SELECT h.page_id, h.host, h.path, r.rhost || r.rpath AS rule, r.verdict,
-         regexp_replace(regexp_replace(h.host, '^.*@', ''), ':(80|443)?$', '') || regexp_replace(h.path, '/+$', '') AS key,
+         regexp_replace(regexp_replace(regexp_replace(h.host, '^.*@', ''), '\.?(:(80|443)?)?$', ''), '^www\.([^.]+\.)', '\1') || regexp_replace(h.plain, '/+$', '') AS key,
          row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
-  FROM h LEFT JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath)
+  FROM p h LEFT JOIN rules r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath)
 )
 SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM m WHERE k = 1
 """
