@@ -218,7 +218,7 @@ def test_counterfactual_term_quiets_mentions():
 def test_every_mention_is_swapped():
     swapped = lambda t: {(w, o) for lost, gained in toxicity.counterfactuals(t) for w in lost for o in gained if "*" not in w + o}
     every = swapped("Asian and black women, young, muslim")
-    assert {w for w, _ in every} == {"asian", "and", "black", "women", "young", "muslim"} and ("muslim", "atheist") in every and ("women", "boys") in every
+    assert {w for w, _ in every} == {"asian", "black", "women", "young", "muslim"} and ("muslim", "atheist") in every and ("women", "boys") in every
     texts = [f"black asian women are idiot {i}" for i in range(40)] + [f"black asian men are kind {i}" for i in range(40)] + ["black asian women scum"] * 10
     y = np.array([1] * 40 + [0] * 40 + [1] * 10)
     names = sorted(set().union(*map(toxicity.features, texts)))
@@ -549,8 +549,24 @@ def test_listed_urls(spark):
     assert urls.judge(pages, rules.limit(0), listed.limit(0)).where("verdict = 'allow'").count() == 9
 
 
+def test_canonical_urls(spark):
+    cases = {
+        "http://WWW.Spam.example.com:80/fr/%39%30/": "spam.example.com/fr/90", "https://u:p@www.a.org./x%7e%2f%2F": "a.org/x~%2F%2F", "http://www.com/a": "www.com/a", "http://wwwa.org/": "wwwa.org",
+        "http://a.b/%zz%41%%4": "a.b/%zzA%%4", "http://a.b/%2541%c3%A9": "a.b/%2541%C3%A9", "http://a.b:8080//": "a.b:8080", "http://www.www.org/": "www.org", "nothing": "", "http://a.b/%": "a.b/%", "http://a.b/%00%1f%7F%ff": "a.b/%00%1F%7F%FF",
+    }
+    rows = spark.createDataFrame([(u, w) for u, w in cases.items()], "url string, want string")
+    assert {r.got: r.want for r in rows.select("want", urls.canonical(*urls.host_and_path(F.col("url"))).alias("got")).collect()} == {w: w for w in cases.values()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_list_decides_what_no_rule_fits(spark, sf):
+    judged = registry.queries()["op6_url_filters"](spark, f"/root/testdata/{sf}")
+    assert judged.where("rule is null and verdict = 'block'").count() > 0
+
+
 def test_urls_by_more_than_are_sent(spark, monkeypatch):
     monkeypatch.setattr(urls, "SENT", 0)
+    monkeypatch.setattr(urls, "FILTER_SENT", 0)
     test_query_equals_sql(spark, "op6_url_filters")
 
 
@@ -721,21 +737,82 @@ def test_op9_query(spark, docs):
     assert {tuple(r) for r in df.collect()} == {(d, f"{fps[i]:016x}", texts[root[i]][0]) for i, (d, _) in enumerate(texts)} and pairs
 
 
-def test_toxicity_by_its_method(spark):
-    """Swaps hold the model; with the penalty a mention moves scores less, and clean texts with a neutral mention put in stay clean."""
-    for sf in ("sf0.01", "sf0.1"):
-        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
-        held = docs.join(labels, "doc_id").where(toxicity.is_held_out()).select("text", "toxic").collect()
-        moved, wrong = {}, {}
-        for penalty in (0.0, toxicity.PENALTY):
-            model = toxicity.train(docs, labels, held_out=toxicity.is_held_out(), penalty=penalty)
-            assert model.swaps > 1000
-            logit = lambda words: sum(model.weights.get(w, 0.0) for w in words)  # noqa: B023, E731
-            moved[penalty] = np.mean([abs(logit(lost) - logit(gained)) for r in held for lost, gained in toxicity.counterfactuals(r.text or "")])
-            clean = [r.text or "" for r in held if not r.toxic and model.score(r.text or "") < toxicity.THRESHOLD]
-            wrong[penalty] = sum(any(model.score(f"{t} {term}") >= toxicity.THRESHOLD for term in toxicity._SWAPS) for t in clean)
-        print(sf, model.swaps, moved, wrong, len(clean))
-        assert moved[toxicity.PENALTY] < 0.1 * moved[0.0] and wrong[toxicity.PENALTY] <= wrong[0.0]
+def planted(spark, sf="/root/testdata/sf0.1"):
+    """The documents with a group's name put into 2 of 5 toxic texts and 1 of 100 others, and labels. What is learned from those is biased; the held-out texts stay as they are."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    drawn = F.pmod(F.crc32(F.concat(F.lit("draw"), F.col("doc_id").cast("string")).cast("binary")), F.lit(100))
+    named = ~toxicity.is_held_out() & (drawn < F.when(F.col("toxic") == 1, 40).otherwise(1))
+    marked = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").withColumn("text", F.when(F.coalesce(named, F.lit(False)), F.concat("text", F.lit(" The immigrants live here."))).otherwise(F.col("text")))
+    return marked.drop("toxic"), labels, docs.join(labels, "doc_id").where(toxicity.is_held_out()).select(F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
+
+
+def test_penalty_quiets_a_biased_mention(spark):
+    """At production values: a mention that goes with toxic texts in the learning rows makes clean held-out texts toxic without the penalty, and hardly any with it."""
+    docs, labels, held = planted(spark)
+    wrong, found = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.train(docs, labels, held_out=toxicity.is_held_out(), penalty=penalty)
+        assert model.swaps > 1000 and (penalty or "immigrants" in model.weights)
+        clean = [r.text for r in held if not r.toxic and model.score(r.text) < toxicity.THRESHOLD]
+        wrong[penalty] = sum(model.score(f"{t} Two immigrants came by.") >= toxicity.THRESHOLD for t in clean)
+        found[penalty] = sum(model.score(r.text) >= toxicity.THRESHOLD for r in held if r.toxic) / sum(r.toxic for r in held)
+    print(wrong, found, len(clean))
+    assert wrong[toxicity.PENALTY] < 0.2 * wrong[0.0] and found[toxicity.PENALTY] > 0.8
+
+
+def test_group_terms_are_features(spark):
+    """No text names a group, yet each name's features take part, and swaps of the mention put into each text hold them."""
+    rows = spark.createDataFrame([(i, "bad words" if i % 3 == 0 else "fine words", int(i % 3 == 0)) for i in range(60)], "doc_id long, text string, toxic int")
+    model = toxicity.train(rows, rows.select("doc_id", "toxic"))
+    swaps = [s for i in range(60) for s in toxicity.counterfactuals("bad words" if i % 3 == 0 else "fine words")]
+    assert model.swaps == len(swaps) and all(gained for _, gained in swaps)
+
+
+def test_scores_by_hand(spark):
+    """What the model's weights give by another count of words."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels, held_out=toxicity.is_held_out())
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = toxicity.op4_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = set("".join(c if c.isalnum() and not c.isdecimal() else " " for c in texts[r.doc_id].lower()).split())
+        begins = {f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) >= n}
+        logit = model.bias + math.fsum(model.weights.get(f, 0.0) for f in words | begins)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-6) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_fit_is_the_optimum():
+    """The weights against Newton's method on the same objective, written out densely."""
+    rng = np.random.default_rng(8)
+    n, m = 60, 7
+    x = (rng.random((n, m)) < 0.4).astype(float)
+    y, times = (rng.random(n) < 1 / (1 + np.exp(1 - 2 * x[:, 0]))).astype(float), rng.integers(1, 4, n).astype(float)
+    swaps, share = [([0], [1]), ([2, 3], []), ([], [4])], np.array([3.0, 1.0, 2.0])
+    ridge, penalty = 0.01, 0.5
+    d = np.array([[1, -1, 0, 0, 0, 0, 0], [0, 0, 1, 1, 0, 0, 0], [0, 0, 0, 0, -1, 0, 0]], float)
+    design, w = np.hstack([x, np.ones((n, 1))]), np.zeros(m + 1)
+    held = np.zeros((m + 1, m + 1))
+    held[:m, :m] = ridge * np.eye(m) + penalty * d.T @ np.diag(share / share.sum()) @ d
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ w))
+        slope = design.T @ (times * (p - y)) / times.sum() + held @ w
+        w -= np.linalg.solve(design.T @ np.diag(times * p * (1 - p)) @ design / times.sum() + held, slope)
+    model = toxicity.fit([list(np.flatnonzero(r)) for r in x], y, [f"f{j}" for j in range(m)], swaps, share, ridge, penalty, steps=4000, times=times)
+    assert np.allclose([model.weights.get(f"f{j}", 0.0) for j in range(m)], w[:m], atol=1e-5) and abs(model.bias - w[m]) < 1e-5
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Ids that hundreds of rows share, of one text and of many: the sample holds its bound, and repeats weigh what they are."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    sizes = []
+    stored = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, tag, *a, **k: (lambda out: (sizes.append((tag, out.count())), out)[1])(stored(df, tag, *a, **k)))
+    rows = [(1, "bad words here", 1)] * 700 + [(2, f"fine words {i}", 0) for i in range(700)] + [(i, "bad thing" if i % 2 else "fine thing", i % 2) for i in range(3, 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame, frame.select("doc_id", "toxic"))
+    assert dict(sizes)["sample"] <= 100 and model.score("bad") > 0.5 > model.score("fine")
 
 
 def test_toxicity_of_repeats_and_ties(spark):
