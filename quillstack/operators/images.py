@@ -70,8 +70,11 @@ def pending(paths: DataFrame, cache: DataFrame) -> DataFrame:
     return paths.join(cache.where(F.col("caption") != FAILED), "path", "left_anti")
 
 
-def caption(paths: DataFrame, captioner: Callable[[str], str], tries: int = 3, at_once: int = 2, wait: float = 5.0) -> DataFrame:
-    """Captions by a given function; a failure is tried again after wait seconds, then twice that and so on; empty and failed ones are marked. at_once bounds the calls that run at a time."""
+def caption(paths: DataFrame, captioner: Callable[[str], str], tries: int = 3, at_once: int | None = 2, wait: float = 5.0) -> DataFrame:
+    """Captions by a given function; a failure is tried again after wait seconds, then twice that and so on; empty and failed ones are marked. at_once bounds the calls that run at a time.
+
+    None leaves that to the partitions: files.write_through(), which keeps what is made part by part, has its own bound.
+    """
 
     def one(path: str) -> str:
         for k in range(tries):
@@ -88,7 +91,8 @@ def caption(paths: DataFrame, captioner: Callable[[str], str], tries: int = 3, a
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "caption": [one(p) for p in batch["path"]]})
 
-    return paths.select("path").repartition(at_once).mapInPandas(run, "path string, caption string")
+    narrow = paths.select("path")
+    return (narrow.repartition(at_once) if at_once else narrow).mapInPandas(run, "path string, caption string")
 
 
 def encoded(files: DataFrame, to_jpeg: Callable[[bytes], bytes] | None = None) -> DataFrame:

@@ -91,19 +91,20 @@ def _scores(met: DataFrame, k: int) -> DataFrame:
     return top(scored, ["query_id"], k, F.col("score").desc(), F.col("id"))
 
 
-def block_passes(queries: DataFrame, blocks: DataFrame, k: int = PREFETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What block_top_k reads: the first pass's best, the blocks of the second pass, and all blocks that the questions' terms have (columns query_id, term, n, ...)."""
+def block_passes(queries: DataFrame, blocks: DataFrame, k: int = PREFETCH) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What block_top_k does: the blocks of its first pass, the best of them, the blocks of its second pass, and all that the questions' terms have (query_id, term, n, ...)."""
     met = _met(queries, blocks)
     # texts of a level that some term of the question has, at least; the levels from the highest down that hold k of them are read first
     had = met.groupBy("query_id", "term", "level").agg(F.sum("n").alias("n")).groupBy("query_id", "level").agg(F.max("n").alias("n"))
     down = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    first = had.withColumn("so_far", down).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("so_far") >= k, F.col("level"))), F.min("level")).alias("first"))
-    first = stored(first, "first_levels", narrow=True)
-    best = stored(_scores(met.join(first, "query_id").where(F.col("level") >= F.col("first")), k), "first_best", narrow=True)
-    floors = first.join(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left")
+    levels = had.withColumn("so_far", down).groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("so_far") >= k, F.col("level"))), F.min("level")).alias("first"))
+    levels = stored(levels, "first_levels", narrow=True)
+    first = met.join(levels, "query_id").where(F.col("level") >= F.col("first"))
+    best = stored(_scores(first, k), "first_best", narrow=True)
+    floors = levels.join(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left")
     # a text scores its length times the question's at most; the margin covers the rounding of both
     reach = F.col("length") * F.col("norm") * (1 + 1e-9) >= F.coalesce("floor", F.lit(0))
-    return best, met.join(floors, "query_id").where((F.col("level") < F.col("first")) & reach), met
+    return first, best, met.join(floors, "query_id").where((F.col("level") < F.col("first")) & reach), met
 
 
 def block_top_k(queries: DataFrame, blocks: DataFrame, k: int = PREFETCH) -> DataFrame:
@@ -112,7 +113,7 @@ def block_top_k(queries: DataFrame, blocks: DataFrame, k: int = PREFETCH) -> Dat
     A text's terms all lie in blocks of its level. The highest levels that hold k texts of a term of the question are read whole, which gives their texts' scores and a floor, the k-th of them; of
     the lower ones only blocks whose longest text could reach the floor.
     """
-    best, rest, _ = block_passes(queries, blocks, k)
+    _, best, rest, _ = block_passes(queries, blocks, k)
     both = best.select("query_id", "id", "score").unionByName(_scores(rest, k).select("query_id", "id", "score"))
     return top(both, ["query_id"], k, F.col("score").desc(), F.col("id"))
 

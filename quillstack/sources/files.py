@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .store import exists
+from .store import exists, read_text, stored, swap_text
 
 STR, INT = T.StringType(), T.IntegerType()
 CHUNK = T.StructType([
@@ -115,8 +115,83 @@ def write_chunks(rows: DataFrame, path: str) -> None:
     writer.parquet(path)
 
 
+#: A task's files are moved to the target when the task is done, and stay there if the job fails later.
+_TASK_BY_TASK = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def write_through(todo: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], key: str = "chunk_id", rows_a_part: int = 2048, at_once: int | None = None) -> DataFrame:
+    """K2: work() of the rows whose key isn't at path yet, kept part by part; returns what is there then, a row a key.
+
+    A part of about rows_a_part rows is a task, and its rows stay as soon as it is done: if the job fails or its driver is lost, the next run works on the rest only. work() must keep the key and its
+    rows' partitions, as functions over Arrow batches do. at_once bounds the parts that are worked on at a time; they are then done in rounds. Rows with a null key take no part; of rows of one key one is worked on.
+    """
+    spark = todo.sparkSession
+    rows = todo.where(F.col(key).isNotNull())
+    if exists(spark, path):
+        rows = rows.join(spark.read.schema(work(rows).schema).parquet(path).select(key), key, "left_anti")
+    rows = rows.dropDuplicates([key])
+    parts = -(-rows.count() // rows_a_part)
+    schema = work(rows).schema
+    rounds = -(-parts // at_once) if at_once else min(parts, 1)
+    for r in range(rounds):
+        share = rows.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(rounds)) == r) if rounds > 1 else rows
+        work(share.repartition(at_once or parts, key)).write.mode("append").option(*_TASK_BY_TASK).parquet(path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).dropDuplicates([key])
+
+
+#: Folders that a keyed target's rows are dealt to by a hash of the key.
+BUCKETS = 256
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _held(spark: SparkSession, path: str, new: DataFrame, key: str) -> DataFrame | None:
+    """The keys at path in the buckets that rows of new fall into; other folders aren't opened."""
+    if not exists(spark, path):
+        return None
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+    names = T.StructType([new.schema[key], T.StructField("bucket", INT)])
+    return spark.read.schema(names).parquet(path).where(F.col("bucket").isin(touched)).select(key)
+
+
+def merge(new: DataFrame, path: str, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
+    """K3: rows whose key isn't at path are added, so a repeated batch changes nothing; of rows of one key in a batch one is added, null keys take no part.
+
+    The target lies in folders by a hash of the key, sorted by it inside files, with Bloom filters on it: a batch reads the keys of its own buckets only. The number of buckets is the target's for good;
+    path/buckets tells it, and another one is an error.
+    """
+    spark = new.sparkSession
+    told = f"{path.rstrip('/')}/_buckets"
+    if (known := read_text(spark, told)) is not None and int(known) != buckets:
+        raise ValueError(f"{path} has {known} buckets")
+    rows = new.where(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", bucket_of(F.col(key), buckets))
+    held = _held(spark, path, rows, key)
+    if held is not None:
+        rows = rows.join(held, key, "left_anti")
+    writer = rows.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("append").partitionBy("bucket")
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    if known is None:
+        swap_text(spark, told, str(buckets))
+
+
+def compact(spark: SparkSession, path: str, key: str = "chunk_id", most: int = 8) -> int:
+    """Buckets of more than `most` files become one file each; their number. What they hold is copied to the shared folder first, then each bucket's folder is replaced when all is written."""
+    rows = spark.read.parquet(path)
+    files = rows.select("bucket", F.input_file_name().alias("file")).distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    full = [r["bucket"] for r in files.collect()]
+    if full:
+        copy = stored(rows.where(F.col("bucket").isin(full)), "compacted")
+        writer = copy.repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+        writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    return len(full)
+
+
 def upsert(new: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """K2, K3: rows whose key isn't there are appended, so a repeated run changes nothing."""
+    """K3 over a target without buckets: rows whose key isn't there are appended. Every key there is read; merge() reads its buckets' only."""
     spark = new.sparkSession
     if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")

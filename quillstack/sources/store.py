@@ -49,6 +49,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or nothing where there is none."""
+    target, system = _file(spark, path)
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def swap_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside path and renames it over path: a reader finds the old one or the new one, whole."""
+    target, system = _file(spark, path)
+    beside = target.suffix(f".{uuid.uuid4().hex[:8]}.tmp")
+    out = system.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    gateway, fs = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop.fs
+    over = gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, target, over)
+
+
 def stored(df: DataFrame, tag: str, rows: int | None = None, narrow: bool = False, by: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 
