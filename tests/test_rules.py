@@ -505,18 +505,6 @@ def test_index_follows_its_table(spark, tmp_path):
     assert store.once(spark, "x", path, build).count() == 5
 
 
-def test_sessions(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    rows = [("c", "message", 1, "q1", "a1", "search"), ("c", "message", 2, "q2", "a2", "reject"), ("c", "feedback", 1, None, None, None), ("c", "feedback", 1, None, None, None), ("d", "message", 1, "x", "y", "chat")]
-    names = ("conv_id", "kind", "message_id", "query", "answer", "action")
-    (tmp_path / "in/1.json").write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
-    stream = feedback.feedback_stream(spark, f"{tmp_path}/in", "conv_id string, kind string, message_id long, query string, answer string, action string")
-    out = feedback.sessions(stream).writeStream.outputMode("update").format("memory").queryName("sessions").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    out.awaitTermination()
-    got = {r.conv_id: r for r in spark.table("sessions").collect()}
-    assert (got["c"].n_messages, got["c"].n_turns, got["c"].last_query, got["c"].submitted) == (4, 1, "q1", [1]) and got["d"].n_turns == 1
-
-
 def test_messages_count_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text("\n".join(json.dumps({"message_id": m, "ts": f"2026-01-01T00:0{i}:00"}) for i, m in enumerate("aab")))
