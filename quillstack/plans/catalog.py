@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reports, retrieval, structure
+from . import reports, retrieval, runs, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [structure, retrieval, reports]
+_MODULES = [structure, retrieval, reports, runs]
 
 
 def queries() -> dict[str, Query]:
