@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +57,38 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(TOKEN))
 
 
+#: From an array of texts to an array of their token counts: what the operators that count tokens take for `counts`, where None is the pattern above.
+Counts = Callable[[Column], Column]
+
+
+def model_counts(make: Callable[[], Callable[[list[str]], list[int]]], at_once: int = 256) -> Counts:
+    """Counts by a given tokenizer, in Arrow batches. make() gives a function from texts to their numbers of tokens; it is called once a task, and the function is handed `at_once` different texts at a time, null ones as empty."""
+
+    @F.pandas_udf("array<int>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for lists in batches:
+            texts = [t or "" for parts in lists if parts is not None for t in parts]
+            different = list(dict.fromkeys(texts))
+            known = {}
+            for k in range(0, len(different), at_once):
+                part = different[k : k + at_once]
+                known |= dict(zip(part, map(int, count(part)), strict=True))
+            yield pd.Series([None if parts is None else [known[t or ""] for t in parts] for parts in lists], dtype=object)
+
+    return counted
+
+
+def counts_of(parts: Column, counts: Counts | None = None) -> Column:
+    """The number of tokens of each text of an array."""
+    return F.transform(parts, token_count) if counts is None else counts(parts)
+
+
+def count_of(c: Column, counts: Counts | None = None) -> Column:
+    """The number of tokens of a text."""
+    return token_count(c) if counts is None else F.get(counts(F.array(c)), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
 

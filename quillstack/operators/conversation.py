@@ -155,6 +155,45 @@ def used_keys(keys: Column, valid: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(bare(keys), lambda k: F.array_contains(known, k))), ",")
 
 
+def answered_in_two(rows: DataFrame, make: Callable[[], tuple[Callable[[str, str, list[dict]], str], Callable[[str, str, list[str], str], str]]], at_once: int | None = None) -> DataFrame:
+    """Q9, Q12: (query_id, answer, used_keys) of questions (query_id, query, context, labels, history array<struct<query, answer>>) by two calls: one that answers, and one that is shown the answer and asked which chunks it used.
+
+    make() is called once a task and gives both functions: (query, context, history) to a plain answer, and (query, answer, keys, context) to JSON with `used_chunks`. The answer is stripped for the second call. Where the first
+    fails the answer says so and there is no second; where the second fails, or says nothing that can be read, no keys are told. Keys are checked against the labels as used_keys() does; without labels there is no second call.
+    at_once bounds the tasks, and so the calls, that run at a time; what was made is kept part by part where files.write_through() is given this function.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        answer, extract = make()
+        for batch in batches:
+            said, told = [], []
+            for query, context, history, keys in zip(batch["query"], batch["context"], batch["history"], batch["keys"], strict=True):
+                query, context, raw = query or "", context or "", None
+                try:
+                    text = answer(query, context, [dict(t) if isinstance(t, dict) else t.asDict() for t in (history if history is not None else [])]) or ""
+                except Exception as e:  # whatever the given function meets is told as the answer
+                    said.append(f"生成失败：{e}")
+                    told.append(None)
+                    continue
+                said.append(text)
+                known = [k.strip() for k in (keys if keys is not None else []) if k.strip()]
+                if known:
+                    try:
+                        raw = extract(query, text.strip(), known, context)
+                    except Exception:  # an answer without its sources is better than none
+                        raw = None
+                told.append(raw)
+            yield pd.DataFrame({"query_id": batch["query_id"], "answer": said, "told": told, "keys": batch["keys"]})
+
+    narrow = rows.select("query_id", "query", "context", "history", F.map_keys("labels").alias("keys"))
+    made = (narrow.repartition(at_once) if at_once else narrow).mapInPandas(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, answer string, told string, keys array<string>")
+    body = X.strip(F.col("told"))
+    parsed = F.when(_is_object(body), F.from_json(body, "used_chunks array<string>")["used_chunks"])
+    return made.select("query_id", "answer", used_keys(parsed, F.col("keys")).alias("used_keys"))
+
+
 def block_between(c: Column, start: str = BLOCK_START, end: str = BLOCK_END) -> Column:
     """Q10: the lines between two marks, without those that only repeat the form, space around the whole left out; null where a mark is missing. Blank lines inside stay."""
     pattern = rf"(?s)\Q{start}\E[ \t\r]*+\n?+(.*?)\Q{end}\E"

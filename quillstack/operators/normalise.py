@@ -1,4 +1,4 @@
-"""Cleaning and splitting chunks by token budget."""
+"""Cleaning and splitting chunks by token budget. `counts` is how tokens are counted (N1): None by a pattern, or text.model_counts() of a tokenizer."""
 
 from __future__ import annotations
 
@@ -13,20 +13,20 @@ from .structure import chased, relink
 LEAST, MOST, TARGET = 20, 3500, 1500
 
 
-def garbage(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def garbage(chunks: DataFrame, least: int = LEAST, counts: X.Counts | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) by tokens. N3: the kept ones' own links are followed past removed chunks where they have any, else they are linked in order."""
-    rows = stored(chunks.withColumn("n_tokens", X.token_count(F.col("text"))), "counted")
+    rows = stored(chunks.withColumn("n_tokens", X.count_of(F.col("text"), counts)), "counted")
     gone = F.col("n_tokens") < least
     kept = chased(rows.withColumn("__gone", gone), "__gone").drop("__gone") if {"prev_chunk_id", "next_chunk_id"} <= set(rows.columns) else relink(rows.where(~gone))
     return kept, rows.where(gone)
 
 
-def packed(parts: Column, target: int = TARGET) -> Column:
+def packed(parts: Column, target: int = TARGET, counts: X.Counts | None = None) -> Column:
     """Parts joined greedily: a new piece begins when the current one isn't empty and the next part would pass the target.
 
-    A fold over one text's parts, so it stays in the JVM and needs no shuffle. It carries only the places of the cuts, so it is linear in the text.
+    Each part is counted once, before; the rest is a fold over one text's counts, so it needs no shuffle. It carries only the places of the cuts, so it is linear in the text.
     """
-    sizes = F.transform(parts, X.token_count)
+    sizes = X.counts_of(parts, counts)
     start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
     def step(s: Column, n: Column) -> Column:
@@ -41,24 +41,24 @@ def packed(parts: Column, target: int = TARGET) -> Column:
     return F.aggregate(sizes, start, step, pieces)
 
 
-def split_large(chunks: DataFrame, most: int = MOST, target: int = TARGET) -> DataFrame:
+def split_large(chunks: DataFrame, most: int = MOST, target: int = TARGET, counts: X.Counts | None = None) -> DataFrame:
     """Chunks above `most` tokens become parts with their data and a split_group_id, be it one; all are linked anew in order (ord, part).
 
     The parts are stored, so that the links are made of ids alone and texts are met again by an even join.
     """
-    large = X.token_count(F.col("text")) > most
+    large = X.count_of(F.col("text"), counts) > most
     rows = chunks.withColumn("__s", F.when(large, X.sentences(F.col("text"))))
-    pieces = F.when(F.col("__s").isNotNull(), packed(F.col("__s"), target)).otherwise(F.array("text"))
+    pieces = F.when(F.col("__s").isNotNull(), packed(F.col("__s"), target, counts)).otherwise(F.array("text"))
     rows = rows.select("*", F.posexplode(pieces).alias("part", "piece")).withColumn("split_group_id", F.when(F.col("__s").isNotNull(), F.col("chunk_id"))).withColumn("text", F.col("piece"))
     part_id = F.concat("chunk_id", F.lit("_part"), F.col("part").cast("string"))
     rows = rows.withColumn("chunk_id", F.when(F.col("__s").isNotNull(), part_id).otherwise(F.col("chunk_id"))).drop("__s", "piece", "prev_chunk_id", "next_chunk_id")
     return relink(stored(rows, "parts"), "doc", "ord", "part")
 
 
-def split_audit(rows: DataFrame) -> DataFrame:
+def split_audit(rows: DataFrame, counts: X.Counts | None = None) -> DataFrame:
     """Pieces of each split chunk and their tokens in order."""
-    g = rows.where("split_group_id is not null").groupBy("split_group_id")
-    return g.agg(F.count(F.lit(1)).alias("pieces"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", X.token_count(F.col("text")).alias("n")))), lambda s: s["n"].cast("string")), ",").alias("tokens"))
+    g = rows.where("split_group_id is not null").select("split_group_id", "part", X.count_of(F.col("text"), counts).alias("n")).groupBy("split_group_id")
+    return g.agg(F.count(F.lit(1)).alias("pieces"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n"))), lambda s: s["n"].cast("string")), ",").alias("tokens"))
 
 
 #: What begins a step, a title and a list line, and where a sentence ends.
@@ -84,9 +84,9 @@ def splitters(text: Column) -> dict[str, Column]:
     }
 
 
-def affected_links(rows: DataFrame, least: int = LEAST) -> DataFrame:
+def affected_links(rows: DataFrame, least: int = LEAST, counts: X.Counts | None = None) -> DataFrame:
     """The different (kept before, kept after) around removed chunks."""
-    r = rows.select("doc", "ord", "chunk_id", (X.token_count(F.col("text")) < least).alias("gone"))
+    r = rows.select("doc", "ord", "chunk_id", (X.count_of(F.col("text"), counts) < least).alias("gone"))
     w = Window.partitionBy("doc").orderBy("ord")
     before = F.last(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))

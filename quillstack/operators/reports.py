@@ -41,10 +41,10 @@ def outliers(rows: DataFrame, value: str, low: int = 100, high: int = 800) -> Da
     return rows.withColumn("side", side).where("side is not null").withColumn("preview", X.preview(F.col("text")))
 
 
-def large_structure(rows: DataFrame, most: int = 800, examples: int = 5) -> DataFrame:
+def large_structure(rows: DataFrame, most: int = 800, examples: int = 5, counts: X.Counts | None = None) -> DataFrame:
     """A4: paragraphs, lines and first step lines of large texts, and whether paragraphs alone would split them."""
-    big = rows.withColumn("n_tokens", X.token_count(F.col("text"))).where(F.col("n_tokens") > most)
-    parts = F.transform(splitters(F.col("text"))["paragraph"], lambda p: X.token_count(p))
+    big = rows.withColumn("n_tokens", X.count_of(F.col("text"), counts)).where(F.col("n_tokens") > most)
+    parts = X.counts_of(splitters(F.col("text"))["paragraph"], counts)
     steps = F.transform(F.slice(F.filter(X.lines(F.col("text")), lambda x: x.rlike("(?U)" + STEP)), 1, examples), X.strip)
     big = big.withColumn("__p", parts).withColumn("paragraphs", F.size("__p")).withColumn("longest", F.array_max("__p")).withColumn("lines", F.size(X.lines(F.col("text")))).withColumn("steps", steps)
     return big.withColumn("splittable", F.coalesce(F.col("longest") < most, F.lit(False))).drop("__p")
@@ -56,10 +56,10 @@ def splittable_share(structure: DataFrame, group: str) -> DataFrame:
     return g.withColumn("percent", F.round(100 * F.col("splittable") / F.col("large"), 2))
 
 
-def splitter_report(rows: DataFrame, ways: dict[str, Column], least: int = 800) -> DataFrame:
+def splitter_report(rows: DataFrame, ways: dict[str, Column], least: int = 800, counts: X.Counts | None = None) -> DataFrame:
     """A5: of texts above `least` tokens, each way's pieces, largest and mean, and the share of texts all of whose pieces fit; ranked by share, then mean largest."""
-    large = rows.where(X.token_count(F.col("text")) > least)
-    sizes = [F.struct(F.lit(k).alias("method"), F.transform(v, lambda p: X.token_count(p)).alias("sizes")) for k, v in ways.items()]
+    large = rows.where(X.count_of(F.col("text"), counts) > least)
+    sizes = [F.struct(F.lit(k).alias("method"), X.counts_of(v, counts).alias("sizes")) for k, v in ways.items()]
     long = large.select(F.explode(F.array(*sizes)).alias("m")).select("m.method", F.size("m.sizes").alias("pieces"), F.coalesce(F.array_max("m.sizes"), F.lit(0)).alias("longest"))
     fits = (F.col("pieces") > 0) & (F.col("longest") < least)
     got = long.groupBy("method").agg(F.sum("pieces").alias("pieces"), F.max("longest").alias("longest"), F.round(F.avg("longest"), 4).alias("mean_longest"), F.round(100 * F.count_if(fits) / F.count(F.lit(1)), 4).alias("effective"))

@@ -296,6 +296,34 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int
     return top(rows, ["query_id"], n, F.col("rerank_score").desc(), F.col("pos"))
 
 
+Scorer = Callable[[list[tuple[str, str]]], list[float]]
+
+
+def rerank_by(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, make: Callable[[], Scorer], n: int = RERANK_N, batch: int = BATCH, at_once: int | None = None) -> DataFrame:
+    """R7 by a given model: the n best candidates (query_id, id, pos) of each query; ties keep their place. make() is called once a task and gives a function from pairs (query, text) to scores.
+
+    It is handed `batch` pairs at a time, of like length, as a model pads them to the longest. at_once bounds the tasks, and so the calls, that run at a time. Null texts are empty; candidates that no chunk or query is of are dropped.
+    """
+    rows = candidates.join(chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("__text")), "id").join(queries.select("query_id", F.col("text").alias("__asked")), "query_id")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("query_id", "id", "pos")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for part in batches:
+            pairs = [(q or "", t or "") for q, t in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]) + len(pairs[k][1]))  # noqa: B023
+            scores = [0.0] * len(pairs)
+            for k in range(0, len(order), batch):
+                own = order[k : k + batch]
+                for at, s in zip(own, score([pairs[at] for at in own]), strict=True):
+                    scores[at] = float(s)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(scores, pa.float64())], ["query_id", "id", "pos", "rerank_score"])
+
+    narrow = rows.select("query_id", "id", "pos", "__asked", "__text")
+    scored = (narrow.repartition(at_once) if at_once else narrow).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kind.items()) + ", rerank_score double")
+    return top(scored, ["query_id"], n, F.col("rerank_score").desc(), F.col("pos"))
+
+
 def ranked_once(ranked: DataFrame) -> DataFrame:
     """Of rows of one query and id the first by rank; blank ids are dropped."""
     return top(ranked.where(F.trim(F.col("id").cast("string")) != ""), ["query_id", "id"], 1, F.col("rank"), rank="__k").drop("__k")

@@ -430,3 +430,28 @@ def d15(spark, d):
     v1 = e.where("event_id % 2 = 1").select("event_id", F.when(k.isin("click", "purchase"), "positive").when(k.isin("view", "error"), "negative").alias("feedback"))
     v2 = e.where("event_id % 2 = 0").select("event_id", F.when(k.isin("click", "purchase"), "up").when(k.isin("view", "error"), "down").alias("feedback"), F.col("user_id").alias("message_id"))
     return S.unite_feedback(v1, v2)
+
+
+def two_calls():
+    """Stand in for a model: the first call fails or answers by the query's length, the second tells keys, breaks, or says no JSON."""
+
+    def answer(query, context, history):
+        if len(query) % 5 == 0:
+            raise ValueError("no model")
+        return f" {len(query)} {len(history)} "
+
+    def extract(query, answer, keys, context):
+        kind = len(query) % 4
+        if kind == 0:
+            raise ValueError("no model")
+        return "not json" if kind == 1 else '{"used_chunks": [" chunk_2", "chunk_9", "%s", "chunk_2"]}' % keys[len(answer) % len(keys)]
+
+    return answer, extract
+
+
+@query("q9_q12_two_calls", f"""WITH {PAIRS}, l AS (SELECT conv_id * 1000 + turn AS query_id, length(query) AS n, length(trim(CAST(length(query) AS VARCHAR) || ' 1')) AS m FROM pairs)
+SELECT query_id, CASE WHEN n % 5 = 0 THEN '生成失败：no model' ELSE ' ' || CAST(n AS VARCHAR) || ' 1 ' END AS answer, CASE WHEN n % 5 = 0 OR n % 4 < 2 THEN '' WHEN m % 2 = 0 THEN 'chunk_2,chunk_1' ELSE 'chunk_2' END AS used_keys FROM l""")
+def q9_two(spark, d):
+    own = F.concat(F.lit("id"), F.col("turn").cast("string"))
+    rows = pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query", own.alias("context"), F.create_map(F.lit("chunk_1"), own, F.lit("chunk_2"), F.lit("second")).alias("labels"), F.array(F.struct("query", "answer")).alias("history"))
+    return C.answered_in_two(rows, two_calls)

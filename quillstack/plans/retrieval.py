@@ -81,6 +81,32 @@ def n8(spark, d):
     return N.split_audit(N.split_large(marked_chunks(spark, d)))
 
 
+#: A counter that is no pattern: a token is four bytes of a text.
+BYTES = "CAST((octet_length(encode({})) + 3) // 4 AS INTEGER)"
+BYTE_SPLIT = SPLIT.replace(TOK.format("text"), BYTES.format("text")).replace(TOK.format("l[i + 1]"), BYTES.format("l[i + 1]"))
+
+
+def byte_counts():
+    return lambda texts: [(len(t.encode()) + 3) // 4 for t in texts]
+
+
+@query("n1_counts_by_model", f"SELECT doc_id, {BYTES.format('text')} AS n_tokens FROM documents")
+def n1_model(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.count_of(F.col("text"), X.model_counts(byte_counts)).alias("n_tokens"))
+
+
+@query("n5_n6_n7_split_by_model", BYTE_SPLIT + "SELECT chunk_id, part, text, split_group_id, lag(chunk_id) OVER (PARTITION BY doc ORDER BY ord, part) AS prev_chunk_id, lead(chunk_id) OVER (PARTITION BY doc ORDER BY ord, part) AS next_chunk_id FROM out")
+def n6_model(spark, d):
+    rows = N.split_large(marked_chunks(spark, d), counts=X.model_counts(byte_counts))
+    return rows.select("chunk_id", "part", "text", "split_group_id", "prev_chunk_id", "next_chunk_id")
+
+
+@query("n8_split_audit_by_model", BYTE_SPLIT + f"SELECT split_group_id, count(*) AS pieces, string_agg(CAST({BYTES.format('text')} AS VARCHAR), ',' ORDER BY part) AS tokens FROM out WHERE split_group_id IS NOT NULL GROUP BY 1")
+def n8_model(spark, d):
+    counts = X.model_counts(byte_counts)
+    return N.split_audit(N.split_large(marked_chunks(spark, d), counts=counts), counts)
+
+
 #: The pieces of each way as rows; blocks by a running number of the lines that open one.
 PIECES = rf"""{MARKED}, nl AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '\n\z', '') AS t FROM documents),
 li AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM nl),
@@ -352,6 +378,20 @@ def r7(spark, d):
     return ranked(spark, d)
 
 
+def term_share():
+    """A scorer in Python that gives what shared_terms() gives."""
+    import regex
+
+    terms = lambda t: set(regex.findall(r"[\p{L}\p{N}]+", t.lower()))
+    return lambda pairs: [round(len((asked := terms(q)) & terms(t)) / max(len(asked), 1), 6) for q, t in pairs]
+
+
+@query("r7_rerank_by_model", f"WITH {SPARSE}, {HYBRID}, {AROUND}, {RERANK} SELECT query_id, id, pos, rerank_score, rank FROM ranked")
+def r7_model(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return R.rerank_by(expanded(spark, d).select("query_id", "id", "pos"), questions(spark, d), texts, term_share).withColumn("rank", F.col("rank").cast("long"))
+
+
 LABEL = "'（第' || CAST(CAST(page AS BIGINT) AS VARCHAR) || '页' || CASE WHEN trim(h1) = '' THEN '' ELSE ' · ' || h1 || coalesce(' › ' || h2, '') END || '）---' || chr(10) || text"
 BUDGET = f"bt AS (SELECT query_id, r.id, rank, page, h1, h2, p, text, {TOK.format(f'(' + repr('---chunk_0') + f' || {LABEL})')} AS n_tokens FROM ranked r JOIN dc d ON r.id = d.doc_id), fit AS (SELECT * FROM (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running FROM bt) WHERE running <= 9000)"
 
