@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -36,11 +37,22 @@ def unique_chunks(rows: DataFrame, last_wins: bool = True) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).where("__k = 1").drop("__k")
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines and lines that are no object of the schema are dropped."""
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Blank lines and lines that are no object of the schema are dropped; bad_lines() tells which."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, line, error) of the lines that json_lines() drops, but for blank ones: what isn't JSON, is no object, or has a field of another type."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kept = T.StructType([*fields.fields, T.StructField("__bad", STR)])
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    parsed = F.from_json("line", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    whole = F.try_parse_json("line")
+    error = F.when(whole.isNull(), "no JSON").when(~F.ltrim("line").startswith("{"), "no object").when(parsed["__bad"].isNotNull(), "a field of another type")
+    return rows.withColumn("error", error).where("error is not null")
+
+
 def valid_embeddings(rows: DataFrame, key: str, dense: str, sparse: str | None = None) -> DataFrame:
     """Rows with a key, a vector without nulls and, where the column is named, a sparse map."""
     fine = F.col(key).isNotNull() & F.col(dense).isNotNull() & (F.size(dense) > 0) & ~F.exists(dense, lambda x: x.isNull())
@@ -52,12 +64,25 @@ def uploaded_ids(spark: SparkSession, path: str, key: str = "chunk_id") -> DataF
     return spark.read.parquet(path).select(key)
 
 
-def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files with size and hash. Only what is asked for is read: without content and hash, a listing."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+def binary_files(spark: SparkSession, path: str, pattern: str, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Files with size and hash. Only what is asked for is read: without content and hash, a listing.
+
+    only: a condition on a file's name; the folder is listed first, without opening a file, and those that the condition holds for are opened alone. Their paths go through the driver.
+    """
+    reader = lambda: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    rows = reader().load(path)
+    if only is not None:
+        name = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"[^/]*\z", 0), r"\+", "%2B"))
+        chosen = [r["path"] for r in rows.select("path").where(only(name)).collect()]
+        rows = reader().load([_globless(p) for p in chosen]) if chosen else rows.limit(0)
     return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def _globless(path: str) -> str:
+    """A path whose signs of a pattern stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def _per_file(files: DataFrame, read: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
     """path, the fields of each row that read() makes of a file's bytes, and error: a file that fails is one row with its error and no fields."""
     names = T.StructType.fromDDL(schema).fieldNames()
@@ -77,9 +102,9 @@ def _per_file(files: DataFrame, read: Callable[[bytes], list[dict]], schema: str
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
 
 
-def pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], schema: str, pattern: str = "*.pdf") -> DataFrame:
-    """A row per page of each file, by a given parser of its bytes, with the fields of schema; files that can't be parsed are a row with their error."""
-    return _per_file(binary_files(spark, path, pattern), parser, schema)
+def pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], schema: str, pattern: str = "*.pdf", manual: str | None = None) -> DataFrame:
+    """A row per page of each file, by a given parser of its bytes, with the fields of schema; files that can't be parsed are a row with their error. manual: a file's name or a part of it; other files aren't opened."""
+    return _per_file(binary_files(spark, path, pattern, None if manual is None else (lambda name: name.contains(manual))), parser, schema)
 
 
 def image_size(content: bytes) -> tuple[int, int]:

@@ -223,6 +223,79 @@ def test_chunk_files_and_lines(spark, tmp_path):
     assert files.json_lines(spark, f"{tmp_path}/l.jsonl", "id string").count() == 2
 
 
+def test_bad_lines(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"id": "1", "n": 2}\n\n  \nnot json\n{"id": "2", "n": "x"}\n[1]\n7\n{"id": "3"}\n{"id": "4", "n": 5\n')
+    got = {r.line: r.error for r in files.bad_lines(spark, f"{tmp_path}/l.jsonl", "id string, n int").collect()}
+    assert got == {"not json": "no JSON", '{"id": "2", "n": "x"}': "a field of another type", "[1]": "no object", "7": "no object", '{"id": "4", "n": 5': "no JSON"}
+    assert {r.id for r in files.json_lines(spark, f"{tmp_path}/l.jsonl", "id string, n int").collect()} >= {"1", "3"}
+    assert files.bad_lines(spark, f"{tmp_path}/l.jsonl", "id string, n int").select(F.regexp_extract("file", "[^/]*$", 0)).distinct().first()[0] == "l.jsonl"
+
+
+def test_a_manuals_files_alone_are_opened(spark, tmp_path):
+    from reading import files_read
+
+    for name in ("F-16 a.pdf", "F-16 [b]{1}.pdf", "Su 27+.pdf", "x.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    parser = lambda content: [{"text": content.decode()}]
+    read = lambda manual: {r.text for r in files.pages(spark, str(tmp_path), parser, "text string", manual=manual).collect()}
+    assert read("F-16") == {"F-16 a.pdf", "F-16 [b]{1}.pdf"} and read("27+") == {"Su 27+.pdf"} and read("nothing") == set() and len(read(None)) == 3
+    assert files_read(files.binary_files(spark, str(tmp_path), "*.pdf", lambda n: n.contains("Su"))) == 1
+
+
+def test_scores_in_batches_of_like_length(spark):
+    texts = spark.createDataFrame([(f"c{i}", "w " * i if i else None) for i in range(40)], "chunk_id string, text string")
+    candidates = spark.createDataFrame([(1, f"c{i}", i) for i in range(40)] + [(2, "c3", 1), (2, "gone", 2), (9, "c1", 1)], "query_id long, id string, pos long").coalesce(1)
+    queries = spark.createDataFrame([(1, "w"), (2, None)], "query_id long, text string")
+
+    def make():
+        def score(pairs):
+            sizes = [len(q) + len(t) for q, t in pairs]
+            assert len(pairs) <= 8 and sizes == sorted(sizes)
+            return [len(t) // 20 for _, t in pairs]
+
+        return score
+
+    got = R.rerank_by(candidates, queries, texts, make, n=12, batch=8).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(1, f"c{i}") for i in [*range(30, 40), 20, 21]] + [(2, "c3")]
+    assert R.rerank_by(candidates, queries, texts, make, n=1, batch=8, at_once=2).count() == 2
+    assert R.rerank_by(candidates.limit(0), queries, texts, make).count() == 0
+
+
+def test_counts_by_a_model(spark):
+    made = []
+
+    def make():
+        made.append(1)
+        return lambda texts: [len(t) for t in texts if len(texts) <= 3]
+
+    counts = X.model_counts(make, at_once=3)
+    rows = spark.createDataFrame([(1, ["a", "bb", None, "a", "dddd", ""]), (2, None), (3, [])], "k int, parts array<string>")
+    assert [r.n for r in rows.orderBy("k").select(X.counts_of(F.col("parts"), counts).alias("n")).collect()] == [[1, 2, 0, 1, 4, 0], None, []]
+    assert [r.n for r in rows.orderBy("k").select(X.count_of(F.get("parts", F.lit(1)), counts).alias("n")).collect()] == [2, 0, 0]
+    text = "aa。bbb！cccc？d。"
+    assert [r.p for r in spark.createDataFrame([(text,)], "t string").select(N.packed(X.sentences(F.col("t")), 7, counts).alias("p")).collect()] == [["aa。bbb！", "cccc？d。"]]
+
+
+def test_two_calls(spark):
+    def make():
+        def answer(query, context, history):
+            if query == "break":
+                raise ValueError("no model")
+            return f" {query}:{len(history)} " if query else None
+
+        def extract(query, answer, keys, context):
+            if query == "late":
+                raise ValueError("no model")
+            return {"odd": "[1]", "plain": "x"}.get(query, json.dumps({"used_chunks": [" b ", "a", "zz", "b", answer]}))
+
+        return answer, extract
+
+    rows = [(k, q, "ctx", m, [("x", "y")]) for k, (q, m) in enumerate([("q", {"a": "1", "b": "2"}), ("break", {"a": "1"}), ("late", {"a": "1"}), ("odd", {"a": "1"}), ("plain", {"a": "1"}), ("none", {}), (None, {"a": "1"}), ("q", None), ("self", {"self:1": "3"})])]
+    frame = spark.createDataFrame(rows, "query_id long, query string, context string, labels map<string, string>, history array<struct<query: string, answer: string>>")
+    got = {r.query_id: (r.answer, r.used_keys) for r in C.answered_in_two(frame, make).collect()}
+    assert got == {0: (" q:1 ", "b,a"), 1: ("生成失败：no model", ""), 2: (" late:1 ", ""), 3: (" odd:1 ", ""), 4: (" plain:1 ", ""), 5: (" none:1 ", ""), 6: ("", "a"), 7: (" q:1 ", ""), 8: (" self:1 ", "self:1")}
+
+
 def test_upsert_stream_is_idempotent(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"chunk_id": "a"}\n{"chunk_id": "b"}\n')
