@@ -285,8 +285,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             taken = r["count"] if parts == 1 else QUERIES
     if blocks == [[]]:
         return none
+    blocks = list(filter(None, blocks))
     found = None
-    for conditions in filter(None, blocks):
+    for conditions in blocks:
         mine = conditions[0]
         for c in conditions[1:]:
             mine = mine | c
@@ -296,6 +297,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         sent = spark.sparkContext.broadcast(block)
         seen = coded if len(wanted) >= np.count_nonzero(cells[:, 0]) else coded.where(F.col("cell").isin(wanted))
         part = seen.select("id", "v", "codes", "norm", "gain", "aside", "cell").mapInArrow(lambda batches, sent=sent: sent.value.scan(batches), "query_id long, id long, score double")
+        if len(blocks) > 1:  # passes run in turn, so that one block is on the driver and the executors at a time
+            part = stored(part, "found", narrow=True)
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
