@@ -75,7 +75,7 @@ def base(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
 
 _NATIONAL = re.compile(r"(?<![0-9+.\w])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9])")
 #: An address is tried from the start of its local part only, so a text is read once, whatever its length.
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]+)+")
 #: As _SPELLED where no dot is spelled: the domain is written as it is.
 _HALF_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Numbers joined by dots beyond four, of which any four may be an address; addresses whose dots are written otherwise.
@@ -131,6 +131,11 @@ _CUES = {
 }
 
 
+#: Common top-level domains.
+_TOP_LEVELS = frozenset("com org net edu gov info biz io eu de fr es uk us it nl ch at be se no pl ru jp cn br ca au mx".split())
+_LABEL, _LOCAL_PART = re.compile(r"[A-Za-z0-9-]+\Z"), re.compile(r"[A-Za-z0-9._%+-]+")
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span, left, right = text[start:end], text[max(0, start - 32) : start], text[end : end + 8]
     digits = "".join(c for c in span if c.isdigit() and c.isascii())
@@ -146,6 +151,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(after in "./-_" and right[1:2].isdigit()), float(left[-2:-1].isdigit() and not before.isalnum()), float(right[1:2].isdigit() and not after.isalnum()), cue(kind), cue("none"),
         float(max(parts) <= 255), float(any(1900 <= p <= 2099 for p in parts)), float("at" in span and "dot" in span or "[at]" in span or "(at)" in span), float(len(re.findall("[A-Za-z]+$", span)[0]) if span[-1:].isalpha() else 0),
         float("[" in span or "(." in span), float(groups[-2] if len(groups) > 1 else 0), float(len(following.group()) if (following := _GROUP.match(right, 1)) else 0),
+        float((label := _LABEL.search(span)) is not None and label.group().lower() in _TOP_LEVELS), float((local := _LOCAL_PART.match(span)) is not None and any(not c.isalpha() for c in local.group())),
+        float(" at " in span and not any(c in span for c in "([")),
     ]
 
 
@@ -234,7 +241,7 @@ def _synthetic(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str
 
     national = lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{rng.randint(200, 999)}-{num(3)}-{num(4)}", f"{rng.randint(200, 999)}.{num(3)}.{num(4)}", f"0044 20 {num(4)} {num(4)}"])
     ip = lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4))
-    spelled = lambda: rng.choice([f"{word()} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} at {word()} dot net", f"{word()}[at]mail{num(1)}.example.com"])
+    spelled = lambda: rng.choice([f"{word()} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} [at] {word()} dot net", f"{word()}[at]mail{num(1)}.example.com"])
 
     def decoy() -> str:
         y = str(rng.randint(1900, 2099))
@@ -344,13 +351,50 @@ def _dotted(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, i
         yield f"{text}{said}{after} {word()} {word()}", {(kind, len(text), len(text) + len(said)): True} if kind else {}
 
 
+def _mixed(rng: random.Random, n: int) -> Iterator[tuple[str, dict[tuple[str, int, int], bool]]]:
+    """As _synthetic: addresses with every pair of marks for at and dot, sentences with these words in them, numbers in groups of any sizes and signs, which are no one's, and cards before other digits."""
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    local = lambda: word() + rng.choice(["", "", rng.choice("._-") + word(), num(rng.randint(1, 3))])
+    tops = sorted(_TOP_LEVELS)
+    for _ in range(n):
+        what, kind, after = rng.randint(0, 9), "", ""
+        cue = rng.choice(_CUES["email"]) if what < 4 and rng.random() < 0.5 else word() if rng.random() < 0.7 else rng.choice(_CUES[rng.choice(["none", "phone", "card"])])
+        if what < 4:
+            at, dot = rng.choice([" at ", "(at)", "[at]", " (at) ", " [at] "]), rng.choice([" dot ", "(dot)", "[dot]", " (dot) ", " [dot] ", "."])
+            plain = at == " at " and dot in (" dot ", ".")  # only what stands before tells these from sentences
+            kind, said = "email", local() + at + dot.join([*(word() + rng.choice(["", "-" + word(), num(2)]) for _ in range(rng.choice([1, 1, 2]))), rng.choice(tops)])
+            cue = rng.choice(_CUES["email"]) if plain else cue
+        elif what == 4:
+            said = f"{word()} at {word()}{rng.choice([' dot ', '.'])}{rng.choice([word(), rng.choice(tops)])}"
+            cue = word()
+        elif what == 5:
+            said = rng.choice([f"{word()} at {word()}. {word().title()}", f"{word()} dot {word()}", f"{word()} at {num(2)}.{num(4)}"])
+        elif what == 6:
+            body = rng.choice("3456") + num(14)
+            body += next(d for d in "0123456789" if luhn(body + d))
+            sep = rng.choice(" -")
+            kind, said, after = "card", body if rng.random() < 0.5 else sep.join(body[i : i + 4] for i in range(0, 16, 4)), sep + num(rng.randint(2, 6))
+        elif what < 9:
+            sizes, sep = [rng.randint(1, 6) for _ in range(rng.randint(2, 6))], rng.choice(" -./,")
+            if rng.random() < 0.4:  # often all groups are of one size
+                sizes = sizes[:1] * len(sizes)
+            if sizes[:3] == [3, 3, 4]:
+                sizes = [2, *sizes]
+            said = sep.join(str(rng.randint(1, 9)) + num(k - 1) for k in sizes) if rng.random() < 0.7 else "".join(num(k) + rng.choice(" -./") for k in sizes) + str(rng.randint(1, 9)) + num(5)
+        else:
+            said = f"{num(2)}.{num(rng.randint(2, 6))}{rng.choice([' ', ', ', '/'])}{num(2)}.{num(rng.randint(2, 6))}"
+        text = f"{word()} {cue} "
+        yield f"{text}{said}{after} {word()} {word()}", {(kind, len(text), len(text) + len(said)): True} if kind else {}
+
+
 @cache
-def trained(seed: int = 11, texts: int = 3000, precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
+def trained(seed: int = 11, texts: int = 5000, precision: float = 0.99) -> tuple[Trees, dict[str, float]]:
     """Trees fitted on two thirds of the synthetic texts, and each kind's least threshold with that precision on the others."""
     rows: list[list[list[float]]] = [[], []]
     truth: list[list[float]] = [[], []]
     kinds: list[str] = []
-    for i, (text, true) in enumerate(chain(_synthetic(random.Random(seed), texts), _spaced(random.Random(seed), texts // 3), _dotted(random.Random(seed), texts // 3))):
+    for i, (text, true) in enumerate(chain(_synthetic(random.Random(seed), texts), _spaced(random.Random(seed), texts // 3), _dotted(random.Random(seed), texts // 3), _mixed(random.Random(seed), texts))):
         part = int(i % 3 == 2)
         for c in candidates(text, *base(text)):
             rows[part].append(features(text, *c))
