@@ -431,14 +431,22 @@ def crop(text: Column, n: int) -> Column:
 def containing(questions: DataFrame, rows: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, id) of texts that hold a question (query_id, text) word for word. rows: id, text; index: their postings.
 
-    Terms inside a question stand whole in such a text, so the rarest of them leads to candidates by an equi-join; these are verified.
-    Questions of two terms or fewer have no term inside and are looked for in every text.
+    Terms inside a question stand whole in such a text, so the rarest of them leads to candidates by an equi-join; these are verified. A question of two terms has none inside, but some term of the
+    text ends as its first one, and one of a single term is a part of a term of the text: the index's different terms are cut into such ends and parts, of the lengths asked for, which questions meet by an
+    equi-join. Questions without a term find nothing.
     """
     said = questions.select("query_id", F.col("text").alias("asked"), X.terms(F.col("text")).alias("t"))
     inner = said.where(F.size("t") > 2).select("query_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term"))
     frequency = index.join(inner.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = inner.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
-    held = F.col("text").contains(F.col("asked"))
-    likely = rarest.join(index.select("id", "term"), "term").join(said.select("query_id", "asked"), "query_id").select("query_id", "id", "asked")
-    short = said.where(F.size("t") <= 2).select("query_id", "asked")
-    return rows.join(likely, "id").where(held).select("query_id", "id").unionByName(rows.join(short, held).select("query_id", "id"))
+    short = said.where(F.size("t").between(1, 2)).select("query_id", F.size("t").alias("k"), F.get("t", F.lit(0)).alias("key"))
+    lengths = sorted(r[0] for r in short.select(F.length("key")).distinct().collect())  # different lengths of terms, not questions
+    ways = rarest
+    if lengths:
+        fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term"))
+        ends = F.transform(fits, lambda n: F.struct(F.lit(2).alias("k"), F.substr("term", F.length("term") - n + 1, n).alias("key")))
+        parts = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.struct(F.lit(1).alias("k"), F.substr("term", i, n).alias("key")))))
+        cut = index.select("term").distinct().select("term", F.inline(F.concat(ends, parts))).distinct()
+        ways = ways.unionByName(cut.join(short, ["k", "key"]).select("query_id", "term"))
+    likely = ways.join(index.select("id", "term"), "term").select("query_id", "id").distinct().join(said.select("query_id", "asked"), "query_id")
+    return rows.join(likely, "id").where(F.col("text").contains(F.col("asked"))).select("query_id", "id")

@@ -455,6 +455,19 @@ def test_containing(spark):
     assert sorted((r.query_id, r.id) for r in R.containing(asked, docs, index).collect()) == [(1, 2), (2, 1), (2, 2), (2, 3), (3, 5), (4, 1)]
 
 
+def test_short_questions_contained(spark):
+    """Questions of one and two terms against every text, with terms that are cut by the question's ends."""
+    texts = ["xab cdy", "ab cd", "ab  cd", "zab", "bc abc cab", "a-b c", "", "AB CD", "ab-cd ab", "b cd"]
+    asked = ["ab cd", "ab", "b c", "c", "-b c", "AB", "ab-cd", "d", " cd", "zz", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index = R.postings(docs.withColumnRenamed("id", "chunk_id")).withColumnRenamed("chunk_id", "id")
+    questions = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = R.containing(questions, docs, index)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == [(q, i) for q, a in enumerate(asked) for i, t in enumerate(texts) if a in t]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert R.containing(spark.createDataFrame([(1, "?!"), (2, "")], "query_id long, text string"), docs, index).count() == 0
+
+
 def test_failed_generation_is_told(spark):
     def generate(query, context, history):
         if query == "bad":
