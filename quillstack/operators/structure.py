@@ -1,9 +1,10 @@
-"""From tables of contents to ordered, linked chunks. Every window is partitioned by manual."""
+"""From tables of contents to ordered, linked chunks. Windows are partitioned by manual; numbers and links of a large one are made part by part."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import text as X
@@ -14,6 +15,39 @@ def by(key: str = "doc", *order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(*(order or ("ord",)))
 
 
+#: Rows of a manual that one task puts in order; a larger one is cut at CUTS places of its order.
+ROWS_A_PART, CUTS = 200_000, 255
+
+
+def in_order(rows: DataFrame, doc: str, order: list[str], columns: list[str]) -> DataFrame:
+    """rows with `number` from 1 in a manual's order, and `before` and `after`, structs of the columns in the rows around each (null at the ends).
+
+    Manuals are counted first, by a job of their own. If one has more than ROWS_A_PART rows, rows, which should be narrow, are stored, and such manuals cut into parts at places of their order, which must begin with a number
+    for that: so their windows are many tasks; a second window, over a row a part, gives each part its start and the rows at its borders. Else a window a manual does.
+    """
+    told, name = F.struct(*columns), F.col(doc)
+    numeric = isinstance(rows.schema[order[0]].dataType, T.NumericType)
+    large = rows.groupBy(name.alias("__d")).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > ROWS_A_PART).select("__d")
+    if not numeric or large.isEmpty():
+        w = Window.partitionBy(doc).orderBy(*order)
+        return rows.select("*", F.row_number().over(w).cast("long").alias("number"), F.lag(told).over(w).alias("before"), F.lead(told).over(w).alias("after"))
+
+    rows, large = stored(rows, "places", narrow=True), stored(large, "large_manuals", narrow=True)
+    places = F.percentile_approx(order[0], F.array(*[F.lit(k / (CUTS + 1)) for k in range(1, CUTS + 1)]), F.lit(20 * CUTS))
+    cuts = rows.join(large, name.eqNullSafe(F.col("__d")), "left_semi").groupBy(name.alias("__d")).agg(F.array_distinct(places).alias("__cuts"))
+    part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(order[0]))))
+    dealt = rows.join(cuts, name.eqNullSafe(F.col("__d")), "left").withColumn("__part", part).drop("__d", "__cuts")
+    inside, place = Window.partitionBy(doc, "__part").orderBy(*order), F.struct(*order)
+    here = dealt.select("*", F.row_number().over(inside).alias("__n"), F.lag(told).over(inside).alias("__lag"), F.lead(told).over(inside).alias("__lead"))
+    ends = dealt.groupBy(name.alias("__d"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__size"), F.min_by(told, place).alias("__first"), F.max_by(told, place).alias("__last"))
+    across = Window.partitionBy("__d").orderBy("__p")
+    start = F.coalesce(F.sum("__size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("__d", "__p", "__size", start.alias("__start"), F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
+    met = here.join(ends, name.eqNullSafe(F.col("__d")) & (F.col("__part") == F.col("__p")))
+    before, after = F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__lag")), F.when(F.col("__n") == F.col("__size"), F.col("__after")).otherwise(F.col("__lead"))
+    return met.select(*rows.columns, (F.col("__start") + F.col("__n")).cast("long").alias("number"), before.alias("before"), after.alias("after"))
+
+
 def collapse_bookmarks(toc: DataFrame) -> DataFrame:
     """Label entries go; of adjacent equal titles the one with the largest page stays, the later on ties."""
     kept = toc.where(~F.lower(X.collapse(F.col("title"))).isin(X.TOC_LABELS))
@@ -64,17 +98,18 @@ def fill_headings(toc: DataFrame) -> DataFrame:
 
 def page_ranges(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """An entry ends on the next one's page (shared), inside the manual, not before its start."""
-    joined = rows.join(totals, "doc")
-    following = F.coalesce(F.lead("page").over(by()), F.col("total"))
-    return joined.withColumn("page_start", F.col("page")).withColumn("page_end", F.greatest("page", F.least(following, F.col("total")))).drop("total")
+    narrow = in_order(rows.select("doc", "ord", "page"), "doc", ["ord"], ["page"]).join(totals, "doc")
+    following = F.coalesce("after.page", F.col("total"))
+    ends = narrow.select("doc", "ord", F.col("page").alias("page_start"), F.greatest("page", F.least(following, F.col("total"))).alias("page_end"))
+    return _with(rows, ends, ["doc", "ord"])
 
 
 def chain(rows: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:
     """Ids `{doc}_{number}` in order, with those before and after. (doc, order) is a row's place, so no two rows share it."""
-    w = by(doc, order)
-    ids = rows.select(doc, order, F.format_string("%s_%04d", F.col(doc), F.row_number().over(w)).alias("chunk_id"))
-    ids = ids.select("*", F.lag("chunk_id").over(w).alias("prev_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
-    return _with(rows, ids, [doc, order])
+    ids = in_order(rows.select(doc, order), doc, [order], [order])
+    name = lambda n: F.format_string("%s_%04d", F.col(doc), n)
+    around = [F.when(F.col(side).isNotNull(), name(F.col("number") + step)).alias(f"{way}_chunk_id") for side, step, way in (("before", -1, "prev"), ("after", 1, "next"))]
+    return _with(rows, ids.select(doc, order, name(F.col("number")).alias("chunk_id"), *around), [doc, order])
 
 
 def _with(rows: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,9 +121,12 @@ def _with(rows: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
 def relink(rows: DataFrame, doc: str = "doc", *order: str) -> DataFrame:
     """The chain over the rows there are. rows are read twice, so what is dear to make should be stored before."""
     order = order or ("ord",)
-    w = by(doc, *order)
-    links = rows.select(doc, *order, "chunk_id", F.lag("chunk_id").over(w).alias("prev_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
-    return _with(rows, links, [doc, *order])
+    links = in_order(rows.select(doc, *order, "chunk_id"), doc, list(order), ["chunk_id"])
+    return _with(rows, links.select(doc, *order, "chunk_id", *_links()), [doc, *order])
+
+
+def _links() -> list[Column]:
+    return [F.col("before.chunk_id").alias("prev_chunk_id"), F.col("after.chunk_id").alias("next_chunk_id")]
 
 
 def chased(rows: DataFrame, gone: str, doc: str = "doc") -> DataFrame:
@@ -161,8 +199,7 @@ def fill_text(chunks: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _left_linked(chunks: DataFrame, narrow: DataFrame) -> DataFrame:
     """The chunks whose place (doc, ord) narrow still has, linked anew; narrow: doc, ord, chunk_id."""
-    link = lambda way: way("chunk_id").over(by())
-    return _with(chunks, narrow.select("doc", "ord", "chunk_id", link(F.lag).alias("prev_chunk_id"), link(F.lead).alias("next_chunk_id")), ["doc", "ord"])
+    return _with(chunks, in_order(narrow.select("doc", "ord", "chunk_id"), "doc", ["ord"], ["chunk_id"]).select("doc", "ord", "chunk_id", *_links()), ["doc", "ord"])
 
 
 def _said(name: str) -> Column:
@@ -173,8 +210,8 @@ def drop_stubs(chunks: DataFrame, longest: int = 120, lines: int = 3) -> DataFra
     """A short text without a third heading goes if the next chunk begins on its page; the rest is linked anew. Space around texts and headings doesn't count, nulls are empty."""
     text = _said("text")
     short = (_said("title_h3") == "") & (F.length(text) <= longest) & (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < lines)
-    follows = F.lead("page_start").over(by()) == F.col("page_start")
-    narrow = chunks.select("doc", "ord", "chunk_id", "page_start", short.alias("short")).withColumn("stub", F.coalesce(F.col("short") & follows, F.lit(False)))
+    narrow = in_order(chunks.select("doc", "ord", "chunk_id", "page_start", short.alias("short")), "doc", ["ord"], ["page_start"])
+    narrow = narrow.withColumn("stub", F.coalesce(F.col("short") & (F.col("after.page_start") == F.col("page_start")), F.lit(False)))
     return _left_linked(chunks, narrow.where("not stub"))
 
 

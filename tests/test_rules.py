@@ -60,6 +60,27 @@ def test_stubs(spark, text, h3, stays):
     assert got[0].text == "z" * 500 and set(got[0].asDict()) == set(rows.columns)
 
 
+@pytest.mark.parametrize("rows_a_part,cuts", [(200_000, 255), (10, 3), (1, 7), (5, 40)])
+def test_large_manuals_are_linked_part_by_part(spark, monkeypatch, rows_a_part, cuts):
+    """Numbers and neighbours are those of one window, wherever a manual is cut; a manual may be null, places far apart, tied or few."""
+    import random
+
+    monkeypatch.setattr(S, "ROWS_A_PART", rows_a_part)
+    monkeypatch.setattr(S, "CUTS", cuts)
+    rng = random.Random(7)
+    places = {"hot": [k * k for k in range(90)], "one": [5], None: [3, 1, 2], "even": list(range(0, 40, 2))}
+    rows = [(d, k, p, f"{d}:{k}:{p}" if (k + p) % 5 else None) for d, ks in places.items() for k in ks for p in ((0, 1) if k % 3 == 0 else (0,))]
+    rng.shuffle(rows)
+    got = S.in_order(spark.createDataFrame(rows, "doc string, ord long, part int, name string"), "doc", ["ord", "part"], ["ord", "name"]).collect()
+    want = []
+    for d in places:
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[1:3])
+        told = lambda r: (r[1], r[3])
+        want += [(*r, n + 1, told(own[n - 1]) if n else None, told(own[n + 1]) if n + 1 < len(own) else None) for n, r in enumerate(own)]
+    flat = lambda r: (r.doc, r.ord, r.part, r.name, r.number, tuple(r.before) if r.before else None, tuple(r.after) if r.after else None)
+    assert sorted(map(flat, got), key=repr) == sorted(want, key=repr)
+
+
 def test_title_only(spark):
     rows = spark.createDataFrame([chunk(0, " A  B ", h1="A B"), chunk(1, "AB", h2=" A B "), chunk(2, "A B c", h1="A B"), chunk(3, " ", h1="", h3=" "), chunk(4, None, h1=None), chunk(5, "t", h3="t")], CHUNK)
     got = S.drop_title_only(rows).orderBy("ord").collect()
