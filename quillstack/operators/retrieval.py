@@ -352,11 +352,12 @@ def within_budget(ranked: DataFrame, budget: int = BUDGET, counted: Callable[[Co
 
 
 def reading_order(chosen: DataFrame) -> DataFrame:
-    """(query_id, id, k): by page; on a page along the links, from chunks that no other of the page precedes (by id), what is left by id. A query has a few chunks at most.
+    """(query_id, id, k): by page; on a page along the links, from chunks that no other of the page precedes (by id), what is left by id. A query has a few chunks at most; of rows of one id one counts, null ids are none.
 
     A page's chunks are an array, and the walk a fold that takes one of them a step: the next of the last one, else the first head left, else the first chunk left.
     """
     rows = chosen.select("query_id", F.col("id").cast("string").alias("id"), page_of(F.col("page_start")).alias("page"), F.col("prev_chunk_id").cast("string").alias("p"), F.col("next_chunk_id").cast("string").alias("n"))
+    rows = rows.where("id is not null").dropDuplicates(["query_id", "id"])
     g = rows.groupBy("query_id", "page").agg(F.array_sort(F.collect_list(F.struct("id", "p", "n"))).alias("s")).withColumn("ids", F.col("s.id"))
     among = lambda ids, c: F.coalesce(F.array_contains(ids, c), F.lit(False))
     g = g.withColumn("heads", F.transform(F.filter("s", lambda x: ~among(F.col("ids"), x["p"])), lambda x: x["id"]))
@@ -376,6 +377,7 @@ def reading_order(chosen: DataFrame) -> DataFrame:
 
 def context(chosen: DataFrame) -> DataFrame:
     """Chunks of each query in reading order, labelled and joined, with the labels' ids."""
+    chosen = stored(chosen.where("id is not null").dropDuplicates(["query_id", "id"]), "chosen", narrow=True)  # so that the order is of the rows that are shown
     rows = chosen.withColumn("id", F.col("id").cast("string")).join(reading_order(chosen), ["query_id", "id"])
     label = F.concat(F.lit("chunk_"), F.col("k").cast("string"))
     parts = F.array_sort(F.collect_list(F.struct("k", "label", "id", "part")))

@@ -489,6 +489,15 @@ def test_short_questions_contained(spark):
     assert R.containing(spark.createDataFrame([(1, "?!"), (2, "")], "query_id long, text string"), docs, index).count() == 0
 
 
+def test_context_of_repeated_and_null_ids(spark):
+    rows = [(1, i, "2", None, None, "T", None, None, f"text {i}") for i in ("b", "a", "b", None, "a")] + [(2, None, "1", None, None, "T", None, None, "x")]
+    chosen = spark.createDataFrame(rows, "query_id long, id string, page_start string, prev_chunk_id string, next_chunk_id string, title_h1 string, title_h2 string, title_h3 string, text string")
+    assert sorted((r.query_id, r.id, r.k) for r in R.reading_order(chosen).collect()) == [(1, "a", 1), (1, "b", 2)]
+    got = R.context(chosen).collect()
+    assert [(r.query_id, r.labels, r.context.count("text")) for r in got] == [(1, {"chunk_1": "a", "chunk_2": "b"}, 2)]
+    assert R.context(chosen.limit(0)).count() == 0
+
+
 def test_failed_generation_is_told(spark):
     def generate(query, context, history):
         if query == "bad":
