@@ -42,7 +42,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each on what the one before has written: packed pieces with their ids.
 
-    Rows with a null text or id pass through as the stages say; an empty table gives an empty one. What a stage stores on its way is removed when it is done.
+    Rows with a null text or id pass through as the stages say; an empty table gives an empty one. Repeated rows are one document after near-dedup, as are near copies, of which the smallest id stays (of rows of one id the one
+    of the least text hash); rows with a null id all stay. Long texts are worked on whole. Columns pass through whatever their names; the stages look only at doc_id, text and source, and at n_chars where a text changes.
+    What a stage stores on its way is removed when it is done.
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
