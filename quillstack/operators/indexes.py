@@ -21,7 +21,7 @@ from ..sources.store import stored
 from .retrieval import PREFETCH, QUERIES_AT_ONCE, blocks_of, scan, solid, top, unit
 
 #: Folders that manuals are dealt to, postings of a block at most (about), different manuals that a batch may ask for before its filter becomes a join.
-PARTS, BLOCK, ASKED = 64, 128, 2000
+PARTS, BLOCK, ASKED = 32, 128, 2000
 #: Cells are about the root of the number of vectors, up to CELLS; their centres come from at most SAMPLE vectors.
 CELLS, SAMPLE, ROUNDS, PROBES = 1024, 40_000, 8, 8
 
@@ -63,15 +63,18 @@ def weighed(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataF
     return counted.select("id", "grp", "norm", F.explode("t").alias("term")).groupBy("id", "grp", "norm", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def block_index(rows: DataFrame, docs: int, key: str = "chunk_id", text: str = "text", tag: str = "blocks") -> DataFrame:
+def block_index(rows: DataFrame, key: str = "chunk_id", text: str = "text", tag: str = "blocks") -> DataFrame:
     """Postings of rows (key, text, grp) in blocks (grp, term, level, norm, n, has array<struct<id, weight>>), stored by manual in term order.
 
-    A block holds a term's postings of texts of one manual, one level and one slot. Levels are quarter powers of two of the texts' lengths, norm the largest length in the block; slots deal
-    texts by a hash, about BLOCK to each of all `docs`, so no block grows with a term's frequency.
+    A block holds a term's postings of texts of one manual, one level and one slot. Levels are quarter powers of two of the texts' lengths, norm the largest length in the block; slots deal a manual's
+    texts of a level by a hash, about BLOCK to each, so no block grows with a term's frequency.
     """
-    level, slot = F.floor(4 * F.log2("norm")).cast("int"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-docs // BLOCK))))
-    made = weighed(rows, key, text).groupBy("grp", "term", level.alias("level"), slot.alias("slot"))
-    made = made.agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "weight")).alias("has")).drop("slot")
+    level = F.floor(4 * F.log2("norm")).cast("int")
+    counted = stored(weighed(rows, key, text).withColumn("level", level), "weighed")
+    texts = counted.groupBy(F.col("grp").alias("g"), F.col("level").alias("l")).agg(F.approx_count_distinct("id").alias("texts"))
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / BLOCK))
+    dealt = counted.join(texts, F.col("grp").eqNullSafe(F.col("g")) & (F.col("level") == F.col("l"))).groupBy("grp", "term", "level", slot.alias("slot"))
+    made = dealt.agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "weight")).alias("has")).drop("slot")
     return by_manual(made, tag, "term", "level")
 
 

@@ -250,8 +250,10 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def index(spark, d):
-    """Postings of the documents, in term order, made once a session."""
-    return once(spark, "postings", f"{d}/documents.parquet", lambda: R.by_term(e3(spark, d)))
+    """Postings of the documents in folders by manual, in term order, made once a session."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("grp"))
+    rows = lambda: V.by_manual(e3(spark, d).join(docs, F.col("id") == F.col("doc_id")).drop("doc_id"), "postings", "term")
+    return once(spark, "postings", f"{d}/documents.parquet", rows)
 
 
 def encoded(spark, d):
@@ -264,7 +266,7 @@ def encoded(spark, d):
 def blocks(spark, d):
     """Postings of the documents in blocks by manual, made once a session."""
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("grp"))
-    return once(spark, "blocks", f"{d}/documents.parquet", lambda: V.block_index(docs, docs.count(), "doc_id"))
+    return once(spark, "blocks", f"{d}/documents.parquet", lambda: V.block_index(docs, "doc_id"))
 
 
 def questions(spark, d):
@@ -272,6 +274,12 @@ def questions(spark, d):
 
 
 def sparse(spark, d):
+    return R.sparse_top_k(R.postings(questions(spark, d), "query_id"), index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("r3_block_top_k", f"WITH {SPARSE} SELECT query_id, id, score, rank FROM sparse")
+def r3_blocks(spark, d):
+    """The same rows by blocks, as far as they can matter."""
     said = R.postings(questions(spark, d), "query_id").withColumn("wanted", F.lit(None).cast("string"))
     return V.block_top_k(said, blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -294,12 +302,12 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def fused(spark, d):
     """Hits of all questions, stored: a few narrow rows that many later steps read."""
-    return stored(R.hybrid(questions(spark, d), encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long")), "hits")
+    return stored(R.hybrid(questions(spark, d), encoded(spark, d), index(spark, d)).withColumn("rank", F.col("rank").cast("long")), "hits")
 
 
 @query("r4_rrf_fusion", f"WITH {SPARSE}, {HYBRID} SELECT query_id, id, score, rank FROM fused")
 def r4(spark, d):
-    return R.hybrid(questions(spark, d), encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return R.hybrid(questions(spark, d), encoded(spark, d), index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 #: Both legs of questions that may ask for a manual: the filter acts before each leg's best 50.
@@ -314,7 +322,7 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 @query("r1_r4_filtered_hybrid", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM fused")
 def r4_filtered(spark, d):
     rows = questions(spark, d).join(wanted(spark, d), "query_id")
-    return R.hybrid(rows, encoded(spark, d), blocks(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return R.hybrid(rows, encoded(spark, d), index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("r1_r3_filtered_sparse", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM sparse")

@@ -18,7 +18,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def blocks(spark, docs):
-    return V.block_index(docs, docs.count(), "doc_id")
+    return V.block_index(docs, "doc_id")
 
 
 @pytest.fixture(scope="module")
@@ -62,12 +62,12 @@ def test_blocks_of_random_texts(spark):
     for size in (1, 7, 128):
         old, V.BLOCK = V.BLOCK, size
         try:
-            made = V.block_index(frame, 400, "doc_id")
+            made = V.block_index(frame, "doc_id")
         finally:
             V.BLOCK = old
         assert rows(V.block_top_k(queries, made, 30)) == sorted(want)
     assert rows(R.sparse_top_k(queries, index, 30)) == sorted(want)
-    assert V.block_top_k(queries.limit(0), made).count() == 0 and V.block_top_k(queries, V.block_index(frame.limit(0), 0, "doc_id")).count() == 0
+    assert V.block_top_k(queries.limit(0), made).count() == 0 and V.block_top_k(queries, V.block_index(frame.limit(0), "doc_id")).count() == 0
 
 
 def test_length_of_a_text(spark):
