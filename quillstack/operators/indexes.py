@@ -31,9 +31,11 @@ def part_of(grp: Column, parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(grp.cast("string"), F.lit(""))), F.lit(parts)).cast("int")
 
 
-def by_manual(rows: DataFrame, tag: str, *order: str) -> DataFrame:
-    """rows (with grp) stored in folders by manual, in order inside, so that files and row groups hold ranges of it."""
-    return stored(rows.withColumn("part", part_of(F.col("grp"))).repartitionByRange("part", *order).sortWithinPartitions("part", *order), tag, by="part")
+def by_manual(rows: DataFrame, tag: str, *order: str, ranged: bool = True) -> DataFrame:
+    """rows (with grp) stored in folders by manual, in order inside. ranged: files and row groups hold ranges of it, for which rows are sampled first; else, for rows that are dear to make, a folder's rows go to as many tasks as adaptive execution finds even."""
+    parts = rows.withColumn("part", part_of(F.col("grp")))
+    dealt = parts.repartitionByRange("part", *order) if ranged else parts.hint("rebalance", F.col("part"))
+    return stored(dealt.sortWithinPartitions("part", *order), tag, by="part")
 
 
 def of_manuals(index: DataFrame, wanted: DataFrame) -> DataFrame:

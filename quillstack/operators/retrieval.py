@@ -206,22 +206,26 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = PREFETCH) -> Da
     from .indexes import pruned
 
     q = queries.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>"), "wanted").where(solid("qv"))
-    head = q.limit(1).collect()
-    if not head:
-        return vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    width = len(head[0]["qv"])
     kept = [c for c in ("part",) if c in vectors.columns]
-    v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), "grp", *kept).where((F.size("v") == width) & solid("v"))
     passes: list[DataFrame] = []
-    for asked in blocks_of(q.where(F.size("qv") == width), QUERIES_AT_ONCE):
+    width, v = 0, vectors
+    for block in blocks_of(q, QUERIES_AT_ONCE):
+        if not width:
+            width = len(block[0]["qv"])
+            v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), "grp", *kept).where((F.size("v") == width) & solid("v"))
+        asked = [r for r in block if len(r["qv"]) == width]
         free, bound = [r for r in asked if r["wanted"] is None], [r for r in asked if r["wanted"] is not None]
         parts = [scan(free, v, k)] if free else []
         if bound:
             parts.append(scan(bound, pruned(v, sorted({r["wanted"] for r in bound})), k))
+        if not parts:
+            continue
         if len(passes) == 1:
             passes[0] = stored(passes[0], "found", narrow=True)
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         passes.append(stored(found, "found", narrow=True) if passes else found)
+    if not passes:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     found = passes[0]
     for p in passes[1:]:
         found = found.unionByName(p)
@@ -258,11 +262,17 @@ def hybrid(queries: DataFrame, vectors: DataFrame, index: DataFrame, make: Calla
     """
     from .indexes import block_top_k
 
-    wanted = queries.select("query_id", F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string").alias("wanted"))
-    asked = encode(queries, make, "query_id").select("query_id", F.col("dense").alias("qv")).join(wanted, "query_id")
+    asked, said = encode(queries, make, "query_id").select("query_id", F.col("dense").alias("qv")), postings(queries, "query_id")
+    if "wanted" in queries.columns:
+        wanted = queries.select("query_id", "wanted")
+        asked, said = asked.join(wanted, "query_id"), said.join(wanted, "query_id")
+    else:
+        asked = asked.withColumn("wanted", F.lit(None).cast("string"))
     dense = dense_top_k(asked, vectors if "grp" in vectors.columns else vectors.withColumn("grp", F.lit(None).cast("string")), prefetch)
-    said = postings(queries, "query_id").join(wanted, "query_id")
-    sparse = block_top_k(said, index, prefetch) if "has" in index.columns else sparse_top_k(said if "wanted" in queries.columns else said.drop("wanted"), index, prefetch)
+    if "has" in index.columns:
+        sparse = block_top_k(said if "wanted" in said.columns else said.withColumn("wanted", F.lit(None).cast("string")), index, prefetch)
+    else:
+        sparse = sparse_top_k(said, index, prefetch)
     return fuse([dense, sparse], k)
 
 

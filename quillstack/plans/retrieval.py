@@ -260,7 +260,7 @@ def encoded(spark, d):
     """Dense vectors of the documents in folders by manual, made once a session."""
     docs = table(spark, d, "documents")
     rows = R.encode(docs, key="doc_id").join(docs.select("doc_id", F.col("source").alias("grp")), "doc_id").select(F.col("doc_id").alias("id"), F.col("dense").alias("vector"), "grp")
-    return once(spark, "vectors", f"{d}/documents.parquet", lambda: V.by_manual(rows, "vectors", "id"))
+    return once(spark, "vectors", f"{d}/documents.parquet", lambda: V.by_manual(rows, "vectors", "id", ranged=False))
 
 
 def blocks(spark, d):
