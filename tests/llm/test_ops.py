@@ -495,7 +495,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df, want = registry.queries()[name](spark, DIR), con.sql(registry.oracle_sql()[name])
     columns = sorted(want.columns)
