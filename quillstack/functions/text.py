@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,17 +66,17 @@ Counts = Callable[[Column], Column]
 def model_counts(make: Callable[[], Callable[[list[str]], list[int]]], at_once: int = 256) -> Counts:
     """Counts by a given tokenizer, in Arrow batches. make() gives a function from texts to their numbers of tokens; it is called once a task, and the function is handed `at_once` different texts at a time, null ones as empty."""
 
-    @F.pandas_udf("array<int>")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = make()
         for lists in batches:
-            texts = [t or "" for parts in lists if parts is not None for t in parts]
-            different = list(dict.fromkeys(texts))
-            known = {}
-            for k in range(0, len(different), at_once):
-                part = different[k : k + at_once]
-                known |= dict(zip(part, map(int, count(part)), strict=True))
-            yield pd.Series([None if parts is None else [known[t or ""] for t in parts] for parts in lists], dtype=object)
+            told = lists.flatten().fill_null("").dictionary_encode()
+            known = np.zeros(len(told.dictionary), np.int32)
+            for k in range(0, len(known), at_once):  # no more than `at_once` texts are Python objects at a time
+                part = told.dictionary.slice(k, at_once).to_pylist()
+                known[k : k + len(part)] = [n for _, n in zip(part, count(part), strict=True)]
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(known[told.indices.to_numpy(zero_copy_only=False)]), mask=lists.is_null())
 
     return counted
 

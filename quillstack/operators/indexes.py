@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..sources.store import stored
-from .retrieval import PREFETCH, QUERIES_AT_ONCE, blocks_of, scan, solid, top, unit
+from .retrieval import PREFETCH, QUERIES_AT_ONCE, VECTORS_AT_ONCE, blocks_of, scan, solid, top, unit
 
 #: Folders that manuals are dealt to, postings of a block at most (about), different manuals that a batch may ask for before its filter becomes a join.
 PARTS, BLOCK, ASKED = 32, 128, 2000
@@ -158,10 +158,12 @@ def cell_index(vectors: DataFrame, rows: int, cells: int | None = None, sample:
     schema = "cell int, cosine double, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = unit(np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, width)) @ made.T
-            of = np.argmax(near, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(near[np.arange(len(of)), of]), *batch.columns], ["cell", "cosine", "id", "v", "grp"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, VECTORS_AT_ONCE):
+                batch = whole.slice(k, VECTORS_AT_ONCE)
+                near = unit(np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, width)) @ made.T
+                of = np.argmax(near, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(near[np.arange(len(of)), of]), *batch.columns], ["cell", "cosine", "id", "v", "grp"])
 
     told = stored(v.mapInArrow(run, schema).repartition("cell").sortWithinPartitions("cell"), tag, by="cell")
     least = np.ones(len(made))
