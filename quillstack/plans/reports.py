@@ -317,7 +317,7 @@ TRUTH = "truth AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOI
 
 def truth(spark, d):
     """Documents that hold a question word for word."""
-    return R.containing(questions(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), index(spark, d))
+    return R.containing(questions(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), R.as_postings(index(spark, d)))
 
 
 @query("v1_hit_ranks", f"WITH {SPARSE}, {TRUTH} SELECT t.query_id, min(rank) AS hit_rank FROM truth t LEFT JOIN sparse s ON t.query_id = s.query_id AND t.id = s.id GROUP BY 1")

@@ -250,10 +250,9 @@ sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 
 def index(spark, d):
-    """Postings of the documents in folders by manual, in term order, made once a session."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("grp"))
-    rows = lambda: V.by_manual(e3(spark, d).join(docs, F.col("id") == F.col("doc_id")).drop("doc_id"), "postings", "term")
-    return once(spark, "postings", f"{d}/documents.parquet", rows)
+    """The documents' terms, a row a document, in folders by manual, made once a session."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("grp"))
+    return once(spark, "postings", f"{d}/documents.parquet", lambda: V.by_manual(R.counted_terms(docs, "id"), "postings", ranged=False))
 
 
 def encoded(spark, d):

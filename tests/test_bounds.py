@@ -1,5 +1,6 @@
 """Memory that doesn't grow with a batch, and steps that move no more than they must."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as X
@@ -35,3 +36,26 @@ def test_counted_texts_are_not_all_held(spark):
     rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda n: n.cast("string")).alias("t"))
     held = rows.select(X.counts_of(F.col("t"), X.model_counts(make)).alias("n")).first().n
     assert len(held) == 300_000 and held[0] < 200_000  # Python objects made by the time the first texts are counted; the libraries of a worker are 140,000 of them
+
+
+def test_sparse_search_shuffles_no_sums(spark, monkeypatch):
+    """Windows of any size give what the join gives, with manuals, ties, null texts and ids of either kind; of an index with a row a text only the best are shuffled."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(list("abcdefgh"), i % 30)) if i % 11 else None, f"m{i % 3}" if i % 7 else None) for i in range(500)]
+    frame = spark.createDataFrame(texts, "id long, text string, grp string").repartition(3)
+    said = [(q, w, 1 + (q + i) % 3, None if q % 2 else f"m{q % 4}") for q in range(20) for i, w in enumerate("abcdexyz"[: 1 + q % 8])]
+    queries = spark.createDataFrame(said, "query_id long, term string, weight long, wanted string")
+    rows = lambda df: sorted((r.query_id, r["rank"], str(r.id), r.score) for r in df.collect())
+    for kind in ("long", "string"):
+        of = frame.withColumn("id", F.col("id").cast(kind))
+        index = R.counted_terms(of, "id")
+        join = R.sparse_top_k(queries, R.postings(of, "id").join(of.select("id", "grp"), "id"), 40)
+        assert rows(R.sparse_top_k(queries, index, 40)) == rows(join)
+        assert sorted(map(str, R.as_postings(index).drop("grp").collect())) == sorted(map(str, R.postings(of, "id").collect()))
+    monkeypatch.setattr(R, "WINDOW", 50)
+    monkeypatch.setattr(R, "QUERIES_AT_ONCE", 7)
+    assert rows(R.sparse_top_k(queries, index, 40)) == rows(join)
+    assert R.sparse_top_k(queries.limit(0), index).count() == 0 and R.sparse_top_k(queries, R.counted_terms(of.limit(0), "id")).count() == 0
+    monkeypatch.undo()
+    plan = R.sparse_top_k(queries, index, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
