@@ -18,10 +18,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..sources.store import stored
-from .retrieval import PREFETCH, QUERIES_AT_ONCE, VECTORS_AT_ONCE, blocks_of, scan, solid, top, unit
+from .retrieval import PREFETCH, QUERIES_AT_ONCE, VECTORS_AT_ONCE, blocks_of, counted_terms, scan, solid, top, unit
 
 #: Folders that manuals are dealt to, postings of a block at most (about), different manuals that a batch may ask for before its filter becomes a join.
 PARTS, BLOCK, ASKED = 32, 128, 2000
+#: Tasks that a folder's blocks may be dealt to.
+LANES = 16
 #: Cells are about the root of the number of vectors, up to CELLS; their centres come from at most SAMPLE vectors.
 CELLS, SAMPLE, ROUNDS, PROBES = 1024, 40_000, 8, 8
 
@@ -71,19 +73,25 @@ def block_index(rows: DataFrame, key: str = "chunk_id", text: str = "text", tag:
     A block holds a term's postings of texts of one manual, one level and one slot. Levels are quarter powers of two of the texts' lengths, norm the largest length in the block; slots deal a manual's
     texts of a level by a hash, about BLOCK to each, so no block grows with a term's frequency.
     """
-    level = F.floor(4 * F.log2("norm")).cast("int")
-    counted = stored(weighed(rows, key, text).withColumn("level", level), "weighed")
-    texts = counted.groupBy(F.col("grp").alias("g"), F.col("level").alias("l")).agg(F.approx_count_distinct("id").alias("texts"))
+    norm = F.sqrt(F.aggregate("weights", F.lit(0).cast("long"), lambda n, w: n + w * w))
+    texts = counted_terms(rows.select(F.col(key).alias("id"), F.col(text).alias("text"), "grp"), "id").where(F.size("terms") > 0).withColumn("norm", norm)
+    texts = stored(texts.withColumn("level", F.floor(4 * F.log2("norm")).cast("int")).withColumn("part", part_of(F.col("grp"))), "weighed")
+    # a row a manual and level, stored so that its size is known and texts don't move to meet it
+    sizes = stored(texts.groupBy(F.col("grp").alias("g"), F.col("level").alias("l")).agg(F.approx_count_distinct("id").alias("texts")), "levels")
     slot = F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / BLOCK))
-    dealt = counted.join(texts, F.col("grp").eqNullSafe(F.col("g")) & (F.col("level") == F.col("l"))).groupBy("grp", "term", "level", slot.alias("slot"))
-    made = dealt.agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", "weight")).alias("has")).drop("slot")
-    return by_manual(made, tag, "term", "level")
+    dealt = texts.join(sizes, F.col("grp").eqNullSafe(F.col("g")) & (F.col("level") == F.col("l"))).select("part", "grp", "level", slot.alias("slot"), "norm", "id", "terms", "weights")
+    # texts of a slot go to one task whole, a folder's to LANES of them, so their postings need no further shuffle
+    dealt = dealt.withColumn("lane", F.pmod(F.xxhash64("level", "slot"), F.lit(LANES))).repartition("part", "lane")
+    one = dealt.select("part", "lane", "grp", "level", "slot", "norm", "id", F.explode(F.arrays_zip("terms", "weights")).alias("p"))
+    made = one.groupBy("part", "lane", "grp", F.col("p.terms").alias("term"), "level", "slot").agg(F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("id", F.col("p.weights").alias("weight"))).alias("has"))
+    return stored(made.select("grp", "term", "level", "norm", "n", "has", "part").sortWithinPartitions("part", "term", "level"), tag, by="part")
 
 
 def _met(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Blocks of the questions' terms. A question with a manual meets that manual's alone, read from its folder; one without meets all."""
     q = queries.select("query_id", "term", F.col("weight").alias("qw"), "wanted")
     q = q.join(q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("length")), "query_id")
+    q = stored(q, "asked_terms", narrow=True)  # of known size, so that blocks don't move to meet a few questions
     free = blocks.join(q.where("wanted is null").drop("wanted"), "term")
     some = q.where("wanted is not null")
     bound = of_manuals(blocks, some).join(some.withColumnRenamed("wanted", "grp"), ["term", "grp"])
@@ -106,7 +114,7 @@ def block_passes(queries: DataFrame, blocks: DataFrame, k: int = PREFETCH) -> tu
     levels = stored(levels, "first_levels", narrow=True)
     first = met.join(levels, "query_id").where(F.col("level") >= F.col("first"))
     best = stored(_scores(first, k), "first_best", narrow=True)
-    floors = levels.join(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left")
+    floors = stored(levels.join(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left"), "floors", narrow=True)
     # a text scores its length times the question's at most; the margin covers the rounding of both
     reach = F.col("length") * F.col("norm") * (1 + 1e-9) >= F.coalesce("floor", F.lit(0))
     return first, best, met.join(floors, "query_id").where((F.col("level") < F.col("first")) & reach), met

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as X
+from quillstack.operators import indexes as V
 from quillstack.operators import retrieval as R
 
 
@@ -59,3 +60,15 @@ def test_sparse_search_shuffles_no_sums(spark, monkeypatch):
     monkeypatch.undo()
     plan = R.sparse_top_k(queries, index, 40)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_blocks_are_made_without_moving_postings(spark, monkeypatch):
+    """Of the steps that make blocks only whole texts, a row each, are dealt anew: no exchange has a term's postings."""
+    plans = []
+    keep = V.stored
+    monkeypatch.setattr(V, "stored", lambda df, tag, **more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, tag, **more))[1])
+    frame = spark.createDataFrame([(i, f"a b c{i % 7}", f"m{i % 3}") for i in range(200)], "doc_id long, text string, grp string")
+    made = V.block_index(frame, "doc_id")
+    assert made.agg(F.sum("n")).first()[0] == 600
+    assert not [line for plan in plans for line in plan.splitlines() if "Exchange" in line and "term#" in line]
+    assert sum(line.count("Exchange hashpartitioning") for line in plans[-1].splitlines()) == 1
