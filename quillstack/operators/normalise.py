@@ -89,5 +89,7 @@ def affected_links(rows: DataFrame, least: int = LEAST, counts: X.Counts | None
     r = rows.select("doc", "ord", "chunk_id", (X.count_of(F.col("text"), counts) < least).alias("gone"))
     w = Window.partitionBy("doc").orderBy("ord")
     before = F.last(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the last one in reverse order: a frame to the end would be gone through anew for each row
+    back = Window.partitionBy("doc").orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(~F.col("gone"), F.col("chunk_id")), ignorenulls=True).over(back)
     return r.withColumn("prev_kept", F.coalesce(before, F.lit(""))).withColumn("next_kept", F.coalesce(after, F.lit(""))).where("gone").select("prev_kept", "next_kept").distinct()

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as X
 from quillstack.operators import indexes as V
+from quillstack.operators import normalise as N
+from quillstack.operators import reports as S
 from quillstack.operators import retrieval as R
 
 
@@ -72,3 +74,33 @@ def test_blocks_are_made_without_moving_postings(spark, monkeypatch):
     assert made.agg(F.sum("n")).first()[0] == 600
     assert not [line for plan in plans for line in plan.splitlines() if "Exchange" in line and "term#" in line]
     assert sum(line.count("Exchange hashpartitioning") for line in plans[-1].splitlines()) == 1
+
+
+def test_links_by_frames_that_grow(spark):
+    """No frame runs to a manual's end, as it would be gone through anew for each row."""
+    rows = spark.createDataFrame([("a", i, f"a_{i}", "x " * (30 if i % 4 else 3)) for i in range(9)] + [("b", 1, "b_1", "x")], "doc string, ord long, chunk_id string, text string")
+    got = N.affected_links(rows)
+    assert sorted(map(tuple, got.collect())) == [("", ""), ("", "a_1"), ("a_3", "a_5"), ("a_7", "")]
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_rectangles_meet_over_the_borders_of_cells(spark):
+    """A distance that rounds to the tolerance counts, wherever cells end; a block goes to few cells."""
+    rng = np.random.default_rng(6)
+    box = lambda i, x, y: ("d", 1, i, float(x), float(y), float(x) + 3, float(y) + 1)
+    blocks = [box(i, *rng.uniform(-20, 20, 2)) for i in range(200)] + [box(900, 101.99999999, 0)]
+    placed = [box(i, b[3] + rng.uniform(-3, 3), b[4] + rng.uniform(-3, 3)) for i, b in enumerate(blocks[:200])] + [box(901, 104.0000003, 0)]
+    used, want = set(), []
+    for _, _, i, *a in sorted(blocks, key=lambda b: (b[4], b[2])):
+        near = sorted((f, p[2]) for p in placed if p[2] not in used and (f := round(max(abs(x - y) for x, y in zip(a, p[3:], strict=True)), 6)) <= 2)
+        if near:
+            used.add(near[0][1])
+            want.append((i, near[0][1]))
+    make = lambda r: spark.createDataFrame(r, "doc string, page int, id long, x0 double, y0 double, x1 double, y1 double")
+    got = S.match_rectangles(make(blocks), make(placed))
+    assert sorted((r.id, r.other) for r in got.collect()) == sorted(want) and (900, 901) in want
+
+
+def test_sentences_are_looked_for_once(spark):
+    plan = spark.range(1).select(X.sentences(F.col("id").cast("string")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
