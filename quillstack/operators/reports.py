@@ -141,15 +141,17 @@ def toc_summary(toc: DataFrame, shown: int = 10, longest: int = 60) -> DataFrame
 def match_rectangles(blocks: DataFrame, placements: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Blocks of a page from its top (y0, id) each take the nearest placement left, no corner farther than the tolerance (ties: the smaller id); one that is taken is gone.
 
-    Grid cells of the tolerance turn the theta join into an equi-join on cells, each block probing its cell's neighbours. The taking is a fold over the blocks of a page
-    that have any placement near.
+    Grid cells of four times the tolerance turn the theta join into an equi-join on cells, each block probing the one to four cells that it can reach. What is near goes to its page's task once. The taking
+    is a fold over the blocks of a page that have any placement near.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    near = F.explode(F.sequence(cell("x0") - 1, cell("x0") + 1))
-    probes = blocks.withColumn("cx", near).withColumn("cy", F.explode(F.sequence(cell("y0") - 1, cell("y0") + 1)))
-    table = placements.select("doc", "page", cell("x0").alias("cx"), cell("y0").alias("cy"), F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
+    size, reach = 4 * tolerance, tolerance + 1e-6  # distances are rounded to six digits
+    cell = lambda c: F.floor(c / size)
+    probed = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    probes = blocks.withColumn("cx", probed("x0")).withColumn("cy", probed("y0"))
+    table = placements.select("doc", "page", cell(F.col("x0")).alias("cx"), cell(F.col("y0")).alias("cy"), F.col("id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
     far = F.greatest(*[F.abs(F.col(c) - F.col(f"o_{c}")) for c in ("x0", "y0", "x1", "y1")])
     hit = probes.join(table, ["doc", "page", "cx", "cy"]).withColumn("far", F.round(far, 6)).where(F.col("far") <= tolerance)
+    hit = hit.select("doc", "page", "id", "y0", "far", "other").repartition("doc", "page")
     own = hit.groupBy("doc", "page", "id", "y0").agg(F.array_sort(F.collect_list(F.struct("far", "other"))).alias("near"))
     page = own.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "id", "near"))).alias("b"))
     match = f"array<struct<id:{blocks.schema['id'].dataType.simpleString()},far:double,other:{placements.schema['id'].dataType.simpleString()}>>"
