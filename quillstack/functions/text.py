@@ -103,7 +103,8 @@ def sentences(c: Column) -> Column:
     """Sentences without surrounding space, and none that is empty; the whole text if it has no sentence, nothing of a blank one."""
     text = F.coalesce(c, F.lit(""))
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), strip), lambda s: s != "")
-    return F.when((F.size(found) == 0) & (strip(text) != ""), F.array(strip(text))).otherwise(found)
+    whole = lambda f: F.when((F.size(f) == 0) & (strip(text) != ""), F.array(strip(text))).otherwise(f)
+    return F.get(F.transform(F.array(found), whole), F.lit(0))  # what is found has a name, so it is looked for once
 
 
 def preview(c: Column, n: int = 60) -> Column:
